@@ -5,13 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinweave.llm import bpe, license_scan, secret_scan
+from twinweave.llm import bpe, license_scan, mixing, quality_model, quality_rules, secret_scan
 from twinweave.llm.common import table
 
 #: Where the vocabulary of operator 6 lies; give another path to use another file.
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severity", "cutoff")
+
+
+def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -20,10 +29,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op6_bpe, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op9_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
