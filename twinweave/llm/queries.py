@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinweave.llm import bpe, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan
+from twinweave.llm import bpe, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan, suffix_tree
 from twinweave.llm.common import table
 
 #: Where the vocabulary of operator 6 lies; give another path to use another file.
@@ -33,6 +33,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op9_license_scan, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op8_suffix_tree, op9_license_scan, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
