@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinweave.llm import bpe, html_blocks, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan, suffix_tree
+from twinweave.llm import bpe, html_blocks, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan, suffix_tree, webp
 from twinweave.llm.common import table
 
 #: Where the vocabulary of operator 6 lies; give another path to use another file.
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read_back(webp.store(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severity", "cutoff")
@@ -49,6 +53,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_html_blocks, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op8_suffix_tree, op9_license_scan, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_quality_rules, op3_html_blocks, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op8_suffix_tree, op9_license_scan, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
