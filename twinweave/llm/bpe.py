@@ -20,6 +20,7 @@ import sys
 import unicodedata
 from heapq import heappop, heappush
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,6 +226,24 @@ def _digest_step(columns: list, shared: _Shared) -> list:
     return out
 
 
+def _tokens_step(columns: list, shared: _Shared) -> list:
+    codec = shared.codec()
+    out: list[list] = [columns[0], [], [], [], []]
+    for t in columns[1]:
+        n, ids, decoded = codec.digest(t)
+        out[1].append(n)
+        out[2].append(np.array(ids.split(" ") if ids else [], np.int32))
+        out[3].append(hashlib.sha256(ids.encode()).hexdigest())
+        out[4].append(hashlib.sha256(decoded.encode()).hexdigest())
+    return out
+
+
+def tokenised(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every text."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_rows(rows, _tokens_step, "doc_id long,n_tokens long,ids array<int>,ids_sha256 string,decoded_sha256 string", _share(df, path))
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of every text."""
     return map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _encode_step, "doc_id long,ids array<int>", _share(df, path))

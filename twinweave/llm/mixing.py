@@ -92,11 +92,14 @@ def stream(planned: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """Documents as the mix serves them: a row for each round, the document in service at the cut whole; the columns stay."""
-    keyed = documents.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "lang").alias("content"))
-    planned = plan(keyed, keep=("content",))
-    copies = stream(planned).groupBy("doc_id", "content", "source").agg(F.count(F.lit(1)).alias("copies"), F.min("finish").alias("finish"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.content") == F.col("c.content")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    distinct = keyed.dropDuplicates(["doc_id", "content", "source"])
-    out = distinct.alias("d").join(copies.alias("c"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("d.doc_id", "text", "lang", "d.source", "n_chars")
+    """Documents as the mix serves them: a row for each round, the document in service at the cut whole; the columns stay.
+
+    Rows are recognised by a 64-bit hash of all their columns; equal rows share out their rounds.
+    """
+    columns = documents.columns
+    keyed = documents.withColumn("__row", F.xxhash64(*columns))
+    rounds = stream(plan(keyed, keep=("__row",))).groupBy("__row").agg(F.count(F.lit(1)).alias("__rounds"))
+    alike = Window.partitionBy("__row")
+    out = keyed.join(rounds, "__row").withColumn("__place", F.row_number().over(alike.orderBy("__row"))).withColumn("__alike", F.count(F.lit(1)).over(alike))
+    copies = F.floor((F.col("__rounds") + F.col("__alike") - F.col("__place")) / F.col("__alike")).cast("int")
+    return out.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)

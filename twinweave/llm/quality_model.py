@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import crc_mod, materialise
+from twinweave.llm.common import crc_mod
 from twinweave.llm.text_stats import with_stats
 
 TRAIN_ROWS = 20_000
@@ -97,19 +97,31 @@ def fit(names: list[str], x: np.ndarray, good: np.ndarray, seed: int = 1, penalt
     return Ranking(dict(zip(names, w.tolist(), strict=True)), float(slope), float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut))
 
 
-def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ranking:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ranking:
+    """Fit on the documents of at most ``rows`` labels outside the held-out fold: those of the lowest hashes."""
     marks = labels.where(crc_mod("doc_id", FOLDS) != 0).where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).distinct()
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(rows)
     columns = features()
-    found = stats.join(marks, "doc_id").select(*[v.alias(k) for k, v in columns.items()], "good", F.xxhash64("doc_id").alias("h"), "doc_id")
-    got = found.orderBy("h", "doc_id", "good", *columns).limit(rows).collect()
+    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most ``rows`` pairs of numbers
+    stats = with_stats(known, ["doc_id", "good"])
+    got = stats.select(*[v.alias(k) for k, v in columns.items()], "good", "doc_id").orderBy("doc_id", "good", *columns).limit(2 * rows).collect()
     names = list(columns)
     return fit(names, np.array([[float(r[k]) for k in names] for r in got]).reshape(len(got), len(names)), np.array([r["good"] for r in got]))
 
 
+def scored(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns with score and predicted; one narrow pass after the fit."""
+    stats = with_stats(documents, keep)
+    score = train(documents, labels).score(features())
+    return stats.withColumn("score", score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    stats = materialise(with_stats(documents.select("doc_id", "text"), ["doc_id"]), "quality")
-    score = train(stats, labels).score(features())
-    out = stats.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"), score.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    held_out = F.coalesce(crc_mod("doc_id", FOLDS) == 0, F.lit(False))
+    return scored(documents, labels, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the classifier does not reject, with their columns."""
+    return scored(documents, labels, documents.columns).where("predicted = 1").select(*documents.columns)

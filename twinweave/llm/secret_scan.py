@@ -170,7 +170,7 @@ def _step(columns: list) -> list:
 
 def _redact_step(columns: list) -> list:
     model = default_model()
-    return [columns[0], [redact(t, model) for t in columns[1]], *columns[2:]]
+    return [[redact(t, model) for t in columns[0]], *columns[1:]]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +180,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact_documents(df: DataFrame) -> DataFrame:
-    """Documents with their secrets replaced; n_chars is the new length, other columns and rows stay."""
-    cols = df.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long"))
-    out = map_rows(cols, _redact_step, "doc_id long,text string,lang string,source string,n_chars long")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    """Documents with their secrets replaced; n_chars is the new length (null for a null text), other columns and rows stay."""
+    kinds = dict(df.dtypes)
+    others = [c for c in df.columns if c not in ("text", "n_chars")]
+    rows = df.select("text", *[F.col(c) if kinds[c] == "string" else F.col(c).cast("long").alias(c) for c in others])
+    out = map_rows(rows, _redact_step, ",".join(["text string", *(f"{c} {'string' if kinds[c] == 'string' else 'long'}" for c in others)]))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*df.columns)

@@ -119,17 +119,17 @@ def count(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_stats(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns (all cast to what they are: long or string) and all of COUNTS."""
+    """The kept columns (strings as they are, others as long) and all of COUNTS; the text itself may be kept."""
     kinds = dict(df.dtypes)
     ddl = ",".join([f"{c} {'string' if kinds[c] == 'string' else 'long'}" for c in keep] + [f"{c} long" for c in COUNTS])
-    rows = df.select(*[F.col(c) if kinds[c] == "string" else F.col(c).cast("long").alias(c) for c in keep], F.col(text_col).alias("__text"))
+    rows = df.select(*[F.col(c) if kinds[c] == "string" else F.col(c).cast("long").alias(c) for c in keep], *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches):
         schema = arrow_schema(ddl)
         for batch in batches:
             for part in slices(batch):
-                *kept, texts = part.columns
-                got = count(*text_bytes(texts))
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], schema=schema)
+                got = count(*text_bytes(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], schema=schema)
 
     return rows.mapInArrow(run, ddl)
