@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinweave.llm import bpe, html_blocks, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan, suffix_tree, webp
+from twinweave.llm import bpe, html_blocks, jaccard_join, license_scan, mixing, oracles, quality_model, quality_rules, secret_scan, suffix_tree, webp
 from twinweave.llm.common import table
 
 #: Where the vocabulary of operator 6 lies; give another path to use another file.
@@ -55,4 +55,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_webp, op2_quality_rules, op3_html_blocks, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op8_suffix_tree, op9_license_scan, op10_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
