@@ -59,7 +59,7 @@ def with_file_times(media: DataFrame) -> DataFrame:
             for path in rows["file_path"]:
                 try:
                     s = os.stat(path)
-                    stats.append((s.st_size, pd.Timestamp(s.st_ctime, unit="s"), pd.Timestamp(s.st_mtime, unit="s"), pd.Timestamp(s.st_atime, unit="s")))
+                    stats.append((s.st_size, *(pd.Timestamp(ns // 1000, unit="us") for ns in (s.st_ctime_ns, s.st_mtime_ns, s.st_atime_ns))))
                 except OSError:
                     stats.append((0, None, None, None))
             yield pd.DataFrame({"file_path": rows["file_path"], **dict(zip(("stat_size", "created_at", "changed_at", "accessed_at"), map(list, zip(*stats, strict=True)) if stats else ([], [], [], []), strict=True))})
