@@ -256,11 +256,11 @@ def keep_one(documents: DataFrame) -> DataFrame:
     kept = joined.where("n_shingles = 0 or component_id = doc_id").select("doc_id").distinct()
     unsure = joined.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("n_shingles") > 0).alias("s"), F.min("component_id").alias("c")).where("k > 1 or (s and c <> doc_id)")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP_BITS))
-    bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    bit = F.expr("shiftleft(1L, cast(__p & 63 as int))")
     # at most BITMAP_BITS / 64 rows, whatever the corpus
-    bitmap = unsure.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
-    marked = documents.withColumn("p", place).withColumn("w", F.shiftright("p", 6)).join(F.broadcast(bitmap), "w", "left").withColumn("hit", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)))
+    bitmap = unsure.select(place.alias("__p")).groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
+    marked = documents.withColumn("__p", place).withColumn("__w", F.shiftright("__p", 6)).join(F.broadcast(bitmap), "__w", "left").withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)))
     columns = documents.columns
-    sure = marked.where("not hit").select(*columns)
-    tested = marked.where("hit").select(*columns).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sure = marked.where("not __hit").select(*columns)
+    tested = marked.where("__hit").select(*columns).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return sure.unionByName(tested.select(*columns))

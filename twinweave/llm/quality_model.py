@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.llm.common import crc_mod
-from twinweave.llm.text_stats import with_stats
+from twinweave.llm.text_stats import stats_column, with_stats
 
 TRAIN_ROWS = 20_000
 PAIRS = 100_000
@@ -29,26 +29,27 @@ THRESHOLD = 0.3
 FOLDS = 5
 
 
-def features() -> dict[str, Column]:
-    """Bounded ratios, damped on texts of a few words; square roots bring small values apart."""
-    n = F.col("n_words") + 10
-    letters = F.col("n_upper") + F.col("n_lower") + 20
+def features(at: str = "") -> dict[str, Column]:
+    """Bounded ratios of the counts (columns with the prefix ``at``), damped on texts of a few words; square roots bring small values apart."""
+    c = lambda name: F.col(at + name)
+    n = c("n_words") + 10
+    letters = c("n_upper") + c("n_lower") + 20
     ratios = {
-        "symbols": F.col("n_symbols") / n,
-        "pipes": F.col("n_pipes") / n,
-        "bangs": F.col("n_bangs") / n,
-        "upper": F.col("n_upper") / letters,
-        "digits": F.col("n_digits") / letters,
-        "unique": 1 - (F.col("n_unique_words") + 10) / n,
-        "repeats": F.col("n_repeat_words") / n,
-        "adjacent": F.col("n_adjacent") / n,
-        "dup_lines": F.col("n_dup_lines") / (F.col("n_lines") + 2),
-        "unended": F.lit(1) - F.col("n_ends") / n,
+        "symbols": c("n_symbols") / n,
+        "pipes": c("n_pipes") / n,
+        "bangs": c("n_bangs") / n,
+        "upper": c("n_upper") / letters,
+        "digits": c("n_digits") / letters,
+        "unique": 1 - (c("n_unique_words") + 10) / n,
+        "repeats": c("n_repeat_words") / n,
+        "adjacent": c("n_adjacent") / n,
+        "dup_lines": c("n_dup_lines") / (c("n_lines") + 2),
+        "unended": F.lit(1) - c("n_ends") / n,
     }
     out = {k: F.least(v, F.lit(1.0)) for k, v in ratios.items()}
     out |= {f"root_{k}": F.sqrt(F.greatest(out[k], F.lit(0.0))) for k in ("symbols", "pipes", "bangs", "upper", "repeats", "adjacent")}
-    out["long_words"] = F.least(F.abs(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)) - 5) / 10, F.lit(1.0))
-    out["short"] = 1 / (1 + F.col("n_words") / 10)
+    out["long_words"] = F.least(F.abs(c("word_chars") / F.greatest(c("n_words"), F.lit(1)) - 5) / 10, F.lit(1.0))
+    out["short"] = 1 / (1 + c("n_words") / 10)
     return out
 
 
@@ -109,19 +110,15 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ra
     return fit(names, np.array([[float(r[k]) for k in names] for r in got]).reshape(len(got), len(names)), np.array([r["good"] for r in got]))
 
 
-def scored(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns with score and predicted; one narrow pass after the fit."""
-    stats = with_stats(documents, keep)
-    score = train(documents, labels).score(features())
-    return stats.withColumn("score", score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-
-
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted) of every document; one narrow pass after the fit."""
+    score = train(documents, labels).score(features())
     held_out = F.coalesce(crc_mod("doc_id", FOLDS) == 0, F.lit(False))
-    return scored(documents, labels, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    out = with_stats(documents.select("doc_id", "text"), ["doc_id"]).select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns."""
-    return scored(documents, labels, documents.columns).where("predicted = 1").select(*documents.columns)
+    """The documents that the classifier does not reject, with all their columns."""
+    score = train(documents, labels).score(features("__stats."))
+    return documents.withColumn("__stats", stats_column()).where(score >= THRESHOLD).select(*documents.columns)

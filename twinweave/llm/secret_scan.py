@@ -20,6 +20,7 @@ import random
 import re
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,11 +169,6 @@ def _step(columns: list) -> list:
     return out
 
 
-def _redact_step(columns: list) -> list:
-    model = default_model()
-    return [[redact(t, model) for t in columns[0]], *columns[1:]]
-
-
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every text."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -180,9 +176,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact_documents(df: DataFrame) -> DataFrame:
-    """Documents with their secrets replaced; n_chars is the new length (null for a null text), other columns and rows stay."""
-    kinds = dict(df.dtypes)
-    others = [c for c in df.columns if c not in ("text", "n_chars")]
-    rows = df.select("text", *[F.col(c) if kinds[c] == "string" else F.col(c).cast("long").alias(c) for c in others])
-    out = map_rows(rows, _redact_step, ",".join(["text string", *(f"{c} {'string' if kinds[c] == 'string' else 'long'}" for c in others)]))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*df.columns)
+    """Documents with their secrets replaced; n_chars, where there, is the new length (null for a null text), other columns and rows stay."""
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series) -> pd.Series:
+        model = default_model()
+        return texts.map(lambda t: redact(t, model))
+
+    out = df.withColumn("text", redacted("text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in df.columns else out

@@ -8,6 +8,7 @@ Equal words and lines are recognised by 64-bit hashes of their bytes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,17 +120,31 @@ def count(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_stats(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns (strings as they are, others as long) and all of COUNTS; the text itself may be kept."""
+    """The kept columns (strings as they are, others as long) and all of COUNTS."""
     kinds = dict(df.dtypes)
     ddl = ",".join([f"{c} {'string' if kinds[c] == 'string' else 'long'}" for c in keep] + [f"{c} long" for c in COUNTS])
-    rows = df.select(*[F.col(c) if kinds[c] == "string" else F.col(c).cast("long").alias(c) for c in keep], *([] if text_col in keep else [F.col(text_col).alias("__text")]))
-    at = keep.index(text_col) if text_col in keep else len(keep)
+    rows = df.select(*[F.col(c) if kinds[c] == "string" else F.col(c).cast("long").alias(c) for c in keep], F.col(text_col).alias("__text"))
 
     def run(batches):
         schema = arrow_schema(ddl)
         for batch in batches:
             for part in slices(batch):
-                got = count(*text_bytes(part.column(at)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], schema=schema)
+                *kept, texts = part.columns
+                got = count(*text_bytes(texts))
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], schema=schema)
 
     return rows.mapInArrow(run, ddl)
+
+
+def stats_column(text_col: str = "text"):
+    """All of COUNTS of a text column as one struct, beside any other columns."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counts_of(texts: pd.Series) -> pd.DataFrame:
+        made = []
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])):
+            got = count(*text_bytes(part.column(0)))
+            made.append(pd.DataFrame({c: got[c].astype(np.int64) for c in COUNTS}))
+        return pd.concat(made, ignore_index=True) if made else pd.DataFrame({c: np.zeros(0, np.int64) for c in COUNTS})
+
+    return counts_of(F.col(text_col))
