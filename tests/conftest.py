@@ -4,13 +4,14 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
 
+    from twinweave.workers import reachable
+
     made = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -20,7 +21,7 @@ def spark():
         .getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
-    yield made
+    yield reachable(made)
     made.stop()
 
 
