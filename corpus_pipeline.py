@@ -14,25 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from twinweave.llm import bpe, jaccard_join, mixing, quality_model, secret_scan
 from twinweave.llm.common import materialise, table
 from twinweave.llm.queries import BPE_VOCABULARY
+from twinweave.workers import reachable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return quality_model.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return jaccard_join.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return secret_scan.redact_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return mixing.mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return bpe.tokenised(docs, BPE_VOCABULARY)
 
 
