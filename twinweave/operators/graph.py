@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.operators.checkpoints import materialise
+from twinweave.operators.checkpoints import materialise, materialise_with
 
 MAX_ROUNDS = 64
 
@@ -17,16 +17,19 @@ def components(pairs: DataFrame) -> DataFrame:
     ends are known by the sum of all labels, the only figure that the driver sees.
     """
     both = pairs.select(F.col("i").alias("u"), F.col("j").alias("v"))
-    both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "arcs")
-    labels = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "labels")
-    total = None
+    both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), "arcs")
+    figure = F.sum(F.col("label").cast("decimal(38,0)"))
+    labels, total = materialise_with(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "labels", figure)
     for _ in range(MAX_ROUNDS):
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now is None or now == total:
-            return labels.select(F.col("u").alias("item_idx"), F.col("label").alias("component_id"))
-        total = now
+        if total is None:
+            break
         least = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("least"))
         lower = labels.join(least, "u").select("u", F.least("label", "least").alias("label"))
         up = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
-        labels = materialise(lower.join(up, "label", "left").select("u", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
-    raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
+        before = total
+        labels, total = materialise_with(lower.join(up, "label", "left").select("u", F.least("label", F.coalesce("above", "label")).alias("label")), "labels", figure)
+        if total == before:
+            break
+    else:
+        raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
+    return labels.select(F.col("u").alias("item_idx"), F.col("label").alias("component_id"))
