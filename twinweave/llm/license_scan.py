@@ -153,17 +153,22 @@ def scan_text(words: str, raw: str | None) -> tuple[list[int], set[str], set[str
         if phrase == TAG:
             tagged = True
         elif phrase in BASE:
-            places.append(words.count(" ", 0, end - len(phrase)) - 1)
+            places.append(end - len(phrase))
             base.add(BASE[phrase])
         else:
             labels.add(NOTICES[phrase])
+    places.sort()
+    at = index = 0
+    for i, place in enumerate(places):  # from characters to words, counting each stretch once
+        index += words.count(" ", at, place)
+        places[i], at = index - 1, place
     score = max((risk(x) for x in base | labels), default=0.0)
     if tagged and raw:
         for m in _TAG_LINE.finditer(raw):
             found, level = evaluate(parse(m[1]))
             labels |= found
             score = max(score, level)
-    return sorted(places), base, base | labels, score
+    return places, base, base | labels, score
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
