@@ -165,9 +165,9 @@ def test_bpe_word_by_repeated_best_merge(word):
     ids = [codec.first[b] for b in word.encode()]
     ids[-1] = codec.last[ids[-1]]
     while True:
-        ranks = [(codec.rank.get(a << 20 | b, 1 << 60) >> 20, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False))]
-        if not ranks or min(ranks)[0] >= 1 << 40:
+        ranks = [(m, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := codec.rank.get(a << 20 | b))]
+        if not ranks:
             break
-        _, i = min(ranks)
-        ids[i : i + 2] = [codec.rank[ids[i] << 20 | ids[i + 1]] & (1 << 20) - 1]
+        m, i = min(ranks)
+        ids[i : i + 2] = [m >> 24 & (1 << 20) - 1]
     assert codec.word(word) == ids
