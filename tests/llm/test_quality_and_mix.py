@@ -157,27 +157,31 @@ def test_targets(spark, sizes):
 
 def test_mix_meets_targets_and_repeats_itself(spark, sf):
     docs = table(spark, sf, "documents")
-    a = mixing.plan(docs)
+    a = mixing.mix(docs)
     got = a.toPandas()
     assert (got["taken"] <= 2 * got["size"]).all()
     per = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert (abs(per["taken"] - per["target"]) <= 1).all()
     key = ["doc_id", "source", "size", "taken"]
-    assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, mixing.plan(docs.repartition(5)).select(*key).collect()))
+    assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, mixing.mix(docs.repartition(5)).select(*key).collect()))
 
 
 def test_stream_is_in_order_of_virtual_time(spark, sf):
-    planned = mixing.plan(table(spark, sf, "documents"))
-    rows_ = mixing.stream(planned).collect()
+    docs = table(spark, sf, "documents")
+    rows_ = mixing.stream(mixing.plan(docs)).collect()
     finish = [r["finish"] for r in rows_]
-    assert finish == sorted(finish) and sum(r["words"] for r in rows_) == planned.agg(F.sum("taken")).first()[0]
+    assert finish == sorted(finish) and sum(r["words"] for r in rows_) == mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    total = rows_[0]["all_targets"]
+    assert abs(sum(r["words"] for r in rows_) - total) <= len({r["source"] for r in rows_})
+    half = sum(r["words"] for r in mixing.stream(mixing.plan(docs), budget=total / 2).collect())
+    assert abs(half - total / 2) <= len({r["source"] for r in rows_})
 
 
 def test_mix_edges(spark):
     docs = documents(spark, ODD_TEXTS, extra=["size", "key", "target", "bucket", "start"])
-    got = mixing.plan(docs).collect()
+    got = mixing.mix(docs).collect()
     assert len(got) == len(ODD_TEXTS) and all(r["taken"] == 0 for r in got if not r["size"])
-    assert mixing.plan(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0
     same = documents(spark, ["five words are in here"] * 8, sources=["a"], ids=[1] * 8)
     mixed = mixing.mix_documents(same)
     assert mixed.columns == same.columns and 11 <= mixed.count() <= 13

@@ -2,9 +2,10 @@
 
 Every document of a source waits in a queue whose order is a shuffle by hash; a queue may be served ``repeats``
 times over. A document's virtual finish time is the words of its source up to and with it, divided by the
-source's target. Served in the order of virtual finish times, each source gets words in proportion to its
-target at any time; the stream is cut at the virtual time at which the total budget is spent, and the one
-document of each source that is in service then is cut there.
+source's target. The mix is the stream of all documents and rounds, range-sorted by virtual finish time and written.
+Sources are served side by side in proportion to their targets, so by virtual time v the mix has grown to v
+times the sum of the targets; it is truncated where that reaches the total budget, and the one document of
+each source that is in service then is cut there.
 
 Targets: weights repeat over the sources in code point order (null last); no target exceeds ``repeats``
 times its source's size, and what that leaves over is shared again by weight.
@@ -55,40 +56,42 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     per = per.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(full), F.lit(0.0))) / F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
     per = per.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
-    return per.select("source", "source_size", "weight", target.alias("target"))
+    return per.select("source", "source_size", "weight", target.alias("target")).withColumn("all_targets", F.sum("target").over(whole))
 
 
 def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with its source's size and target, its virtual finish time and the words that the mix takes."""
-    sizes = materialise(documents.select("doc_id", *keep, F.col("source"), word_count().alias("size"), shuffle_key(seed=seed).alias("key")), "mix-sizes")
-    sizes = sizes.withColumn("bucket", F.shiftright("key", 60 - BUCKETS.bit_length() + 1))
+    """Every document, with a row number, its source's size and target, and where its source's queue has it (``start``, in words)."""
+    sizes = documents.select("doc_id", *keep, F.col("source"), word_count().alias("size"), shuffle_key(seed=seed).alias("key"), F.monotonically_increasing_id().alias("row_id"))
+    sizes = materialise(sizes, "mix-sizes").withColumn("bucket", F.shiftright("key", 60 - BUCKETS.bit_length() + 1))
     targets = source_targets(sizes, weights, share, repeats)
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)))
-    ranges = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "bucket", "before", "source_size", "target")
+    ranges = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "bucket", "before", "source_size", "target", "all_targets")
     rows = sizes.alias("s").join(ranges.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.bucket") == F.col("r.bucket")))
     within = Window.partitionBy("s.source", "s.bucket").orderBy("key", "doc_id", *[f"s.{c}" for c in keep], "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("doc_id", *[f"s.{c}" for c in keep], "s.source", "size", "source_size", "target", (F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"))
-    return rows.withColumn("finish", F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))).withColumn("taken", taken(repeats))
+    start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    return rows.select("row_id", "doc_id", *[f"s.{c}" for c in keep], "s.source", "size", "source_size", "target", "all_targets", start.alias("start"))
 
 
-def served() -> Column:
-    """Words of the source that are served when the budget, the sum of all targets, is spent (virtual time 1)."""
-    return F.floor(F.col("target") + 0.5)
+def stream(planned: DataFrame, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
+    """The mix: a row for each document and round that is served, range-sorted by virtual finish time, truncated at the budget.
 
-
-def taken(repeats: int = REPEATS) -> Column:
-    """Words taken of a document over all rounds of its source's queue."""
-    rounds = [F.greatest(F.lit(0), F.least(F.col("size"), served() - F.col("source_size") * r - F.col("start"))) for r in range(repeats)]
-    return sum(rounds[1:], rounds[0]).cast("long")
+    The budget is the sum of all targets unless another, smaller one is given.
+    """
+    end = F.lit(1.0) if budget is None else F.least(F.lit(1.0), F.lit(float(budget)) / F.col("all_targets"))
+    rounds = planned.where("target > 0 and size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    begun = F.col("source_size") * F.col("round") + F.col("start")
+    rounds = rounds.withColumn("finish", (begun + F.col("size")) / F.col("target"))
+    rounds = rounds.withColumn("words", F.least(F.col("size"), F.floor(end * F.col("target") + 0.5) - begun)).where("words > 0")
+    return rounds.repartitionByRange(F.col("finish"), F.col("row_id")).sortWithinPartitions("finish", "row_id", "round")
 
 
-def stream(planned: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """The mix itself: a row for each document and round that is served, range-sorted by virtual finish time."""
-    rounds = planned.where("taken > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    begun = F.col("source_size") * F.col("round") + F.col("start")
-    rounds = rounds.withColumn("finish", (begun + F.col("size")) / F.col("target")).withColumn("words", F.least(F.col("size"), served() - begun)).where("words > 0")
-    return rounds.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id", "round")
+def mix(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken): the words that the mix takes of every document, over all rounds."""
+    planned = materialise(plan(documents, **options), "mix-plan")
+    mixed = materialise(stream(planned, options.get("repeats", REPEATS)), "mix")
+    taken = mixed.groupBy("row_id").agg(F.sum("words").alias("words"))
+    return planned.join(taken, "row_id", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:

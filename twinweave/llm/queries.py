@@ -26,7 +26,7 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
