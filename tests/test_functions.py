@@ -74,3 +74,17 @@ def test_settings():
     assert s.affects_features(Settings(layout="NHWC")) and not s.affects_features(Settings(size=100))
     with pytest.raises(ValueError):
         Settings(resize_method="Squash")
+
+
+def test_texts_and_logs(spark, tmp_path):
+    from twinweave.functions.texts import Texts
+    from twinweave.logs import log_to
+
+    texts = Texts([("a", "old"), ("a", "{0} of {1}"), ("b", "plain")])
+    assert (texts("a", 1, 2), texts("b"), texts("missing")) == ("1 of 2", "plain", "")
+    df = spark.createDataFrame([("b",), ("missing",)], "k string")
+    assert [r["t"] for r in df.select(texts.column("k").alias("t")).collect()] == ["plain", ""]
+    log = log_to(str(tmp_path))
+    assert log_to(str(tmp_path)) is log and len(log.handlers) == 1
+    log.info("hello")
+    assert "hello" in (tmp_path / "twinweave.log").read_text()
