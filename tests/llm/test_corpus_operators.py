@@ -163,6 +163,51 @@ def test_suffix_tree_edges(spark):
     assert {(r["train_tokens"], r["base_score"], r["score"]) for r in suffix_tree.score(none).collect()} == {(0, 0.0, 0.0)}
 
 
+def plain_scores(texts, held, depth):
+    """The scores with all counts in dictionaries."""
+    counts = [Counter() for _ in range(depth + 1)]
+    for i, t in texts.items():
+        for k in range(depth + 1):
+            counts[k].update(tuple(t[j : j + k + 1]) for j in range(len(t) - k) if not held[i])
+    n, v = sum(counts[0].values()), len(counts[0])
+    weights, after = {}, defaultdict(dict)
+    for k in range(1, depth + 1):
+        for gram, c in counts[k].items():
+            if c >= suffix_tree.LEAST:
+                after[gram[:-1]][gram[-1]] = c
+
+    def p(context, w):
+        if not context:
+            return (counts[0][(w,)] + 1) / (n + v + 1)
+        inner = p(context[1:], w)
+        if not weights.get(context):
+            return inner
+        return weights[context] * after[context].get(w, 0) / sum(after[context].values()) + (1 - weights[context]) * inner
+
+    for context in sorted(after, key=len):
+        follow, size = after[context], counts[len(context) - 1][context]
+        stored, types = sum(follow.values()), len(follow)
+        weight = stored / (size + types)
+        gain = 2 * sum(c * math.log(weight * c / stored / p(context[1:], w) + 1 - weight) for w, c in follow.items()) + 2 * (size - stored) * math.log1p(-weight)
+        if gain > types + 3 * math.sqrt(2 * types):
+            weights[context] = weight
+    assert any(len(c) == depth for c in weights)
+    return {i: sum(math.log10(p(tuple(t[max(0, j - depth) : j]), w)) for j, w in enumerate(t)) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("frequent", [1e-6, 3e-3])
+def test_rare_contexts_count_as_frequent_ones_do(spark, monkeypatch, frequent):
+    """Whether a gram is broadcast or joined makes no difference; nothing below a share of the corpus is left out."""
+    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+    rng = np.random.default_rng(3)
+    phrases = [" ".join(f"w{x}" for x in rng.integers(0, 40, 6)) for _ in range(12)]
+    docs = documents(spark, [" ".join(phrases[x] if x < 12 else f"w{rng.integers(0, 60)}" for x in rng.integers(0, 40, 30)) for _ in range(80)])
+    texts = {r["doc_id"]: lower_words(r["text"]) + ["\n"] for r in docs.collect()}
+    want = plain_scores(texts, {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}, 3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, 3).collect()}
+    assert got == {i: pytest.approx(s) for i, s in want.items()}
+
+
 # ---- pages
 
 

@@ -1,17 +1,20 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 8).
 
-The tree's nodes are contexts of up to DEPTH preceding words. A context is a candidate if it makes up at
-least CONTEXT of the training tokens; it is retained if its next-word counts diverge from what its parent
-(the context without its oldest word) predicts, by a likelihood-ratio test against the chi-square's mean
-and spread. A node's distribution is its own counts, mixed with its parent's distribution by a
-Witten-Bell weight; the root's is add-one over all training words and one unknown word. A token is scored
-in the longest retained suffix of its history.
-
-Scale: all counts are Spark aggregations over the whole training part, so what is gathered grows with the
-input. What is broadcast is bounded by the thresholds whatever the corpus: at most 1 / FREQUENT words and
-1 / FREQUENT transitions a depth, 1 / CONTEXT contexts a depth. Counts of the remaining, rare words are
-never collected: scoring emits (word, document) rows for them and joins the count table. Words are told
-apart by 64-bit hashes.
+The tree's nodes are contexts of up to DEPTH preceding words. Every context that occurs at least LEAST times in
+the training part is a candidate, with all next words that follow it LEAST times; it is retained if these
+counts diverge from what its parent (the context without its oldest word) predicts, by a likelihood-ratio
+test against the chi-square's mean and spread. A node's distribution is its own counts, mixed with its
+parent's distribution by a Witten-Bell weight; the root's is add-one over all training words and one unknown
+word. A token is scored in the longest retained suffix of its history; the tree grows no deeper once no
+context repeats.
+
+Scale: the limits are counts, not shares, so the tree grows with the corpus; it is a written table and is
+never collected as a whole. A sequence of words (a gram) is known by a hash of its first and its last part.
+A gram that occurs LEAST times has parts that do, so a bitmap of fixed size keeps most others out of each
+depth's shuffle. A document's score is a sum over its grams: a gram adds what its last word gains over the
+parent's share, and what the gram as a context leaves to its parent. What is joined at scoring time is the
+grams of the document below FREQUENT; at most 1 / FREQUENT grams a depth are broadcast, to save their
+shuffle and its skew, which changes no result. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are the end token alone; an empty training part gives N = V = 0 and
 every token probability 1; null ids are neither learned from nor held out; repeated rows are scored
@@ -24,14 +27,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, materialise, slices, span_hashes, text_bytes, word_bounds
+from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, materialise, mix64, slices, span_hashes, text_bytes, word_bounds
 
-DEPTH = 2
+DEPTH = 3
+LEAST = 2
+#: Share of the training tokens from which a gram is broadcast; has no part in the result.
 FREQUENT = 1e-6
-CONTEXT = 1e-5
+BITMAP_BITS = 1 << 26
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D2E7A3C5)
 #: Tokens whose counts a task sums before it sends them on.
@@ -61,7 +66,7 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Sorted arrays; level d - 1 of the lists is depth d. A transition's key is context << 20 | word."""
+    """The frequent part as sorted arrays; level d - 1 of the lists is depth d. A transition's key is context << 20 | word."""
 
     total: int
     kinds: int
@@ -73,20 +78,6 @@ class Tree:
     share: list[np.ndarray] = field(default_factory=list)  # of the context's stored transitions
     weight: list[np.ndarray] = field(default_factory=list)  # of the own distribution; 0: not retained
 
-    def states(self, value: np.ndarray, row: np.ndarray, depth: int):
-        """(word index, context index by depth) of all tokens, -1 where there is none."""
-        word = find(self.words, value)
-        states = [np.zeros(len(value), np.int64)]
-        for d in range(depth):
-            key = np.where((states[-1] >= 0) & (word >= 0), states[-1] << _WORD_BITS | word, -1)
-            led = find(self.contexts[d], key)
-            led[key < 0] = -1
-            state = np.full(len(value), -1, np.int64)
-            same = row[1:] == row[:-1]
-            state[1:][same] = led[:-1][same]
-            states.append(state)
-        return word, states[1:]
-
     def root(self, index: np.ndarray) -> np.ndarray:
         return (self.counts[index] + 1.0) / (self.total + self.kinds + 1)
 
@@ -105,147 +96,223 @@ class Tree:
             p[at] = weight * own + (1 - weight) * p[at]
         return p
 
-    def grow(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Add a depth: its stored transitions; decide which contexts are retained."""
-        d = len(self.keys)
-        n = len(self.contexts[d])
-        context, word = keys >> _WORD_BITS, keys & ((1 << _WORD_BITS) - 1)
-        stored = np.bincount(context, counts, n).astype(float)
-        types = np.bincount(context, minlength=n)
-        share = counts / stored[context] if len(keys) else np.zeros(0)
-        weight = stored / np.maximum(self.sizes[d] + types, 1)
-        parent = self.probability(d, word, self._parents(d, context))
-        own = weight[context] * share + (1 - weight[context]) * parent
-        gain = 2.0 * np.bincount(context, counts * np.log(own / parent), n)
-        rest = self.sizes[d] - stored
-        gain += 2 * np.where(rest > 0, rest * np.log1p(-np.minimum(weight, 1 - 1e-12)), 0.0)
-        retained = (types > 0) & (gain > types + 3 * np.sqrt(2.0 * types))
-        self.keys.append(keys)
-        self.share.append(share)
-        self.weight.append(np.where(retained, weight, 0.0))
-
-    def _parents(self, d: int, context: np.ndarray) -> list[np.ndarray]:
-        """The states of depths 1..d for tokens that follow contexts of depth d + 1."""
-        out: list[np.ndarray] = []
-        trail = []  # words of the context, the newest first
-        at, level = context, d
-        while level >= 0:
-            key = self.contexts[level][at]
-            trail.append(key & ((1 << _WORD_BITS) - 1))
-            at, level = key >> _WORD_BITS, level - 1
-        for depth in range(1, d + 1):
-            state = np.zeros(len(context), np.int64)
-            for i in range(depth - 1, -1, -1):
-                level = depth - 1 - i
-                led = find(self.contexts[level], np.where(state >= 0, state << _WORD_BITS | trail[i], -1))
-                state = np.where(state >= 0, led, -1)
-            out.append(state)
-        return out
-
-
-def _sums(documents: DataFrame, keys_of, ddl_key: str = "key") -> DataFrame:
-    """(key, n): occurrences of the keys that ``keys_of(text column)`` makes, summed by task, then by Spark."""
-    ddl = f"{ddl_key} long,n long"
+
+def combine(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The key of a gram from those of its parts without its last and without its first word."""
+    return mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(last))
+
+
+def grams(value: np.ndarray, row: np.ndarray, length: int):
+    """(keys, whether there is one) by length, of the grams that end at each token."""
+    out = [(value, np.ones(len(value), bool))]
+    same = row[1:] == row[:-1]
+    for _ in range(1, length):
+        key, there = out[-1]
+        made, ok = np.zeros(len(value), np.uint64), np.zeros(len(value), bool)
+        made[1:] = combine(key[:-1], key[1:])
+        ok[1:] = there[1:] & there[:-1] & same
+        out.append((made, ok))
+    return out
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the long column h."""
+    bits = keys.select(F.shiftright(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
+    got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(BITMAP_BITS // 64, np.uint64)
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return table
+
+
+def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (table[(keys & np.uint64(BITMAP_BITS - 1)) >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _sums(documents: DataFrame, keys_of, names: tuple[str, ...] = ("h",)) -> DataFrame:
+    """(*names, n): occurrences of the keys, given as columns, that ``keys_of(text column)`` makes, summed by task, then by Spark."""
+    ddl = ",".join(f"{x} long" for x in (*names, "n"))
 
     def run(batches):
         schema = arrow_schema(ddl)
         waiting, size = [], 0
 
         def flush():
-            key, n = np.unique(np.concatenate(waiting), return_counts=True)
-            for at in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], schema=schema)
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            _, at, n = np.unique(columns[0] if len(columns) == 1 else combine(*columns), return_index=True, return_counts=True)
+            for i in range(0, len(n), 100_000):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[at[i : i + 100_000]].view(np.int64)) for c in columns), pa.array(n[i : i + 100_000])], schema=schema)
 
         for batch in batches:
             for part in slices(batch):
                 made = keys_of(part.column(0))
                 waiting.append(made)
-                size += len(made)
+                size += len(made[0])
                 if size >= FLUSH:
                     yield from flush()
                     waiting, size = [], 0
         if size:
             yield from flush()
 
-    return documents.select("text").mapInArrow(run, ddl).groupBy(ddl_key).agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(run, ddl).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def train(documents: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """(the tree, the table (h, c) of all training words' counts)."""
+@dataclass
+class Model:
+    total: int
+    kinds: int
+    table: DataFrame  # (h, c) of all training words
+    levels: list[DataFrame]  # of each depth: (h, first, last, n, size, weight, parent, p); weight and parent are null where the context is not retained
+
+    @property
+    def frequent(self) -> float:
+        return max(float(LEAST), FREQUENT * self.total)
+
+
+def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
+    """Counts all repeated grams of the training part and decides which contexts are retained."""
     spark = documents.sparkSession
     learned = documents.where(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    table = materialise(_sums(learned, lambda text: tokens(text)[0], "h").withColumnRenamed("n", "c"), "words")
+    table = materialise(_sums(learned, lambda text: (tokens(text)[0],)).withColumnRenamed("n", "c"), "words")
     total, kinds = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    got = table.where(F.col("c") >= max(1.0, FREQUENT * total)).toArrow()
-    words, counts = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.float64)
-    order = np.argsort(words)
-    tree = Tree(int(total), int(kinds), words[order], counts[order])
-    keys, counts = np.arange(len(words), dtype=np.int64), tree.counts
-    end = find(tree.words, np.array([END]))[0]
+    model = Model(int(total), int(kinds), table, [])
+    below = table.where(F.col("c") >= LEAST).select("h", F.col("c").alias("n"), ((F.col("c") + 1) / F.lit(float(total + kinds + 1))).alias("p"))
     for d in range(depth):
-        leads = (counts >= max(2.0, CONTEXT * total)) & ((keys & ((1 << _WORD_BITS) - 1)) != end)
-        tree.contexts.append(keys[leads])
-        tree.sizes.append(counts[leads])
-        shared = spark.sparkContext.broadcast(tree)
+        seen = bitmap_of(below)
+        if not seen.any():
+            break
+        shared = spark.sparkContext.broadcast(seen)
 
         def transitions(text, d=d, shared=shared):
-            tree = shared.value
             value, row = tokens(text)
-            word, states = tree.states(value, row, d + 1)
-            ok = (word >= 0) & (states[d] >= 0)
-            return states[d][ok] << _WORD_BITS | word[ok]
+            key, there = grams(value, row, d + 1)[-1]
+            there = there & in_bitmap(shared.value, key)
+            at = np.flatnonzero(there[1:] & there[:-1] & (row[1:] == row[:-1]))
+            return key[at], key[at + 1]
+
+        def keyed(batches):
+            for batch in batches:
+                key = combine(*(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["h", *batch.schema.names])
+
+        counted = _sums(learned, transitions, ("first", "last")).where(F.col("n") >= LEAST)
+        rows = counted.join(below.select(F.col("h").alias("last"), F.col("p").alias("parent")), "last")
+        rows = rows.join(below.select(F.col("h").alias("first"), F.col("n").alias("size")), "first")
+        # all by one key: the join's shuffle serves both windows
+        context = Window.partitionBy("first")
+        rows = rows.withColumn("stored", F.sum("n").over(context)).withColumn("types", F.count(F.lit(1)).over(context))
+        rows = rows.withColumn("weight", F.col("stored") / (F.col("size") + F.col("types"))).withColumn("own", F.col("weight") * F.col("n") / F.col("stored") + (1 - F.col("weight")) * F.col("parent"))
+        gain = 2 * F.sum(F.col("n") * F.log(F.col("own") / F.col("parent"))).over(context) + 2 * (F.col("size") - F.col("stored")) * F.log1p(-F.col("weight"))
+        rows = rows.withColumn("retained", gain > F.col("types") + 3 * F.sqrt(2.0 * F.col("types")))
+        p = F.when(F.col("retained"), F.col("own")).otherwise(F.col("parent"))
+        rows = rows.select("first", "last", "n", "size", F.when(F.col("retained"), F.col("weight")).alias("weight"), F.when(F.col("retained"), F.col("parent")).alias("parent"), p.alias("p"))
+        level = materialise(rows.mapInArrow(keyed, "h long,first long,last long,n long,size long,weight double,parent double,p double"), "level")
+        model.levels.append(level)
+        below = level.select("h", "n", "p")
+    return model
+
+
+def additions(model: Model) -> DataFrame:
+    """(h, n, c, v): what each gram adds to a score; c is the count of a word and null for longer grams."""
+    none = F.lit(None).cast("long")
+    out = model.table.select("h", F.col("c").alias("n"), "c", F.lit(0.0).alias("v"))
+    for level in model.levels:
+        kept = level.where("weight is not null")
+        left = F.log10(1 - F.col("weight"))
+        out = out.unionByName(kept.select("h", "n", none.alias("c"), (F.log10(F.col("p")) - left - F.log10("parent")).alias("v")))
+        out = out.unionByName(kept.select(F.col("first").alias("h"), F.col("size").alias("n"), none.alias("c"), left.alias("v")).distinct())
+    return materialise(out.groupBy("h").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("v").alias("v")), "additions")
+
+
+def _sorted(table: pa.Table, *names: str) -> list[np.ndarray]:
+    columns = [table.column(x).to_numpy() for x in names]
+    columns[0] = columns[0].view(np.uint64)
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
 
-        found = _sums(learned, transitions).where(F.col("n") >= max(2.0, FREQUENT * total)).toArrow()
-        keys, counts = found.column("key").to_numpy(), found.column("n").to_numpy().astype(np.float64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        tree.grow(keys, counts)
-    return tree, table
+
+def train(documents: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
+    """(the frequent part of the tree, the table (h, c) of all training words' counts)."""
+    model = learn(documents, depth)
+    words, counts = _sorted(model.table.where(F.col("c") >= max(1.0, FREQUENT * model.total)).toArrow(), "h", "c")
+    tree = Tree(model.total, model.kinds, words, counts.astype(np.float64))
+    below, word = words, np.arange(len(words))  # grams of the last length, and the index of the last word of each
+    packed = word.copy()
+    for level in model.levels:
+        share = F.coalesce((F.col("p") - (1 - F.col("weight")) * F.col("parent")) / F.col("weight"), F.lit(0.0)).alias("share")
+        frequent = level.where(F.col("n") >= model.frequent).select("h", "first", "last", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"), share)
+        h, first, last, size, weight, share = _sorted(frequent.toArrow(), "h", "first", "last", "size", "weight", "share")
+        lead, tail = find(below, first.view(np.uint64)), find(below, last.view(np.uint64))
+        leads, at = np.unique(lead, return_index=True)
+        order = np.argsort(packed[leads])
+        leads, at = leads[order], at[order]
+        place = np.zeros(len(below), np.int64)
+        place[leads] = np.arange(len(leads))
+        tree.contexts.append(packed[leads])
+        tree.sizes.append(size[at].astype(np.float64))
+        tree.weight.append(weight[at])
+        below, word, packed = h, word[tail], place[lead] << _WORD_BITS | word[tail]
+        order = np.argsort(packed)
+        tree.keys.append(packed[order])
+        tree.share.append(share[order])
+    return tree, model.table
 
 
 def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    tree, table = train(documents, depth)
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
+    model = learn(documents, depth)
+    added = additions(model)
+    hot_word = F.col("c").isNotNull() & (F.col("c") >= max(1.0, FREQUENT * model.total))
+    hot_gram = F.col("c").isNull() & (F.col("n") >= model.frequent)
+    words, counts, left = _sorted(added.where(hot_word).toArrow(), "h", "c", "v")
+    keys, gains = _sorted(added.where(hot_gram).toArrow(), "h", "v")
+    rest = added.where(~(hot_word | hot_gram))
+    seen = bitmap_of(rest.where("c is null"))
+    shared = documents.sparkSession.sparkContext.broadcast((words, np.log10(counts + 1.0), left, keys, gains, seen))
     ddl = "rid long,doc_id long,h long,m long,n_tokens long,n_known long,base double,score double"
+    length, unit = len(model.levels) + 1, float(np.log10(model.total + model.kinds + 1)) if model.total else 0.0
 
     def run(batches):
         schema = arrow_schema(ddl)
-        tree = shared.value
-        unit = np.log10(tree.total + tree.kinds + 1) if tree.total else 0.0
+        words, logs, left, keys, gains, seen = shared.value
         for batch in batches:
             for part in slices(batch):
                 rid = part.column(0).to_numpy()
                 rows = part.num_rows
                 value, row = tokens(part.column(2))
-                word, states = tree.states(value, row, depth)
+                word = find(words, value)
                 known = word >= 0
-                p = np.log10(tree.probability(depth, word, states))
-                base = np.zeros(len(value))
-                base[known] = np.log10(tree.root(word[known])) if tree.total else 0.0
-                base[~known] = -unit
-                p[~known] -= unit
-                sums = [pa.array(np.bincount(row, x, rows)) for x in (base, p if tree.total else base)]
+                base = np.full(len(value), -unit)
+                base[known] += logs[word[known]]
+                more = base.copy()
+                more[known] += left[word[known]]
+                asked = [(row[~known], value[~known], 1)]
+                for key, there in grams(value, row, length)[1:]:
+                    at = np.flatnonzero(there)
+                    hit = find(keys, key[at])
+                    more[at[hit >= 0]] += gains[hit[hit >= 0]]
+                    at = at[hit < 0]
+                    at = at[in_bitmap(seen, key[at])]
+                    asked.append((row[at], key[at], 2))
+                sums = [pa.array(np.bincount(row, x, rows)) for x in (base, more)]
                 ints = [pa.array(np.bincount(row, x, rows).astype(np.int64)) for x in (np.ones(len(row)), known.astype(float))]
                 # the document's own row; its h serves to deal it out
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(0), pa.array(np.zeros(rows, np.int64)), *ints, *sums], schema=schema)
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    none = pa.nulls(len(rare), pa.int64())
-                    zero = pa.array(np.zeros(len(rare), np.int64))
-                    real = pa.array(np.zeros(len(rare)))
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[row[rare]]), none, pa.array(value[rare].view(np.int64)), pa.array(np.ones(len(rare), np.int64)), zero, zero, real, real], schema=schema)
+                for r, h, m in asked:
+                    if len(r):
+                        zero, real = pa.array(np.zeros(len(r), np.int64)), pa.array(np.zeros(len(r)))
+                        yield pa.RecordBatch.from_arrays([pa.array(rid[r]), pa.nulls(len(r), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.full(len(r), m)), zero, zero, real, real], schema=schema)
 
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
-    rare = table.where(F.col("c") < max(1.0, FREQUENT * tree.total))
-    more = F.when(F.col("m") > 0, F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1)).otherwise(F.lit(0.0))
-    joined = rows.join(rare, "h", "left").withColumn("more", more).withColumn("seen", F.when((F.col("m") > 0) & F.col("c").isNotNull(), 1).otherwise(0))
+    is_word = F.col("m") == 1
+    joined = rows.join(rest.select("h", "c", "v"), "h", "left")
+    joined = joined.withColumn("more", F.when(is_word, F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(F.lit(0.0)))
+    joined = joined.withColumn("v", F.when(F.col("m") > 0, F.coalesce("v", F.lit(0.0))).otherwise(F.lit(0.0))).withColumn("seen", F.when(is_word & F.col("c").isNotNull(), 1).otherwise(0))
     out = joined.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum("seen")).alias("n_known"),
         F.sum(F.col("base") + F.col("more")).alias("base_score"),
-        F.sum(F.col("score") + F.col("more")).alias("score"),
+        F.sum(F.col("score") + F.col("more") + F.col("v")).alias("score"),
     )
     held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
