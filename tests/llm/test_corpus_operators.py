@@ -251,6 +251,25 @@ def test_page_edges(spark):
     assert html_blocks.extract(long).count("\n\n") == 19999
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        """<p title="it's">""",
+        """<p title='say "hi'>""",
+        """<p data-x=it's>""",
+        """<p data-x = "a > b" title="it's > that">""",
+        '<p data-x="' + "a > b, it's " * 1000 + '">',
+    ],
+)
+def test_quotes_in_attributes(tag):
+    """Quotes of the other kind inside a value, and values of any length, neither swallow text nor leak into it."""
+    assert html_blocks.extract(f"<article>{tag}Hello don't go</p><p>second</p></article>") == "Hello don't go\n\nsecond"
+
+
+def test_a_quote_that_never_closes_loses_no_text():
+    assert html_blocks.extract('<article><p title="open>Hello</p><p>second</p></article>') == "Hello\n\nsecond"
+
+
 # ---- pipeline
 
 

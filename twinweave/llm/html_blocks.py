@@ -40,6 +40,8 @@ _BAD = re.compile(
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|main|story\w*|body|text|prose|hentry|markdown)(?=$|[\s_-])")
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What moves on in a tag: its end, a quote that opens a value, or a value without quotes.
+_VALUE = re.compile(r""">|=[ \t\n\r\f]*(?:(["'])|[^ \t\n\r\f>"'][^ \t\n\r\f>]*)""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
 
@@ -168,16 +170,18 @@ def _count(parts: list[str]) -> int:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Index of the tag's closing bracket, outside quotes if these close; the page's end without one."""
-    end = page.find(">", at)
-    if end < 0:
-        return len(page)
-    while page.count('"', at, end) % 2 or page.count("'", at, end) % 2:
-        following = page.find(">", end + 1)
-        if following < 0 or following - at > 4096:
-            return page.find(">", at)
-        end = following
-    return end
+    """Index of the tag's closing bracket, outside quoted values if these close; the page's end without one."""
+    while m := _VALUE.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if m[1]:
+            end = page.find(m[1], at)
+            if end < 0:
+                end = page.find(">", at)
+                return len(page) if end < 0 else end
+            at = end + 1
+    return len(page)
 
 
 def _after(page: str, at: int, name: str) -> int:
