@@ -266,6 +266,23 @@ def test_quotes_in_attributes(tag):
     assert html_blocks.extract(f"<article>{tag}Hello don't go</p><p>second</p></article>") == "Hello don't go\n\nsecond"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><body><article><p>one</p><p>two</p></article>",
+        "<html><head><title>t</title><meta charset=x><article><p>one</p><p>two</p></article>",
+        "<html><head><title>t</title><noscript><style>x{}</style><body><article><p>one</p><p>two</p></article>",
+        *(f"<article><div><{x}>gone</div><p>one</p><p>two</p></article>" for x in ("noscript", "svg", "select", "button", "object", "canvas", "audio", "video", "iframe", "template")),
+        "<article><p>one</p><svg><path d='M0'><text>gone</text><p>two</p></article>",
+        "<article><p>one</p><svg><foreignObject><p>gone</p></foreignObject></svg><p>two</p></article>",
+        "<article><p>one</p><noscript><p>gone</p><noscript>gone</noscript></noscript><script>'</p>'</script><p>two</p></article>",
+        "<article><p>one</p><video><source src=x><p>gone</video><p>two</p></article>",
+    ],
+)
+def test_unclosed_silent_elements_end_with_their_parent(page):
+    assert html_blocks.extract(page) == "one\n\ntwo"
+
+
 def test_a_quote_that_never_closes_loses_no_text():
     assert html_blocks.extract('<article><p title="open>Hello</p><p>second</p></article>') == "Hello\n\nsecond"
 

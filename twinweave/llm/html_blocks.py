@@ -6,7 +6,7 @@ markup says about its place. A decision tree (Gini splits), trained on the small
 decides which blocks are main text; these are joined by a blank line.
 
 Defined results: null and empty pages, and pages without main blocks, give an empty text; unclosed tags end
-with their page; a ``<`` that starts no tag is text; character references are decoded once; white space of
+with their page, unclosed silent elements with their parent; a ``<`` that starts no tag is text; character references are decoded once; white space of
 any kind inside a block is one space; blocks of any number and length are kept. Repeated pages are
 extracted alike.
 """
@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 
 from twinweave.llm.common import map_rows
 
-#: Elements whose content is never text.
-_SILENT = frozenset("script style noscript template iframe object svg math head title select textarea button canvas audio video".split())
+#: Elements whose content is never text; the first hold no tags but their own end.
+_RAW = frozenset("script style title textarea".split())
+_SILENT = _RAW | frozenset("noscript template iframe object svg math select button canvas audio video".split())
+#: Tags that end an open drawing or formula, unless they stand in an element that may hold them.
+_BREAKOUT = frozenset("article main section div nav header footer aside ul ol dl li table blockquote body center p pre h1 h2 h3 h4 h5 h6".split())
+_FOREIGN_HOLDERS = frozenset("foreignobject annotation-xml desc".split())
 #: Elements that stay inside a block.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold anything.
@@ -72,8 +76,15 @@ def blocks(page: str | None) -> list[Block]:
     link_from = 0
     kind = ""  # the block-level element that opened the block
     opener_bad = 0  # whether that is marked as boilerplate
+    elements: list[str] = []  # all open ones
+    depth: dict[str, int] = {}  # how many of a name are open
+    silent = -1  # place in elements of the outermost silent one
     at, n = 0, len(page)
 
+    def leave(size: int) -> None:
+        while len(elements) > size:
+            depth[elements.pop()] -= 1
+
     def close() -> None:
         nonlocal parts, link_words, link_from
         if parts:
@@ -94,9 +105,10 @@ def blocks(page: str | None) -> list[Block]:
     while at < n:
         open_at = page.find("<", at)
         if open_at < 0:
-            parts.append(page[at:])
+            if silent < 0:
+                parts.append(page[at:])
             break
-        if open_at > at:
+        if open_at > at and silent < 0:
             parts.append(page[at:open_at])
         if page.startswith("<!--", open_at):
             end = page.find("-->", open_at + 4)
@@ -108,7 +120,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         m = _NAME.match(page, open_at + 1)
         if not m:
-            parts.append("<")
+            if silent < 0:
+                parts.append("<")
             at = open_at + 1
             continue
         name = m[1].lower()
@@ -116,9 +129,38 @@ def blocks(page: str | None) -> list[Block]:
         inside = page[m.end() : end]
         at = end + 1
         closing = page[open_at + 1] == "/"
+        if closing:
+            own = False
+            if depth.get(name):
+                size = len(elements) - 1
+                while elements[size] != name:
+                    size -= 1
+                own = size == silent
+                leave(size)
+                if size <= silent:
+                    silent = -1
+            if own or silent >= 0:
+                continue
+        elif silent >= 0:
+            held = elements[silent]
+            if name == "body" or (held == name and name in ("button", "select")) or (held in ("svg", "math") and name in _BREAKOUT and not _FOREIGN_HOLDERS.intersection(elements[silent:])):
+                leave(silent)
+                silent = -1
+        if not closing:
+            bare = inside.endswith("/")
+            if name in _RAW:
+                if not bare:
+                    at = _after(page, at, name)
+            elif name not in _VOID and not bare:
+                if elements and elements[-1] == "p" and name not in _INLINE and name not in _SILENT:
+                    leave(len(elements) - 1)
+                elements.append(name)
+                depth[name] = depth.get(name, 0) + 1
+            if silent >= 0:
+                continue
         if name in _SILENT and not closing:
-            if not inside.endswith("/"):
-                at = _after(page, at, name)
+            if name not in _RAW and not bare:
+                silent = len(elements) - 1
             if name not in ("button", "select", "textarea", "svg", "math"):
                 close()
             else:
@@ -185,7 +227,7 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def _after(page: str, at: int, name: str) -> int:
-    """Where the content of a silent element has ended."""
+    """Where the content of a raw element has ended."""
     found = _silent_end(name).search(page, at)
     if not found:
         return len(page)
