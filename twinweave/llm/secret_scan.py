@@ -2,14 +2,14 @@
 
 Two first-order character models, one of random key material and one of ordinary identifiers, are trained
 from labelled samples made here by rule: seeded random strings of common key formats, and identifiers
-composed from a short word table. A candidate (a run of 20 or more key characters holding a digit) is a
-secret if its log-likelihood ratio per character exceeds a cutoff chosen on held-out samples: midway
+composed from a short word table. A candidate (a run of MIN_LENGTH or more key characters, with or without a
+digit, or what spans of the fixed rules leave of one) is a secret if its log-likelihood ratio per character exceeds a cutoff chosen on held-out samples: midway
 between the highest ordinary and the lowest random score, or the highest ordinary score if they overlap.
 Three fixed rules (assignments, access keys, long hex runs) are kept beside it.
 
 Defined results: null and empty texts have no spans; positions are code points, end exclusive; repeated
-rows give repeated results; a text of any length is scanned whole in one pass. Method spans that touch a
-span of a fixed rule are left to that rule.
+rows give repeated results; a text of any length is scanned whole in one pass. What spans of
+the fixed rules leave of a run is scored for itself.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import math
 import random
 import re
 from functools import cache
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,9 +36,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_IN_KEY = frozenset(_KEY_CHARS)
-_DIGIT = re.compile("[0-9]")
-MIN_LENGTH = 20
+MIN_LENGTH = 16
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
 
 #: Words that ordinary identifiers are composed of.
 _WORDS = """
@@ -54,18 +54,35 @@ policy position prefix price process product profile project property provider q
 register release report request resource response result return route sample schema screen script search
 """.split()
 
+#: Parts that long words of common languages are composed of.
+_SYLLABLES = """
+schaft schiff fahrt heit keit ung gesell wirt verwalt versicher geschwind arbeit zeug pflicht bund recht kraft straft
+dampf donau haupt stadt mann auf aus vor nach ent ver zer ge be er an ein schutz werk zentral richt linie mensch
+tion ment able ible ness less ship ward anti inter trans counter under over dis un re con com pro sub super hyper
+tele photo graph logy ance ence ive ous ful ist ism ity ize ing ed ly er est th ch sh wh qu ough eigh tch dge
+eau oux ille elle ette aux eux ais ait ant ent que quoi auj ourd hui plus jour nous vous leur sans chez
+cion dad mente ando iendo los las ella este esto para por donde cuando mucho tiempo pueblo llev hacer zione
+zzare mento issimo ghi che gli della nella quest ogn perch azioni ijk heid lijk oor aan uit voor naar een het
+fram varde lig het skap ning else rne ene och att som ska szcz owa nie prze czy sk ego ych ami dla jest
+""".split()
+
 
 def labelled_samples(seed: int = 7, each: int = 4000) -> list[tuple[str, int]]:
     """(string, 1 for random key material or 0 for an ordinary identifier); the same for every run."""
     rng = random.Random(seed)
-    alphabets = (_KEY_CHARS[:62], _KEY_CHARS[:64], "0123456789abcdef", _KEY_CHARS[26:62], _KEY_CHARS[:26] + _KEY_CHARS[52:62])
-    out = [("".join(rng.choices(a, k=rng.randrange(20, 65))), 1) for _ in range(each // len(alphabets)) for a in alphabets]
+    alphabets = (_KEY_CHARS[:62], _KEY_CHARS[:64], "0123456789abcdef", _KEY_CHARS[26:62], _KEY_CHARS[:26] + _KEY_CHARS[52:62], _KEY_CHARS[:52])
+    out = [("".join(rng.choices(a, k=rng.randrange(MIN_LENGTH, 65))), 1) for _ in range(each // len(alphabets)) for a in alphabets]
     for _ in range(each):
         parts = [rng.choice(_WORDS) for _ in range(rng.randrange(3, 7))]
         if rng.random() < 0.4:
             parts.insert(rng.randrange(1, len(parts) + 1), str(rng.choice((1, 2, 3, 10, 64, 256, 2024, rng.randrange(1990, 2030), rng.randrange(100000)))))
         style = rng.randrange(5)
         out.append((("_".join(parts), "-".join(parts), parts[0] + "".join(p.title() for p in parts[1:]), "_".join(parts).upper(), "/".join(parts))[style], 0))
+    for _ in range(each):
+        word = "".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(4, 11)))
+        out.append(((word, word.title(), word.upper())[min(rng.randrange(8), 2) if rng.random() < 0.5 else 0], 0))
+    # drawn lines
+    out += [((a + b) * k, 0) for a in "+/_=-" for b in "+/_=-" if a != b for k in range(8, 28)]
     return [x for x in out if len(x[0]) >= MIN_LENGTH]
 
 
@@ -92,10 +109,11 @@ class MarkovPair:
 
     def score(self, text: str) -> float:
         ratio = self.ratio
-        return (ratio[text[0]] + sum([ratio[text[i : i + 2]] for i in range(len(text) - 1)])) / len(text)
+        # a repeated character says nothing: fillers are not random
+        return (ratio[text[0]] + sum([ratio[a + b] for a, b in pairwise(text) if a != b])) / len(text)
 
     def is_random(self, text: str) -> bool:
-        return self.score(text) > self.cutoff
+        return len(set(text)) > 3 and self.score(text) > self.cutoff
 
 
 @cache
@@ -103,18 +121,22 @@ def default_model() -> MarkovPair:
     return MarkovPair(labelled_samples())
 
 
-def candidates(text: str):
-    """(start, end) of maximal runs of key characters that are long enough and hold a digit."""
-    at, n = 0, len(text)
-    while m := _DIGIT.search(text, at):
-        start = end = m.start()
-        while start > 0 and text[start - 1] in _IN_KEY:
-            start -= 1
-        while end < n and text[end] in _IN_KEY:
-            end += 1
-        if end - start >= MIN_LENGTH:
-            yield start, end
-        at = end
+def candidates(text: str, taken: list[tuple[str, int, int]] = ()):
+    """(start, end) of what the taken spans leave of the runs of key characters, where that is long enough."""
+    spans = sorted((x, y) for _, x, y in taken)
+    first = 0
+    for m in _RUN.finditer(text):
+        at, end = m.span()
+        while first < len(spans) and spans[first][1] <= at:
+            first += 1
+        for x, y in spans[first:]:
+            if x >= end:
+                break
+            if x - at >= MIN_LENGTH:
+                yield at, x
+            at = max(at, y)
+        if end - at >= MIN_LENGTH:
+            yield at, end
 
 
 def find(text: str | None, model: MarkovPair | None = None) -> list[tuple[str, int, int]]:
@@ -126,15 +148,9 @@ def find(text: str | None, model: MarkovPair | None = None) -> list[tuple[str, i
         out += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
-    if not _DIGIT.search(text):
-        out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)] if len(text) >= 32 and _HEX.search(text) else []
-        return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    base = list(out)
     model = model or default_model()
-    for s, e in candidates(text):
-        if not any(s < y and x < e for _, x, y in base) and model.is_random(text[s:e]):
-            out.append(("markov", s, e))
+    out += [("markov", s, e) for s, e in list(candidates(text, out)) if model.is_random(text[s:e])]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
