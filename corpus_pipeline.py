@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from twinweave.llm import bpe, jaccard_join, mixing, quality_model, secret_scan
 from twinweave.llm.common import materialise, table
 from twinweave.llm.queries import BPE_VOCABULARY
+from twinweave.llm.shingles import Measure
 from twinweave.workers import reachable
 
+#: Near copies share four fifths of their five-word shingles.
+STAGE_MEASURE = Measure(width=5, num=80)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
@@ -24,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, STAGE_MEASURE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,38 @@ def test_components(spark):
     assert dict(components(edges).collect()) == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
 
 
+def five_word_groups(texts):
+    """The smallest index of each text's group: 5-word shingles, Jaccard 0.8."""
+    sets = []
+    for t in texts:
+        w = lower_words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 80 * len(a | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return sets, root
+
+
+def test_stage_joins_by_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:30], "new", *base[31:]]  # 51 of 61 shingles, 0.836; of four words 53 of 61
+    nearer = [*base[:-6], *(f"v{i}" for i in range(6))]  # 50 of 62, 0.806; of four words 51 of 63, 0.810
+    texts = [*near_copies(3), " ".join(base), " ".join(near), " ".join(nearer)]
+    sets, root = five_word_groups(texts)
+    assert root[-1] == root[-2] == root[-3] == len(texts) - 3
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, corpus_pipeline.STAGE_MEASURE).collect()}
+    assert got == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, root, strict=True))}
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, r in enumerate(root) if r == i or not sets[i])
+    # the query's own measure stays
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()} == brute_force(texts)
+
+
 # ---- suffix tree
 
 

@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by PartEnum signatures (operator 10).
 
-Documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.85 are linked; the result
-gives every document the smallest id that links reach. The steps:
+Documents whose sets of word shingles have a Jaccard similarity of at least a limit are linked (4 words and
+0.85 if no other ``Measure`` is given); the result gives every document the smallest id that links reach.
+The steps:
 
 1. Every text's set gets a fingerprint (two 64-bit sums) and a sketch (counts of hashes over 256 ranges).
    Equal sets form a class, represented by its smallest id; only classes are joined.
@@ -20,7 +21,7 @@ and small shuffles of candidates. Sets are rebuilt for candidates alone; a bitma
 keeps most other documents out of that step. Nothing but that bitmap and round sums reaches the driver.
 
 Defined results: null, empty and blank texts have n_shingles 0 and are linked with nothing (component_id is
-the own doc_id); texts of one to three words have one shingle, the whole sequence; rows that share a doc_id
+the own doc_id); texts of fewer words than a shingle have one, the whole sequence; rows that share a doc_id
 count as one document, which has all their links; a null doc_id gets the component of its equal sets, or
 null; the order of rows does not matter.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from twinweave.llm.common import arrow_schema, materialise, slices, text_bytes
 from twinweave.llm.components import components
-from twinweave.llm.shingles import DEN, NUM, fingerprints, linked, sets_of, signatures
+from twinweave.llm.shingles import DEFAULT, Measure, fingerprints, linked, sets_of, signatures
 
 CELLS = 256
 BLOCK = 512
@@ -52,7 +53,7 @@ def sketches(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)
 
 
-def profile(documents: DataFrame) -> DataFrame:
+def profile(documents: DataFrame, measure: Measure = DEFAULT) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, sketch) of every text."""
     ddl = "doc_id long,n_shingles long,f1 long,f2 long,sketch binary"
 
@@ -60,7 +61,7 @@ def profile(documents: DataFrame) -> DataFrame:
         schema = arrow_schema(ddl)
         for batch in batches:
             for part in slices(batch):
-                value, at = sets_of(*text_bytes(part.column(1)))
+                value, at = sets_of(*text_bytes(part.column(1)), measure.width)
                 f1, f2 = fingerprints(value, at)
                 sketch = sketches(value, at)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary())], schema=schema)
@@ -68,7 +69,7 @@ def profile(documents: DataFrame) -> DataFrame:
     return _texts(documents).mapInArrow(run, ddl)
 
 
-def signature_rows(documents: DataFrame) -> DataFrame:
+def signature_rows(documents: DataFrame, measure: Measure = DEFAULT) -> DataFrame:
     """(sig, doc_id) of the sets of all texts; of equal sets in a task, of the first alone."""
     ddl = "sig long,doc_id long"
 
@@ -77,14 +78,14 @@ def signature_rows(documents: DataFrame) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch):
-                value, at = sets_of(*text_bytes(part.column(1)))
+                value, at = sets_of(*text_bytes(part.column(1)), measure.width)
                 f1, f2 = fingerprints(value, at)
                 fresh = np.zeros(part.num_rows, bool)
                 for i, key in enumerate(zip(f1.tolist(), f2.tolist(), strict=True)):
                     if key not in seen:
                         seen.add(key)
                         fresh[i] = True
-                row, sig = signatures(value, at)
+                row, sig = signatures(value, at, measure)
                 kept = fresh[row]
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[kept].view(np.int64)), pa.array(ids[row[kept]].astype(np.int64))], schema=schema)
@@ -92,12 +93,7 @@ def signature_rows(documents: DataFrame) -> DataFrame:
     return _texts(documents).where("doc_id is not null").mapInArrow(run, ddl)
 
 
-def _may_link(size_a, size_b, distance):
-    """Whether sets of these sizes can link if they differ in at least ``distance`` elements."""
-    return (DEN + NUM) * distance <= (DEN - NUM) * (size_a + size_b)
-
-
-def _sketch_filter(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+def _sketch_filter(pairs: DataFrame, profiles: DataFrame, measure: Measure) -> DataFrame:
     """Those of the pairs (a, b) whose sketches allow a link."""
     side = lambda k: profiles.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
 
@@ -108,14 +104,14 @@ def _sketch_filter(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
                 continue
             x = np.frombuffer(b"".join(sa.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
             y = np.frombuffer(b"".join(sb.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-            near = _may_link(na.to_numpy(), nb.to_numpy(), np.abs(x - y).sum(axis=1, dtype=np.int64))
+            near = measure.may_link(na.to_numpy(), nb.to_numpy(), np.abs(x - y).sum(axis=1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(near))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     return joined.mapInArrow(run, "a long,b long")
 
 
-def _sets_for(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets_for(documents: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """(node, set) of the documents among ``nodes``: hashes as bytes."""
     spark = documents.sparkSession
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
@@ -131,17 +127,17 @@ def _sets_for(documents: DataFrame, nodes: DataFrame) -> DataFrame:
             p = batch.column(2).to_numpy(zero_copy_only=False)
             hit = (bitmap.value[p >> 6] >> (p & 63)) & 1
             for part in slices(batch.filter(pa.array(hit.astype(bool)))):
-                value, at = sets_of(*text_bytes(part.column(1)))
+                value, at = sets_of(*text_bytes(part.column(1)), measure.width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([value[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], schema=schema)
 
     sets = _texts(documents).where("doc_id is not null").withColumn("p", place).mapInArrow(run, "doc_id long,set binary")
     return sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, documents: DataFrame, measure: Measure) -> DataFrame:
     """The linked ones of the pairs (a, b), by exact intersection of their sets."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(_sets_for(documents, nodes), "sets")
+    sets = materialise(_sets_for(documents, nodes, measure), "sets")
 
     def run(batches):
         for batch in batches:
@@ -149,14 +145,14 @@ def _verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             keep = []
             for i in range(len(a)):
                 left, right = np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)
-                keep.append(linked(len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))))
+                keep.append(linked(len(left), len(right), len(np.intersect1d(left, right, assume_unique=True)), measure))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long,b long")
 
 
-def _across(members: DataFrame, profiles: DataFrame) -> DataFrame:
+def _across(members: DataFrame, profiles: DataFrame, measure: Measure) -> DataFrame:
     """Pairs (a, b) of different components in a bucket whose sketches allow a link.
 
     ``members`` is (sig, node, component). In a bucket all but the largest component's members (the few) meet
@@ -185,7 +181,7 @@ def _across(members: DataFrame, profiles: DataFrame) -> DataFrame:
             # two of the few meet in the block that is home to the larger one alone
             near = near[~few[near] | (node[near] > node[i])]
             if len(near):
-                hit = near[_may_link(size[near], size[i], np.abs(s[near] - s[i]).sum(axis=1, dtype=np.int64))]
+                hit = near[measure.may_link(size[near], size[i], np.abs(s[near] - s[i]).sum(axis=1, dtype=np.int64))]
                 out_a.append(np.full(len(hit), node[i]))
                 out_b.append(node[hit])
         if not out_a:
@@ -217,9 +213,9 @@ def _across(members: DataFrame, profiles: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "a long,b long").distinct()
 
 
-def join(documents: DataFrame) -> DataFrame:
+def join(documents: DataFrame, measure: Measure = DEFAULT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    made = materialise(profile(documents), "profile")
+    made = materialise(profile(documents, measure), "profile")
     classes = made.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
     classes = materialise(classes.where("node is not null").withColumnRenamed("n_shingles", "n"), "classes")
     node_of = materialise(made.where("doc_id is not null and n_shingles > 0").join(classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "node"), ["n_shingles", "f1", "f2"]).select("doc_id", "node").distinct(), "nodes")
@@ -229,16 +225,16 @@ def join(documents: DataFrame) -> DataFrame:
     same_id = node_of.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     profiles = classes.select("node", "n", "sketch")
 
-    shared = signature_rows(documents).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("k > 1").select("sig", "doc_id")
+    shared = signature_rows(documents, measure).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("k > 1").select("sig", "doc_id")
     members = shared.join(node_of, "doc_id").select("sig", "node").repartition("sig").dropDuplicates(["sig", "node"])
     members = members.withColumn("low", F.min("node").over(Window.partitionBy("sig"))).withColumn("high", F.max("node").over(Window.partitionBy("sig"))).where("low < high").select("sig", "node", "low")
     members = materialise(members, "members")
 
     star = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_verify(materialise(_sketch_filter(star, profiles), "star"), documents), "links")
+    links = materialise(_verify(materialise(_sketch_filter(star, profiles, measure), "star"), documents, measure), "links")
     first = components(links.union(same_id))
     placed = members.select("sig", "node").join(first, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    more = materialise(_verify(materialise(_across(placed, profiles), "across"), documents), "links")
+    more = materialise(_verify(materialise(_across(placed, profiles, measure), "across"), documents, measure), "links")
     reached = components(links.union(more).union(same_id))
 
     final = classes.select(F.col("n").alias("n_shingles"), "f1", "f2", "node").join(reached, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
@@ -246,13 +242,13 @@ def join(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, measure: Measure = DEFAULT) -> DataFrame:
     """One document of each group, that with the smallest id; documents without a set and rows without an id stay.
 
     Rows of one id are one document. Ids to drop and ids of several rows are marked in a bitmap of fixed size,
     joined by broadcast; only documents that hit it are shuffled for the exact test.
     """
-    joined = materialise(join(documents), "joined")
+    joined = materialise(join(documents, measure), "joined")
     kept = joined.where("n_shingles = 0 or component_id = doc_id").select("doc_id").distinct()
     unsure = joined.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("n_shingles") > 0).alias("s"), F.min("component_id").alias("c")).where("k > 1 or (s and c <> doc_id)")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP_BITS))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 import numpy as np
 
 from twinweave.llm.common import lower_ascii, mix64, span_hashes, word_bounds
@@ -47,35 +50,52 @@ def fingerprints(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def band_ends(limit: int = 1 << 40) -> np.ndarray:
+def band_ends(limit: int = 1 << 40, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Largest size of every size band; sets that can link lie in one band or in neighbours."""
     ends, low = [], 1
     while low < limit:
-        ends.append(low * DEN // NUM)
+        ends.append(low * den // num)
         low = ends[-1] + 1
     return np.array(ends, np.int64)
 
 
-_ENDS = band_ends()
+@dataclass(frozen=True)
+class Measure:
+    """What is compared, and from where on it is linked: words of a shingle, and the similarity num / den."""
+
+    width: int = WIDTH
+    num: int = NUM
+    den: int = DEN
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return band_ends(num=self.num, den=self.den)
+
+    def may_link(self, size_a, size_b, distance):
+        """Whether sets of these sizes can link if they differ in at least ``distance`` elements."""
+        return (self.den + self.num) * distance <= (self.den - self.num) * (size_a + size_b)
+
+
+DEFAULT = Measure()
 
 
-def signatures(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(value: np.ndarray, at: np.ndarray, measure: Measure = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of all sets.
 
     Instance j of the scheme serves pairs whose larger band is j, so a set of band b takes part in b and
-    b + 1. Linked sets of at most r elements differ in at most k = 2 r (DEN - NUM) / (DEN + NUM) elements.
+    b + 1. Linked sets of at most r elements differ in at most k = 2 r (den - num) / (den + num) elements.
     The hash domain is cut into k // 2 + 1 parts, so that some part holds at most one difference, and each
     part into three; of the three, two are then equal, and the signature is one of the three unions of two.
     """
     size = np.diff(at)
-    band = np.searchsorted(_ENDS, size)
+    band = np.searchsorted(measure.ends, size)
     rows_out, sig_out = [], []
     spread = mix64(value ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     high = value >> np.uint64(32)
     owner = np.repeat(np.arange(len(size)), size)
     for step in (0, 1):
         j = band + step
-        k = 2 * _ENDS[j] * (DEN - NUM) // (DEN + NUM)
+        k = 2 * measure.ends[j] * (measure.den - measure.num) // (measure.den + measure.num)
         parts = np.where((size > 0) & (k > 0), k // 2 + 1, 0)
         cells = 3 * parts
         first = np.concatenate([[0], np.cumsum(cells)])
@@ -94,5 +114,5 @@ def signatures(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows_out), np.concatenate(sig_out)
 
 
-def linked(x: int, y: int, both: int) -> bool:
-    return DEN * both >= NUM * (x + y - both) and both > 0
+def linked(x: int, y: int, both: int, measure: Measure = DEFAULT) -> bool:
+    return measure.den * both >= measure.num * (x + y - both) and both > 0
