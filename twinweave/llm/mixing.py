@@ -4,8 +4,9 @@ Every document of a source waits in a queue whose order is a shuffle by hash; a
 times over. A document's virtual finish time is the words of its source up to and with it, divided by the
 source's target. The mix is the stream of all documents and rounds, range-sorted by virtual finish time and written.
 Sources are served side by side in proportion to their targets, so by virtual time v the mix has grown to v
-times the sum of the targets; it is truncated where that reaches the total budget, and the one document of
-each source that is in service then is cut there.
+times the sum of the targets. The cut is taken for each source, at the virtual time at which that reaches the
+total budget: the one document of each source that is in service then is cut there. The order of the written
+stream has no part in it.
 
 Targets: weights repeat over the sources in code point order (null last); no target exceeds ``repeats``
 times its source's size, and what that leaves over is shared again by weight.
