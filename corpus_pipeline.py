@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from twinweave.llm import bpe, jaccard_join, mixing, quality_model, secret_scan
-from twinweave.llm.common import materialise, table
+from twinweave.llm.common import table
 from twinweave.llm.queries import BPE_VOCABULARY
 from twinweave.llm.shingles import Measure
+from twinweave.operators.checkpoints import discard, materialise
 from twinweave.workers import reachable
 
 #: Near copies share four fifths of their five-word shingles.
@@ -56,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        made = materialise(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = made
     return docs

@@ -1,10 +1,56 @@
-"""Tables in the shared checkpoint folder: they cut lineage and outlive executors."""
+"""Tables in the shared checkpoint folder: they cut lineage and outlive executors.
+
+A written table needs no shuffle files any more, so those of its write are removed at its end. A table that
+nothing will read again is removed by ``discard``; what a returned frame reads must stay.
+"""
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+LOCAL_DEFAULT = "/tmp/twinweave-checkpoints"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names; without one, a default on local masters and an error on others."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_DEFAULT
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-from pyspark.sql import Column, DataFrame, Observation
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside remove their shuffle files when they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write once, read back."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
 
 
 def materialise_with(df: DataFrame, name: str, figure: Column):
@@ -14,13 +60,11 @@ def materialise_with(df: DataFrame, name: str, figure: Column):
     return made, seen.get["figure"]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back. The folder is spark.checkpoint.dir; where none is set, a local default serves tests."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "/tmp/twinweave-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more; frames that were not written here, and removed ones, are passed over."""
+    for table in tables:
+        path = table.__dict__.pop("written_to", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -5,31 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.operators.checkpoints import materialise, materialise_with
-
-MAX_ROUNDS = 64
+from twinweave.operators.checkpoints import discard, materialise, materialise_with
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(item_idx, component_id) for every endpoint of the pairs (i, j); the id is the component's least item.
 
     Rounds of least labels among neighbours and of labels' own labels; each round is a written table, and
-    ends are known by the sum of all labels, the only figure that the driver sees.
+    ends are known by the sum of all labels, the only figure that the driver sees. The pairs are read once.
+    The rounds end by themselves: labels are whole numbers that only fall, and a round that lowers none is
+    the last.
     """
-    both = pairs.select(F.col("i").alias("u"), F.col("j").alias("v"))
-    both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), "arcs")
+    ends = F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v"))))
+    arcs = materialise(pairs.select(ends.alias("e")).select("e.u", "e.v"), "arcs")
     figure = F.sum(F.col("label").cast("decimal(38,0)"))
-    labels, total = materialise_with(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "labels", figure)
-    for _ in range(MAX_ROUNDS):
-        if total is None:
-            break
-        least = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("least"))
+    labels, total = materialise_with(arcs.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "labels", figure)
+    before = None
+    while total is not None and total != before:
+        least = arcs.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("least"))
         lower = labels.join(least, "u").select("u", F.least("label", "least").alias("label"))
         up = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
-        before = total
+        before, old = total, labels
         labels, total = materialise_with(lower.join(up, "label", "left").select("u", F.least("label", F.coalesce("above", "label")).alias("label")), "labels", figure)
-        if total == before:
-            break
-    else:
-        raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
+        discard(old)
+    discard(arcs)
     return labels.select(F.col("u").alias("item_idx"), F.col("label").alias("component_id"))
