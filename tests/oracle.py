@@ -4,12 +4,13 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or value is pd.NaT or isinstance(value, float) and math.isnan(value):
         return None
     if isinstance(value, (np.bool_, bool)):
         return bool(value)
