@@ -70,8 +70,34 @@ def test_literal_restatement_on_ties():
 
 
 def test_mean_similarity():
-    assert mean_similarity(matrix(1), [0]) == 1.0
-    assert mean_similarity(matrix(3, s01=0.9, s02=0.8, s12=0.5), [0, 1, 2]) == pytest.approx(2.2 / 3)
+    assert mean_similarity(np.ones((1, 2), np.float32)) == 1.0
+    assert mean_similarity(np.array([[1, 0], [0, 1], [1, 1]], np.float32)) == pytest.approx(2 * 0.5**0.5 / 3)
+
+
+def cosines(vectors):
+    """The exact matrix, pair by pair."""
+    n = len(vectors)
+    return np.array([[1.0 if i == j else similarity.exact_cosines(vectors[[min(i, j)]], vectors[[max(i, j)]])[0] for j in range(n)] for i in range(n)])
+
+
+@pytest.mark.parametrize("constrained", [False, True])
+def test_clusters_of_vectors_follow_the_literal_rules(constrained):
+    rng = np.random.default_rng(8)
+    for k in range(40):
+        n = int(rng.integers(2, 30))
+        vectors = rng.normal(size=(n, 3)).astype(np.float32)
+        vectors[rng.integers(0, n, n // 3)] = vectors[0] * np.float32(2)  # copies
+        sources = rng.integers(0, 5, n).tolist()
+        t = float(rng.choice([0.3, 0.6, 0.9, 0.999]))
+        got = clustering.cluster_vectors(vectors, sources if constrained else None, t)
+        assert got == literal(cosines(vectors), sources if constrained else list(range(n)), t), (k, n, t)
+
+
+def test_many_copies_and_a_large_component():
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 1500, axis=0), rng.normal(size=(500, 16))]).astype(np.float32)
+    found = clustering.cluster_vectors(vectors, None, 0.9)
+    assert found[0][:1500] == list(range(1500)) and sorted(i for m in found for i in m) == list(range(2000))
 
 
 def _items(spark, vectors, sources=None):
@@ -100,7 +126,7 @@ def test_clusters_cover_every_item_once_and_respect_sources(spark):
         assert len({sources[m["item_idx"]] for m in members}) == len(members)
         assert min(m["item_idx"] for m in members) == slot
         assert sorted(m["member_pos"] for m in members) == list(range(len(members)))
-    sims = clustering.similarity_matrix(np.array(vectors, np.float32))
+    sims = cosines(np.array(vectors, np.float32))
     same = np.array(sources)
     sims[(same[:, None] == same[None, :]) & ~np.eye(50, dtype=bool)] = 0
     whole = literal(sims, sources, 0.6)

@@ -1,82 +1,185 @@
 """Average-linkage clusters with a source rule, exact to the tie.
 
 A merge needs a pair of items at the threshold or above, so clusters lie inside the components of the graph
-of such pairs; each component is clustered on its own, by the sequential rules, in one task. Means are kept
-between merges and made anew only for the merged cluster, summed in member order, so that ties fall as they
-would if everything were recomputed.
+of such pairs; each component is clustered on its own, by the sequential rules, in one task. That task keeps one
+matrix of mean similarities and the best partner of each row, so a merge costs a row, not the matrix. The
+matrix is near (a matrix product, then weighted means); whoever may be the next best pair is computed exactly, in
+member order, before it is compared, so ties fall as they would if everything were recomputed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.functions.vectors import has_features
-from twinweave.operators.graph import components
 from twinweave.operators.checkpoints import materialise
-from twinweave.operators.similarity import exact_cosines, similar_pairs
+from twinweave.operators.graph import components
+from twinweave.operators.similarity import exact_cosines, magnitudes, similar_pairs
 
-#: Items of a component that one task clusters; beyond it the threshold is too low for this many items.
+#: Items of a component that one task clusters (9 bytes for each pair of them); beyond it the threshold is too low for this many items.
 LARGEST_COMPONENT = 12_000
+#: What a near mean may be off by, several times over.
+MARGIN = 1e-6
 _BUCKET = 14
 
 
-def similarity_matrix(vectors: np.ndarray) -> np.ndarray:
-    """Symmetric exact cosines with ones on the diagonal."""
-    n = len(vectors)
-    out = np.ones((n, n))
-    for i in range(n - 1):
-        row = exact_cosines(np.broadcast_to(vectors[i], (n - i - 1, vectors.shape[1])), vectors[i + 1 :])
-        out[i, i + 1 :] = out[i + 1 :, i] = row
-    return out
+def near_similarities(vectors: np.ndarray) -> np.ndarray:
+    """Symmetric cosines by a matrix product; 0 for zero vectors."""
+    size = magnitudes(vectors)
+    unit = vectors.astype(np.float64) / np.where(size == 0, 1.0, size)[:, None]
+    return unit @ unit.T
+
+
+def exact_means(vectors: np.ndarray, weights: np.ndarray) -> Callable[[list[int], list[list[int]]], np.ndarray]:
+    """A function of a cluster and others: its mean cosine with each of these, over members in order; a vector counts as often as its weight says."""
+
+    def means(one: list[int], others: list[list[int]]) -> np.ndarray:
+        if len(one) == 1 and all(len(x) == 1 for x in others):
+            return exact_cosines(vectors[one], vectors[[x[0] for x in others]])
+        out = []
+        for x in others:
+            times = np.outer(weights[one], weights[x]).reshape(-1)
+            sims = exact_cosines(np.repeat(vectors[one], len(x), axis=0), np.tile(vectors[x], (len(one), 1)))
+            out.append(np.cumsum(sims * times)[-1] / times.sum())
+        return np.array(out)
+
+    return means
+
 
+def cluster_matrix(sims: np.ndarray, sources: list[set] | list | None, threshold: float, exact: Callable | None = None, weights: np.ndarray | None = None) -> list[list[int]]:
+    """Member lists in slot order; members in the order in which they were merged.
 
-def cluster_matrix(sims: np.ndarray, sources: list, threshold: float) -> list[list[int]]:
-    """Member lists in slot order; members in the order in which they were merged."""
+    ``sims`` is a symmetric matrix of similarities. With ``exact``, a function that makes exact means, it need only
+    be near, and is used up. Rows that share a source are never merged; without sources, any may be.
+    """
     n = len(sims)
     members: list[list[int]] = [[i] for i in range(n)]
-    held = [{s} for s in sources]
-    means = np.full((n, n), -np.inf)
-    for i in range(n - 1):
-        for j in range(i + 1, n):
-            if not held[i] & held[j] and not np.isnan(sims[i, j]):
-                means[i, j] = sims[i, j]
-    while n > 1:
-        at = int(np.argmax(means))  # the first of equals, in order of slots
-        i, j = divmod(at, n)
-        best = means[i, j]
-        if not best > -1.0 or best < threshold:
+    if n < 2:
+        return members
+    near = sims if exact else sims.copy()
+    if exact is None:
+
+        def exact(one, others):
+            return np.array([np.cumsum(sims[np.ix_(one, x)].reshape(-1))[-1] / (len(one) * len(x)) for x in others])
+
+    size = np.ones(n) if weights is None else weights.astype(float)
+    near[np.isnan(near)] = -np.inf
+    np.fill_diagonal(near, -np.inf)
+    if sources is not None:
+        rows_of: dict = {}
+        for i, own in enumerate(sources):
+            for s in own if isinstance(own, (set, frozenset)) else (own,):
+                rows_of.setdefault(s, []).append(i)
+        for rows in rows_of.values():
+            if len(rows) > 1:
+                near[np.ix_(rows, rows)] = -np.inf
+
+    known = np.zeros((n, n), bool)  # exact entries, above the diagonal
+    settled = np.full(n, np.inf)  # entries of a row from here on are exact
+    best, at = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+    def look(i: int) -> None:
+        """The best partner of a row among later ones; the first of equals."""
+        if i + 1 < n:
+            at[i] = k = i + 1 + int(np.argmax(near[i, i + 1 :]))
+            best[i] = near[i, k]
+
+    def settle(low: float) -> bool:
+        """Make exact what stands at ``low`` or above; whether there was any."""
+        changed = False
+        for i in np.flatnonzero((best >= low) & (settled > low)):
+            todo = i + 1 + np.flatnonzero((near[i, i + 1 :] >= low) & ~known[i, i + 1 :])
+            settled[i] = low
+            if len(todo):
+                made = exact(members[i], [members[k] for k in todo])
+                near[i, todo] = near[todo, i] = np.where(np.isnan(made), -np.inf, made)
+                known[i, todo] = changed = True
+                look(i)
+        return changed
+
+    for i in range(n):
+        look(i)
+    while best.max() >= threshold - MARGIN and best.max() > -1.0 - MARGIN:
+        while settle(best.max() - MARGIN):
+            pass
+        i = int(np.argmax(best))
+        j, top = int(at[i]), best[i]
+        if not top > -1.0 or top < threshold:
             break
+        row = (near[i] * size[i] + near[j] * size[j]) / (size[i] + size[j])
+        row[[i, j]] = -np.inf
         members[i] += members[j]
-        held[i] |= held[j]
         members[j] = []
-        means[j, :] = means[:, j] = -np.inf
-        for k in range(n):
-            if k == i or not members[k]:
-                continue
-            a, b = (i, k) if i < k else (k, i)
-            if held[a] & held[b]:
-                means[a, b] = -np.inf
-                continue
-            block = sims[np.ix_(members[a], members[b])].reshape(-1)
-            mean = np.cumsum(block)[-1] / len(block)
-            means[a, b] = -np.inf if np.isnan(mean) else mean
+        size[i] += size[j]
+        near[i], near[:, i] = row, row
+        near[j] = near[:, j] = -np.inf
+        known[i] = known[:, i] = False
+        settled[i], best[j] = np.inf, -np.inf
+        settled[:i] = np.where(row[:i] >= settled[:i], np.nextafter(row[:i], np.inf), settled[:i])
+        for k in np.flatnonzero((best[:j] > -np.inf) & ((at[:j] == i) | (at[:j] == j))):
+            look(int(k))
+        look(i)
+        first = np.flatnonzero((row[:i] > best[:i]) | ((row[:i] == best[:i]) & (at[:i] > i)))
+        best[first], at[first] = row[first], i
     return [m for m in members if m]
 
 
-def mean_similarity(sims: np.ndarray, members: list[int]) -> float:
-    """Mean over member pairs in member order; 1 for a single member."""
-    if len(members) < 2:
+def copies(vectors: np.ndarray, sources: list | None) -> list[list[int]]:
+    """Rows in groups of vectors that are equal up to a power of two, in order; a group that repeats a source is left as single rows.
+
+    Nothing is more similar than copies, so they are the first to be merged, in order.
+    """
+    found: dict[bytes, list[int]] = {}
+    for i, v in enumerate(vectors):
+        most = np.abs(v).max() if len(v) else 0.0
+        scaled = v / np.float32(2.0 ** np.floor(np.log2(most))) if np.isfinite(most) and most > 0 else None
+        found.setdefault(b"%d" % i if scaled is None else scaled.tobytes(), []).append(i)
+    out = []
+    for rows in found.values():
+        alike = sources is None or len({sources[i] for i in rows}) == len(rows)
+        out += [rows] if alike else [[i] for i in rows]
+    return sorted(out)
+
+
+def cluster_vectors(vectors: np.ndarray, sources: list | None, threshold: float) -> list[list[int]]:
+    """Member lists of the clusters of float32 vectors; copies are merged beforehand if the threshold lets them."""
+    groups = copies(vectors, sources) if threshold <= 1.0 - MARGIN else [[i] for i in range(len(vectors))]
+    first = vectors[[g[0] for g in groups]]
+    weights = np.array([len(g) for g in groups], float)
+    held = None if sources is None else [{sources[i] for i in g} for g in groups]
+    found = cluster_matrix(near_similarities(first), held, threshold, exact_means(first, weights), weights)
+    return [[i for m in members for i in groups[m]] for members in found]
+
+
+def mean_similarity(vectors: np.ndarray) -> float:
+    """Mean cosine over pairs of members in their order; 1 for a single member. Pairs are made a few rows at a time."""
+    n = len(vectors)
+    if n < 2:
         return 1.0
-    part = sims[np.ix_(members, members)][np.triu_indices(len(members), 1)]
-    return float(np.cumsum(part)[-1] / len(part))
+    total = 0.0
+    for i in range(n - 1):
+        total = np.cumsum(np.concatenate([[total], exact_cosines(np.broadcast_to(vectors[i], (n - i - 1, vectors.shape[1])), vectors[i + 1 :])]))[-1]
+    return float(total / (n * (n - 1) // 2))
+
+
+def held_features(items: DataFrame) -> DataFrame:
+    """(item_idx, source_id, features) of the items with features, written once; a frame that was written here stays as it is."""
+    if "written_to" in items.__dict__ and items.columns == ["item_idx", "source_id", "features"]:
+        return items
+    return materialise(items.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features"), "features")
 
 
 def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs: DataFrame | None = None) -> DataFrame:
-    """(slot, member_pos, item_idx, average_similarity): every item with features in exactly one cluster."""
-    held = items.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features")
+    """(slot, member_pos, item_idx, average_similarity): every item with features in exactly one cluster.
+
+    Features are computed once: what they come from runs for one written table.
+    """
+    held = held_features(items)
     if pairs is None:
         pairs = similar_pairs(held, threshold, constrained)
     placed = components(pairs)
@@ -87,14 +190,10 @@ def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs
             raise ValueError(f"a component of {len(group)} items is similar at this threshold; choose a higher one")
         group = group.sort_values("item_idx", kind="stable")
         ids = group["item_idx"].to_numpy()
-        sims = similarity_matrix(np.stack(group["features"].to_numpy()).astype(np.float32))
-        sources = group["source_id"].tolist()
-        if constrained:
-            same = group["source_id"].to_numpy()
-            sims[(same[:, None] == same[None, :]) & ~np.eye(len(sims), dtype=bool)] = 0.0
+        vectors = np.stack(group["features"].to_numpy()).astype(np.float32)
         rows = []
-        for members in cluster_matrix(sims, sources if constrained else list(range(len(ids))), threshold):
-            mean = mean_similarity(sims, members)
+        for members in cluster_vectors(vectors, group["source_id"].tolist() if constrained else None, threshold):
+            mean = mean_similarity(vectors[members])
             rows += [(int(ids[members[0]]), p, int(ids[m]), mean) for p, m in enumerate(members)]
         return pd.DataFrame(rows, columns=["slot", "member_pos", "item_idx", "average_similarity"])
 

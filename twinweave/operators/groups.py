@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinweave.functions.display import summary_text
 from twinweave.functions.paths import renamed
+from twinweave.operators.ranking import numbered
 
 EXACT = 0.9999
 
@@ -30,8 +31,7 @@ def summary(head: DataFrame) -> DataFrame:
 
 def base_order(groups: DataFrame) -> DataFrame:
     """Duplicate groups with ``group_rank``: by average similarity from the highest, then by id."""
-    shown = Window.orderBy(F.col("average_similarity").desc(), "group_id")
-    return groups.where("item_count > 1").withColumn("group_rank", F.row_number().over(shown))
+    return numbered(groups.where("item_count > 1"), [F.col("average_similarity").desc(), F.col("group_id")], "group_rank")
 
 
 def filtered(ranked: DataFrame, option: str = "All") -> DataFrame:
@@ -44,8 +44,7 @@ def filtered(ranked: DataFrame, option: str = "All") -> DataFrame:
 def sorted_groups(ranked: DataFrame, option: str = "Similarity") -> DataFrame:
     """New ranks by Similarity, ImageCount or Name; equal keys keep their former order."""
     keys = {"Similarity": F.col("average_similarity").desc(), "ImageCount": F.col("item_count").desc(), "Name": F.collate(F.col("name"), "UNICODE").asc()}
-    order = Window.orderBy(keys[option], "group_rank")
-    return ranked.withColumn("group_rank", F.row_number().over(order))
+    return numbered(ranked.withColumnRenamed("group_rank", "__former"), [keys[option], F.col("__former")], "group_rank").drop("__former")
 
 
 def thumbnails(members: DataFrame, paths: DataFrame, count: int = 4) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from twinweave.functions.vectors import cosine, has_features
 
 BLOCK_ROWS = 2048
+#: Blocks at least, so that small tables are worked on side by side, and rows that a block then has at least.
+LEAST_BLOCKS, LEAST_ROWS = 4, 128
 #: What the matrix product may be off by, many times over.
 MARGIN = 1e-5
 
@@ -53,7 +55,7 @@ def similar_pairs(items: DataFrame, threshold: float, constrained: bool = True,
     """(i, j, sim) with i < j and sim >= threshold; pairs of one source are left out if constrained; NaN is never similar."""
     held = items.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features")
     n = held.count() if rows is None else rows
-    blocks = max(1, -(-n // block_rows))
+    blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // LEAST_ROWS))
     home = F.pmod(F.xxhash64("item_idx"), F.lit(blocks)).cast("int")
     dealt = held.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.withColumn("low", F.least("home", "other")).withColumn("high", F.greatest("home", "other")).drop("other")

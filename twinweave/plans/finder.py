@@ -40,7 +40,7 @@ class DuplicateFinder:
         self.spark.addTag(self.tag)
         try:
             self._tell("similarity", 0.0)
-            held = media.featured_items(items)
+            held = clustering.held_features(media.featured_items(items))
             check_lengths(held)
             found, members = clustering.analyse(held, self.settings.threshold, self.constrained)
             self._tell("statistics", 0.95)

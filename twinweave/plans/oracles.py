@@ -102,7 +102,7 @@ def _half_up(x: str, digits: int = 0) -> str:
 ORACLE_SQL: dict[str, str] = {
     "cosine_pairs": f"WITH {_media(by_label=False)}, {_sims()} SELECT i, j, round(s, 12) AS sim FROM sims WHERE s >= 0.40",
     "cosine_pairs_source_constrained": f"WITH {_media(True)}, {_sims('x.src <> y.src')} SELECT i, j, round(s, 12) AS sim FROM sims WHERE s >= 0.40",
-    "cosine_to_anchor": f"WITH {_media()}, vecs AS (SELECT item_idx AS id, features AS v, sqrt({_DOT.format(a='features', b='features')}) AS m FROM media) SELECT x.id AS item_idx, round({_COS}, 12) AS sim FROM vecs x JOIN vecs y ON y.id < 10 AND x.id % 10 = y.id",
+    "cosine_to_anchor": f"WITH {_media()}, vecs AS (SELECT item_idx AS id, features AS v, sqrt({_DOT.format(a='features', b='features')}) AS m FROM media) SELECT x.id AS item_idx, y.id AS anchor, round({_COS}, 12) AS sim FROM vecs x JOIN vecs y ON y.id < 10",
     "similar_components": f"""WITH RECURSIVE {_media(True, False)}, {_sims()}, e AS (SELECT i AS a, j AS b FROM sims WHERE s >= 0.40 UNION ALL SELECT j, i FROM sims WHERE s >= 0.40),
 reach AS (SELECT a AS item, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.item) SELECT item AS item_idx, min(r) AS component_id FROM reach GROUP BY item""",
     "hac_groups": _hac(False) + " SELECT slot, member_pos::INTEGER AS member_pos, item_idx, round(coalesce(av, 1.0), 6) AS average_similarity FROM mem LEFT JOIN avgs USING (slot)",

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.config import IMAGENET
+from twinweave.config import IMAGENET, Settings
 from twinweave.functions import display, paths, vectors
 from twinweave.operators import actions, clustering, graph, groups, imaging, media, selection, similarity
 
@@ -68,8 +69,9 @@ def cosine_pairs_source_constrained(spark, sf_dir):
 def cosine_to_anchor(spark, sf_dir):
     """The expression itself: every vector against the vectors of the ten lowest ids."""
     items = media_view(spark, sf_dir)
-    anchors = items.where("item_idx < 10").select(F.col("item_idx").alias("anchor"), F.col("features").alias("other"))
-    return items.join(F.broadcast(anchors), F.col("item_idx") % 10 == F.col("anchor")).select("item_idx", F.round(vectors.cosine("features", "other"), 12).alias("sim"))
+    anchors = items.where("item_idx < 10").groupBy().agg(F.collect_list(F.struct(F.col("item_idx").alias("anchor"), F.col("features").alias("other"))).alias("anchors"))
+    paired = items.join(F.broadcast(anchors)).withColumn("a", F.explode("anchors"))  # ten vectors in one row
+    return paired.select("item_idx", "a.anchor", F.round(vectors.cosine("features", "a.other"), 12).alias("sim"))
 
 
 def similar_components(spark, sf_dir):
@@ -307,8 +309,15 @@ def tolerance_label(spark, sf_dir):
 
 
 def settings_clamp(spark, sf_dir):
+    """What ``Settings`` makes of wanted values."""
+
+    def settle(batches):
+        for rows in batches:
+            made = [Settings(threshold=t, batch_size=b) for t, b in zip(rows["t"], rows["b"], strict=True)]
+            yield pd.DataFrame({"item_idx": rows["item_idx"], "threshold": [m.threshold for m in made], "batch_size": [m.batch_size for m in made]})
+
     i = F.col("item_idx")
-    return media_view(spark, sf_dir).select("item_idx", F.greatest(F.lit(0.3), F.least(F.lit(1.0), i / 256)).alias("threshold"), F.greatest(F.lit(1), F.least(F.lit(64), i % 130)).cast("long").alias("batch_size"))
+    return media_view(spark, sf_dir).select("item_idx", (i / 256).alias("t"), (i % 130).alias("b")).mapInPandas(settle, "item_idx long, threshold double, batch_size long")
 
 
 def model_name(spark, sf_dir):
