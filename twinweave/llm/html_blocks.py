@@ -1,21 +1,25 @@
 """Main text of web pages from flat text blocks and a decision tree (operator 3).
 
 A page is read once into flat blocks: runs of text between block-level tags, without scripts, styles, the
-head and comments. Each block has a word count, a link density, the same of its neighbours, and what the
-markup says about its place. A decision tree (Gini splits), trained on the small labelled pages below,
-decides which blocks are main text; these are joined by a blank line.
+head and comments. Each block has a word count and a link density, the same of its two neighbours, and a few
+marks of its place: whether it lies in an article, outside one that the page has, in an element that HTML itself
+names as a menu, footer, form or the like, under readers' comments, and one weak hint from class names. A decision
+tree (Gini splits), trained on a small labelled table (seeded pages in three styles: landmarks, class names, and
+bare boxes where counts and densities of a block and its neighbours are all there is), decides which blocks are
+main text; these are joined by a blank line.
 
 Defined results: null and empty pages, and pages without main blocks, give an empty text; unclosed tags end
-with their page, unclosed silent elements with their parent; a ``<`` that starts no tag is text; character references are decoded once; white space of
-any kind inside a block is one space; blocks of any number and length are kept. Repeated pages are
-extracted alike.
+with their page, unclosed silent elements with their parent; a ``<`` that starts no tag is text; character
+references are decoded once; white space of any kind inside a block is one space; blocks of any number and length
+are kept. Repeated pages are extracted alike.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -37,12 +41,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements that are tracked as places.
 _PLACES = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote dialog menu details fieldset body center td li".split())
 _BOILER = frozenset("nav header footer aside form dialog menu fieldset".split())
-#: Words in class, id and role that mark boilerplate, and such that mark an article.
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|aside|widget\w*|comments?|commentlist|disqus|replies|reply|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"share|sharing|social\w*|related|recommend\w*|trending|popular|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|footer\w*|header|masthead|topbar|toolbar|login|search|tags?|byline|meta|legal|copyright|skip|complementary|contentinfo|navigation|hidden)(?=$|[\s_-])"
+#: First or last parts of class, id and role names that hint at boilerplate.
+_HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar widget widgets cookie cookies consent gdpr notice alert popup modal overlay "
+    "newsletter subscribe signup share sharing social related recommended recommendations trending popular nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead topbar "
+    "toolbar login search byline copyright complementary contentinfo".split()
 )
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|main|story\w*|body|text|prose|hentry|markdown)(?=$|[\s_-])")
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: First parts that say what a page has, and such that name the content; of the latter, the last parts that hint still.
+_ABOUT = frozenset("has no with without is not hide show js".split())
+_CONTENT = frozenset("entry post article content story main page text body single".split())
+_AFTER_CONTENT = frozenset("footer share sharing social related nav navigation pagination ad ads sponsor promo newsletter".split())
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 #: What moves on in a tag: its end, a quote that opens a value, or a value without quotes.
 _VALUE = re.compile(r""">|=[ \t\n\r\f]*(?:(["'])|[^ \t\n\r\f>"'][^ \t\n\r\f>]*)""")
@@ -51,7 +60,7 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?tru
 
 FEATURES = (
     "words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density",
-    "in_boiler", "in_bad", "in_article", "in_good", "in_list", "heading", "paragraph", "in_table",
+    "inside", "outside", "boiler", "hint", "comment", "in_list", "heading", "paragraph",
 )
 
 
@@ -60,22 +69,33 @@ class Block:
     text: str
     words: int
     link_words: int
-    place: tuple[int, ...]
+    place: tuple[int, ...]  # inside, boiler, hint, comment, in_list, heading, paragraph
+    mark: str | None = None
+
+
+@dataclass(frozen=True)
+class Place:
+    """An open element: its name, whether it is an article, boilerplate by its tag, hinted at, comments; and a label of the training table."""
+
+    name: str
+    article: bool
+    boiler: bool
+    hint: bool
+    comment: bool
     mark: str | None = None
-    parts: list = field(default_factory=list)
 
 
 def blocks(page: str | None) -> list[Block]:
     """Flat text blocks in page order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int, str | None]] = []  # element, boiler, bad, article, good, mark
+    stack: list[Place] = []
     parts: list[str] = []  # of the open block
     link_words = 0
     in_link = 0
     link_from = 0
     kind = ""  # the block-level element that opened the block
-    opener_bad = 0  # whether that is marked as boilerplate
+    opener = None  # what that element's attributes say
     elements: list[str] = []  # all open ones
     depth: dict[str, int] = {}  # how many of a name are open
     silent = -1  # place in elements of the outermost silent one
@@ -92,14 +112,15 @@ def blocks(page: str | None) -> list[Block]:
                 link_words += _count(parts[link_from:])
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                boiler = sum(s[1] for s in stack)
-                bad = sum(s[2] for s in stack) + opener_bad
-                article = sum(s[3] for s in stack)
-                good = sum(s[4] for s in stack)
-                names = [s[0] for s in stack]
-                place = (min(boiler, 1), min(bad, 1), min(article, 1), min(good, 1), int("ul" in names or "ol" in names or "dl" in names or kind == "li"), int(len(kind) == 2 and kind[0] == "h" and kind[1].isdigit()), int(kind in ("p", "blockquote", "pre")), int("table" in names))
+                held = [*stack, opener] if opener else stack
+                at_article = max((i for i, p in enumerate(held) if p.article), default=-1)
+                near = held[at_article + 1 :]
+                # a header in an article holds its title
+                boiler = any(p.boiler and not (at_article >= 0 and p.name == "header") for p in near)
+                names = [p.name for p in held]
+                place = (at_article >= 0, boiler, any(p.hint for p in near), any(p.comment for p in held), kind == "li" or "ul" in names or "ol" in names or "dl" in names, len(kind) == 2 and kind[0] == "h" and kind[1].isdigit(), kind in ("p", "blockquote", "pre"))
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(link_words, words), place, next((s[5] for s in reversed(stack) if s[5]), None)))
+                out.append(Block(text, words, min(link_words, words), tuple(map(int, place)), next((p.mark for p in reversed(held) if p.mark), None)))
         parts, link_words, link_from = [], 0, 0
 
     while at < n:
@@ -180,31 +201,39 @@ def blocks(page: str | None) -> list[Block]:
             continue
         close()
         in_link = 0 if closing else in_link
-        opener_bad = 0
+        opener = None
         if closing:
             kind = ""
             if name in _PLACES:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
+                    if stack[i].name == name:
                         del stack[i:]
                         break
             continue
         kind = name
-        if name == "li" and stack and stack[-1][0] == "li":
+        if name == "li" and stack and stack[-1].name == "li":
             stack.pop()
         if inside and name not in _PLACES:
-            opener_bad = _place(name, inside)[2]
+            opener = _place(name, inside)
         if name in _PLACES and not inside.endswith("/") and name not in _VOID:
             stack.append(_place(name, inside))
     close()
     return out
 
 
-def _place(name: str, inside: str) -> tuple[str, int, int, int, int, str | None]:
-    hints = " ".join((a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(inside)).lower() if inside else ""
-    bad = int(bool(hints and _BAD.search(hints)) or bool(inside and _HIDDEN.search(inside)))
+def _place(name: str, inside: str) -> Place:
+    tokens = " ".join((a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(inside)).lower().split() if inside else ()
+    hint = comment = False
+    for token in tokens:
+        parts = re.split("[-_]+", token.strip("-_"))
+        if name in ("article", "main"):  # their names say what they are about
+            comment = comment or token in ("comment", "reply")
+        elif parts[0] not in _ABOUT and name not in ("html", "body"):
+            comment = comment or parts[0] in _COMMENTS or parts[-1] in _COMMENTS
+            hint = hint or (parts[-1] in _AFTER_CONTENT if parts[0] in _CONTENT else parts[0] in _HINTS or parts[-1] in _HINTS)
+    hint = hint or bool(inside and name not in ("html", "body") and _HIDDEN.search(inside))
     mark = re.search(r'data-label="(\d)"', inside) if "data-label" in inside else None
-    return name, int(name in _BOILER), bad, int(name in ("article", "main")), int(bool(hints and _GOOD.search(hints))), mark and mark[1]
+    return Place(name, name in ("article", "main"), name in _BOILER, hint, comment, mark and mark[1])
 
 
 def _count(parts: list[str]) -> int:
@@ -241,11 +270,13 @@ def _silent_end(name: str) -> re.Pattern:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row of FEATURES for each block; word counts are cut at 100."""
+    """A row of FEATURES for each block; a neighbour that is not there has no words."""
     out = np.zeros((len(found), len(FEATURES)))
+    article = any(b.place[0] and not any(b.place[1:4]) for b in found)
     for i, b in enumerate(found):
-        out[i, 0], out[i, 1] = min(b.words, 100), b.link_words / b.words
-        out[i, 6:] = b.place
+        inside, *rest = b.place
+        out[i, 0], out[i, 1] = b.words, b.link_words / b.words
+        out[i, 6:] = inside, article and not inside, *rest
     if len(found) > 1:
         out[1:, 2:4] = out[:-1, :2]
         out[:-1, 4:6] = out[1:, :2]
@@ -253,27 +284,30 @@ def features(found: list[Block]) -> np.ndarray:
 
 
 class DecisionTree:
-    """Binary splits by Gini impurity; a leaf says the majority."""
+    """Binary splits by Gini impurity; a leaf says the majority and holds ``least`` rows at least."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
-        self.root = self._grow(x, y, depth)
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 3):
+        self.root = self._grow(x, y.astype(np.int64), depth, least)
 
-    def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):
-        if depth == 0 or len(set(y.tolist())) < 2:
-            return int(2 * y.sum() > len(y))
+    def _grow(self, x: np.ndarray, y: np.ndarray, depth: int, least: int):
+        n, ones = len(y), int(y.sum())
+        if depth == 0 or ones in (0, n) or n < 2 * least:
+            return int(2 * ones > n)
         best = None
         for f in range(x.shape[1]):
-            values = np.unique(x[:, f])
-            for cut in (values[1:] + values[:-1]) / 2:
-                left = x[:, f] <= cut
-                a, b = y[left], y[~left]
-                impurity = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
-                if best is None or impurity < best[0] - 1e-12:
-                    best = (impurity, f, cut, left)
+            order = np.argsort(x[:, f], kind="stable")
+            value, left = x[order, f], np.cumsum(y[order])[:-1]
+            count = np.arange(1, n)
+            impurity = left - left**2 / count + (ones - left) - (ones - left) ** 2 / (n - count)
+            impurity = np.where((value[1:] > value[:-1]) & (count >= least) & (n - count >= least), impurity, np.inf)
+            at = int(np.argmin(impurity))
+            if impurity[at] < (ones - ones**2 / n if best is None else best[0]) - 1e-9:
+                best = impurity[at], f, (value[at] + value[at + 1]) / 2
         if best is None:
-            return int(2 * y.sum() > len(y))
-        _, f, cut, left = best
-        return f, cut, self._grow(x[left], y[left], depth - 1), self._grow(x[~left], y[~left], depth - 1)
+            return int(2 * ones > n)
+        _, f, cut = best
+        low = x[:, f] <= cut
+        return f, float(cut), self._grow(x[low], y[low], depth - 1, least), self._grow(x[~low], y[~low], depth - 1, least)
 
     def predict(self, row) -> int:
         node = self.root
@@ -281,82 +315,165 @@ class DecisionTree:
             node = node[2] if row[node[0]] <= node[1] else node[3]
         return node
 
-
-def _w(n: int) -> str:
-    return " ".join(f"w{i}" for i in range(n))
-
-
-def _links(n: int, words: int = 1) -> str:
-    return "".join(f'<li><a href="#">{_w(words)}</a></li>' for _ in range(n))
-
-
-def _box(tag: str, inner: str) -> str:
-    return f"<{tag}>{inner}</{tag.split()[0]}>"
-
-
-def labelled_pages() -> list[str]:
-    """The small labelled table, as pages: ``data-label`` says whether the blocks in an element are main text."""
-    y, x = '<div data-label="1">', '<div data-label="0">'
-    end = "</div>"
-    article = lambda inner, tag="article": f'<{tag}>{y}{inner}{end}</{tag}>'
-    paragraphs = "".join(f"<p>{_w(k)}</p>" for k in (40, 3, 75, 12, 1, 28, 90, 5))
-    comments = f'<section class="comments">{x}<h3>w w</h3><p>{_w(30)}</p><p>{_w(6)}</p><div class="reply"><p>{_w(45)}</p></div>{end}</section>'
-    foot = f'<footer>{x}<p>{_w(8)}</p><ul>{_links(3)}</ul>{_w(14)}{end}</footer>'
-    nav = f"<nav>{x}<ul>{_links(6)}</ul>{end}</nav>"
-    ad = f'<div class="ad">{x}{_w(9)}{end}</div>'
-    side = f'<aside>{x}<h3>w w</h3><p>{_w(25)}</p><ul>{_links(4, 5)}</ul>{end}</aside>'
-    form = f'<form>{x}<p>{_w(5)}</p><label>w w</label> {_w(12)}{end}</form>'
-    cookie = f'<div class="cookie-notice">{x}<p>{_w(22)}</p><p>{_w(3)} <a href="#">w w</a></p>{end}</div>'
-    return [
-        f"{nav}{ad}{article(f'<h1>{_w(7)}</h1>{paragraphs}')}{foot}",
-        f"<header>{x}<h2>{_w(4)}</h2><p>{_w(11)}</p>{end}</header>{nav}{article(f'<h1>{_w(2)}</h1><p>{_w(4)}</p>')}{comments}{foot}",
-        f"{cookie}{nav}{article(paragraphs, 'main')}{side}{comments}{foot}",
-        f'<div class="header">{x}{_w(6)}{end}</div><div class="post-content">{y}<h1>{_w(5)}</h1>{paragraphs}<ul><li>{_w(9)}</li><li>{_w(2)}</li></ul>{end}</div>{side}{form}{foot}',
-        f'<div class="menu">{x}<ul>{_links(9, 2)}</ul>{end}</div><div>{y}<p>{_w(60)}</p><p>{_w(25)}</p><p>{_w(35)} <a href="#">w w</a> {_w(9)}</p>{end}</div><div>{x}<p><a href="#">{_w(6)}</a></p><p><a href="#">{_w(12)}</a></p>{end}</div><div class="footer">{x}{_w(20)}{end}</div>',
-        f'<article>{y}<h1>{_w(8)}</h1><p>{_w(33)}</p>{end}{ad}{y}<p>{_w(18)}</p><h2>{_w(3)}</h2><p>{_w(2)}</p><blockquote>{_w(15)}</blockquote><table><td>{_w(4)}</td></table>{end}<aside>{x}<p>{_w(28)}</p>{end}</aside>{y}<p>{_w(50)} <a href="#">{_w(3)}</a></p>{end}<div class="share">{x}<a href="#">w</a> <a href="#">w</a> w{end}</div></article>{form}{foot}',
-        f'<article>{x}<nav><ul>{_links(4)}</ul></nav>{end}{y}<p>{_w(20)} <a href="#">{_w(18)}</a></p><ul><li>{_w(14)}</li><li><a href="#">{_w(3)}</a> {_w(6)}</li></ul><pre>{_w(10)}</pre>{_w(7)}{end}{comments}</article><div class="related">{x}<ul>{_links(5, 7)}</ul><p>{_w(40)}</p>{end}</div>',
-        f"<div>{x}{_w(5)}{end}</div><div>{x}<ul>{_links(8, 3)}</ul>{end}</div><div>{y}<p>{_w(80)}</p><p>{_w(45)}</p>{end}</div><div>{x}{_w(6)}{end}</div>",
-        # boilerplate of every size beside paragraphs of every size, with and without an article
-        *(
-            f'{_box(tag, x + inner(k) + end)}<{main}>{y}<h1>{_w(4)}</h1><p>{_w(m)}</p><p>{_w(m // 2 + 1)}</p>{end}</{main.split()[0]}>{_box(tag, x + inner(k) + end)}'
-            for tag in ("nav", "footer", "aside", 'div class="ad"', 'section id="comments"', "form")
-            for k, m in ((2, 90), (12, 70), (30, 9), (70, 80), (95, 3))
-            for main, inner in (("article", _w), ('div class="entry"', lambda k: f"<p>{_w(k)}</p>"))
-        ),
-        *(f"<div>{y}<p>{_w(m)}</p><p>{_w(m)}</p>{end}</div>{_box(tag, x + '<p>' + _w(k) + '</p>' + end)}" for tag in ("footer", "aside", 'div class="sidebar"') for k, m in ((5, 90), (40, 60), (80, 80))),
-        # linked paragraphs and lists in an article stay; bare lists of links outside go
-        *(f'<{t}>{y}<p>{_w(k)}</p><p><a href="#">{_w(j)}</a></p><p>{_w(m)}</p><ul><li><a href="#">{_w(j)}</a></li><li>{_w(k)}</li></ul>{end}</{t}>' for t in ("article", "main") for j in (1, 6, 20) for k, m in ((1, 60), (12, 3), (40, 20), (80, 1))),
-        *(f"<div>{x}<ul>{_links(4, j)}</ul>{end}</div><div>{y}<p>{_w(k)}</p>{end}</div><div>{x}<ul>{_links(4, j)}</ul>{end}</div>" for j in (1, 5, 9) for k in (8, 50)),
-        # pages of main text alone
-        *(f"<{t}>{y}{''.join(f'<p>{_w(k)}</p>' for k in sizes)}{end}</{t.split()[0]}>" for t in ("article", "div", 'div class="content"', "main", "body") for sizes in ((3,), (14,), (60,), (8, 40), (30, 2), (90, 50, 4))),
-        *(f"{y}{_w(k)}{end}" for k in (4, 12, 30, 80)),
-        *(f"<{t}>{y}<h1>{_w(4)}</h1><p>{_w(k)}</p>{end}</{t}>" for t in ("article", "main") for k in (1, 5, 20, 70)),
-        f"{nav}<div>{y}<h1>{_w(6)}</h1><p>{_w(12)}</p><p>{_w(3)}</p>{end}</div>",
-    ]
-
-
-@cache
-def default_tree() -> DecisionTree:
+    def uses(self) -> set[str]:
+        """The names of the features that splits look at."""
+        out, todo = set(), [self.root]
+        while todo:
+            node = todo.pop()
+            if not isinstance(node, int):
+                out.add(FEATURES[node[0]])
+                todo += node[2:]
+        return out
+
+
+_VOCABULARY = "the a of and to in is on for with river house school market people water garden letter window summer council report study model engine results measured city train bread music open early small found made".split()
+
+
+class _Pages:
+    """Pages of the labelled table: parts with seeded sizes; ``data-label`` says whether the blocks in an element are main text."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join(self.rng.choices(_VOCABULARY, k=self.rng.randint(low, high)))
+
+    def link(self, low: int, high: int) -> str:
+        return f'<a href="/x">{self.words(low, high)}</a>'
+
+    def box(self, label: int, inner: str, tag: str = "div") -> str:
+        return f'<{tag} data-label="{label}">{inner}</{tag.split()[0]}>'
+
+    def links(self, low: int, high: int) -> str:
+        """A menu in one of the usual forms."""
+        items = [self.link(low, high) for _ in range(self.rng.randint(3, 9))]
+        form = self.rng.randrange(4)
+        if form == 0:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+        if form == 1:
+            return " | ".join(items)
+        return "".join(f"<{t}>{x}</{t}>" for x in items for t in (("div", "p")[form - 2],))
+
+    def paragraph(self, plain: bool) -> str:
+        """A piece of main text; with ``plain``, none that counts alone could not tell."""
+        kind = self.rng.random()
+        if kind < 0.55 or plain and kind < 0.75:
+            text = self.words(18, 130)
+        elif kind < 0.75:
+            text = f"{self.words(10, 60)} {self.link(1, 4)} {self.words(8, 40)}"
+        elif plain:
+            return f"<p>{self.words(18, 60)}</p><p>{self.words(1, 9)}</p><p>{self.words(18, 60)}</p>"
+        elif kind < 0.83:
+            return f"<h2>{self.words(1, 8)}</h2><p>{self.words(14, 70)}</p>"
+        elif kind < 0.9:
+            return "<ul>" + "".join(f"<li>{self.rng.choice((self.words, self.link))(1, 25)}</li>" for _ in range(self.rng.randint(2, 6))) + "</ul>"
+        elif kind < 0.95:
+            return self.rng.choice((f"<blockquote>{self.words(2, 40)}</blockquote>", f"<pre>{self.words(1, 30)}</pre>", f"<table><tr><td>{self.words(1, 6)}</td><td>{self.words(1, 6)}</td></tr></table>", f"{self.words(1, 40)}"))
+        else:
+            text = self.rng.choice((self.words, self.link))(1, 14)
+        return f"<p>{text}</p>"
+
+    def body(self, plain: bool) -> str:
+        return f"<h1>{self.words(2, 12)}</h1>" + "".join(self.paragraph(plain) for _ in range(self.rng.randint(1, 9)))
+
+    def aside(self, high: int = 70) -> str:
+        return self.rng.choice((f"<h3>{self.words(1, 4)}</h3><p>{self.words(4, high)}</p>", f"<p>{self.words(1, high)}</p>", self.links(1, 8), f"{self.words(2, 12)} {self.link(1, 3)}"))
+
+    def around(self, tags: list[str], short: tuple[str, ...] = ()) -> str:
+        """One to four boxes of boilerplate; what only a name hints at is short."""
+        return "".join(self.box(0, self.aside(28 if t in short else 70), t) for t in self.rng.sample(tags, self.rng.randint(1, 4)))
+
+    def misnamed(self, inner: str) -> str:
+        """Main text, now and then in a box whose name hints at boilerplate."""
+        return self.box(1, inner, self.rng.choice(('div class="sidebar-right"', 'div id="share-page"', 'section class="search-result"'))) if self.rng.random() < 0.15 else self.box(1, inner)
+
+    def any_size(self) -> str:
+        """Blocks of any size and link density; in an article these are main text too."""
+        size = lambda: self.rng.choice((1, 2, 4, 8, 14, 22, 45, 90, 250))
+        out = ""
+        for _ in range(self.rng.randint(1, 12)):
+            n, m = size(), size()
+            text = self.rng.choice((self.words(n, n), self.words(n, n), self.link(n, n), f"{self.words(n, n)} {self.link(m, m)}"))
+            out += self.rng.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<div>{text}</div>", f"<h2>{text}</h2>", f"<ul><li>{text}</li></ul>", f"<table><tr><td>{text}</td></tr></table>"))
+        return out
+
+    def articles(self) -> str:
+        """An article of any blocks, with any blocks outside and in boilerplate."""
+        main = self.rng.choice(("article", "main"))
+        tags = ("nav", "header", "aside", "footer", "form", 'section class="comments"', "div", "div", "section")
+        sides = [self.box(0, self.any_size(), self.rng.choice(tags)) for _ in range(2)]
+        inner = self.box(1, self.any_size())
+        if self.rng.random() < 0.3:
+            inner += self.box(0, self.any_size(), self.rng.choice(("nav", "aside", "footer", "form", 'div id="comments"'))) + self.box(1, self.any_size())
+        return f"{sides[0]}<{main}>{inner}</{main}>{sides[1]}"
+
+    def landmarks(self) -> str:
+        """HTML's own elements and comments say what is what, whatever the counts."""
+        hinted = ('div class="ad"', 'div class="cookie-notice"', 'div class="sidebar"')
+        tags = ["nav", "header", "aside", "footer", "form", 'section class="comments"', "div", *hinted]
+        inner = self.body(False)
+        if self.rng.random() < 0.5:
+            part = self.rng.choice(("nav", "aside", "footer", "form", 'section id="comments"', *(short := ('div class="share"', 'div class="advert"', 'div class="related-posts"'))))
+            inner = self.box(1, inner) + self.box(0, self.aside(28 if part in short else 70), part) + self.box(1, self.paragraph(False))
+        else:
+            inner = self.misnamed(f"<h1>{self.words(2, 12)}</h1>" + "".join(f"<p>{self.words(30, 130)}</p>" for _ in range(3))) if self.rng.random() < 0.4 else self.box(1, inner)
+        main = self.rng.choice(("article", "main"))
+        return f"{self.around(tags, hinted)}<{main}>{inner}</{main}>{self.around(tags, hinted)}"
+
+    def named(self) -> str:
+        """Boxes with class names and no landmarks; the names are right more often than not."""
+        names = [f'div class="{x}"' for x in ("header", "nav-menu", "sidebar", "site-footer", "ads", "cookie-banner", "newsletter-signup", "related", "breadcrumbs")]
+        comments = self.box(0, self.aside(), 'div class="comments"') if self.rng.random() < 0.4 else ""
+        return f"{self.around(names, tuple(names))}{self.misnamed(self.body(True))}{comments}{self.around(names, tuple(names))}"
+
+    def short(self, most: int) -> str:
+        """A few short texts one after another, with no long one beside them."""
+        return "".join(self.rng.choice((f"<div>{self.words(1, 12)}</div>", f"<p>{self.words(1, 12)}</p>", f"<p>{self.words(1, 5)} {self.link(1, 3)}</p>")) for _ in range(self.rng.randint(0, most)))
+
+    def bare(self) -> str:
+        """Boxes without any name: counts and densities of a block and its neighbours are all there is."""
+        head = self.box(0, self.short(3)) + self.box(0, self.links(1, 3))
+        foot = (self.box(0, self.links(1, 12)) if self.rng.random() < 0.6 else "") + self.box(0, f"<p>{self.words(1, 3)}</p>" + self.short(4))
+        if self.rng.random() < 0.3:
+            head += self.box(0, self.short(4) + f"<p>{self.words(1, 4)}</p>" + self.links(1, 6))
+        inner = self.body(True)
+        return f"{head}{self.box(1, inner)}{foot}" if self.rng.random() < 0.85 else self.box(1, inner)
+
+
+def labelled_pages(seed: int = 5, each: int = 150) -> list[str]:
+    """The labelled table, as pages; the same for every run."""
+    made = _Pages(seed)
+    return [style() for _ in range(each) for style in (made.articles, made.landmarks, made.named, made.bare)]
+
+
+def table_of(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of all labelled blocks."""
     rows, marks = [], []
-    for page in labelled_pages():
+    for page in pages:
         found = blocks(page)
         rows.append(features(found))
         marks += [int(b.mark or 0) for b in found]
-    return DecisionTree(np.concatenate(rows), np.array(marks))
+    return np.concatenate(rows), np.array(marks)
+
+
+@cache
+def default_tree() -> DecisionTree:
+    return DecisionTree(*table_of(labelled_pages()))
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, tree: DecisionTree | None = None) -> str:
     """The page's main text."""
     found = blocks(page)
-    tree = default_tree()
+    tree = tree or default_tree()
     return "\n\n".join([b.text for b, row in zip(found, features(found).tolist(), strict=True) if tree.predict(row)])
 
 
-def _step(columns: list) -> list:
-    texts = [extract(h) for h in columns[2]]
+def _step(columns: list, tree: DecisionTree) -> list:
+    texts = [extract(h, tree) for h in columns[2]]
     return [columns[0], columns[1], texts, [len(t) for t in texts]]
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    return map_rows(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), _step, "page_id long,url string,text string,n_chars long")
+def extract_pages(pages: DataFrame, tree: DecisionTree | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; the tree is trained on the driver and travels with the tasks."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return map_rows(rows, _step, "page_id long,url string,text string,n_chars long", tree or default_tree())
