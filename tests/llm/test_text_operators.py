@@ -223,5 +223,14 @@ def test_bpe_word_by_repeated_best_merge(word):
         if not ranks:
             break
         m, i = min(ranks)
-        ids[i : i + 2] = [m >> 24 & (1 << 20) - 1]
+        ids[i : i + 2] = [m & (1 << 20) - 1]
     assert codec.word(word) == ids
+
+
+def test_places_beyond_the_usual_width(monkeypatch):
+    """A word with more places than the field has bits for gets a wider field."""
+    codec = bpe.WordCodec.from_json(open(VOCABULARY, encoding="utf-8").read())
+    words = ["internationalization" * 9, "abcabcabd" * 40, "ééé" * 50]
+    want = [codec.word(w) for w in words]
+    monkeypatch.setattr(bpe, "_WIDTH", 3)
+    assert [codec.word(w) for w in words] == want

@@ -7,7 +7,7 @@ as the library does for a file that names no decoder.
 
 Defined results: null and empty texts have no tokens (the digests are those of the empty string);
 repeated rows encode alike; other columns of the input are not looked at. A word of any length costs
-O(n log n), up to 16 million bytes without a break. The vocabulary is read on the driver and broadcast (49,408 strings whatever the corpus).
+O(n log n), whatever its length. The vocabulary is read on the driver and broadcast (49,408 strings whatever the corpus).
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+".format(
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 
 
+#: Bits of an id, and of a place in a word; longer words have as many as they need.
 _BITS, _WIDTH = 20, 24
-_ID, _PLACE = (1 << _BITS) - 1, (1 << _WIDTH) - 1
+_ID = (1 << _BITS) - 1
 
 
 class _Cache(dict):
@@ -90,7 +91,7 @@ class WordCodec:
         self.rank = {}
         for r, (a, b) in enumerate(m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges):
             if a in vocab and b in vocab:
-                self.rank.setdefault(vocab[a] << _BITS | vocab[b], (r << _BITS | vocab[a + b]) << _WIDTH)
+                self.rank.setdefault(vocab[a] << _BITS | vocab[b], r << _BITS | vocab[a + b])
         letters = byte_letters()
         self.first = [vocab[c] for c in letters]
         self.last = {vocab[c]: vocab[c + suffix] for c in letters}
@@ -112,11 +113,13 @@ class WordCodec:
         n = len(ids)
         if n == 1:
             return ids
+        width = max(_WIDTH, n.bit_length())
+        place = (1 << width) - 1
         awaited = [rank(ids[i] << _BITS | ids[i + 1], 0) for i in range(n - 1)]
         queue = []
         for i, m in enumerate(awaited):
             if m:
-                awaited[i] = m = m | i
+                awaited[i] = m = m << width | i
                 queue.append(m)
         if not queue:
             return ids
@@ -125,10 +128,10 @@ class WordCodec:
         heapify(queue)
         while queue:
             top = heappop(queue)
-            i = top & _PLACE
+            i = top & place
             if awaited[i] != top:
                 continue
-            ids[i] = made = top >> _WIDTH & _ID
+            ids[i] = made = top >> width & _ID
             j = after[i]
             awaited[j] = 0
             after[i] = k = after[j]
@@ -136,13 +139,13 @@ class WordCodec:
             if k < n:
                 before[k] = i
                 if m := rank(made << _BITS | ids[k], 0):
-                    m |= i
+                    m = m << width | i
                     heappush(queue, m)
             awaited[i] = m
             h = before[i]
             if h >= 0:
                 if m := rank(ids[h] << _BITS | made, 0):
-                    m |= h
+                    m = m << width | h
                     heappush(queue, m)
                 awaited[h] = m
         out, i = [], 0
