@@ -174,6 +174,32 @@ def test_license_operator(spark):
     assert rows[at]["labels"] == "cc-by,cc-by-nc" and rows[at + 3]["labels"] == "apache-2.0,cc-by,cc-by-4.0,mit" and rows[at + 4]["labels"] == "mit"
 
 
+@pytest.mark.parametrize(
+    "text,labels,score",
+    [
+        ("Of be edha and it. MIT OR Apache-2.0. More text here.", "apache-2.0,mit", 0.1),
+        ("Of be edha. SPDX-License-Identifier : MIT\nmore", "mit", 0.1),
+        ('{"license": "(MIT OR GPL-3.0-only)", "name": "x"}', "gpl-3.0-only,mit", 0.1),
+        ('license = "Apache-2.0 WITH LLVM-exception"', "apache-2.0", 0.075),
+        ("Released under (MIT AND GPL-2.0-or-later) OR BSD-3-Clause today.", "bsd-3-clause,gpl-2.0-or-later,mit", 0.1),
+        ("Released under MIT AND GPL-2.0-or-later today.", "gpl-2.0-or-later,mit", 0.7),
+        ("GPL-2.0-only", "gpl-2.0-only", 0.7),
+        ("It is under Apache-2.0 as a whole, see GPL-2.0-only.", "apache-2.0,gpl-2.0-only", 0.7),
+        ("SPDX-License-Identifier: LicenseRef-House OR MIT", "licenseref-house,mit", 0.1),
+        ("Er kam mit oder ohne Hut; MIT AND the city of Cambridge; license: see below", "", 0.0),
+        ("the model OR the data WITH care AND time", "", 0.0),
+        ("license: MIT trailing words", "", 0.0),
+    ],
+)
+def test_expressions_with_and_without_tags(spark, text, labels, score):
+    row = license_scan.scan(documents(spark, [text])).first()
+    assert (row["labels"], row["score"]) == (labels, pytest.approx(score))
+
+
+def test_identifiers_are_a_table_of_bounded_size():
+    assert len(license_scan.IDENTIFIERS) == len(license_scan.KNOWN) < 200
+
+
 # ---- BPE
 
 

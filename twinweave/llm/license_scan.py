@@ -1,14 +1,17 @@
 """Licence scan (operator 9): Aho-Corasick over words, and a shunting-yard reader of licence expressions.
 
 Texts are lower-cased (A-Z only) and reduced to their words (digits, a-z and everything beyond ASCII) with
-one space between them, so that one automaton pass finds every notice phrase and identifier tag whatever
-stands between the words. After an identifier tag the raw line is read as an expression: AND binds closer
-than OR, WITH closest; the expression's labels join the document's, and its risk is the lowest risk of the
-alternatives, the highest of the parts that hold together, and half of a licence with an exception.
-
-Defined results: null and empty texts have no words, no labels and score 0; a line that is no expression
-gives the identifiers it starts with; unknown identifiers are labels too, with risk 0.5; repeated rows give
-repeated results; texts of any length are scanned whole.
+one space between them, so that one automaton pass finds every notice phrase and every sign of an expression (a tag,
+an identifier with a number, an identifier beside an operator) whatever stands between the words. Where there is
+such a sign, the raw text is read for expressions: after an identifier tag (to the end of the line), after a field
+called license (if it names known identifiers alone), anywhere else where known identifiers are joined by AND, OR
+or WITH in capitals, and known identifiers with a hyphen and a number by themselves. AND binds closer than OR, WITH closest; the expression's
+labels join the document's, and its risk is the lowest risk of the alternatives, the highest of the parts that hold
+together, and half of a licence with an exception.
+
+Defined results: null and empty texts have no words, no labels and score 0; a tagged line that is no expression
+gives the identifiers it starts with; unknown identifiers after a tag are labels too, with risk 0.5; repeated rows
+give repeated results; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -46,15 +49,34 @@ NOTICES = {
     "unlicense": "unlicense",
 }
 TAG = "spdx license identifier"
+#: Identifiers of common licences.
+IDENTIFIERS = """
+0BSD AFL-2.1 AFL-3.0 AGPL-1.0-only AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0
+Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-1.0 CC-BY-2.0
+CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0
+CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPAL-1.0 CPL-1.0 ECL-2.0 EFL-2.0
+Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.2 GFDL-1.3 GPL-1.0-only GPL-2.0 GPL-2.0-only GPL-2.0-or-later
+GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPL-1.02
+LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 ODC-By-1.0
+OFL-1.1 OpenSSL OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Sleepycat
+SSPL-1.0 Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
+""".split()
+KNOWN = frozenset(x.lower() for x in IDENTIFIERS)
 #: How far a label limits reuse, 0 to 1; labels are matched by their longest listed beginning.
 RISK = {
     "cc0": 0.05, "public-domain": 0.05, "unlicense": 0.05, "mit": 0.1, "isc": 0.1, "bsd": 0.1, "0bsd": 0.05, "bsl": 0.1,
-    "zlib": 0.1, "apache": 0.15, "cc-by": 0.2, "mpl": 0.4, "epl": 0.4, "cc-by-sa": 0.5, "lgpl": 0.5, "cc-by-nd": 0.7,
+    "zlib": 0.1, "x11": 0.1, "ncsa": 0.1, "upl": 0.1, "wtfpl": 0.05, "postgresql": 0.1, "python": 0.1, "psf": 0.1, "blueoak": 0.1, "apache": 0.15,
+    "artistic": 0.3, "ofl": 0.2, "cc-by": 0.2, "mpl": 0.4, "epl": 0.4, "cddl": 0.4, "cc-by-sa": 0.5, "lgpl": 0.5, "eupl": 0.5, "odbl": 0.5, "cc-by-nd": 0.7,
+    "osl": 0.7, "sspl": 0.8, "busl": 0.8, "elastic": 0.8, "cc-by-nc-nd": 0.8, "cc-by-nc-sa": 0.8,
     "gpl": 0.7, "cc-by-nc": 0.8, "agpl": 0.8, "reserved": 1.0,
 }
 _BINDS = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.:+-]*")
-_TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.:+-]*[A-Za-z0-9+])?")
+_TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*[\"']?([^\r\n\"']*)", re.IGNORECASE | re.ASCII)
+_FIELD = re.compile(r"\blicen[sc]e[\"']?[ \t]*[:=][ \t]*[\"']?([^\r\n\"',;]*)", re.IGNORECASE | re.ASCII)
+_OPERAND = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+_JOINED = re.compile(rf"{_OPERAND}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{_OPERAND}\)*)+", re.ASCII)
+_NUMBERED = re.compile(r"(?<![A-Za-z0-9.+-])(?=[A-Za-z0-9.]*-)(?=[A-Za-z.-]*[0-9])" + _OPERAND, re.ASCII)
 
 _KEEP = np.zeros(256, dtype=bool)
 _KEEP[0x30:0x3A] = _KEEP[0x61:0x7B] = _KEEP[0x80:] = True
@@ -62,11 +84,26 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
+def _words_of(text: str) -> str:
+    """A text as its words with one space between them, as texts are searched."""
+    return " ".join(re.findall(r"[0-9a-z]+", text.lower()))
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
+    """What is looked for, by its words: (kind, label); signs of an expression have no label."""
+    found: dict[str, tuple[str, str]] = {}
+    for name in IDENTIFIERS:
+        words = _words_of(name)
+        for sign in (f"{words} or", f"or {words}", f"{words} and", f"and {words}", f"{words} with", f"license {words}", f"licence {words}"):
+            found[sign] = ("sign", "")
+        if re.search(r"\d", name) and " " in words:
+            found[words] = ("sign", "")
+    found |= {phrase: ("label", label) for phrase, label in NOTICES.items()}
+    found |= {phrase: ("base", label) for phrase, label in BASE.items()} | {TAG: ("sign", "")}
     out = ahocorasick.Automaton()
-    for phrase in {*BASE, *NOTICES, TAG}:
-        out.add_word(f" {phrase} ", phrase)
+    for phrase, what in found.items():
+        out.add_word(f" {phrase} ", (phrase, *what))
     out.make_automaton()
     return out
 
@@ -142,33 +179,61 @@ def collapse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, at, words
 
 
-def scan_text(words: str, raw: str | None) -> tuple[list[int], set[str], set[str], float]:
-    """(word indexes of base places, base labels, all labels, score) of a collapsed text; raw is read for tags only."""
+def expressions(raw: str) -> list[tuple[set[str], float]]:
+    """(labels, risk) of every expression of a raw text."""
+    out = [evaluate(parse(m[1])) for m in _TAG_LINE.finditer(raw)]
+    for m in _FIELD.finditer(raw):
+        postfix = parse(m[1])
+        if _known(postfix) and not _TOKEN.sub("", m[1]).strip() and len(postfix) == sum(x not in "()" for x in _TOKEN.findall(m[1])):
+            out.append(evaluate(postfix))
+    for m in _JOINED.finditer(raw):
+        start = m.start()
+        while start and raw[start - 1] == "(":
+            start -= 1
+        postfix = parse(raw[start : m.end()])
+        if _known(postfix):
+            out.append(evaluate(postfix))
+    inner = set().union(*(x for x, _ in out))
+    alone = {m[0].lower() for m in _NUMBERED.finditer(raw)} - inner
+    return out + [evaluate([x]) for x in sorted(alone) if x.rstrip("+") in KNOWN]
+
+
+def _known(postfix: list[str]) -> bool:
+    """Whether there are operands and all are known identifiers, but for exceptions after WITH."""
+    stack: list[tuple[str, ...]] = []
+    for token in postfix:
+        if token in _BINDS and len(stack) > 1:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if token == "with" else left + right)
+        elif token not in _BINDS:
+            stack.append((token.rstrip("+"),))
+    return bool(stack) and all(x in KNOWN for part in stack for x in part)
+
+
+def scan_text(words: str, raw: pa.StringScalar) -> tuple[list[int], set[str], set[str], float]:
+    """(word indexes of base places, base labels, all labels, score) of a collapsed text; raw is read for expressions."""
     places: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
-    tagged = False
-    score = 0.0
-    for end, phrase in automaton().iter(words):
-        if phrase == TAG:
-            tagged = True
-        elif phrase in BASE:
+    signs = False
+    for end, (phrase, kind, label) in automaton().iter(words):
+        if kind == "base":
             places.append(end - len(phrase))
-            base.add(BASE[phrase])
+            base.add(label)
+        elif kind == "label":
+            labels.add(label)
         else:
-            labels.add(NOTICES[phrase])
+            signs = True
     places.sort()
     at = index = 0
     for i, place in enumerate(places):  # from characters to words, counting each stretch once
         index += words.count(" ", at, place)
         places[i], at = index - 1, place
-    score = max((risk(x) for x in base | labels), default=0.0)
-    if tagged and raw:
-        for m in _TAG_LINE.finditer(raw):
-            found, level = evaluate(parse(m[1]))
-            labels |= found
-            score = max(score, level)
-    return places, base, base | labels, score
+    found = expressions(raw.as_py()) if signs else []
+    inner = set().union(*(x for x, _ in found))
+    # what stands in an expression counts there, by its alternatives
+    score = max([risk(x) for x in base | labels if x not in inner] + [level for _, level in found], default=0.0)
+    return places, base, base | labels | inner, score
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,8 +250,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 rows = []
                 for i in range(len(ids)):
                     line = whole[at[i] : at[i + 1]].decode("utf-8", "replace")
-                    raw = texts[i].as_py() if " spdx license identifier " in line else None
-                    places, base, labels, score = scan_text(line, raw)
+                    places, base, labels, score = scan_text(line, texts[i])
                     rows.append((int(words[i]), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], type=schema.field(k + 1).type) for k in range(7))], schema=schema)
 
