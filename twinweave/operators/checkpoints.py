@@ -13,7 +13,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How tables are written: shuffle files go at the end, and what Python workers are sent at once is bounded.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 LOCAL_DEFAULT = "/tmp/twinweave-checkpoints"
 
 
@@ -29,24 +30,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries begun inside remove their shuffle files when they end."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with shuffles_removed(spark):
+    with _writing(spark):
         df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.written_to = path
