@@ -1,22 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing (operator 4).
 
 Every document of a source waits in a queue whose order is a shuffle by hash; a queue may be served ``repeats``
-times over. A document's virtual finish time is the words of its source up to and with it, divided by the
-source's target. The mix is the stream of all documents and rounds, range-sorted by virtual finish time and written.
-Sources are served side by side in proportion to their targets, so by virtual time v the mix has grown to v
-times the sum of the targets. The cut is taken for each source, at the virtual time at which that reaches the
-total budget: the one document of each source that is in service then is cut there. The order of the written
-stream has no part in it.
+times over. Documents are served in packets of at most QUANTUM words. A packet's virtual finish time is the words of
+its source up to and with it, divided by the source's target. All packets are range-sorted by virtual finish time
+and written; the mix is the beginning of this stream, up to the packet with which the running total of words
+reaches the budget, which is cut there. Running totals come from one sum for each range and, in the range where
+the budget ends, from its rows. As sources are served side by side, each ends within a packet or two of its target.
 
 Targets: weights repeat over the sources in code point order (null last); no target exceeds ``repeats``
-times its source's size, and what that leaves over is shared again by weight.
+times its source's size, and what that leaves over is shared again by weight. The budget is the sum of all targets
+unless a smaller one is given; packets that begin beyond virtual time 1 are not made, as the budget is spent by then.
 
 Plan: one scan for sizes, written to the shared folder; prefix sums in two steps (hash ranges of a source,
 then rows within a range), so that a source with a third of all rows is spread over BUCKETS tasks' worth of
-ranges. Only one row for each source, and one for each source and range, meet in a wider window.
+ranges. Only one row for each source, one for each source and range, and one for each range of the stream meet in a
+wider window.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source of its own, last in
-order; a source without words has target 0; equal rows share the same place in order, one after another.
+order; a source without words has target 0; equal rows share the same place in order, one after another; further
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import WORD, materialise
+from twinweave.llm.common import WORD
+from twinweave.operators.checkpoints import discard, materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 BUCKETS = 4096
 SEED = "mix1"
+#: Words of a packet.
+QUANTUM = 64
 
 
 def word_count(text: str = "text") -> Column:
@@ -71,39 +76,63 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     rows = sizes.alias("s").join(ranges.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.bucket") == F.col("r.bucket")))
     within = Window.partitionBy("s.source", "s.bucket").orderBy("key", "doc_id", *[f"s.{c}" for c in keep], "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    return rows.select("row_id", "doc_id", *[f"s.{c}" for c in keep], "s.source", "size", "source_size", "target", "all_targets", start.alias("start"))
+    return rows.select("row_id", "doc_id", "key", *[f"s.{c}" for c in keep], "s.source", "size", "source_size", "target", "all_targets", start.alias("start"))
 
 
-def stream(planned: DataFrame, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
-    """The mix: a row for each document and round that is served, range-sorted by virtual finish time, truncated at the budget.
-
-    The budget is the sum of all targets unless another, smaller one is given.
-    """
-    end = F.lit(1.0) if budget is None else F.least(F.lit(1.0), F.lit(float(budget)) / F.col("all_targets"))
+def packets(planned: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """A row for each packet of each document and round, with its words and its virtual finish time."""
     rounds = planned.where("target > 0 and size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    begun = F.col("source_size") * F.col("round") + F.col("start")
-    rounds = rounds.withColumn("finish", (begun + F.col("size")) / F.col("target"))
-    rounds = rounds.withColumn("words", F.least(F.col("size"), F.floor(end * F.col("target") + 0.5) - begun)).where("words > 0")
-    return rounds.repartitionByRange(F.col("finish"), F.col("row_id")).sortWithinPartitions("finish", "row_id", "round")
+    rounds = rounds.withColumn("begun", F.col("source_size") * F.col("round") + F.col("start")).where("begun < target")
+    last = F.least(F.col("size") - 1, F.ceil(F.col("target") - F.col("begun")) - 1)
+    rounds = rounds.withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / QUANTUM))))
+    done = F.least(F.col("size"), (F.col("packet") + 1) * QUANTUM)
+    return rounds.withColumn("words", done - F.col("packet") * QUANTUM).withColumn("finish", (F.col("begun") + done) / F.col("target"))
+
+
+def served(planned: DataFrame, repeats: int = REPEATS, budget: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, *keep, source, round, finish, all_targets, place, words) of the packets that are served, the last one cut where the budget ends."""
+    order = ["finish", F.col("source").isNull(), "source", "round", "key", "doc_id", "size", "packet", "row_id"]
+    sent = packets(planned, repeats).select("row_id", *keep, "round", "finish", "words", "all_targets", *[c for c in ("source", "key", "doc_id", "size", "packet") if c not in keep])
+    spread = sent.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    columns = ["row_id", *keep, "source", "round", "finish", "all_targets", "place"]
+    held = materialise(spread.withColumn("place", place).select(*columns, "words"), "mix-stream")
+    part = F.shiftright("place", 33).alias("part")
+    most = F.col("all_targets") if budget is None else F.least(F.col("all_targets"), F.lit(float(budget)))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.groupBy(part).agg(F.sum("words").alias("total"), F.floor(F.first(most) + 0.5).alias("budget"))
+    ranges = ranges.select("part", "total", "budget", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before")).where("before < budget")
+    rows = held.withColumn("part", part).join(F.broadcast(ranges), "part")  # one row for each range
+    upto = F.sum("words").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    whole = rows.where("before + total <= budget").select(*columns, "words")
+    at_end = rows.where("before + total > budget").withColumn("left", F.col("budget") - F.col("before") - F.coalesce(upto, F.lit(0)))
+    return whole.unionByName(at_end.where("left > 0").select(*columns, F.least("words", "left").alias("words")))
+
+
+def stream(planned: DataFrame, repeats: int = REPEATS, budget: float | None = None) -> DataFrame:
+    """The packets that are served, in order of virtual finish time."""
+    return served(planned, repeats, budget).orderBy("place")
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words that the mix takes of every document, over all rounds."""
     planned = materialise(plan(documents, **options), "mix-plan")
-    mixed = materialise(stream(planned, options.get("repeats", REPEATS)), "mix")
+    mixed = served(planned, options.get("repeats", REPEATS))
     taken = mixed.groupBy("row_id").agg(F.sum("words").alias("words"))
     return planned.join(taken, "row_id", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """Documents as the mix serves them: a row for each round, the document in service at the cut whole; the columns stay.
+    """Documents as the mix serves them: a row for each round of which a packet is served, the text whole; the columns stay.
 
     Rows are recognised by a 64-bit hash of all their columns; equal rows share out their rounds.
     """
     columns = documents.columns
-    keyed = documents.withColumn("__row", F.xxhash64(*columns))
-    rounds = stream(plan(keyed, keep=("__row",))).groupBy("__row").agg(F.count(F.lit(1)).alias("__rounds"))
-    alike = Window.partitionBy("__row")
-    out = keyed.join(rounds, "__row").withColumn("__place", F.row_number().over(alike.orderBy("__row"))).withColumn("__alike", F.count(F.lit(1)).over(alike))
-    copies = F.floor((F.col("__rounds") + F.col("__alike") - F.col("__place")) / F.col("__alike")).cast("int")
-    return out.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    whole = documents.select(F.struct("*").alias("d"), F.xxhash64(*columns).alias("k"))
+    sizes = whole.select("d.doc_id", "d.source", "d.text", "k")
+    taken = served(plan(sizes, keep=("k",)), keep=("k",)).groupBy("k", "row_id", "round").agg(F.sum("words").alias("words"))
+    rounds = taken.groupBy("k").agg(F.count(F.lit(1)).alias("rounds"))
+    alike = Window.partitionBy("k")
+    out = whole.join(rounds, "k").withColumn("place", F.row_number().over(alike.orderBy("k"))).withColumn("alike", F.count(F.lit(1)).over(alike))
+    copies = F.floor((F.col("rounds") + F.col("alike") - F.col("place")) / F.col("alike")).cast("int")
+    return out.withColumn("copies", copies).where("copies > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")

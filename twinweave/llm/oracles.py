@@ -10,14 +10,17 @@ _WORDS = f"regexp_extract_all(coalesce(text, ''), '{_WORD}')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4 = f"""
-WITH sizes AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
+WITH sizes AS (SELECT row_number() OVER () AS rid, doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 weighed AS (SELECT *, list_extract([3, 1, 2], (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::BIGINT AS weight, (source_size * 2)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM per),
 levels AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / (sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS l FROM weighed),
 targets AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM (SELECT *, max(CASE WHEN l * weight <= cap THEN l END) OVER () AS level FROM levels)),
-queued AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sizes)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target + 0.5) - start)) + greatest(0, least(size, floor(target + 0.5) - source_size - start)))::BIGINT AS taken
-FROM queued JOIN targets ON queued.source IS NOT DISTINCT FROM targets.source
+queued AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sizes),
+rounds AS (SELECT rid, key, doc_id, queued.source, size, source_size, target, round, source_size * round + start AS begun FROM queued JOIN targets ON queued.source IS NOT DISTINCT FROM targets.source, (SELECT unnest([0, 1]) AS round)),
+packets AS (SELECT *, least({mixing.QUANTUM}, size - {mixing.QUANTUM} * k) AS words, (begun + least(size, {mixing.QUANTUM} * (k + 1)))::DOUBLE / target AS finish FROM (SELECT *, unnest(range(0, (size + {mixing.QUANTUM} - 1) // {mixing.QUANTUM})) AS k FROM rounds WHERE target > 0 AND size > 0)),
+stream AS (SELECT rid, words, sum(words) OVER (ORDER BY finish, source IS NULL, source, round, key, doc_id, size, k ROWS UNBOUNDED PRECEDING) AS upto FROM packets),
+taken AS (SELECT rid, sum(greatest(0, least(words, (SELECT floor(sum(target) + 0.5) FROM targets) - (upto - words)))) AS taken FROM stream GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queued JOIN targets ON queued.source IS NOT DISTINCT FROM targets.source LEFT JOIN taken USING (rid)
 """
 
 OP10 = f"""
