@@ -7,7 +7,6 @@ raw string buffer, without building Python strings.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,22 +30,6 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder; a local default only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "/tmp/twinweave-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, step: Callable[..., list], schema: str, *args) -> DataFrame:
     """Apply ``step(columns: list of lists, *args) -> list of lists`` to bounded slices of Arrow batches."""
 

@@ -5,29 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import materialise
-
-MAX_ROUNDS = 60
+from twinweave.operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable by edges (a, b), for every node that has one.
-
-    Labels only fall, so a round that leaves their sum as it was has changed nothing. Each round takes the
-    least label among neighbours, then the label's own label, so chains shorten by doubling. Labels live in
-    the shared checkpoint folder; the driver sees one sum a round.
-    """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = materialise(both.where("node <> other").distinct(), "edges")
-    labels = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
-    before = None
-    for _ in range(MAX_ROUNDS):
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now is None or now == before:
-            return labels
-        before = now
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
-        own = labels.select(F.col("node").alias("component"), F.col("component").alias("deeper"))
-        labels = materialise(lower.join(own, "component", "left").select("node", F.least("component", F.coalesce("deeper", "component")).alias("component")), "labels")
-    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+    """(node, component): the smallest node reachable by edges (a, b), for every node that has one."""
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+    return graph.components(pairs).select(F.col("item_idx").alias("node"), F.col("component_id").alias("component"))

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, materialise, mix64, slices, span_hashes, text_bytes, word_bounds
+from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, mix64, slices, span_hashes, text_bytes, word_bounds
+from twinweave.operators.checkpoints import discard, materialise
 
 DEPTH = 3
 LEAST = 2
