@@ -119,6 +119,6 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
-    score = train(documents, labels).score(features("__stats."))
-    return documents.withColumn("__stats", stats_column()).where(score >= THRESHOLD).select(*documents.columns)
+    """The documents that the classifier does not reject, with all their columns, whatever their names."""
+    score = train(documents, labels).score(features("stats."))
+    return documents.select(F.struct("*").alias("d"), stats_column().alias("stats")).where(score >= THRESHOLD).select("d.*")
