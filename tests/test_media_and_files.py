@@ -128,6 +128,47 @@ def test_exif():
     assert got["exposure_seconds"] == pytest.approx(0.004)
 
 
+def tiff(pixels, packing=1, predictor=1):
+    h, w, n = pixels.shape
+    raw = np.concatenate([pixels[:, :1], np.diff(pixels, axis=1)], axis=1) if predictor == 2 else pixels
+    body = {1: bytes, 8: zlib.compress, 32773: lambda b: b"".join(bytes([len(c) - 1]) + c for c in (b[i : i + 128] for i in range(0, len(b), 128)))}[packing](raw.astype(np.uint8).tobytes())
+    entries = [(0x100, 3, 1, w), (0x101, 3, 1, h), (0x102, 3, 1, 8), (0x103, 3, 1, packing), (0x106, 3, 1, 2 if n > 1 else 1), (0x111, 4, 1, 8), (0x115, 3, 1, n), (0x116, 3, 1, h), (0x117, 4, 1, len(body)), (0x13D, 3, 1, predictor)]
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4)
+
+
+@pytest.mark.parametrize("packing,predictor,samples", [(1, 1, 3), (8, 1, 3), (8, 2, 3), (32773, 1, 3), (1, 1, 1), (8, 2, 4)])
+def test_tiff_pixels(packing, predictor, samples):
+    pixels = np.random.default_rng(2).integers(0, 256, (13, 17, samples), dtype=np.uint8)
+    want = np.repeat(pixels, 3, axis=2) if samples == 1 else pixels[:, :, :3]
+    assert np.array_equal(images.decode_tiff(tiff(pixels, packing, predictor)), want)
+
+
+def test_every_file_is_decoded_or_failed(spark, tmp_path):
+    pixels = np.random.default_rng(3).integers(0, 256, (12, 15, 3), dtype=np.uint8)
+    for name, data in {"a.png": png(pixels), "b.tif": tiff(pixels, 8, 2), "c.png": b"broken", "d.tiff": b"II*\0" + bytes(20), "e.webp": b"RIFF0000WEBPVP8 ", "f.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {os.path.basename(r["path"]): r for r in images.decoded_or_failed(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["a.png", "b.tif", "c.png", "d.tiff", "e.webp"]
+    assert [n for n, r in rows.items() if r["error"] is None and r["image"] is not None] and {n for n, r in rows.items() if r["error"]} == {"c.png", "d.tiff", "e.webp"}
+    for n in ("a.png", "b.tif"):
+        im = rows[n]["image"]
+        assert np.array_equal(imaging.from_image_struct(im["height"], im["width"], im["nChannels"], im["data"]), pixels)
+
+
+def test_resolution_by_the_header():
+    assert images.properties(bmp(framed(4, 4)))["dpi_x"] == pytest.approx(2835 * 0.0254)
+    jfif = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0\1\1\1" + struct.pack(">HH", 300, 150) + b"\0\0" + b"\xff\xc0" + struct.pack(">HBHH", 8, 8, 33, 44) + b"\x01\xff\xda"
+    got = images.properties(jfif)
+    assert (got["dpi_x"], got["dpi_y"], got["width"]) == (300.0, 150.0, 44)
+
+
+def test_depth_of_a_scan(spark, tmp_path):
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "deep" / "in").mkdir(parents=True)
+    assert not files.ScanRoot(str(tmp_path / "flat")).deep and files.ScanRoot(str(tmp_path / "deep")).deep
+    assert not files.ScanRoot(str(tmp_path / "deep"), recursive=False).deep
+
+
 def test_videos(spark):
     raw = spark.createDataFrame([("/v.mp4", 61.5, 25000, 4, 3, 1500000, 0, 0, "", "", "", 0, 2)], videos.RAW)
     row = videos.derive(raw).first()

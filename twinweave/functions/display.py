@@ -175,6 +175,15 @@ def progress_percent(current: Column | str, total: Column | str) -> Column:
     return F.when(_col(total) > 0, _col(current).cast("double") / F.nullif(_col(total), F.lit(0)).cast("double") * 100).otherwise(F.lit(0.0))
 
 
+def progress_value(current: Column | str, total: Column | str) -> Column:
+    """Progress from 0 to 1; 0 where there is nothing to do."""
+    return F.when(_col(total) > 0, _col(current).cast("double") / F.nullif(_col(total), F.lit(0)).cast("double")).otherwise(F.lit(0.0))
+
+
+def progress_complete(current: Column | str, total: Column | str) -> Column:
+    return _col(current) >= _col(total)
+
+
 def progress_text(operation: Column | str, current: Column | str, total: Column | str) -> Column:
     known = F.format_string("%s %,d/%,d (%.1f%%)", _col(operation), _col(current).cast("long"), _col(total).cast("long"), progress_percent(current, total))
     return F.when(_col(total) > 0, known).otherwise(_col(operation))

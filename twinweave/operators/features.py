@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.config import Normalisation, Settings
+from twinweave.sources.files import model_file
 
 
 class Embedder(Protocol):
@@ -48,6 +49,12 @@ def fixed_batch(shape: list) -> int | None:
     return shape[0] if isinstance(shape[0], int) and shape[0] > 0 else None
 
 
+def input_size(shape: list, settings: Settings) -> tuple[int, int]:
+    """(height, width) of a model's input in the settings' layout; the settings' size where the model leaves them open."""
+    sides = shape[2:4] if settings.layout == "NCHW" else shape[1:3]
+    return tuple(x if isinstance(x, int) and x > 0 else settings.size for x in sides)
+
+
 _sessions: dict[int, object] = {}
 
 
@@ -94,10 +101,7 @@ class OnnxEmbedder:
 
     def __init__(self, model: bytes | str, settings: Settings | None = None):
         if isinstance(model, str):
-            if not model.lower().endswith(".onnx"):
-                raise ValueError("a model file ends in .onnx")
-            with open(model, "rb") as f:
-                model = f.read()
+            model = model_file(model)
         self.model, self.settings = model, settings or Settings()
 
     def embed(self, items: DataFrame) -> DataFrame:
@@ -110,13 +114,14 @@ class OnnxEmbedder:
             shape = model_shape(session)
             insists = fixed_batch(shape["input_shape"])
             size = min(settings.batch_size, insists or settings.batch_size)
+            height, width = input_size(shape["input_shape"], settings)
             call = lambda x: session.run([shape["output"]], {shape["input"]: x})[0]
             for rows in batches:
-                good = rows[(rows["width"] == settings.size) & (rows["height"] == settings.size) & rows["pixels"].notna()]
+                good = rows[(rows["width"] == width) & (rows["height"] == height) & rows["pixels"].notna()]
                 vectors: dict[int, np.ndarray | None] = {}
                 for at in range(0, len(good), size):
                     part = good.iloc[at : at + size]
-                    pixels = np.stack([np.frombuffer(p, np.uint8).reshape(settings.size, settings.size, 3) for p in part["pixels"]])
+                    pixels = np.stack([np.frombuffer(p, np.uint8).reshape(height, width, 3) for p in part["pixels"]])
                     vectors |= dict(zip(part.index, infer(call, tensor(pixels, settings.normalisation, settings.layout), insists), strict=True))
                 features = [vectors.get(i) for i in rows.index]
                 yield pd.DataFrame({"item_idx": rows["item_idx"], "features": features, "feature_dims": [None if f is None else [1, len(f)] for f in features]})

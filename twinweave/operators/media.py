@@ -84,9 +84,13 @@ def clear(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
-def counters(items: DataFrame, path: str = "file_path", features: str = "features") -> DataFrame:
-    """Items, images, videos and items with features, in one row."""
+def counters(items: DataFrame, path: str = "file_path", features: str = "features", source: str = "source_id", processed: str = "processed_path") -> DataFrame:
+    """Sources, items, images, videos, processed items and items with features, in one row; those whose column is not there are 0."""
+    held = items.columns
+    is_processed = F.coalesce(F.col(processed) != "", F.lit(False)) if processed in held else F.lit(False)
     return items.agg(
+        (F.count_distinct(source) if source in held else F.lit(0).cast("long")).alias("n_sources"),
+        F.count_if(is_processed).alias("n_processed"),
         F.count(F.lit(1)).alias("n_items"),
         F.count_if(paths.is_image(path)).alias("n_images"),
         F.count_if(paths.is_video(path)).alias("n_videos"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from twinweave.functions.display import CHANNEL_NAMES, FLASH_MODES
 from twinweave.functions.paths import IMAGE_EXTENSIONS, RESERVED_NAMES, VIDEO_EXTENSIONS
+from twinweave.plans import imaging_queries
 from twinweave.plans.queries import EXTENSIONS
 
 _list = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
@@ -135,7 +136,7 @@ reach AS (SELECT a AS item, a AS r FROM e UNION SELECT e.b, reach.r FROM reach J
     "media_items": f"WITH {_media()} SELECT item_idx, NULL::INTEGER AS frame_index, FALSE AS processed, TRUE AS no_features FROM media WHERE {_IMAGE}",
     "featured_items": f"WITH {_GAPS} SELECT item_idx, len(features)::INTEGER AS dims FROM gaps WHERE features IS NOT NULL",
     "processed_items": f"WITH {_GAPS} SELECT item_idx, processed_path FROM gaps WHERE processed_path <> ''",
-    "item_counters": f"WITH {_GAPS} SELECT count(*) AS n_items, count(*) FILTER (WHERE {_IMAGE}) AS n_images, count(*) FILTER (WHERE {_VIDEO}) AS n_videos, count(features) AS n_featured FROM gaps",
+    "item_counters": f"WITH {_GAPS} SELECT (SELECT count(DISTINCT source_id) FROM media) AS n_sources, count(*) FILTER (WHERE processed_path <> '') AS n_processed, count(*) AS n_items, count(*) FILTER (WHERE {_IMAGE}) AS n_images, count(*) FILTER (WHERE {_VIDEO}) AS n_videos, count(features) AS n_featured FROM gaps",
     "remove_items_by_path": f"WITH {_media()} SELECT item_idx FROM media WHERE file_path NOT IN {_REMOVED}",
     "sources_with_items": "SELECT DISTINCT label AS source_id FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 50 = 3)",
     "video_frames": f"WITH {_media()} SELECT item_idx, f::INTEGER AS frame_index, f / 25.0::DOUBLE AS frame_seconds FROM media, range(4) r(f) WHERE {_VIDEO} AND f < item_idx % 4",
@@ -174,3 +175,4 @@ _ORDERS = {
 }
 ORACLE_SQL |= {f"select_keep_{k}": f"WITH {_MEMBERS} " + _KEEP.format(order=v) for k, v in _ORDERS.items()}
 ORACLE_SQL |= {f"select_keep_{k}": f"WITH {_MEMBERS} SELECT group_id, item_idx, {v} AS is_selected FROM members" for k, v in (("all", "FALSE"), ("none", "TRUE"))}
+ORACLE_SQL |= imaging_queries.ORACLE_SQL

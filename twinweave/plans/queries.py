@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from twinweave.config import IMAGENET, Settings
 from twinweave.functions import display, paths, vectors
 from twinweave.operators import actions, clustering, graph, groups, imaging, media, selection, similarity
+from twinweave.plans import imaging_queries
 
 THRESHOLD = 0.40
 EXTENSIONS = (".jpg", ".PNG", ".jpeg", ".txt", ".gif", ".MP4", ".bmp", ".onnx", ".webp", ".tif")
@@ -391,3 +392,4 @@ QUERIES |= {
     f"select_keep_{k}": _selected(s)
     for k, s in (("highest_res", "KeepHighestResolution"), ("lowest_res", "KeepLowestResolution"), ("newest", "KeepNewest"), ("oldest", "KeepOldest"), ("largest", "KeepLargestFileSize"), ("smallest", "KeepSmallestFileSize"), ("all", "KeepAll"), ("none", "KeepNone"))
 }
+QUERIES |= imaging_queries.QUERIES

@@ -17,10 +17,20 @@ _LISTED = "file_path string, file_size long, modified_at timestamp, root string,
 
 @dataclass(frozen=True)
 class ScanRoot:
-    """A folder to scan; by default deep if it has folders inside."""
+    """A folder to scan; with no word on depth, deep if it has folders inside (as the driver sees it; on other file systems deep)."""
 
     path: str
-    recursive: bool = True
+    recursive: bool | None = None
+
+    @property
+    def deep(self) -> bool:
+        if self.recursive is not None:
+            return self.recursive
+        try:
+            with os.scandir(self.path) as found:
+                return any(x.is_dir() for x in found)
+        except OSError:
+            return True
 
 
 def add_root(roots: list[ScanRoot], root: ScanRoot) -> list[ScanRoot]:
@@ -30,15 +40,30 @@ def add_root(roots: list[ScanRoot], root: ScanRoot) -> list[ScanRoot]:
     return [*roots, root]
 
 
+def _listing(spark: SparkSession, path: str, deep: bool) -> DataFrame:
+    """Files of a folder; if some folder inside refuses, of the top alone."""
+
+    def load(recursive: bool) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").load(path)
+
+    try:
+        return load(deep)  # the folders are listed here
+    except Exception as e:
+        if not deep or "denied" not in str(e).lower():
+            raise
+        return load(False)
+
+
 def scan(spark: SparkSession, roots: list[ScanRoot], kinds: str = "image") -> DataFrame:
     """Media files under the roots, each path once, with size, time and the first root that holds it.
 
-    Spark lists the folders; file contents are pruned from the scan. Later roots only add provenance.
+    Spark lists the folders; file contents are pruned from the scan. Later roots only add provenance. A root
+    whose folders cannot all be listed gives the files at its top alone.
     """
     test = {"image": paths.is_image, "video": paths.is_video, "media": paths.is_media}[kinds]
     listed = None
     for seq, root in enumerate(roots):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(root.recursive).lower()).option("ignoreMissingFiles", "true").load(root.path)
+        files = _listing(spark, root.path, root.deep)
         path = F.regexp_replace("path", "^file:/*", "/")
         found = files.select(path.alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"), F.lit(root.path).alias("root"), F.lit(seq).cast("long").alias("scan_seq")).where(test("file_path"))
         listed = found if listed is None else listed.unionByName(found)

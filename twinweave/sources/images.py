@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinweave.functions import paths
 
 META = (
     "width int, height int, dpi_x double, dpi_y double, pixel_format string, has_alpha boolean, bits_per_pixel int, orientation int, camera_make string, camera_model string, "
@@ -134,9 +139,62 @@ def properties(data: bytes) -> dict:
         if at > 0 and data[at + 12] == 1:
             x, y = struct.unpack(">II", data[at + 4 : at + 12])
             out["dpi_x"], out["dpi_y"] = x * 0.0254, y * 0.0254
+    elif (density := _density(data)) and min(density) > 0:
+        out["dpi_x"], out["dpi_y"] = density
     return out
 
 
+def _density(data: bytes) -> tuple[float, float] | None:
+    """Dots per inch by the header of a JPEG, BMP or TIFF file, where it says so."""
+    if data[:2] == b"\xff\xd8":
+        for marker, body in _segments(data):
+            if marker == 0xE0 and body[:5] == b"JFIF\0":
+                unit, x, y = struct.unpack(">BHH", body[7:12])
+                return {1: (float(x), float(y)), 2: (x * 2.54, y * 2.54)}.get(unit)
+    elif data[:2] == b"BM" and len(data) >= 46:
+        x, y = struct.unpack("<ii", data[38:46])
+        return x * 0.0254, y * 0.0254
+    elif data[:4] in (b"II*\0", b"MM\0*"):
+        tags = read_tags(data)
+        if 0x011A in tags and 0x011B in tags:
+            scale = {1: 0.0, 3: 2.54}.get(int(tags.get(0x0128, [2])[0]), 1.0)
+            return tags[0x011A][0] * scale, tags[0x011B][0] * scale
+    return None
+
+
+def _unpack_bits(raw: bytes) -> bytes:
+    """Bytes of the run-length scheme of TIFF files."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            if n > 128:
+                out += raw[at + 1 : at + 2] * (257 - n)
+            at += 2
+    return bytes(out)
+
+
+def decode_tiff(data: bytes) -> np.ndarray:
+    """RGB pixels of a TIFF file in strips of 8-bit gray, RGB or RGBA samples: plain, deflated or run-length coded; an error for others."""
+    tags = read_tags(data)
+    one = lambda tag, other: int(tags.get(tag, [other])[0])
+    width, height, samples, packing = one(0x0100, 0), one(0x0101, 0), one(0x0115, 1), one(0x0103, 1)
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits}.get(packing)
+    if unpack is None or any(b != 8 for b in tags.get(0x0102, [1])) or samples not in (1, 3, 4) or one(0x011C, 1) != 1 or 0x0111 not in tags or one(0x0106, 1) > 2:
+        raise ValueError("a kind of TIFF that is not read")
+    raw = b"".join(unpack(data[int(a) : int(a) + int(n)]) for a, n in zip(tags[0x0111], tags[0x0117], strict=True))
+    pixels = np.frombuffer(raw[: width * height * samples], np.uint8).reshape(height, width, samples)
+    if one(0x013D, 1) == 2:
+        pixels = np.cumsum(pixels, axis=1, dtype=np.uint8)
+    if samples == 1:
+        pixels = 255 - pixels if one(0x0106, 1) == 0 else pixels
+        return np.repeat(pixels, 3, axis=2)
+    return np.ascontiguousarray(pixels[:, :, :3])
+
+
 def read_metadata(data: bytes) -> dict:
     """All of META; what cannot be read is null, with the error's text."""
     out = dict.fromkeys(_NAMES)
@@ -162,3 +220,30 @@ def metadata(files: DataFrame) -> DataFrame:
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
     """Spark's image source: (image struct) for PNG, BMP, JPEG and GIF files; broken files are dropped."""
     return spark.read.format("image").option("dropInvalid", "true").load(folder)
+
+
+def decoded_or_failed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, image struct, error) of every image file: TIFF files too, and a row with an error for each file that cannot be read.
+
+    WebP files are accepted by the scan, but no reader of this engine's core takes them: they are such rows.
+    """
+    files = spark.read.format("binaryFile").load(folder).select("path", "content").where(paths.is_image("path"))
+    is_tiff = F.substring("content", 1, 4).isin(bytearray(b"II*\0"), bytearray(b"MM\0*"))
+    kind = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+    def tiffs(batches):
+        for rows in batches:
+            made = []
+            for path, content in zip(rows["path"], rows["content"], strict=True):
+                try:
+                    pixels = decode_tiff(content)
+                    made.append((path, pixels.shape[0], pixels.shape[1], 3, 16, pixels[:, :, ::-1].tobytes(), None))
+                except (ValueError, struct.error, KeyError, IndexError, zlib.error) as e:
+                    made.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(made, columns=["path", "height", "width", "nChannels", "mode", "data", "error"])
+
+    ours = files.where(is_tiff).mapInPandas(tiffs, "path string, height int, width int, nChannels int, mode int, data binary, error string")
+    ours = ours.select("path", F.when(F.col("error").isNull(), F.struct(F.col("path").alias("origin"), "height", "width", "nChannels", "mode", "data")).cast(kind).alias("image"), "error")
+    spark_s = decoded(spark, folder).select(F.col("image.origin").alias("origin"), "image")
+    others = files.where(~is_tiff).select("path").join(spark_s, F.regexp_replace("path", "^file:/*", "/") == F.regexp_replace("origin", "^file:/*", "/"), "left")
+    return ours.unionByName(others.select("path", F.col("image").cast(kind).alias("image"), F.when(F.col("image").isNull(), "no image that can be read").alias("error")))
