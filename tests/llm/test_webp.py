@@ -1,5 +1,6 @@
 """Lossless WebP: round trips over every transform, prefix groups, cache and copies; payloads; the operator."""
 
+import base64
 import hashlib
 import zlib
 
@@ -107,3 +108,24 @@ def test_operator(spark):
         assert rows[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and rows[i]["tail_crc32"] == zlib.crc32(payload[-64:])
     assert rows[7]["media_sha256"] == rows[8]["media_sha256"] and rows[0]["feature"] == rows[1]["feature"]
     assert webp.read_back(webp.store(docs.limit(0))).count() == 0
+
+
+def test_files_made_elsewhere():
+    """The lossless sample that browsers are commonly tested with: one transparent pixel, written by the format's own encoder."""
+    sample = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(sample).tolist() == [[0]]
+    assert [x.tolist() for x in webp.decode_parts(sample + sample)] == [[[0]], [[0]]]
+
+
+def test_texts_larger_than_an_image(spark, monkeypatch):
+    """With a smaller limit, long texts become several files; what is read back is whole."""
+    texts = ["", "short", "x" * 64, "0123456789" * 50, "abc" * 1000]
+    payload = [t.encode().ljust(max(64, -(-len(t) // 64) * 64), b"\0") for t in texts]
+    data = np.frombuffer(b"".join(payload), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(p) for p in payload])])
+    monkeypatch.setattr(webp, "MOST", 256)
+    files = webp.encode_parts(data, at)
+    for p, f in zip(payload, files, strict=True):
+        images = webp.decode_parts(f)
+        assert len(images) == -(-len(p) // 256)
+        assert b"".join(((x >> np.uint32(8)).astype(np.uint8).reshape(-1)[: len(p) - 256 * k]).tobytes() for k, x in enumerate(images)) == p

@@ -10,8 +10,8 @@ with subtract-green, or with a palette where at most 16 values occur, length-lim
 back-references for repeats of 32 bytes or more. ``encode_image`` writes any ARGB image with chosen
 transforms, cache and prefix groups.
 
-Defined results: a null or empty text is stored as 64 zero bytes; equal texts give equal bytes; a text may
-be up to 268 million bytes (the format's largest image), beyond which the encoder raises.
+Defined results: a null or empty text is stored as 64 zero bytes; equal texts give equal bytes; a text beyond
+268 million bytes (the format's largest image) is stored as several files, one after another.
 """
 
 from __future__ import annotations
@@ -746,6 +746,8 @@ def _residuals(image: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
 # ---------------------------------------------------------------- payloads in batches
 
 _MATCH = 32
+#: Bytes of the largest image.
+MOST = 16384 * 16384
 
 
 def shape_of(size: int) -> tuple[int, int]:
@@ -927,6 +929,28 @@ def _encode_few(gray: np.ndarray) -> bytes:
     return encode_image(np.uint32(_BLACK) | gray << np.uint32(16) | gray << np.uint32(8) | gray, [(PALETTE,)])
 
 
+def encode_parts(payload: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Each row as one file, or as several, one after another, where it is larger than an image can be."""
+    size = np.diff(at)
+    pieces = np.maximum(1, -(-size // MOST))
+    if (pieces == 1).all():
+        return encode_payloads(payload, at)
+    first = np.concatenate([[0], np.cumsum(pieces)])
+    start = np.repeat(at[:-1], pieces) + (np.arange(first[-1]) - np.repeat(first[:-1], pieces)) * MOST
+    files = encode_payloads(payload, np.append(start, at[-1]))
+    return [b"".join(files[a:b]) for a, b in zip(first, first[1:], strict=False)]
+
+
+def decode_parts(data: bytes) -> list[np.ndarray]:
+    """The images of files that stand one after another."""
+    out, at = [], 0
+    while at < len(data) or not out:
+        end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        out.append(decode(data[at:end]))
+        at = end
+    return out
+
+
 # ---------------------------------------------------------------- operator
 
 
@@ -950,7 +974,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             for part in slices(batch):
                 data, offsets = text_bytes(part.column(1))
                 payload, at = padded(data, offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(np.diff(at)), pa.array(encode_payloads(payload, at), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(np.diff(at)), pa.array(encode_parts(payload, at), pa.binary())], schema=schema)
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
@@ -976,10 +1000,9 @@ def read_back(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for n, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                pixels = decode(blob)
-                gray = (pixels >> np.uint32(8)).astype(np.uint8)
-                payload = gray.reshape(-1)[:n].tobytes()
-                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), gray_features(gray)))
+                grays = [(pixels >> np.uint32(8)).astype(np.uint8) for pixels in decode_parts(blob)]
+                payload = b"".join([g.reshape(-1)[: n - k * MOST].tobytes() for k, g in enumerate(grays)])
+                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), "; ".join(map(gray_features, grays))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([r[k] for r in rows], type=schema.field(k + 3).type) for k in range(5))], schema=schema)
 
     return media.mapInArrow(run, ddl)
