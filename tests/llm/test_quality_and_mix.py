@@ -77,6 +77,18 @@ def test_rules_keep_good_and_reject_junk(spark):
     assert quality_rules.apply_rules(docs.limit(0), labels).count() == 0
 
 
+def test_copies_and_contradictions_are_no_trials(spark):
+    """A hundred copies of a text certify no more than one, and a document labelled both ways is not good."""
+    plain = " ".join(f"word{i}" for i in range(40))
+    texts = [plain] * 200 + [f"{plain} {i}" for i in range(200)]
+    docs = documents(spark, texts, extra=["content", "severity"]).withColumn("lang", F.when(F.col("doc_id") < 200, "a").otherwise("b"))
+    both = [(i, q, 0) for i in range(400) for q in (1, 1)]
+    cut = lambda rows_: {r["stratum"]: r["cutoff"] for r in quality_rules.apply_rules(docs, spark.createDataFrame(rows_, "doc_id long, quality int, toxic int")).collect()}
+    got = cut(both)
+    assert got["a"] is None and got["b"] is not None
+    assert cut([*both, *((i, 0, 0) for i in range(200, 400))])["b"] is None
+
+
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op4_weighted_mix"])
 def test_queries_against_sql(spark, sf, name):
     assert rows(QUERIES[name](spark, sf).toPandas()) == expected(ORACLE_SQL[name], sf)

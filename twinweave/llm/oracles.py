@@ -45,12 +45,12 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0
 lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM tok) WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 adj AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, w, unnest(range(2, len(w) + 1)) AS i FROM tok) WHERE w[i] = w[i - 1] GROUP BY doc_id),
-stats AS (SELECT tok.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {_COUNT.format(c="#*$%&|<>")}::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+stats AS (SELECT tok.doc_id, lang, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {_COUNT.format(c="#*$%&|<>")}::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
   {_COUNT.format(c="|")} AS pipes, {_COUNT.format(c="!")} AS bangs, {_COUNT.format(c="A-Z")} AS upper, {_COUNT.format(c="a-z")} AS lower, coalesce(adj.n, 0) AS adj, coalesce(dup.n_lines, 0) AS n_lines
   FROM tok LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN adj USING (doc_id)),
 marked AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(n_symbols / (n_words + 5)::DOUBLE / {_U["symbols"]}::DOUBLE, pipes / (n_words + 5)::DOUBLE / {_U["pipes"]}::DOUBLE, bangs / (n_words + 5)::DOUBLE / {_U["bangs"]}::DOUBLE,
   upper / (upper + lower + 20)::DOUBLE / {_U["upper"]}::DOUBLE, n_repeat_words / (n_words + 5)::DOUBLE / {_U["repeats"]}::DOUBLE, adj / (n_words + 5)::DOUBLE / {_U["adjacent"]}::DOUBLE, n_dup_lines / (n_lines + 1)::DOUBLE / {_U["dup_lines"]}::DOUBLE) AS severity FROM stats),
-held AS (SELECT lang, severity FROM marked WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+held AS (SELECT DISTINCT lang, text, severity FROM marked WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1)),
 strata AS (SELECT lang, count(*) AS n, count(*) OVER () AS m FROM held GROUP BY lang),
 tested AS (SELECT s.lang, s.n, s.m, c.i, c.cut, (SELECT count(*) FROM held h WHERE h.lang IS NOT DISTINCT FROM s.lang AND h.severity > c.cut) AS k FROM strata s, (SELECT unnest(range(1, {len(rules.CUTOFFS) + 1})) AS i, unnest({_CUTS}) AS cut) c),
 tails AS (SELECT t.*, (SELECT sum(exp(lgamma(t.n + 1) - lgamma(j + 1) - lgamma(t.n - j + 1) + j * ln({rules.ALPHA}::DOUBLE) + (t.n - j) * ln(1 - {rules.ALPHA}::DOUBLE))) FROM range(t.k + 1) r(j)) AS p FROM tested t),

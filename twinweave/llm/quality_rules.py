@@ -5,13 +5,15 @@ clearly unusual. A stratum (by default a language) rejects above a cutoff. Cutof
 holdouts: from the most lenient on, nested cutoffs are tested in a fixed order against "more than ALPHA of
 the stratum's good documents are rejected", by the exact binomial tail, each stratum at level DELTA divided
 by the number of strata (Bonferroni); the last cutoff of an unbroken run of passes is kept. A fixed order
-of nested tests needs no further correction. So with confidence 1 - DELTA no stratum rejects more than
-ALPHA of its good documents. A stratum with too few labels to certify anything rejects nothing.
+of nested tests needs no further correction. So with confidence 1 - DELTA, of the good documents that pass the
+base rules no stratum's cutoff rejects more than ALPHA; what the base rules themselves reject is fixed and no part
+of this. Trials are distinct texts, as copies are not independent. A stratum with too few labels to certify anything
+rejects nothing.
 
 Holdout counts per stratum and cutoff come from one aggregation; what reaches the driver is one row for
 each stratum and cutoff. Defined results: null texts are empty (all counts 0, base_failed); null strata are
-one stratum; documents without a label count in no test; a label table with repeated rows counts each
-(document, label) once; an empty label table certifies nothing.
+one stratum; documents without a label count in no test; repeated labels count once, and a document that is labelled
+both ways is not good; an empty label table certifies nothing.
 """
 
 from __future__ import annotations
@@ -86,12 +88,12 @@ def choose(counts: list[tuple[str | None, int, list[int]]], alpha: float = ALPHA
 
 def apply_rules(documents: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, base_failed, severity, the stratum's certified cutoff (null: none) and kept, for every document."""
-    stats = with_stats(documents.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text"), ["doc_id", "stratum"])
+    stats = with_stats(documents.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.xxhash64("text").alias("content"), "text"), ["doc_id", "stratum", "content"])
     stats = materialise(stats.withColumn("severity", severity()).withColumn("base_failed", base_failed()), "rules")
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    holdout = stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1")
+    holdout = stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").select("stratum", "content", "severity").distinct()
     rows = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") > c).alias(f"k{i}") for i, c in enumerate(CUTOFFS)]).collect()
     cutoffs = choose([(r["stratum"], r["n"], [r[f"k{i}"] for i in range(len(CUTOFFS))]) for r in rows], alpha, delta)
     chosen = documents.sparkSession.createDataFrame([(s, c) for s, c in cutoffs.items()], "certified string, cutoff double")
-    out = stats.join(chosen, F.col("stratum").eqNullSafe(F.col("certified")), "left").drop("certified")
+    out = stats.join(chosen, F.col("stratum").eqNullSafe(F.col("certified")), "left").drop("certified", "content")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("cutoff").isNull() | (F.col("severity") <= F.col("cutoff"))))
