@@ -30,7 +30,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _writing(spark: SparkSession) -> Iterator[None]:
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside run under the settings for writing."""
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
         for k, v in _WRITING.items():
@@ -45,7 +46,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with _writing(spark):
+    with writing(spark):
         df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.written_to = path
