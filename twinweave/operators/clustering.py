@@ -228,8 +228,8 @@ def group_table(members: DataFrame) -> DataFrame:
     return groups.select((F.col("__n") - 1).alias("group_id"), "slot", name.alias("name"), "item_count", "average_similarity", "is_duplicate")
 
 
-def analyse(items: DataFrame, threshold: float, constrained: bool = True) -> tuple[DataFrame, DataFrame]:
+def analyse(items: DataFrame, threshold: float, constrained: bool = True, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, members): members have group_id in place of the slot. Both come from one written table."""
-    members = materialise(clusters(items, threshold, constrained), "clusters")
+    members = materialise(clusters(items, threshold, constrained, pairs), "clusters")
     groups = materialise(group_table(members), "groups")
     return groups.drop("slot"), members.join(groups.select("slot", "group_id"), "slot").select("group_id", "member_pos", "item_idx", "average_similarity")

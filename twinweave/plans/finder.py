@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from twinweave.config import Settings
 from twinweave.operators import actions, clustering, groups, imaging, media, selection
+from twinweave.operators.checkpoints import discard, materialise
 from twinweave.operators.features import Embedder
-from twinweave.operators.similarity import check_lengths
+from twinweave.operators.similarity import check_lengths, similar_pairs
 
 
 @dataclass
@@ -23,13 +24,15 @@ class DuplicateFinder:
     constrained: bool = True
     progress: Callable[[str, float], None] | None = None
     tag: str = "twinweave"
+    sort_by: str = "Similarity"
 
     def _tell(self, step: str, share: float) -> None:
         if self.progress:
             self.progress(step, share)
 
     def cancel(self) -> None:
-        self.spark.interruptTag(self.tag)
+        """End what runs under the tag, from any thread."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def features(self, images: DataFrame, embedder: Embedder) -> DataFrame:
         """Preprocess and embed images in one narrow chain."""
@@ -37,21 +40,26 @@ class DuplicateFinder:
 
     def analyse(self, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(header, groups, members) at the settings' threshold; an empty header carries the threshold."""
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         try:
             self._tell("similarity", 0.0)
             held = clustering.held_features(media.featured_items(items))
             check_lengths(held)
-            found, members = clustering.analyse(held, self.settings.threshold, self.constrained)
+            pairs = materialise(similar_pairs(held, self.settings.threshold, self.constrained), "pairs")
+            self._tell("clustering", 0.7)
+            found, members = clustering.analyse(held, self.settings.threshold, self.constrained, pairs)
+            discard(pairs, held)
             self._tell("statistics", 0.95)
             head = groups.header(found, self.settings.threshold)
             self._tell("done", 1.0)
             return head, found, members
         finally:
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
 
-    def view(self, found: DataFrame, filter_by: str = "All", sort_by: str = "Similarity") -> DataFrame:
-        return groups.sorted_groups(groups.filtered(groups.base_order(found), filter_by), sort_by)
+    def view(self, found: DataFrame, filter_by: str = "All", sort_by: str | None = None) -> DataFrame:
+        """Groups to show, filtered, then sorted. A new result is seen whole again, but the sort option stays until another is given."""
+        self.sort_by = sort_by or self.sort_by
+        return groups.sorted_groups(groups.filtered(groups.base_order(found), filter_by), self.sort_by)
 
     def select(self, members: DataFrame, items: DataFrame, strategy: str) -> DataFrame:
         """Members of duplicate groups with ``is_selected`` by a strategy."""
