@@ -10,10 +10,10 @@ context repeats.
 
 Scale: the limits are counts, not shares, so the tree grows with the corpus; it is a written table and is
 never collected as a whole. A sequence of words (a gram) is known by a hash of its first and its last part.
-A gram that occurs LEAST times has parts that do, so a bitmap of fixed size keeps most others out of each
+A gram that occurs LEAST times has parts that do, so a bitmap of bounded size keeps most others out of each
 depth's shuffle. A document's score is a sum over its grams: a gram adds what its last word gains over the
 parent's share, and what the gram as a context leaves to its parent. What is joined at scoring time is the
-grams of the document below FREQUENT; at most 1 / FREQUENT grams a depth are broadcast, to save their
+grams of the document below FREQUENT, packed by buckets of their keys (about a million tokens a bucket); at most 1 / FREQUENT grams a depth are broadcast, to save their
 shuffle and its skew, which changes no result. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are the end token alone; an empty training part gives N = V = 0 and
@@ -24,20 +24,23 @@ alike (and learned from as often as they stand there).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, mix64, slices, span_hashes, text_bytes, word_bounds
-from twinweave.operators.checkpoints import discard, materialise
+from twinweave.operators.checkpoints import materialise, materialise_with, writing
 
 DEPTH = 3
 LEAST = 2
 #: Share of the training tokens from which a gram is broadcast; has no part in the result.
-FREQUENT = 1e-6
-BITMAP_BITS = 1 << 26
+FREQUENT = 4e-7
+#: Bits of a bitmap for each key, and the least and the largest size (64 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D2E7A3C5)
 #: Tokens whose counts a task sums before it sends them on.
@@ -98,9 +101,24 @@ class Tree:
         return p
 
 
+#: The constants of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _hash_long(x: np.ndarray, seed) -> np.ndarray:
+    """XXH64 of 8-byte numbers, as Spark's xxhash64 takes it."""
+    turn = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
+    h = turn(x * _P2, 31) * _P1 ^ (seed + (_P5 + np.uint64(8)))
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
 def combine(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The key of a gram from those of its parts without its last and without its first word."""
-    return mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(last))
+    """The key of a gram from those of its parts without its last and without its first word: Spark's xxhash64(first, last)."""
+    with np.errstate(over="ignore"):
+        return _hash_long(last, _hash_long(first, np.uint64(42)))
 
 
 def grams(value: np.ndarray, row: np.ndarray, length: int):
@@ -116,17 +134,32 @@ def grams(value: np.ndarray, row: np.ndarray, length: int):
     return out
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the long column h."""
-    bits = keys.select(F.shiftright(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
-    got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(BITMAP_BITS // 64, np.uint64)
+def bitmap_of(keys: DataFrame, count: int) -> np.ndarray:
+    """A bitmap of the long column h, sized by the count of keys up to a bound."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * count).bit_length()))
+    bits = keys.select(F.shiftright(F.col("h").bitwiseAND(F.lit(size - 1)), 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
+    with writing(keys.sparkSession):
+        got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
     table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
     return table
 
 
 def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return (table[(keys & np.uint64(BITMAP_BITS - 1)) >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return (table[(keys & np.uint64(64 * len(table) - 1)) >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one of each, how many) of equal keys, by one plain sort of keys whose low bits give way to their places.
+
+    Keys that agree in all other bits may come in more than one piece; whoever sums pieces by key loses nothing.
+    """
+    n = len(key)
+    low = np.uint64((1 << max(n, 2).bit_length()) - 1)
+    order = np.sort(key & ~low | np.arange(n, dtype=np.uint64)) & low
+    there = key[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), there[1:] != there[:-1]]))
+    return order[first].astype(np.int64), np.diff(np.append(first, n))
 
 
 def _sums(documents: DataFrame, keys_of, names: tuple[str, ...] = ("h",)) -> DataFrame:
@@ -139,7 +172,7 @@ def _sums(documents: DataFrame, keys_of, names: tuple[str, ...] = ("h",)) -> Dat
 
         def flush():
             columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-            _, at, n = np.unique(columns[0] if len(columns) == 1 else combine(*columns), return_index=True, return_counts=True)
+            at, n = distinct(columns[0] if len(columns) == 1 else combine(*columns))
             for i in range(0, len(n), 100_000):
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[at[i : i + 100_000]].view(np.int64)) for c in columns), pa.array(n[i : i + 100_000])], schema=schema)
 
@@ -157,12 +190,111 @@ def _sums(documents: DataFrame, keys_of, names: tuple[str, ...] = ("h",)) -> Dat
     return documents.select("text").mapInArrow(run, ddl).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
+def _deal(key: np.ndarray, bits: int):
+    """(bucket, indexes) of the keys by their highest bits, one bucket after another."""
+    bucket = (key >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(1, (1 << bits) + 1))
+    for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        if hi > lo:
+            yield b, order[lo:hi]
+
+
+_LOW = np.dtype((np.void, 7))
+
+
+def _unpacked(blobs: pa.ChunkedArray, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    """The columns that packed rows hold: each blob has one array after another."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list] = [[] for _ in kinds]
+    for chunk in blobs.chunks:
+        for blob in chunk:
+            raw = blob.as_buffer()
+            n, at = raw.size // width, 0
+            for i, k in enumerate(kinds):
+                out[i].append(np.frombuffer(raw, k, n, at))
+                at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
+
+
+def _packed(batches, make, bits: int):
+    """Rows (b, blob) of what ``make(batch)`` gives for slices of batches: (key, *columns), dealt by key and packed FLUSH entries at a time."""
+    schema = pa.schema([("b", pa.int32()), ("blob", pa.binary())])
+    waiting, size = [], 0
+
+    def flush():
+        columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+        dealt = list(_deal(columns[0], bits))
+        for i in range(0, len(dealt), 64):
+            some = dealt[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([b"".join(c[at].tobytes() for c in columns[1:]) for _, at in some], pa.binary())], schema=schema)
+
+    for batch in batches:
+        for part in slices(batch):
+            for columns in make(part):
+                waiting.append(columns)
+                size += len(columns[0])
+                if size >= FLUSH:
+                    yield from flush()
+                    waiting, size = [], 0
+    if size:
+        yield from flush()
+
+
+def _pair_counts(documents: DataFrame, pairs_of, bits: int) -> DataFrame:
+    """(first, last, n) of the pairs that ``pairs_of(text column)`` makes, where n is LEAST or more.
+
+    Pairs are summed a few million tokens at a time, packed by buckets of their keys and summed again by bucket.
+    """
+
+    def run(batches):
+        waiting, size = [], 0
+
+        def summed():
+            first, last = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            key = combine(first, last)
+            at, n = distinct(key)
+            return key[at], first[at], last[at], n.astype(np.uint32)
+
+        def make(part):
+            nonlocal waiting, size
+            made = pairs_of(part.column(0))
+            waiting.append(made)
+            size += len(made[0])
+            if size >= FLUSH:
+                yield summed()
+                waiting, size = [], 0
+
+        yield from _packed(batches, make, bits)
+        if size:
+            yield from _packed([pa.RecordBatch.from_arrays([pa.array([""])], names=["text"])], lambda _: [summed()], bits)
+
+    def merge(table: pa.Table) -> pa.Table:
+        first, last, n = _unpacked(table.column("blob"), (np.uint64, np.uint64, np.uint32))
+        order = np.argsort(combine(first, last))
+        first, last = first[order], last[order]
+        start = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])]))
+        total = np.add.reduceat(n[order].astype(np.int64), start)
+        keep = total >= LEAST
+        start, total = start[keep], total[keep]
+        return pa.table({"first": first[start].view(np.int64), "last": last[start].view(np.int64), "n": total})
+
+    packed = documents.select("text").mapInArrow(run, "b int,blob binary")
+    return packed.groupBy("b").applyInArrow(merge, "first long,last long,n long")
+
+
 @dataclass
 class Model:
     total: int
     kinds: int
     table: DataFrame  # (h, c) of all training words
-    levels: list[DataFrame]  # of each depth: (h, first, last, n, size, weight, parent, p); weight and parent are null where the context is not retained
+    levels: list[DataFrame]  # of each depth: (h, n, p, v, lead, first, size, weight, last, parent)
+    kept: int = 0  # rows of the levels
+
+    @property
+    def bits(self) -> int:
+        """Buckets of packed rows, as a power of two: about a million tokens each."""
+        return max(8, (self.total // 1_000_000).bit_length())
 
     @property
     def frequent(self) -> float:
@@ -177,10 +309,11 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
     total, kinds = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     model = Model(int(total), int(kinds), table, [])
     below = table.where(F.col("c") >= LEAST).select("h", F.col("c").alias("n"), ((F.col("c") + 1) / F.lit(float(total + kinds + 1))).alias("p"))
+    count = below.count()
     for d in range(depth):
-        seen = bitmap_of(below)
-        if not seen.any():
+        if not count:
             break
+        seen = bitmap_of(below, count)
         shared = spark.sparkContext.broadcast(seen)
 
         def transitions(text, d=d, shared=shared):
@@ -190,14 +323,9 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
             at = np.flatnonzero(there[1:] & there[:-1] & (row[1:] == row[:-1]))
             return key[at], key[at + 1]
 
-        def keyed(batches):
-            for batch in batches:
-                key = combine(*(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["h", *batch.schema.names])
-
-        counted = _sums(learned, transitions, ("first", "last")).where(F.col("n") >= LEAST)
-        rows = counted.join(below.select(F.col("h").alias("last"), F.col("p").alias("parent")), "last")
-        rows = rows.join(below.select(F.col("h").alias("first"), F.col("n").alias("size")), "first")
+        counted = _pair_counts(learned, transitions, model.bits)
+        rows = counted.join(below.select(F.col("h").alias("last"), F.col("p").alias("parent")).hint("shuffle_hash"), "last")
+        rows = rows.join(below.select(F.col("h").alias("first"), F.col("n").alias("size")).hint("shuffle_hash"), "first")
         # all by one key: the join's shuffle serves both windows
         context = Window.partitionBy("first")
         rows = rows.withColumn("stored", F.sum("n").over(context)).withColumn("types", F.count(F.lit(1)).over(context))
@@ -205,23 +333,33 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
         gain = 2 * F.sum(F.col("n") * F.log(F.col("own") / F.col("parent"))).over(context) + 2 * (F.col("size") - F.col("stored")) * F.log1p(-F.col("weight"))
         rows = rows.withColumn("retained", gain > F.col("types") + 3 * F.sqrt(2.0 * F.col("types")))
         p = F.when(F.col("retained"), F.col("own")).otherwise(F.col("parent"))
-        rows = rows.select("first", "last", "n", "size", F.when(F.col("retained"), F.col("weight")).alias("weight"), F.when(F.col("retained"), F.col("parent")).alias("parent"), p.alias("p"))
-        level = materialise(rows.mapInArrow(keyed, "h long,first long,last long,n long,size long,weight double,parent double,p double"), "level")
+        # what the next depth and the scores need; the rest only for the frequent part, and of a context's rows in one
+        retained, often = F.col("retained"), F.col("n") >= model.frequent
+        v = F.log10("own") - F.log10(1 - F.col("weight")) - F.log10("parent")
+        lead = retained & (F.col("last") == F.min("last").over(context))
+        p = F.when(retained, F.col("own")).otherwise(F.col("parent"))
+        some = lambda test, *names: [F.when(test, F.col(x)).alias(x) for x in names]
+        rows = rows.withColumn("lead", lead).select(
+            F.xxhash64("first", "last").alias("h"), "n", (F.when(often, p) if d + 1 == depth else p).alias("p"), F.when(retained, v).cast("float").alias("v"), "lead",
+            *some(F.col("lead") | often, "first", "size"), *some(retained & (F.col("lead") | often), "weight"), *some(often, "last"), *some(retained & often, "parent"),
+        )
+        level, count = materialise_with(rows, "level", F.count(F.lit(1)))
         model.levels.append(level)
+        model.kept += count
         below = level.select("h", "n", "p")
     return model
 
 
-def additions(model: Model) -> DataFrame:
-    """(h, n, c, v): what each gram adds to a score; c is the count of a word and null for longer grams."""
+def additions(model: Model, frequent: bool) -> DataFrame:
+    """(h, n, c, v): what grams that are frequent (or those that are not) add to a score, in one row or more for each; c is the count of a word and null in other rows."""
+    least = max(1.0, FREQUENT * model.total)
+    fits = lambda n: F.col(n) >= least if frequent else F.col(n) < least
     none = F.lit(None).cast("long")
-    out = model.table.select("h", F.col("c").alias("n"), "c", F.lit(0.0).alias("v"))
+    out = model.table.select("h", F.col("c").alias("n"), "c", F.lit(0.0).cast("float").alias("v"))
     for level in model.levels:
-        kept = level.where("weight is not null")
-        left = F.log10(1 - F.col("weight"))
-        out = out.unionByName(kept.select("h", "n", none.alias("c"), (F.log10(F.col("p")) - left - F.log10("parent")).alias("v")))
-        out = out.unionByName(kept.select(F.col("first").alias("h"), F.col("size").alias("n"), none.alias("c"), left.alias("v")).distinct())
-    return materialise(out.groupBy("h").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("v").alias("v")), "additions")
+        out = out.unionByName(level.where("v is not null").where(fits("n")).select("h", "n", none.alias("c"), "v"))
+        out = out.unionByName(level.where("lead").where(fits("size")).select(F.col("first").alias("h"), F.col("size").alias("n"), none.alias("c"), F.log10(1 - F.col("weight")).cast("float").alias("v")))
+    return out.where(fits("n"))
 
 
 def _sorted(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -258,62 +396,106 @@ def train(documents: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     return tree, model.table
 
 
+def _hot(model: Model) -> tuple[np.ndarray, ...]:
+    """(words, logarithms of counts plus one, additions; grams, additions) of what is broadcast: at most 1 / FREQUENT a length."""
+    rows = additions(model, True).groupBy("h").agg(F.max("c").alias("c"), F.sum("v").alias("v"))
+    with writing(model.table.sparkSession):
+        h, c, v = _sorted(rows.select("h", F.coalesce("c", F.lit(0)).alias("c"), "v").toArrow(), "h", "c", "v")
+    word = c > 0
+    return h[word], np.log10(c[word] + 1.0), v[word], h[~word], v[~word]
+
+
 def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     model = learn(documents, depth)
-    added = additions(model)
-    hot_word = F.col("c").isNotNull() & (F.col("c") >= max(1.0, FREQUENT * model.total))
-    hot_gram = F.col("c").isNull() & (F.col("n") >= model.frequent)
-    words, counts, left = _sorted(added.where(hot_word).toArrow(), "h", "c", "v")
-    keys, gains = _sorted(added.where(hot_gram).toArrow(), "h", "v")
-    rest = added.where(~(hot_word | hot_gram))
-    seen = bitmap_of(rest.where("c is null"))
-    shared = documents.sparkSession.sparkContext.broadcast((words, np.log10(counts + 1.0), left, keys, gains, seen))
-    ddl = "rid long,doc_id long,h long,m long,n_tokens long,n_known long,base double,score double"
-    length, unit = len(model.levels) + 1, float(np.log10(model.total + model.kinds + 1)) if model.total else 0.0
+    rest = additions(model, False)
+    seen = bitmap_of(reduce(DataFrame.unionByName, [x.select("h") for x in (model.table, *model.levels)]), model.kinds + model.kept)
+    shared = documents.sparkSession.sparkContext.broadcast((*_hot(model), seen))
+    length, unit, bits = len(model.levels) + 1, float(np.log10(model.total + model.kinds + 1)) if model.total else 0.0, model.bits
+    held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
 
-    def run(batches):
-        schema = arrow_schema(ddl)
+    def parts_of(part):
+        """Of a slice: (row ids, and by document tokens, known tokens, both sums of what is broadcast; row and key of what is asked)."""
         words, logs, left, keys, gains, seen = shared.value
-        for batch in batches:
-            for part in slices(batch):
-                rid = part.column(0).to_numpy()
-                rows = part.num_rows
-                value, row = tokens(part.column(2))
-                word = find(words, value)
-                known = word >= 0
-                base = np.full(len(value), -unit)
-                base[known] += logs[word[known]]
-                more = base.copy()
-                more[known] += left[word[known]]
-                asked = [(row[~known], value[~known], 1)]
-                for key, there in grams(value, row, length)[1:]:
-                    at = np.flatnonzero(there)
-                    hit = find(keys, key[at])
-                    more[at[hit >= 0]] += gains[hit[hit >= 0]]
-                    at = at[hit < 0]
-                    at = at[in_bitmap(seen, key[at])]
-                    asked.append((row[at], key[at], 2))
-                sums = [pa.array(np.bincount(row, x, rows)) for x in (base, more)]
-                ints = [pa.array(np.bincount(row, x, rows).astype(np.int64)) for x in (np.ones(len(row)), known.astype(float))]
-                # the document's own row; its h serves to deal it out
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(0), pa.array(np.zeros(rows, np.int64)), *ints, *sums], schema=schema)
-                for r, h, m in asked:
-                    if len(r):
-                        zero, real = pa.array(np.zeros(len(r), np.int64)), pa.array(np.zeros(len(r)))
-                        yield pa.RecordBatch.from_arrays([pa.array(rid[r]), pa.nulls(len(r), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.full(len(r), m)), zero, zero, real, real], schema=schema)
+        rows = part.num_rows
+        value, row = tokens(part.column(2))
+        word = find(words, value)
+        known = word >= 0
+        base = np.full(len(value), -unit)
+        base[known] += logs[word[known]]
+        more = base.copy()
+        more[known] += left[word[known]]
+        at = np.flatnonzero(~known)
+        at = at[in_bitmap(seen, value[at])]  # others stand in no training text
+        asked = [(row[at], value[at])]
+        for key, there in grams(value, row, length)[1:]:
+            at = np.flatnonzero(there)
+            hit = find(keys, key[at])
+            more[at[hit >= 0]] += gains[hit[hit >= 0]]
+            at = at[hit < 0]
+            at = at[in_bitmap(seen, key[at])]
+            asked.append((row[at], key[at]))
+        sums = [np.bincount(row, x, rows) for x in (base, more)]
+        ints = [np.bincount(row, x, rows).astype(np.int64) for x in (np.ones(len(row)), known.astype(float))]
+        return (*ints, *sums), tuple(np.concatenate(x) for x in zip(*asked, strict=True))
 
+    def run(batches):
+        """Rows (b, blob) of what is asked, and rows (rid, ...) of the documents' own sums."""
+        own = []
+
+        def make(part):
+            rid = part.column(0).to_numpy()
+            sums, (row, key) = parts_of(part)
+            own.append((part.column(0), part.column(1), *map(pa.array, sums)))
+            # the bucket says the highest byte
+            yield key, key.view(np.uint8).reshape(-1, 8)[:, :7], rid[row]
+
+        schema = arrow_schema(ddl)
+        for packed in _packed(batches, make, bits):
+            yield pa.RecordBatch.from_arrays([*packed.columns, *(pa.nulls(packed.num_rows, f.type) for f in list(schema)[2:])], schema=schema)
+            while own:
+                yield _own(own.pop(), schema)
+        while own:
+            yield _own(own.pop(), schema)
+
+    def _own(columns, schema):
+        n = len(columns[0])
+        b = columns[0].to_numpy() & ((1 << bits) - 1)  # they ride along, spread over the buckets
+        return pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.nulls(n, pa.binary()), *columns], schema=schema)
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """What the table's rows of a bucket add to the documents that ask, and the documents' own rows as they are."""
+        names = ["rid", "doc_id", "n_tokens", "known", "base", "score"]
+        own = asked.filter(pa.compute.is_null(asked.column("blob"))).drop_columns(["b", "blob"]).rename_columns(names)
+        h = held.column("k").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, c, v = h[order], held.column("c").to_numpy()[order], held.column("v").to_numpy()[order]
+        start = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+        low, rid = _unpacked(asked.column("blob").drop_null(), (_LOW, np.int64))
+        key = np.empty((len(low), 8), np.uint8)
+        key[:, :7], key[:, 7] = low.view(np.uint8).reshape(-1, 7), asked.column("b")[0].as_py() >> bits - 8
+        at = find(h[start], key.reshape(-1).view(np.uint64))
+        rid, at = rid[at >= 0], at[at >= 0]
+        if not len(at):
+            return own
+        count, gain = np.maximum.reduceat(c, start), np.add.reduceat(v, start)
+        more = np.log10(count + 1.0)  # 0 for grams
+        rids, place = np.unique(rid, return_inverse=True)
+        known = np.bincount(place, count[at] > 0, len(rids)).astype(np.int64)
+        none = pa.nulls(len(rids), pa.int64())
+        made = [rids, none, none, known, np.bincount(place, more[at], len(rids)), np.bincount(place, (more + gain)[at], len(rids))]
+        return pa.concat_tables([own, pa.table([pa.array(x) for x in made], names=names)])
+
+    ddl = "b int,blob binary,rid long,doc_id long,n_tokens long,n_known long,base double,score double"
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
-    is_word = F.col("m") == 1
-    joined = rows.join(rest.select("h", "c", "v"), "h", "left")
-    joined = joined.withColumn("more", F.when(is_word, F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(F.lit(0.0)))
-    joined = joined.withColumn("v", F.when(F.col("m") > 0, F.coalesce("v", F.lit(0.0))).otherwise(F.lit(0.0))).withColumn("seen", F.when(is_word & F.col("c").isNotNull(), 1).otherwise(0))
-    out = joined.groupBy("rid").agg(
+    bucket = F.shiftrightunsigned("h", 64 - bits).cast("int").alias("b")
+    table = rest.select(bucket, F.col("h").alias("k"), F.coalesce("c", F.lit(0)).alias("c"), "v")
+    answers = rows.groupBy("b").cogroup(table.groupBy("b")).applyInArrow(answer, "rid long,doc_id long,n_tokens long,known long,base double,score double")
+    out = answers.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum("seen")).alias("n_known"),
-        F.sum(F.col("base") + F.col("more")).alias("base_score"),
-        F.sum(F.col("score") + F.col("more") + F.col("v")).alias("score"),
+        F.sum("known").alias("n_known"),
+        F.sum("base").alias("base_score"),
+        F.sum("score").alias("score"),
     )
-    held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
