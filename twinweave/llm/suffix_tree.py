@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, mix64, slices, span_hashes, text_bytes, word_bounds
-from twinweave.operators.checkpoints import materialise, materialise_with, writing
+from twinweave.operators.checkpoints import discard, materialise, materialise_with, writing
 
 DEPTH = 3
 LEAST = 2
@@ -44,7 +44,7 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D2E7A3C5)
 #: Tokens whose counts a task sums before it sends them on.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 _WORD_BITS = 20
 
 
@@ -323,7 +323,7 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
             at = np.flatnonzero(there[1:] & there[:-1] & (row[1:] == row[:-1]))
             return key[at], key[at + 1]
 
-        counted = _pair_counts(learned, transitions, model.bits)
+        counted = materialise(_pair_counts(learned, transitions, model.bits), "counted")
         rows = counted.join(below.select(F.col("h").alias("last"), F.col("p").alias("parent")).hint("shuffle_hash"), "last")
         rows = rows.join(below.select(F.col("h").alias("first"), F.col("n").alias("size")).hint("shuffle_hash"), "first")
         # all by one key: the join's shuffle serves both windows
@@ -344,6 +344,7 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
             *some(F.col("lead") | often, "first", "size"), *some(retained & (F.col("lead") | often), "weight"), *some(often, "last"), *some(retained & often, "parent"),
         )
         level, count = materialise_with(rows, "level", F.count(F.lit(1)))
+        discard(counted)
         model.levels.append(level)
         model.kept += count
         below = level.select("h", "n", "p")
