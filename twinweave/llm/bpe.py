@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from twinweave.llm.common import map_rows
 
 #: Words whose codes a worker keeps; the older half goes when it is full.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 
 
 
