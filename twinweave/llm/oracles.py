@@ -58,4 +58,14 @@ chosen AS (SELECT lang, min(cut) AS cutoff FROM (SELECT *, bool_and(p <= {rules.
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (cutoff IS NULL OR severity <= cutoff) AS kept, severity, cutoff FROM marked LEFT JOIN chosen ON marked.lang IS NOT DISTINCT FROM chosen.lang
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op4_weighted_mix": OP4, "op10_jaccard_join": OP10}
+OP12 = """
+WITH ok AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same, list_sum(list_transform(list_zip(a.v, o.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM ok a JOIN ok o ON a.vec_id % 50 = 0 AND a.vec_id <> o.vec_id),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT pos.anchor_id, positive_id, row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN scored ON pos.anchor_id = scored.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id) <= 3
+"""
+
+ORACLE_SQL = {"op12_hard_negatives": OP12, "op2_quality_rules": OP2, "op4_weighted_mix": OP4, "op10_jaccard_join": OP10}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinweave.llm import bpe, html_blocks, jaccard_join, license_scan, mixing, oracles, quality_model, quality_rules, secret_scan, suffix_tree, webp
+from twinweave.llm import bpe, hard_negatives, html_blocks, jaccard_join, license_scan, mixing, oracles, quality_model, quality_rules, secret_scan, suffix_tree, webp
 from twinweave.llm.common import table
 
 #: Where the vocabulary of operator 6 lies; give another path to use another file.
@@ -53,6 +54,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_quality_rules, op3_html_blocks, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op8_suffix_tree, op9_license_scan, op10_jaccard_join)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=moved).drop("positive_rank")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_webp, op2_quality_rules, op3_html_blocks, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op8_suffix_tree, op9_license_scan, op10_jaccard_join,
+        op12_hard_negatives,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
