@@ -58,6 +58,25 @@ chosen AS (SELECT lang, min(cut) AS cutoff FROM (SELECT *, bool_and(p <= {rules.
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (cutoff IS NULL OR severity <= cutoff) AS kept, severity, cutoff FROM marked LEFT JOIN chosen ON marked.lang IS NOT DISTINCT FROM chosen.lang
 """
 
+OP11 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, {_WORDS} AS w FROM documents),
+least AS (SELECT text, min(doc_id) AS low FROM docs GROUP BY text),
+failed AS (SELECT part, d.doc_id,
+  [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(low < d.doc_id, false)] AS f,
+  d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM docs d JOIN least USING (text)),
+counts AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, f),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS l),
+orders AS (SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+told AS (SELECT part, o, step, o[step] AS own, coalesce(sum(n) FILTER (NOT list_bool_or([f[i] for i in o[:step]])), 0) AS kept,
+  coalesce(sum(n) FILTER (f[o[step]] AND NOT coalesce(list_bool_or([f[i] for i in o[:step - 1]]), false)), 0) AS removed, coalesce(sum(n) FILTER (f[o[step]] AND coalesce(list_bool_or([f[i] for i in o[:step - 1]]), false)), 0) AS redundant,
+  coalesce(sum(n) FILTER (f[o[step]] AND len(list_filter(f, lambda x: x)) = 1), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (f[o[step]] AND NOT coalesce(list_bool_or([f[i] for i in o[:step - 1]]), false)), 0) AS good_lost, coalesce(sum(toxic) FILTER (f[o[step]] AND NOT coalesce(list_bool_or([f[i] for i in o[:step - 1]]), false)), 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM told
+"""
+
 OP12 = """
 WITH ok AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -68,4 +87,4 @@ FROM pos JOIN scored ON pos.anchor_id = scored.anchor_id AND NOT same AND 50 * p
 QUALIFY row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, other_id) <= 3
 """
 
-ORACLE_SQL = {"op12_hard_negatives": OP12, "op2_quality_rules": OP2, "op4_weighted_mix": OP4, "op10_jaccard_join": OP10}
+ORACLE_SQL = {"op11_filter_audit": OP11, "op12_hard_negatives": OP12, "op2_quality_rules": OP2, "op4_weighted_mix": OP4, "op10_jaccard_join": OP10}

@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm import bpe, hard_negatives, html_blocks, jaccard_join, license_scan, mixing, oracles, quality_model, quality_rules, secret_scan, suffix_tree, webp
+from twinweave.llm import bpe, filter_audit, hard_negatives, html_blocks, jaccard_join, license_scan, mixing, oracles, quality_model, quality_rules, secret_scan, sentence_pieces, suffix_tree, webp
 from twinweave.llm.common import table
 
 #: Where the vocabulary of operator 6 lies; give another path to use another file.
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: The same for the model of operator 13.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,16 +56,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=moved).drop("positive_rank")
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_webp, op2_quality_rules, op3_html_blocks, op4_weighted_mix, op5_secret_scan, op6_bpe, op7_quality_model, op8_suffix_tree, op9_license_scan, op10_jaccard_join,
-        op12_hard_negatives,
+        op11_filter_audit, op12_hard_negatives, op13_sentence_pieces,
     )
 }
 
