@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from twinweave.functions.vectors import has_features
 from twinweave.operators.checkpoints import materialise
+from twinweave.operators.cosines import exact_cosines, magnitudes
 from twinweave.operators.graph import components
-from twinweave.operators.similarity import exact_cosines, magnitudes, similar_pairs
+from twinweave.operators.similarity import similar_pairs
 
 #: Items of a component that one task clusters (9 bytes for each pair of them); beyond it the threshold is too low for this many items.
 LARGEST_COMPONENT = 12_000

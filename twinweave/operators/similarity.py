@@ -1,9 +1,9 @@
-"""Pairs by cosine similarity, exact, over a grid of blocks.
+"""Pairs by cosine similarity, exact.
 
-Rows are dealt into blocks by a hash of their number; each pair of blocks is one group, in which a matrix
-product finds candidates and the reference arithmetic (float products, one after another in double) decides.
-All pairs is what the operator means, so work grows with the square of the rows; blocks bound the memory of
-a task, and a block pair is a task that any executor can repeat.
+Up to GRID_ROWS rows are dealt into blocks by a hash of their number; each pair of blocks is one group, in which a
+matrix product finds candidates and the exact arithmetic (float products, one after another in double) decides. Beyond
+that, blocks are made of vectors in like directions, and only pairs of blocks that can reach the threshold are made
+(see ``pair_index``). Rows are the same either way.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.functions.vectors import cosine, has_features
+from twinweave.operators.cosines import MARGIN, exact_cosines, magnitudes
+from twinweave.operators.pair_index import indexed_pairs
 
 BLOCK_ROWS = 2048
 #: Blocks at least, so that small tables are worked on side by side, and rows that a block then has at least.
 LEAST_BLOCKS, LEAST_ROWS = 4, 128
-#: What the matrix product may be off by, many times over.
-MARGIN = 1e-5
+#: Rows up to which the plain grid of blocks is cheaper than an index.
+GRID_ROWS = 8192
 
 
 def check_lengths(items: DataFrame, features: str = "features") -> None:
@@ -29,20 +31,6 @@ def check_lengths(items: DataFrame, features: str = "features") -> None:
         raise ValueError(f"vectors differ in length: {low} and {high}")
 
 
-def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of rows of a and rows of b (float32), summed in order in double; 0 where a magnitude is 0."""
-    if not len(a):
-        return np.zeros(0)
-    total = np.cumsum((a * b).astype(np.float64), axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
-    size = magnitudes(a) * magnitudes(b)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(size == 0, 0.0, total / size)
-
-
-def magnitudes(a: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.cumsum((a * a).astype(np.float64), axis=1)[:, -1]) if a.shape[1] else np.zeros(len(a))
-
-
 def pairs_native(items: DataFrame, threshold: float | None = None, constrained: bool = False) -> DataFrame:
     """(i, j, sim) of all pairs i < j by a join on the order of the rows: for small tables and for checks."""
     side = lambda k: items.where(has_features("features")).select(F.col("item_idx").alias(k), F.col("features").alias(f"v{k}"), F.col("source_id").alias(f"s{k}"))
@@ -55,6 +43,8 @@ def similar_pairs(items: DataFrame, threshold: float, constrained: bool = True,
     """(i, j, sim) with i < j and sim >= threshold; pairs of one source are left out if constrained; NaN is never similar."""
     held = items.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features")
     n = held.count() if rows is None else rows
+    if n > GRID_ROWS:
+        return indexed_pairs(held, threshold, constrained, n)
     blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // LEAST_ROWS))
     home = F.pmod(F.xxhash64("item_idx"), F.lit(blocks)).cast("int")
     dealt = held.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
