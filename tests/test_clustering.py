@@ -156,3 +156,48 @@ def test_components_of_a_long_chain(spark):
 def test_vectors_of_unequal_length_are_an_error(spark):
     with pytest.raises(ValueError, match="differ"):
         similarity.check_lengths(_items(spark, [[1, 0], [1, 0, 0]]))
+
+
+def test_copies_are_gathered_before_pairs(spark, monkeypatch):
+    """Very many copies of one vector end in seconds, and the bound counts distinct vectors."""
+    monkeypatch.setattr(clustering, "LARGEST_COMPONENT", 5)
+    n = 20_000
+    vectors = spark.range(n).selectExpr("id as item_idx", "cast(id as string) as source_id", "transform(array(0.3f, -0.7f, 0.1f), x -> cast(x * pow(2, id % 5) as float)) as features")
+    near = _items(spark, [[0.3, -0.7, 0.2], [0, 0, 1], [0, 0, 0], [0, 0, 0]]).selectExpr("item_idx + 100000 as item_idx", "source_id || 'x' as source_id", "features")
+    items = vectors.unionByName(near)
+    asked = []
+    kept = similarity.similar_pairs
+    monkeypatch.setattr(clustering, "similar_pairs", lambda rows, *a: asked.append(rows.count()) or kept(rows, *a))
+    rows = {r["item_idx"]: r for r in clustering.clusters(items, 0.9).collect()}
+    assert asked == [5] and len(rows) == n + 4
+    assert all(rows[i]["slot"] == 0 and rows[i]["member_pos"] == i for i in range(n))
+    assert (rows[100_000]["slot"], rows[100_000]["member_pos"]) == (0, n)
+    a, b = np.array([[0.3, -0.7, 0.1]], np.float32), np.array([[0.3, -0.7, 0.2]], np.float32)
+    cross = similarity.exact_cosines(a, b)[0]
+    assert rows[0]["average_similarity"] == pytest.approx((n * (n - 1) / 2 + n * cross) / ((n + 1) * n / 2), abs=1e-9)
+    assert [rows[100_000 + k]["slot"] for k in (1, 2, 3)] == [100_001, 100_002, 100_003]
+
+
+@pytest.mark.parametrize("constrained", [False, True])
+def test_clusters_with_copies_follow_the_literal_rules(spark, constrained):
+    """Copies, some of one source, some of sources that near vectors have too."""
+    rng = np.random.default_rng(12)
+    for k in range(4):
+        base = rng.normal(size=(8, 3)).astype(np.float32)
+        vectors = [base[i] * np.float32(2.0 ** rng.integers(0, 3)) if rng.random() < 0.6 else rng.normal(size=3).astype(np.float32) for i in rng.integers(0, 8, 36)]
+        sources = rng.integers(0, 12 if k % 2 else 36, 36).tolist()
+        t = (0.5, 0.8, 0.95, 1.0)[k]
+        want = literal(cosines(np.array(vectors)), sources if constrained else list(range(36)), t)
+        found = clustering.clusters(_items(spark, vectors, sources), t, constrained).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: r["member_pos"]):
+            got.setdefault(r["slot"], []).append(r["item_idx"])
+        assert sorted(got.values()) == sorted(want), (k, t)
+        for r in found:
+            assert r["average_similarity"] == pytest.approx(mean_similarity(np.array(vectors)[got[r["slot"]]]), abs=1e-9)
+
+
+def test_ranks_within_groups(spark):
+    rows = spark.range(50_000).selectExpr("id * 3 as item_idx", "id % 2 as g")
+    got = {r["item_idx"]: r["place"] for r in clustering.ranked(rows, "item_idx", "place", within="g").collect()}
+    assert all(got[3 * i] == i // 2 + 1 for i in range(50_000))

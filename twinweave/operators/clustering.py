@@ -1,31 +1,37 @@
 """Average-linkage clusters with a source rule, exact to the tie.
 
-A merge needs a pair of items at the threshold or above, so clusters lie inside the components of the graph
-of such pairs; each component is clustered on its own, by the sequential rules, in one task. That task keeps one
-matrix of mean similarities and the best partner of each row, so a merge costs a row, not the matrix. The
-matrix is near (a matrix product, then weighted means); whoever may be the next best pair is computed exactly, in
-member order, before it is compared, so ties fall as they would if everything were recomputed.
+Nothing is more similar than copies (vectors that are equal up to a power of two), so these are gathered before any
+pair is made: a group of copies is one row with a weight, however many they are, and its members are numbered by ranges
+of their ids when the result is written out. A merge needs a pair at the threshold or above, so clusters lie inside the
+components of the graph of such pairs; each component is clustered on its own, by the sequential rules, in one task.
+That task keeps one matrix of mean similarities and the best partner of each row, so a merge costs a row, not the
+matrix. The matrix is near (a matrix product, then weighted means); whoever may be the next best pair is computed
+exactly, in member order, before it is compared, so ties fall as they would if everything were recomputed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.functions.vectors import has_features
-from twinweave.operators.checkpoints import materialise
+from twinweave.functions.vectors import cosine, has_features
+from twinweave.operators.checkpoints import materialise, materialise_with
 from twinweave.operators.cosines import exact_cosines, magnitudes
 from twinweave.operators.graph import components
 from twinweave.operators.similarity import similar_pairs
 
-#: Items of a component that one task clusters (9 bytes for each pair of them); beyond it the threshold is too low for this many items.
+#: Distinct vectors of a component that one task clusters (9 bytes for each pair of them); beyond it the threshold is too low for this many items.
 LARGEST_COMPONENT = 12_000
 #: What a near mean may be off by, several times over.
 MARGIN = 1e-6
+COUNTED_PAIRS = 1 << 20
 _BUCKET = 14
 
 
@@ -37,16 +43,24 @@ def near_similarities(vectors: np.ndarray) -> np.ndarray:
 
 
 def exact_means(vectors: np.ndarray, weights: np.ndarray) -> Callable[[list[int], list[list[int]]], np.ndarray]:
-    """A function of a cluster and others: its mean cosine with each of these, over members in order; a vector counts as often as its weight says."""
+    """A function of a cluster and others: its mean cosine with each of these, over members in order; a vector counts as often as its weight says.
+
+    Up to COUNTED_PAIRS pairs of items are added one by one; beyond that, copies are multiplied, which may differ in the last digit.
+    """
 
     def means(one: list[int], others: list[list[int]]) -> np.ndarray:
         if len(one) == 1 and all(len(x) == 1 for x in others):
             return exact_cosines(vectors[one], vectors[[x[0] for x in others]])
         out = []
         for x in others:
-            times = np.outer(weights[one], weights[x]).reshape(-1)
-            sims = exact_cosines(np.repeat(vectors[one], len(x), axis=0), np.tile(vectors[x], (len(one), 1)))
-            out.append(np.cumsum(sims * times)[-1] / times.sum())
+            a, b = weights[one].astype(np.int64), weights[x].astype(np.int64)
+            sims = exact_cosines(np.repeat(vectors[one], len(x), axis=0), np.tile(vectors[x], (len(one), 1))).reshape(len(one), len(x))
+            pairs = int(a.sum()) * int(b.sum())
+            if pairs <= COUNTED_PAIRS:
+                total = np.cumsum(np.repeat(np.repeat(sims, a, axis=0), b, axis=1).reshape(-1))[-1]
+            else:
+                total = np.cumsum((sims * np.outer(a, b)).reshape(-1))[-1]
+            out.append(total / pairs)
         return np.array(out)
 
     return means
@@ -130,16 +144,22 @@ def cluster_matrix(sims: np.ndarray, sources: list[set] | list | None, threshold
     return [m for m in members if m]
 
 
+def copy_key(vector: np.ndarray) -> bytes | None:
+    """What vectors have in common that are equal up to a power of two; none for vectors without a direction."""
+    most = np.abs(vector).max() if len(vector) else 0.0
+    if not (np.isfinite(most) and most > 0):
+        return None
+    return (vector / np.float32(2.0 ** np.floor(np.log2(most)))).tobytes()
+
+
 def copies(vectors: np.ndarray, sources: list | None) -> list[list[int]]:
-    """Rows in groups of vectors that are equal up to a power of two, in order; a group that repeats a source is left as single rows.
+    """Rows in groups of copies, in order; a group that repeats a source is left as single rows.
 
     Nothing is more similar than copies, so they are the first to be merged, in order.
     """
     found: dict[bytes, list[int]] = {}
     for i, v in enumerate(vectors):
-        most = np.abs(v).max() if len(v) else 0.0
-        scaled = v / np.float32(2.0 ** np.floor(np.log2(most))) if np.isfinite(most) and most > 0 else None
-        found.setdefault(b"%d" % i if scaled is None else scaled.tobytes(), []).append(i)
+        found.setdefault(copy_key(v) or b"%d" % i, []).append(i)
     out = []
     for rows in found.values():
         alike = sources is None or len({sources[i] for i in rows}) == len(rows)
@@ -147,13 +167,16 @@ def copies(vectors: np.ndarray, sources: list | None) -> list[list[int]]:
     return sorted(out)
 
 
+def cluster_weighted(vectors: np.ndarray, sources: list[set] | None, weights: np.ndarray, threshold: float) -> list[list[int]]:
+    """Member lists of the clusters of float32 vectors, each of which stands for as many items as its weight says."""
+    return cluster_matrix(near_similarities(vectors), sources, threshold, exact_means(vectors, weights), weights)
+
+
 def cluster_vectors(vectors: np.ndarray, sources: list | None, threshold: float) -> list[list[int]]:
     """Member lists of the clusters of float32 vectors; copies are merged beforehand if the threshold lets them."""
     groups = copies(vectors, sources) if threshold <= 1.0 - MARGIN else [[i] for i in range(len(vectors))]
-    first = vectors[[g[0] for g in groups]]
-    weights = np.array([len(g) for g in groups], float)
     held = None if sources is None else [{sources[i] for i in g} for g in groups]
-    found = cluster_matrix(near_similarities(first), held, threshold, exact_means(first, weights), weights)
+    found = cluster_weighted(vectors[[g[0] for g in groups]], held, np.array([len(g) for g in groups], float), threshold)
     return [[i for m in members for i in groups[m]] for members in found]
 
 
@@ -168,53 +191,137 @@ def mean_similarity(vectors: np.ndarray) -> float:
     return float(total / (n * (n - 1) // 2))
 
 
+def weighted_mean_similarity(vectors: np.ndarray, weights: np.ndarray) -> float:
+    """Mean cosine over pairs of items, of which each vector stands for several."""
+    if (weights == 1).all():
+        return mean_similarity(vectors)
+    own = weights * (weights - 1) / 2
+    total = float((own * exact_cosines(vectors, vectors)).sum())
+    for i in range(len(vectors) - 1):
+        total += float((weights[i] * weights[i + 1 :] * exact_cosines(np.broadcast_to(vectors[i], vectors[i + 1 :].shape), vectors[i + 1 :])).sum())
+    items = weights.sum()
+    return total / (items * (items - 1) / 2)
+
+
+_HELD = ["item_idx", "source_id", "copy_key", "features"]
+
+
 def held_features(items: DataFrame) -> DataFrame:
-    """(item_idx, source_id, features) of the items with features, written once; a frame that was written here stays as it is."""
-    if "written_to" in items.__dict__ and items.columns == ["item_idx", "source_id", "features"]:
+    """(item_idx, source_id, copy_key, features) of the items with features, written once; a frame that was written here stays as it is."""
+    if "written_to" in items.__dict__ and items.columns == _HELD:
         return items
-    return materialise(items.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features"), "features")
+    rows = items.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), F.col("features").cast("array<float>").alias("features"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [copy_key(np.array(v, np.float32)) for v in batch.column(2).to_numpy(zero_copy_only=False)]
+            keys = [hashlib.blake2b(k, digest_size=16).digest() if k else None for k in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), batch.column(2)], names=_HELD)
 
+    return materialise(rows.mapInArrow(run, "item_idx long, source_id string, copy_key binary, features array<float>"), "features")
 
-def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+
+@dataclass
+class Gathered:
+    """Items with their copies drawn together.
+
+    ``rows`` is (item_idx, source_id, weight, features), one row for each group of copies (the least item stands for it)
+    and for each other item; ``copies`` is (item_idx, source_id, stands_for_it, place) of the members of groups, or
+    none if there are none.
+    """
+
+    rows: DataFrame
+    copies: DataFrame | None = None
+
+
+def gathered(held: DataFrame, threshold: float, constrained: bool = True) -> Gathered:
+    """Copies drawn together, unless the threshold may keep them apart. A group that repeats a source stays as single items if sources are kept apart.
+
+    Rows are counted by key and source first, so a vector of very many copies is few rows before anything is shuffled
+    by it; that a part of the rows are copies of one is a skewed join, which is split.
+    """
+    alone = Gathered(held.select("item_idx", "source_id", F.lit(1).cast("long").alias("weight"), "features"))
+    if threshold > 1.0 - MARGIN:
+        return alone
+    by_source = held.where("copy_key is not null").groupBy("copy_key", "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("item_idx").alias("low"))
+    groups = by_source.groupBy("copy_key").agg(F.sum("n").alias("weight"), F.min("low").alias("stands_for_it"), F.max("n").alias("most")).where("weight > 1")
+    groups, n = materialise_with(groups.where("most = 1") if constrained else groups, "copies", F.count(F.lit(1)))
+    if not n:
+        return alone
+    members = held.select("item_idx", "source_id", "copy_key").join(groups, "copy_key").select("item_idx", "source_id", "stands_for_it", "weight")
+    members = materialise(ranked(members, "item_idx", "place", within="stands_for_it").withColumn("place", (F.col("place") - 1)), "copies")
+    first = members.where("item_idx = stands_for_it").select("item_idx", F.col("weight").alias("w"))
+    others = members.where("item_idx <> stands_for_it").select("item_idx")
+    rows = held.join(others, "item_idx", "left_anti").join(first, "item_idx", "left")
+    # a group of several sources shares its one source with nobody
+    shown = F.when(F.col("w").isNull(), F.col("source_id")).otherwise(F.concat(F.lit("\0"), F.col("item_idx").cast("string")))
+    rows = materialise(rows.select("item_idx", shown.alias("source_id"), F.coalesce("w", F.lit(1)).cast("long").alias("weight"), "features"), "gathered")
+    return Gathered(rows, members)
+
+
+def _contested(drawn: Gathered) -> DataFrame:
+    """(item_idx, sources): of each row, the sources that other rows have too; only these can keep rows apart."""
+    single = drawn.rows.where("weight = 1").select("item_idx", "source_id")
+    every = single if drawn.copies is None else single.unionByName(drawn.copies.select(F.col("stands_for_it").alias("item_idx"), "source_id"))
+    several = every.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("source_id").alias("s"))
+    return every.join(several, F.col("source_id").eqNullSafe(F.col("s"))).groupBy("item_idx").agg(F.collect_list(F.coalesce("source_id", F.lit("\0"))).alias("sources"))
+
+
+def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs: DataFrame | None = None, drawn: Gathered | None = None) -> DataFrame:
     """(slot, member_pos, item_idx, average_similarity): every item with features in exactly one cluster.
 
-    Features are computed once: what they come from runs for one written table.
+    Features are computed once: what they come from runs for one written table. ``pairs`` are those of the gathered rows.
     """
-    held = held_features(items)
+    drawn = drawn or gathered(held_features(items), threshold, constrained)
     if pairs is None:
-        pairs = similar_pairs(held, threshold, constrained)
+        pairs = similar_pairs(drawn.rows, threshold, constrained)
     placed = components(pairs)
-    grouped = held.join(placed, "item_idx")
+    grouped = drawn.rows.join(placed, "item_idx")
+    grouped = grouped.join(_contested(drawn), "item_idx", "left") if constrained else grouped.withColumn("sources", F.lit(None).cast("array<string>"))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) > LARGEST_COMPONENT:
-            raise ValueError(f"a component of {len(group)} items is similar at this threshold; choose a higher one")
+            raise ValueError(f"a component of {len(group)} distinct vectors is similar at this threshold; choose a higher one")
         group = group.sort_values("item_idx", kind="stable")
-        ids = group["item_idx"].to_numpy()
+        ids, weights = group["item_idx"].to_numpy(), group["weight"].to_numpy().astype(float)
         vectors = np.stack(group["features"].to_numpy()).astype(np.float32)
+        sources = [set() if s is None else set(s) for s in group["sources"]] if constrained else None
         rows = []
-        for members in cluster_vectors(vectors, group["source_id"].tolist() if constrained else None, threshold):
-            mean = mean_similarity(vectors[members])
-            rows += [(int(ids[members[0]]), p, int(ids[m]), mean) for p, m in enumerate(members)]
-        return pd.DataFrame(rows, columns=["slot", "member_pos", "item_idx", "average_similarity"])
-
-    ddl = "slot long, member_pos int, item_idx long, average_similarity double"
-    found = grouped.groupBy("component_id").applyInPandas(cluster, ddl)
-    alone = held.join(placed, "item_idx", "left_anti").select(F.col("item_idx").alias("slot"), F.lit(0).alias("member_pos"), "item_idx", F.lit(1.0).alias("average_similarity"))
-    return found.unionByName(alone)
-
-
-def ranked(df: DataFrame, key: str, name: str, weight: str | None = None) -> DataFrame:
-    """Add the running count (or the running sum of ``weight``) of rows in order of a whole-number key.
+        for members in cluster_weighted(vectors, sources, weights, threshold):
+            mean = weighted_mean_similarity(vectors[members], weights[members])
+            before = 0
+            for m in members:
+                rows.append((int(ids[members[0]]), before, int(ids[m]), int(weights[m]), mean))
+                before += int(weights[m])
+        return pd.DataFrame(rows, columns=["slot", "member_pos", "item_idx", "weight", "average_similarity"])
+
+    ddl = "slot long, member_pos int, item_idx long, weight long, average_similarity double"
+    found = grouped.select("component_id", "item_idx", "weight", "features", "sources").groupBy("component_id").applyInPandas(cluster, ddl)
+    # copies are as similar as a vector is to itself
+    own = F.when(F.col("weight") > 1, cosine("features", "features")).otherwise(F.lit(1.0))
+    alone = drawn.rows.join(placed, "item_idx", "left_anti").select(F.col("item_idx").alias("slot"), F.lit(0).alias("member_pos"), "item_idx", "weight", own.alias("average_similarity"))
+    rows = found.unionByName(alone)
+    columns = ["slot", "member_pos", "item_idx", "average_similarity"]
+    if drawn.copies is None:
+        return rows.select(*columns)
+    rows = materialise(rows, "slots")
+    several = rows.where("weight > 1").withColumnRenamed("item_idx", "stands_for_it").join(drawn.copies.select("item_idx", "stands_for_it", "place"), "stands_for_it")
+    several = several.withColumn("member_pos", (F.col("member_pos") + F.col("place")).cast("int"))
+    return rows.where("weight = 1").select(*columns).unionByName(several.select(*columns))
+
+
+def ranked(df: DataFrame, key: str, name: str, weight: str | None = None, within: str | None = None) -> DataFrame:
+    """Add the running count (or the running sum of ``weight``) of rows in order of a whole-number key, of all or within the rows of a column's value.
 
     Keys are counted by ranges of 2^14 first, so only one row for each range meets in one task.
     """
     step = F.lit(1) if weight is None else F.col(weight).cast("long")
+    by = [within] if within else []
     cut = df.withColumn("__range", F.shiftright(key, _BUCKET))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = cut.groupBy("__range").agg(F.sum(step).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(ranges, "__range").withColumn(name, F.col("__before") + F.sum(step).over(inside)).drop("__range", "__before")
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut.groupBy(*by, "__range").agg(F.sum(step).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    inside = Window.partitionBy(*by, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(ranges, [*by, "__range"]).withColumn(name, F.col("__before") + F.sum(step).over(inside)).drop("__range", "__before")
 
 
 def group_table(members: DataFrame) -> DataFrame:
@@ -229,8 +336,8 @@ def group_table(members: DataFrame) -> DataFrame:
     return groups.select((F.col("__n") - 1).alias("group_id"), "slot", name.alias("name"), "item_count", "average_similarity", "is_duplicate")
 
 
-def analyse(items: DataFrame, threshold: float, constrained: bool = True, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def analyse(items: DataFrame, threshold: float, constrained: bool = True, pairs: DataFrame | None = None, drawn: Gathered | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, members): members have group_id in place of the slot. Both come from one written table."""
-    members = materialise(clusters(items, threshold, constrained, pairs), "clusters")
+    members = materialise(clusters(items, threshold, constrained, pairs, drawn), "clusters")
     groups = materialise(group_table(members), "groups")
     return groups.drop("slot"), members.join(groups.select("slot", "group_id"), "slot").select("group_id", "member_pos", "item_idx", "average_similarity")

@@ -45,10 +45,11 @@ class DuplicateFinder:
             self._tell("similarity", 0.0)
             held = clustering.held_features(media.featured_items(items))
             check_lengths(held)
-            pairs = materialise(similar_pairs(held, self.settings.threshold, self.constrained), "pairs")
+            drawn = clustering.gathered(held, self.settings.threshold, self.constrained)
+            pairs = materialise(similar_pairs(drawn.rows, self.settings.threshold, self.constrained), "pairs")
             self._tell("clustering", 0.7)
-            found, members = clustering.analyse(held, self.settings.threshold, self.constrained, pairs)
-            discard(pairs, held)
+            found, members = clustering.analyse(held, self.settings.threshold, self.constrained, pairs, drawn)
+            discard(pairs, held, drawn.rows)
             self._tell("statistics", 0.95)
             head = groups.header(found, self.settings.threshold)
             self._tell("done", 1.0)
