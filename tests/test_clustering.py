@@ -153,6 +153,21 @@ def test_components_of_a_long_chain(spark):
     assert rows == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("few", [0, 7, 1 << 16])
+def test_components_of_random_graphs(spark, monkeypatch, few):
+    """Contracted in rounds, ended in one task, or both."""
+    monkeypatch.setattr(graph, "FEW_ARCS", few)
+    rng = np.random.default_rng(few)
+    for n, m in ((60, 40), (200, 260), (30, 1)):
+        ends = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))] + [(n + 5, n + 5), (n + 9, n + 8), (n + 8, n + 9)]
+        label = {x: x for p in ends for x in p}
+        for _ in range(n):
+            for a, b in ends:
+                label[a] = label[b] = min(label[a], label[b])
+        assert dict(graph.components(spark.createDataFrame(ends, "i long, j int")).collect()) == label
+    assert graph.components(spark.createDataFrame([], "i long, j long")).count() == 0
+
+
 def test_vectors_of_unequal_length_are_an_error(spark):
     with pytest.raises(ValueError, match="differ"):
         similarity.check_lengths(_items(spark, [[1, 0], [1, 0, 0]]))
@@ -167,7 +182,7 @@ def test_copies_are_gathered_before_pairs(spark, monkeypatch):
     items = vectors.unionByName(near)
     asked = []
     kept = similarity.similar_pairs
-    monkeypatch.setattr(clustering, "similar_pairs", lambda rows, *a: asked.append(rows.count()) or kept(rows, *a))
+    monkeypatch.setattr(clustering, "similar_pairs", lambda held, *a, **k: asked.append(held.count()) or kept(held, *a, **k))
     rows = {r["item_idx"]: r for r in clustering.clusters(items, 0.9).collect()}
     assert asked == [5] and len(rows) == n + 4
     assert all(rows[i]["slot"] == 0 and rows[i]["member_pos"] == i for i in range(n))

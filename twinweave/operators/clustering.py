@@ -227,11 +227,12 @@ class Gathered:
 
     ``rows`` is (item_idx, source_id, weight, features), one row for each group of copies (the least item stands for it)
     and for each other item; ``copies`` is (item_idx, source_id, stands_for_it, place) of the members of groups, or
-    none if there are none.
+    none if there are none. ``count`` is the number of rows, where it is known.
     """
 
     rows: DataFrame
     copies: DataFrame | None = None
+    count: int | None = None
 
 
 def gathered(held: DataFrame, threshold: float, constrained: bool = True) -> Gathered:
@@ -250,13 +251,11 @@ def gathered(held: DataFrame, threshold: float, constrained: bool = True) -> Gat
         return alone
     members = held.select("item_idx", "source_id", "copy_key").join(groups, "copy_key").select("item_idx", "source_id", "stands_for_it", "weight")
     members = materialise(ranked(members, "item_idx", "place", within="stands_for_it").withColumn("place", (F.col("place") - 1)), "copies")
-    first = members.where("item_idx = stands_for_it").select("item_idx", F.col("weight").alias("w"))
-    others = members.where("item_idx <> stands_for_it").select("item_idx")
-    rows = held.join(others, "item_idx", "left_anti").join(first, "item_idx", "left")
     # a group of several sources shares its one source with nobody
+    joined = held.join(members.select("item_idx", "stands_for_it", F.col("weight").alias("w")), "item_idx", "left").where("w is null or stands_for_it = item_idx")
     shown = F.when(F.col("w").isNull(), F.col("source_id")).otherwise(F.concat(F.lit("\0"), F.col("item_idx").cast("string")))
-    rows = materialise(rows.select("item_idx", shown.alias("source_id"), F.coalesce("w", F.lit(1)).cast("long").alias("weight"), "features"), "gathered")
-    return Gathered(rows, members)
+    rows, n = materialise_with(joined.select("item_idx", shown.alias("source_id"), F.coalesce("w", F.lit(1)).cast("long").alias("weight"), "features"), "gathered", F.count(F.lit(1)))
+    return Gathered(rows, members, n)
 
 
 def _contested(drawn: Gathered) -> DataFrame:
@@ -274,7 +273,7 @@ def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs
     """
     drawn = drawn or gathered(held_features(items), threshold, constrained)
     if pairs is None:
-        pairs = similar_pairs(drawn.rows, threshold, constrained)
+        pairs = similar_pairs(drawn.rows, threshold, constrained, rows=drawn.count)
     placed = components(pairs)
     grouped = drawn.rows.join(placed, "item_idx")
     grouped = grouped.join(_contested(drawn), "item_idx", "left") if constrained else grouped.withColumn("sources", F.lit(None).cast("array<string>"))

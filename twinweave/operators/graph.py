@@ -1,32 +1,62 @@
-"""Connected components of a table of pairs."""
+"""Connected components of a table of pairs, at once and kept up to date."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.operators.checkpoints import discard, materialise, materialise_with
 
+#: Arcs up to which one task ends the work (about 1 MB); a larger graph is contracted until it is that small.
+FEW_ARCS = 1 << 16
+
+
+def _ended(arcs: DataFrame) -> DataFrame:
+    """(u, label) of every node of at most FEW_ARCS arcs, by union of trees in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (above := up.setdefault(x, x)) != x:
+                up[x] = x = up[above]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(u), top(v)
+                up[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([*up], pa.int64()), pa.array([top(u) for u in [*up]], pa.int64())], names=["u", "label"])
+
+    return arcs.where("u <= v").coalesce(1).mapInArrow(run, "u long, label long")
+
 
 def components(pairs: DataFrame) -> DataFrame:
     """(item_idx, component_id) for every endpoint of the pairs (i, j); the id is the component's least item.
 
-    Rounds of least labels among neighbours and of labels' own labels; each round is a written table, and
-    ends are known by the sum of all labels, the only figure that the driver sees. The pairs are read once.
-    The rounds end by themselves: labels are whole numbers that only fall, and a round that lowers none is
-    the last.
+    While there are many arcs, each node takes the least label among its neighbours, then that node's own, and the graph
+    of labels takes the place of the graph: arcs inside a label go, so each round at least halves the nodes that still
+    have any. Rounds are written tables, and their number of arcs is the only figure that the driver sees. The last few
+    arcs are ended in one task; labels then go back through the rounds. The pairs are read once.
     """
-    ends = F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v"))))
-    arcs = materialise(pairs.select(ends.alias("e")).select("e.u", "e.v"), "arcs")
-    figure = F.sum(F.col("label").cast("decimal(38,0)"))
-    labels, total = materialise_with(arcs.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "labels", figure)
-    before = None
-    while total is not None and total != before:
-        least = arcs.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("least"))
-        lower = labels.join(least, "u").select("u", F.least("label", "least").alias("label"))
-        up = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
-        before, old = total, labels
-        labels, total = materialise_with(lower.join(up, "label", "left").select("u", F.least("label", F.coalesce("above", "label")).alias("label")), "labels", figure)
-        discard(old)
-    discard(arcs)
+    ends = F.explode(F.array(F.struct(F.col("i").cast("long").alias("u"), F.col("j").cast("long").alias("v")), F.struct(F.col("j").cast("long").alias("u"), F.col("i").cast("long").alias("v"))))
+    count = F.count(F.lit(1))
+    arcs, n = materialise_with(pairs.select(ends.alias("e")).select("e.u", "e.v"), "arcs", count)
+    rounds: list[DataFrame] = []
+    while n > FEW_ARCS:
+        low = materialise(arcs.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "low")
+        step = materialise(low.join(low.select(F.col("u").alias("label"), F.col("label").alias("above")), "label").select("u", F.col("above").alias("label")), "labels")
+        rounds.append(step)
+        left = arcs.where("u <> v").join(step, "u").join(step.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").where("label <> other")
+        fewer, n = materialise_with(left.select(F.col("label").alias("u"), F.col("other").alias("v")).distinct(), "arcs", count)
+        discard(low, arcs)
+        arcs = fewer
+    labels = _ended(arcs)
+    for step in reversed(rounds):
+        above = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
+        labels = materialise(step.join(above, "label", "left").select("u", F.coalesce("above", "label").alias("label")), "labels")
+        discard(step, arcs)
     return labels.select(F.col("u").alias("item_idx"), F.col("label").alias("component_id"))

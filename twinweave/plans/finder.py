@@ -46,7 +46,7 @@ class DuplicateFinder:
             held = clustering.held_features(media.featured_items(items))
             check_lengths(held)
             drawn = clustering.gathered(held, self.settings.threshold, self.constrained)
-            pairs = materialise(similar_pairs(drawn.rows, self.settings.threshold, self.constrained), "pairs")
+            pairs = materialise(similar_pairs(drawn.rows, self.settings.threshold, self.constrained, rows=drawn.count), "pairs")
             self._tell("clustering", 0.7)
             found, members = clustering.analyse(held, self.settings.threshold, self.constrained, pairs, drawn)
             discard(pairs, held, drawn.rows)
