@@ -217,8 +217,24 @@ def _unpacked(blobs: pa.ChunkedArray, kinds: tuple[type, ...]) -> list[np.ndarra
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
-def _packed(batches, make, bits: int):
-    """Rows (b, blob) of what ``make(batch)`` gives for slices of batches: (key, *columns), dealt by key and packed FLUSH entries at a time."""
+#: Rows of a task: the low bits of Spark's increasing ids.
+_TASK = np.int64((1 << 33) - 1)
+
+
+def _asked(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(low bytes of keys, row ids) of packed questions: each blob has its task's first row id, keys, and rows of the task in four bytes."""
+    low, rid = [np.zeros(0, _LOW)], [np.zeros(0, np.int64)]
+    for chunk in blobs.chunks:
+        for blob in chunk:
+            raw = blob.as_buffer()
+            n = (raw.size - 8) // 11
+            low.append(np.frombuffer(raw, _LOW, n, 8))
+            rid.append(np.frombuffer(raw, np.uint32, n, 8 + 7 * n) + np.frombuffer(raw, np.int64, 1))
+    return np.concatenate(low), np.concatenate(rid)
+
+
+def _packed(batches, make, bits: int, head=lambda: b""):
+    """Rows (b, blob) of what ``make(batch)`` gives for slices of batches: (key, *columns), dealt by key and packed FLUSH entries at a time; a blob begins with ``head()``."""
     schema = pa.schema([("b", pa.int32()), ("blob", pa.binary())])
     waiting, size = [], 0
 
@@ -227,7 +243,7 @@ def _packed(batches, make, bits: int):
         dealt = list(_deal(columns[0], bits))
         for i in range(0, len(dealt), 64):
             some = dealt[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([b"".join(c[at].tobytes() for c in columns[1:]) for _, at in some], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([head() + b"".join(c[at].tobytes() for c in columns[1:]) for _, at in some], pa.binary())], schema=schema)
 
     for batch in batches:
         for part in slices(batch):
@@ -442,17 +458,20 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def run(batches):
         """Rows (b, blob) of what is asked, and rows (rid, ...) of the documents' own sums."""
-        own = []
+        own, first = [], np.zeros(1, np.int64)
 
         def make(part):
             rid = part.column(0).to_numpy()
+            first[0] = rid[0] & ~_TASK
+            if rid[-1] - first[0] >= 1 << 32:
+                raise ValueError("a task reads 2^32 documents or more; read them in smaller parts")
             sums, (row, key) = parts_of(part)
             own.append((part.column(0), part.column(1), *map(pa.array, sums)))
-            # the bucket says the highest byte
-            yield key, key.view(np.uint8).reshape(-1, 8)[:, :7], rid[row]
+            # the bucket says the highest byte, the task the highest part of the row id
+            yield key, key.view(np.uint8).reshape(-1, 8)[:, :7], (rid - first[0]).astype(np.uint32)[row]
 
         schema = arrow_schema(ddl)
-        for packed in _packed(batches, make, bits):
+        for packed in _packed(batches, make, bits, first.tobytes):
             yield pa.RecordBatch.from_arrays([*packed.columns, *(pa.nulls(packed.num_rows, f.type) for f in list(schema)[2:])], schema=schema)
             while own:
                 yield _own(own.pop(), schema)
@@ -472,7 +491,7 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         order = np.argsort(h)
         h, c, v = h[order], held.column("c").to_numpy()[order], held.column("v").to_numpy()[order]
         start = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
-        low, rid = _unpacked(asked.column("blob").drop_null(), (_LOW, np.int64))
+        low, rid = _asked(asked.column("blob").drop_null())
         key = np.empty((len(low), 8), np.uint8)
         key[:, :7], key[:, 7] = low.view(np.uint8).reshape(-1, 7), asked.column("b")[0].as_py() >> bits - 8
         at = find(h[start], key.reshape(-1).view(np.uint64))
