@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from dataclasses import asdict, dataclass, field, fields
@@ -25,6 +26,12 @@ IMAGENET = Normalisation()
 CLIP = Normalisation((0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711))
 
 
+#: Settings that change pixels or tensors, and so features; the model's path counts where it is used.
+_FOR_FEATURES = ("use_bundled_model", "layout", "normalisation", "resize", "size", "resize_method", "padding_colour", "downsampling", "upsampling", "companding", "detect_borders", "border_tolerance", "output_format")
+#: Bounds of a side of the model's input.
+SIZES = (32, 2048)
+
+
 def clamp(value, low, high):
     return max(low, min(high, value))
 
@@ -55,6 +62,7 @@ class Settings:
         put("parallelism", clamp(int(self.parallelism), 1, os.cpu_count() or 1))
         put("batch_size", clamp(int(self.batch_size), 1, 64))
         put("threshold", clamp(float(self.threshold), 0.3, 1.0))
+        put("size", clamp(int(self.size), *SIZES))
         put("border_tolerance", clamp(int(self.border_tolerance), 0, 255))
         for value, allowed in ((self.resize_method, RESIZE_METHODS), (self.downsampling, SAMPLINGS), (self.upsampling, SAMPLINGS), (self.output_format, OUTPUT_FORMATS), (self.layout, LAYOUTS)):
             if value not in allowed:
@@ -70,9 +78,15 @@ class Settings:
         return Settings(**(self._plain() | {"use_bundled_model": True, "resize": True, "size": 320, "resize_method": "Stretch", "downsampling": "Bilinear", "upsampling": "Bilinear", "companding": False, "output_format": "PNG", "layout": "NCHW", "normalisation": IMAGENET}))
 
     def affects_features(self, other: Settings) -> bool:
-        """Whether features made under these settings are void under others."""
+        """Whether another model or input of the model makes features of these settings void at once."""
         return any(getattr(self, k) != getattr(other, k) for k in ("use_bundled_model", "model_path", "layout", "normalisation"))
 
+    def features_digest(self) -> str:
+        """A digest of what features depend on: the model, its input, and how images are prepared for it."""
+        held = asdict(self)
+        model = "" if self.use_bundled_model else self.model_path
+        return hashlib.sha256(json.dumps([model, *(held[k] for k in _FOR_FEATURES)], sort_keys=True).encode()).hexdigest()[:32]
+
     def _plain(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 

@@ -74,5 +74,39 @@ def similar_pairs(items: DataFrame, threshold: float, constrained: bool = True,
     return dealt.groupBy("low", "high").applyInPandas(compare, "i long, j long, sim double")
 
 
+def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, constrained: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, j, sim) with sim >= threshold of a row of each table, i the smaller id; for a small table against a large one.
+
+    Both are dealt into blocks; a row of one goes to every block of the other, so the large table is copied once for
+    each block of the small one.
+    """
+    side = lambda t: t.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features")
+    sides = [side(left), side(right)]
+    counts = [max(1, -(-x.count() // block_rows)) for x in sides]
+    counts[1] = max(counts[1], min(LEAST_BLOCKS, sides[1].sparkSession.sparkContext.defaultParallelism))
+    home = lambda n: F.pmod(F.xxhash64("item_idx"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = sides[0].withColumns({"own": F.lit(True), "low": home(counts[0])}).withColumn("high", every(counts[1]))
+    dealt = dealt.unionByName(sides[1].withColumns({"own": F.lit(False), "high": home(counts[1])}).withColumn("low", every(counts[0])))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["own"]], group[~group["own"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "sim": np.zeros(0)})
+        x, y = (np.stack(g["features"].to_numpy()).astype(np.float32) for g in (a, b))
+        unit = [v / np.where((m := magnitudes(v)) == 0, 1, m)[:, None] for v in (x, y)]
+        near = unit[0] @ unit[1].T >= threshold - MARGIN
+        if constrained:
+            near &= a["source_id"].to_numpy()[:, None] != b["source_id"].to_numpy()[None, :]
+        p, q = np.nonzero(near)
+        # the smaller id comes first, as it does among pairs of one table
+        i, j = a["item_idx"].to_numpy()[p], b["item_idx"].to_numpy()[q]
+        sims = np.concatenate([exact_cosines(x[p[k : k + 8192]], y[q[k : k + 8192]]) for k in range(0, len(p), 8192)] or [np.zeros(0)])
+        keep = sims >= threshold
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": sims[keep]})
+
+    return dealt.groupBy("low", "high").applyInPandas(compare, "i long, j long, sim double")
+
+
 def exact_copies(sim: Column | str, limit: float = 0.9999) -> Column:
     return (F.col(sim) if isinstance(sim, str) else sim) >= limit
