@@ -76,5 +76,5 @@ class FeatureStore:
         return Update(n, batch if n else None)
 
     def featured(self, media: DataFrame, settings: Settings) -> DataFrame:
-        """Media rows with their current features and the batch that made them; rows without are left out."""
-        return identity(media).join(self.stored(settings).where(has_features("features")), _KEYS).drop(*_KEYS)
+        """Media rows with their current features and the batch that made them (in place of columns of these names); rows without are left out."""
+        return identity(media).drop("features", "batch").join(self.stored(settings).where(has_features("features")), _KEYS).drop(*_KEYS)

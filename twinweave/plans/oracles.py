@@ -106,6 +106,14 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_to_anchor": f"WITH {_media()}, vecs AS (SELECT item_idx AS id, features AS v, sqrt({_DOT.format(a='features', b='features')}) AS m FROM media) SELECT x.id AS item_idx, y.id AS anchor, round({_COS}, 12) AS sim FROM vecs x JOIN vecs y ON y.id < 10",
     "similar_components": f"""WITH RECURSIVE {_media(True, False)}, {_sims()}, e AS (SELECT i AS a, j AS b FROM sims WHERE s >= 0.40 UNION ALL SELECT j, i FROM sims WHERE s >= 0.40),
 reach AS (SELECT a AS item, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.item) SELECT item AS item_idx, min(r) AS component_id FROM reach GROUP BY item""",
+    "hac_groups_incremental": _hac(True) + " SELECT slot, member_pos::INTEGER AS member_pos, item_idx, round(coalesce(av, 1.0), 6) AS average_similarity FROM mem LEFT JOIN avgs USING (slot)",
+    "feature_table_updates": f"WITH {_media()} SELECT item_idx, least(8, len(features))::INTEGER AS dims, CASE WHEN item_idx % 5 = 2 OR item_idx % 7 = 3 THEN 1 ELSE 0 END::BIGINT AS computed_by, TRUE AS stale_in_another_layout FROM media",
+    "rescan_changes": f"""WITH {_media()}, before AS (SELECT lower(file_path) AS path_key, file_size AS size_before FROM media WHERE item_idx % 10 <> 4),
+after AS (SELECT lower(file_path) AS path_key, file_size + CASE WHEN item_idx % 9 = 5 THEN 1 ELSE 0 END AS size_after FROM media WHERE item_idx % 10 <> 6)
+SELECT path_key, CASE WHEN size_before IS NULL THEN 'added' WHEN size_after IS NULL THEN 'gone' ELSE 'changed' END AS change, size_before, size_after FROM before FULL JOIN after USING (path_key) WHERE size_before IS DISTINCT FROM size_after""",
+    "rescan_media": f"""WITH {_media()} SELECT upper(file_path) AS file_path, file_size, '/other' AS root, 2::BIGINT AS scan_seq FROM media WHERE item_idx % 2 = 0
+UNION ALL SELECT file_path, file_size + CASE WHEN item_idx % 9 = 5 THEN 1 ELSE 0 END, '/lib', 3 FROM media WHERE item_idx % 2 <> 0""",
+    "cosine_pairs_indexed": f"WITH {_media(by_label=False)}, {_sims()} SELECT i, j, round(s, 12) AS sim FROM sims WHERE s >= 0.40",
     "hac_groups": _hac(False) + " SELECT slot, member_pos::INTEGER AS member_pos, item_idx, round(coalesce(av, 1.0), 6) AS average_similarity FROM mem LEFT JOIN avgs USING (slot)",
     "hac_groups_source_constrained": _hac(True) + " SELECT slot, member_pos::INTEGER AS member_pos, item_idx, round(coalesce(av, 1.0), 6) AS average_similarity FROM mem LEFT JOIN avgs USING (slot)",
     "group_table": _TABLE + " SELECT group_id, 'Group ' || num::BIGINT AS name, item_count, round(av, 6) AS average_similarity, item_count > 1 AS is_duplicate FROM tab",

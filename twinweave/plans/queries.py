@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from twinweave.config import IMAGENET, Settings
 from twinweave.functions import display, paths, vectors
-from twinweave.operators import actions, clustering, graph, groups, imaging, media, selection, similarity
+from twinweave.operators import actions, clustering, graph, groups, imaging, incremental, media, pair_index, selection, similarity
+from twinweave.operators.checkpoints import scratch
+from twinweave.operators.feature_store import FeatureStore
+from twinweave.operators.manifest import Manifest
 from twinweave.plans import imaging_queries
 
 THRESHOLD = 0.40
@@ -67,6 +70,12 @@ def cosine_pairs_source_constrained(spark, sf_dir):
     return similarity.similar_pairs(media_view(spark, sf_dir, copies=True), THRESHOLD, constrained=True).select("i", "j", F.round("sim", 12).alias("sim"))
 
 
+def cosine_pairs_indexed(spark, sf_dir):
+    """The same by the metric index, with blocks small enough that it decides about many pairs of them."""
+    items = media_view(spark, sf_dir, by_label=False).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features")
+    return pair_index.indexed_pairs(items, THRESHOLD, False, items.count(), block_rows=128).select("i", "j", F.round("sim", 12).alias("sim"))
+
+
 def cosine_to_anchor(spark, sf_dir):
     """The expression itself: every vector against the vectors of the ten lowest ids."""
     items = media_view(spark, sf_dir)
@@ -92,6 +101,47 @@ def hac_groups_source_constrained(spark, sf_dir):
     return _clusters(spark, sf_dir, True)
 
 
+def hac_groups_incremental(spark, sf_dir):
+    """Clusters after an addition to a state: those of a full run."""
+    rows = media_view(spark, sf_dir, copies=True)
+    state = incremental.begin(rows.where("item_idx % 4 <> 1"), THRESHOLD)
+    members = incremental.extend(state, rows.where("item_idx % 4 = 1")).members
+    return members.select("slot", "member_pos", "item_idx", F.round("average_similarity", 6).alias("average_similarity"))
+
+
+def feature_table_updates(spark, sf_dir):
+    """Which update computed each item's features: all at first, then what changed or came, nothing for another threshold."""
+    store, rows = FeatureStore(spark, scratch(spark, "store")), media_view(spark, sf_dir)
+    derive = lambda fresh: fresh.withColumn("features", F.slice("features", 1, 8))
+    store.update(rows.where("item_idx % 5 <> 2"), derive, Settings())
+    changed = rows.withColumn("file_size", F.col("file_size") + F.when(F.col("item_idx") % 7 == 3, 1).otherwise(0))
+    store.update(changed, derive, Settings())
+    store.update(changed, derive, Settings(threshold=0.9))
+    other = store.stale(changed, Settings(layout="NHWC")).select(F.col("item_idx").alias("k"))
+    held = store.featured(changed, Settings())
+    return held.join(other, F.col("item_idx") == F.col("k"), "left").select("item_idx", F.size("features").alias("dims"), F.col("batch").alias("computed_by"), F.col("k").isNotNull().alias("stale_in_another_layout"))
+
+
+def _scans(spark, sf_dir):
+    """A manifest of two overlapping roots, of which the first was scanned again after some files went, came and changed."""
+    rows = media_view(spark, sf_dir).select("item_idx", "file_path", "file_size", "modified_at")
+    manifest = Manifest(spark, scratch(spark, "manifest"))
+    manifest.rescan("/lib", rows.where("item_idx % 10 <> 4"))
+    manifest.rescan("/other", rows.where("item_idx % 2 = 0").withColumn("file_path", F.upper("file_path")))
+    again = rows.where("item_idx % 10 <> 6").withColumn("file_size", F.col("file_size") + F.when(F.col("item_idx") % 9 == 5, 1).otherwise(0))
+    return manifest, manifest.rescan("/LIB", again)
+
+
+def rescan_changes(spark, sf_dir):
+    manifest, version = _scans(spark, sf_dir)
+    return manifest.changes(version)
+
+
+def rescan_media(spark, sf_dir):
+    """Files after the re-scan: those of both roots, written as the root says that held them first."""
+    return _scans(spark, sf_dir)[0].media().select("file_path", "file_size", "root", "scan_seq")
+
+
 def _analysed(spark, sf_dir):
     return clustering.analyse(media_view(spark, sf_dir, copies=True), THRESHOLD)
 
@@ -378,7 +428,8 @@ def op_result_fold(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        cosine_pairs, cosine_pairs_source_constrained, cosine_to_anchor, similar_components, hac_groups, hac_groups_source_constrained, group_table, result_header, result_summary,
+        cosine_pairs, cosine_pairs_source_constrained, cosine_pairs_indexed, cosine_to_anchor, similar_components, hac_groups, hac_groups_source_constrained, hac_groups_incremental,
+        group_table, result_header, result_summary, feature_table_updates, rescan_changes, rescan_media,
         groups_base_order, thumbnails_first4, select_visible_groups, select_clear, group_toggle, group_tristate, selection_summary, selected_paths, selected_paths_by_group,
         remove_paths_dissolve, live_counts, rename_groups, classify_extension, path_dedup_first_wins, provenance_remove_root, add_files_unlisted, media_items, featured_items, processed_items,
         item_counters, remove_items_by_path, sources_with_items, video_frames, path_parts, sanitize_name, validate_name, format_file_size, resolution_orientation, camera_texts, flash_mode,
