@@ -11,7 +11,8 @@ together, and half of a licence with an exception.
 
 Defined results: null and empty texts have no words, no labels and score 0; a tagged line that is no expression
 gives the identifiers it starts with; unknown identifiers after a tag are labels too, with risk 0.5; repeated rows
-give repeated results; texts of any length are scanned whole.
+give repeated results; texts of any length are scanned whole, in time in proportion to their length whatever their
+words are.
 """
 
 from __future__ import annotations
@@ -32,9 +33,24 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 #: Further notice phrases and the labels that the method adds.
 NOTICES = {
     "mit license": "mit",
+    "mit licence": "mit",
     "apache license": "apache",
+    "apache licence": "apache",
     "bsd license": "bsd",
+    "bsd licence": "bsd",
     "isc license": "isc",
+    "isc licence": "isc",
+    "gplv2": "gpl-2.0",
+    "gpl v2": "gpl-2.0",
+    "gpl version 2": "gpl-2.0",
+    "gplv3": "gpl-3.0",
+    "gpl v3": "gpl-3.0",
+    "gpl version 3": "gpl-3.0",
+    "lgplv2": "lgpl-2.0",
+    "lgplv3": "lgpl-3.0",
+    "agplv3": "agpl-3.0",
+    "general public license version 2": "gpl-2.0",
+    "general public license version 3": "gpl-3.0",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
     "lesser general public license": "lgpl",
@@ -75,7 +91,8 @@ _TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.:+-]*[A-Za-z0-9+])?")
 _TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*[\"']?([^\r\n\"']*)", re.IGNORECASE | re.ASCII)
 _FIELD = re.compile(r"\blicen[sc]e[\"']?[ \t]*[:=][ \t]*[\"']?([^\r\n\"',;]*)", re.IGNORECASE | re.ASCII)
 _OPERAND = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
-_JOINED = re.compile(rf"{_OPERAND}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{_OPERAND}\)*)+", re.ASCII)
+#: Tried once for each run of an operand's characters, at its beginning, so the time is in proportion to the text.
+_JOINED = re.compile(rf"(?<![A-Za-z0-9.+-])[.+-]*+({_OPERAND}\)*+(?:[ \t]++(?:AND|OR|WITH)[ \t]++\(*+{_OPERAND}\)*+)+)", re.ASCII)
 _NUMBERED = re.compile(r"(?<![A-Za-z0-9.+-])(?=[A-Za-z0-9.]*-)(?=[A-Za-z.-]*[0-9])" + _OPERAND, re.ASCII)
 
 _KEEP = np.zeros(256, dtype=bool)
@@ -148,12 +165,17 @@ def parse(expression: str) -> list[str]:
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
-    """(labels, risk) of an expression in reverse Polish form."""
+    """(labels, risk) of an expression in reverse Polish form. The smaller set of labels joins the larger, so long expressions cost little more than short ones."""
     stack: list[tuple[set[str], float]] = []
     for token in postfix:
         if token in _BINDS and len(stack) > 1:
             (right, r), (left, q) = stack.pop(), stack.pop()
-            stack.append((left | right, min(q, r)) if token == "or" else (left | right, max(q, r)) if token == "and" else (left, q / 2))
+            if token == "with":
+                stack.append((left, q / 2))
+            else:
+                more, less = (left, right) if len(left) >= len(right) else (right, left)
+                more |= less
+                stack.append((more, min(q, r) if token == "or" else max(q, r)))
         elif token not in _BINDS:
             stack.append(({token}, risk(token)))
     if not stack:
@@ -187,7 +209,7 @@ def expressions(raw: str) -> list[tuple[set[str], float]]:
         if _known(postfix) and not _TOKEN.sub("", m[1]).strip() and len(postfix) == sum(x not in "()" for x in _TOKEN.findall(m[1])):
             out.append(evaluate(postfix))
     for m in _JOINED.finditer(raw):
-        start = m.start()
+        start = m.start(1)
         while start and raw[start - 1] == "(":
             start -= 1
         postfix = parse(raw[start : m.end()])
@@ -200,14 +222,14 @@ def expressions(raw: str) -> list[tuple[set[str], float]]:
 
 def _known(postfix: list[str]) -> bool:
     """Whether there are operands and all are known identifiers, but for exceptions after WITH."""
-    stack: list[tuple[str, ...]] = []
+    stack: list[bool] = []
     for token in postfix:
         if token in _BINDS and len(stack) > 1:
             right, left = stack.pop(), stack.pop()
-            stack.append(left if token == "with" else left + right)
+            stack.append(left if token == "with" else left and right)
         elif token not in _BINDS:
-            stack.append((token.rstrip("+"),))
-    return bool(stack) and all(x in KNOWN for part in stack for x in part)
+            stack.append(token.rstrip("+") in KNOWN)
+    return bool(stack) and all(stack)
 
 
 def scan_text(words: str, raw: pa.StringScalar) -> tuple[list[int], set[str], set[str], float]:
