@@ -24,7 +24,6 @@ alike (and learned from as often as they stand there).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -425,9 +424,11 @@ def _hot(model: Model) -> tuple[np.ndarray, ...]:
 def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     model = learn(documents, depth)
-    rest = additions(model, False)
-    seen = bitmap_of(reduce(DataFrame.unionByName, [x.select("h") for x in (model.table, *model.levels)]), model.kinds + model.kept)
+    # what is asked for: only what adds something to a score, and is not broadcast
+    rest, count = materialise_with(additions(model, False).select("h", "c", "v"), "additions", F.count(F.lit(1)))
+    seen = bitmap_of(rest, count)
     shared = documents.sparkSession.sparkContext.broadcast((*_hot(model), seen))
+    discard(model.table, *model.levels)
     length, unit, bits = len(model.levels) + 1, float(np.log10(model.total + model.kinds + 1)) if model.total else 0.0, model.bits
     held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
 
