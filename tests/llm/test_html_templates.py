@@ -71,3 +71,62 @@ def test_nothing_in_an_article_is_dropped_for_its_size():
             words = " ".join(["word"] * n)
             text = f'<a href="#">{words}</a>' if link else words
             assert hb.extract(f"<nav>{MENU}</nav><article><p>a b</p><p>{text}</p><p>{B}</p></article>") == f"a b\n\n{words}\n\n{B}"
+
+
+LONG = " ".join(f"{A} {B} {C}".split()[:72])
+AD = "Buy two jars of our honey today and get the third one for free, only this week and only in our shop at the market square."
+REAL = {
+    **{f"{tag} around the page": f"<body><{tag}><div>{MENU}</div><div>{BODY}</div><div>{NEXT}</div></{tag}></body>" for tag in ("form", "fieldset", "dialog", "menu", "aside")},
+    "server-side form": f'<body><form method="post" action="./x.aspx" id="aspnetForm"><input type="hidden" value="x"><div id="header">{MENU}</div><div id="content">{BODY}</div><div id="footer"><p>Town paper</p></div></form></body>',
+    "page builder": f'<div class="elementor elementor-12"><section class="elementor-section"><div class="elementor-element elementor-widget elementor-widget-heading"><h1>The new bridge</h1></div>'
+    + "".join(f'<div class="elementor-element elementor-widget elementor-widget-text-editor"><p>{x}</p></div>' for x in (A, B))
+    + f'<div class="elementor-element elementor-widget"><p>{S}</p><p>{C}</p></div></section></div>',
+    "page builder in main": f'<nav>{MENU}</nav><main><div class="elementor-element elementor-widget"><h1>The new bridge</h1></div>' + "".join(f'<div class="elementor-element elementor-widget"><p>{x}</p></div>' for x in (A, B, S, C)) + "</main>",
+    **{f"title in a header, {x}": f"<header>{MENU}{y}</header><div><p>{A}</p><p>{B}</p><p>{S}</p><p>{C}</p></div><footer>{NEXT}</footer>" for x, y in (("bare", "<h1>The new bridge</h1>"), ("in a box", "<div><h1>The new bridge</h1></div>"))},
+    **{f"{name} in an article": f'<article><h1>The new bridge</h1><p>{A}</p><p>{B}</p><div class="{name}"><p>{AD}</p></div><p>{S}</p><p>{C}</p></article>' for name in ("advert", "sponsored", "related", "newsletter", "share", "promo", "ad-slot", "cookie-notice")},
+}
+
+
+@pytest.mark.parametrize("name", REAL)
+def test_real_shapes(name):
+    assert hb.extract(REAL[name]) == TEXT.replace("|", "\n\n")
+
+
+@pytest.mark.parametrize("name", ["header-wrap", "widget-text", "social-page", "banner-content", "topbar-inner"])
+def test_names_are_weak_hints(name):
+    page = f'<div>{MENU}</div><div class="{name}"><h1>The new bridge</h1><p>{LONG}</p><p>{B}</p><p>{LONG}</p></div><div>{NEXT}</div>'
+    assert hb.extract(page) == f"The new bridge\n\n{LONG}\n\n{B}\n\n{LONG}"
+
+
+def test_items_of_a_list_share_a_verdict():
+    page = f"<nav>{MENU}</nav><div><h1>The new bridge</h1><p>{A}</p><ul><li>{B}</li><li>stone</li><li>iron and wood</li><li>{C}</li><li>glass</li></ul><p>{A}</p></div><div>{NEXT}</div>"
+    assert hb.extract(page) == f"The new bridge\n\n{A}\n\n{B}\n\nstone\n\niron and wood\n\n{C}\n\nglass\n\n{A}"
+
+
+def test_short_pages():
+    assert hb.extract(f"<nav>{MENU}</nav><div><p>We are closed today.</p><p>Come back on Monday.</p></div><footer><p>Town</p></footer>") == "We are closed today.\n\nCome back on Monday."
+    assert hb.extract(f"<nav>{MENU}</nav><footer><p>Town</p></footer>") == ""
+
+
+def test_hints_decide_few_blocks():
+    """A tree that never sees the hint of class names errs on hardly more held-out blocks."""
+    x, y = hb.table_of(hb.labelled_pages())
+    held, want = hb.table_of(hb.labelled_pages(seed=78, each=40))
+    hint = hb.FEATURES.index("hint")
+    blind = x.copy()
+    blind[:, hint] = 0
+    tree, other = hb.default_tree(), hb.DecisionTree(blind, y)
+    right = [np.mean([t.predict(r) == v for r, v in zip(rows.tolist(), want.tolist(), strict=True)]) for t, rows in ((tree, held), (other, np.where(np.arange(held.shape[1]) == hint, 0, held)))]
+    assert right[0] > 0.98 and right[0] - right[1] < 0.02
+
+
+def test_time_is_in_proportion_to_the_page():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        hb.extract("<div class='widget'>" * n + "".join(f"<div><p>{A}</p>" for _ in range(n)) + "</nav>" * n)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 12 * took(4000) + 0.5

@@ -3,10 +3,12 @@
 A page is read once into flat blocks: runs of text between block-level tags, without scripts, styles, the
 head and comments. Each block has a word count and a link density, the same of its two neighbours, and a few
 marks of its place: whether it lies in an article, outside one that the page has, in an element that HTML itself
-names as a menu, footer, form or the like, under readers' comments, and one weak hint from class names. A decision
-tree (Gini splits), trained on a small labelled table (seeded pages in three styles: landmarks, class names, and
-bare boxes where counts and densities of a block and its neighbours are all there is), decides which blocks are
-main text; these are joined by a blank line.
+names as a menu, footer, form or the like or whose class names an advert or the like, under readers' comments, and one
+weak hint from other class names. An element that holds most of a page's plain words is never boilerplate, and names that
+most of them bear tell nothing: pages stand in forms, builders name every box a widget. A decision tree (Gini splits), trained on a small
+labelled table (seeded pages in six styles, among them bare boxes where counts and densities of a block and its
+neighbours are all there is), decides which blocks are main text; the items of a list share the verdict of most of its
+words; these blocks are joined by a blank line. If the tree finds none, plain paragraphs outside boilerplate are the text.
 
 Defined results: null and empty pages, and pages without main blocks, give an empty text; unclosed tags end
 with their page, unclosed silent elements with their parent; a ``<`` that starts no tag is text; character
@@ -47,6 +49,10 @@ _HINTS = frozenset(
     "newsletter subscribe signup share sharing social related recommended recommendations trending popular nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead topbar "
     "toolbar login search byline copyright complementary contentinfo".split()
 )
+#: Of these, such as say it for certain.
+_CERTAIN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion cookie cookies consent gdpr newsletter subscribe signup share sharing related recommended recommendations".split())
+#: Share of a page's plain words from which on an element is its frame, and the least of them.
+_FRAME_SHARE, _FRAME_WORDS = 0.6, 20
 _COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 #: First parts that say what a page has, and such that name the content; of the latter, the last parts that hint still.
 _ABOUT = frozenset("has no with without is not hide show js".split())
@@ -71,25 +77,52 @@ class Block:
     link_words: int
     place: tuple[int, ...]  # inside, boiler, hint, comment, in_list, heading, paragraph
     mark: str | None = None
+    listed: int = 0  # number of the innermost list, from 1
 
 
-@dataclass(frozen=True)
+@dataclass
 class Place:
-    """An open element: its name, whether it is an article, boilerplate by its tag, hinted at, comments; and a label of the training table."""
+    """An element that blocks may lie in: what it says itself, then (by ``_settle``) what holds for blocks in it."""
 
     name: str
-    article: bool
-    boiler: bool
-    hint: bool
-    comment: bool
+    article: bool = False
+    boiler: bool = False
+    hint: bool = False
+    comment: bool = False
     mark: str | None = None
+    parent: int = 0
+    plain_words: int = 0
+    listed: int = 0
+
+
+def _settle(places: list[Place]) -> None:
+    """Marks of places with those of the places around them; each place is looked at twice, however deep it lies."""
+    for p in reversed(places[1:]):
+        places[p.parent].plain_words += p.plain_words
+    most = places[0].plain_words
+    for i, p in enumerate(places[1:], 1):
+        above = places[p.parent]
+        frame = p.plain_words >= max(_FRAME_WORDS, _FRAME_SHARE * most)
+        p.listed = i if p.name in ("ul", "ol", "dl") else above.listed
+        p.comment = p.comment or above.comment
+        p.mark = p.mark or above.mark
+        if p.article:
+            p.boiler = p.hint = False
+        else:
+            p.article = above.article
+            # a header in an article holds its title
+            p.boiler = above.boiler or p.boiler and not frame and not (p.article and p.name == "header")
+            p.hint = above.hint or p.hint and not frame
 
 
 def blocks(page: str | None) -> list[Block]:
     """Flat text blocks in page order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[Place] = []
+    lies: list[tuple[int, str]] = []  # of each block its place and the element that opened it
+    places = [Place("")]
+    stack: list[int] = [0]
+    within: dict[str, int] = {}  # how many places of a name are open
     parts: list[str] = []  # of the open block
     link_words = 0
     in_link = 0
@@ -105,6 +138,11 @@ def blocks(page: str | None) -> list[Block]:
         while len(elements) > size:
             depth[elements.pop()] -= 1
 
+    def enter(place: Place) -> int:
+        place.parent = stack[-1]
+        places.append(place)
+        return len(places) - 1
+
     def close() -> None:
         nonlocal parts, link_words, link_from
         if parts:
@@ -112,15 +150,12 @@ def blocks(page: str | None) -> list[Block]:
                 link_words += _count(parts[link_from:])
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                held = [*stack, opener] if opener else stack
-                at_article = max((i for i, p in enumerate(held) if p.article), default=-1)
-                near = held[at_article + 1 :]
-                # a header in an article holds its title
-                boiler = any(p.boiler and not (at_article >= 0 and p.name == "header") for p in near)
-                names = [p.name for p in held]
-                place = (at_article >= 0, boiler, any(p.hint for p in near), any(p.comment for p in held), kind == "li" or "ul" in names or "ol" in names or "dl" in names, len(kind) == 2 and kind[0] == "h" and kind[1].isdigit(), kind in ("p", "blockquote", "pre"))
+                own = enter(opener) if opener else stack[-1]
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(link_words, words), tuple(map(int, place)), next((p.mark for p in reversed(held) if p.mark), None)))
+                linked = min(link_words, words)
+                places[own].plain_words += words - linked
+                lies.append((own, kind))
+                out.append(Block(text, words, linked, ()))
         parts, link_words, link_from = [], 0, 0
 
     while at < n:
@@ -204,36 +239,53 @@ def blocks(page: str | None) -> list[Block]:
         opener = None
         if closing:
             kind = ""
-            if name in _PLACES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == name:
-                        del stack[i:]
-                        break
+            if within.get(name):
+                while (left := places[stack.pop()].name) != name:
+                    within[left] -= 1
+                within[name] -= 1
             continue
         kind = name
-        if name == "li" and stack and stack[-1].name == "li":
+        if name == "li" and places[stack[-1]].name == "li":
             stack.pop()
+            within["li"] -= 1
         if inside and name not in _PLACES:
             opener = _place(name, inside)
         if name in _PLACES and not inside.endswith("/") and name not in _VOID:
-            stack.append(_place(name, inside))
+            stack.append(enter(_place(name, inside)))
+            within[name] = within.get(name, 0) + 1
     close()
+    headers = {i for i, p in enumerate(places) if p.name == "header" and p.boiler}
+    _settle(places)
+    titles = [i for i, (_, k) in enumerate(lies) if k == "h1"]
+    # names that most of the page's plain words bear tell nothing
+    hinted = sum(b.words - b.link_words for b, (own, _) in zip(out, lies, strict=True) if places[own].hint)
+    telling = hinted < _FRAME_SHARE * places[0].plain_words
+    for i, (b, (own, k)) in enumerate(zip(out, lies, strict=True)):
+        p = places[own]
+        boiler = p.boiler
+        if boiler and titles == [i]:  # the page's only title, if it stands in a header and in nothing else of the kind
+            top = own if own in headers else p.parent
+            boiler = not (top in headers and not places[places[top].parent].boiler)
+        b.place = tuple(map(int, (p.article, boiler or p.comment, p.hint and telling, p.comment, k == "li" or bool(p.listed), len(k) == 2 and k[0] == "h" and k[1].isdigit(), k in ("p", "blockquote", "pre"))))
+        b.mark, b.listed = p.mark, p.listed
     return out
 
 
 def _place(name: str, inside: str) -> Place:
     tokens = " ".join((a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(inside)).lower().split() if inside else ()
-    hint = comment = False
+    hint = comment = certain = False
     for token in tokens:
         parts = re.split("[-_]+", token.strip("-_"))
         if name in ("article", "main"):  # their names say what they are about
             comment = comment or token in ("comment", "reply")
         elif parts[0] not in _ABOUT and name not in ("html", "body"):
             comment = comment or parts[0] in _COMMENTS or parts[-1] in _COMMENTS
-            hint = hint or (parts[-1] in _AFTER_CONTENT if parts[0] in _CONTENT else parts[0] in _HINTS or parts[-1] in _HINTS)
-    hint = hint or bool(inside and name not in ("html", "body") and _HIDDEN.search(inside))
+            ends = {parts[-1]} & _AFTER_CONTENT if parts[0] in _CONTENT else {parts[0], parts[-1]} & _HINTS
+            hint = hint or bool(ends)
+            certain = certain or bool(ends & _CERTAIN)
+    certain = certain or bool(inside and name not in ("html", "body") and _HIDDEN.search(inside))
     mark = re.search(r'data-label="(\d)"', inside) if "data-label" in inside else None
-    return Place(name, name in ("article", "main"), name in _BOILER, hint, comment, mark and mark[1])
+    return Place(name, name in ("article", "main"), name in _BOILER or certain, hint, comment, mark and mark[1])
 
 
 def _count(parts: list[str]) -> int:
@@ -387,6 +439,32 @@ class _Pages:
         """Main text, now and then in a box whose name hints at boilerplate."""
         return self.box(1, inner, self.rng.choice(('div class="sidebar-right"', 'div id="share-page"', 'section class="search-result"'))) if self.rng.random() < 0.15 else self.box(1, inner)
 
+    def advert(self) -> str:
+        """A box whose name says for certain what it is."""
+        name = self.rng.choice(("ad", "ads-box", "advert", "sponsored", "promo-box", "related-posts", "newsletter-signup", "share-bar", "cookie-notice"))
+        return self.box(0, self.aside(90), f'div class="{name}"')
+
+    def builder(self) -> str:
+        """A page of a page builder: every box, main text or not, has a name that hints at boilerplate."""
+        name = lambda: self.rng.choice(("elementor-element elementor-widget", "widget-text", "header-wrap", "banner-content", "social-page", "topbar-inner", "wp-widget", "notice-box"))
+        box = lambda label, inner: self.box(label, inner, f'div class="{name()}"')
+        body = [f"<h1>{self.words(2, 12)}</h1>", *(self.paragraph(True) for _ in range(self.rng.randint(2, 8)))]
+        inner = "".join(box(1, x) for x in body)
+        if self.rng.random() < 0.5:
+            inner += self.advert() + box(1, f"<p>{self.words(20, 90)}</p>")
+        if self.rng.random() < 0.4:
+            inner = f"<main>{inner}</main>"
+        return f"{box(0, self.links(1, 3))}<div>{inner}</div>{box(0, self.links(1, 8))}{self.box(0, self.aside(), 'footer')}"
+
+    def wrapped(self) -> str:
+        """A page that stands whole in a form or the like, as server-side frameworks write it."""
+        tag = self.rng.choice(("form", "form", "form", "fieldset", "dialog", "menu", "aside"))
+        head, foot = self.box(0, self.links(1, 3), self.rng.choice(("nav", "div", "header"))), self.box(0, self.links(1, 8), self.rng.choice(("footer", "div")))
+        inner = self.box(1, f"<h1>{self.words(2, 12)}</h1>" + "".join(f"<p>{self.words(20, 130)}</p>" for _ in range(self.rng.randint(2, 6))))
+        if self.rng.random() < 0.4:
+            inner += self.advert()
+        return f"<{tag}>{head}{inner}{foot}</{tag}>"
+
     def any_size(self) -> str:
         """Blocks of any size and link density; in an article these are main text too."""
         size = lambda: self.rng.choice((1, 2, 4, 8, 14, 22, 45, 90, 250))
@@ -413,8 +491,8 @@ class _Pages:
         tags = ["nav", "header", "aside", "footer", "form", 'section class="comments"', "div", *hinted]
         inner = self.body(False)
         if self.rng.random() < 0.5:
-            part = self.rng.choice(("nav", "aside", "footer", "form", 'section id="comments"', *(short := ('div class="share"', 'div class="advert"', 'div class="related-posts"'))))
-            inner = self.box(1, inner) + self.box(0, self.aside(28 if part in short else 70), part) + self.box(1, self.paragraph(False))
+            part = self.rng.choice(("nav", "aside", "footer", "form", 'section id="comments"', 'div class="share"', 'div class="advert"', 'div class="related-posts"'))
+            inner = self.box(1, inner) + self.box(0, self.aside(70), part) + self.box(1, self.paragraph(False))
         else:
             inner = self.misnamed(f"<h1>{self.words(2, 12)}</h1>" + "".join(f"<p>{self.words(30, 130)}</p>" for _ in range(3))) if self.rng.random() < 0.4 else self.box(1, inner)
         main = self.rng.choice(("article", "main"))
@@ -443,7 +521,7 @@ class _Pages:
 def labelled_pages(seed: int = 5, each: int = 150) -> list[str]:
     """The labelled table, as pages; the same for every run."""
     made = _Pages(seed)
-    return [style() for _ in range(each) for style in (made.articles, made.landmarks, made.named, made.bare)]
+    return [style() for _ in range(each) for style in (made.articles, made.landmarks, made.named, made.bare, made.builder, made.wrapped)]
 
 
 def table_of(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -461,11 +539,24 @@ def default_tree() -> DecisionTree:
     return DecisionTree(*table_of(labelled_pages()))
 
 
+def chosen(found: list[Block], tree: DecisionTree) -> list[bool]:
+    """Which blocks are main text: by the tree, then lists as a whole, then plain paragraphs if there would be none."""
+    keep = [bool(tree.predict(row)) for row in features(found).tolist()]
+    held: dict[int, list[int]] = {}
+    for b, k in zip(found, keep, strict=True):
+        if b.listed:
+            words = held.setdefault(b.listed, [0, 0])
+            words[k] += b.words
+    keep = [held[b.listed][1] > held[b.listed][0] if b.listed else k for b, k in zip(found, keep, strict=True)]
+    if not any(keep):
+        keep = [bool(b.place[6]) and not any(b.place[1:4]) and 2 * b.link_words < b.words for b in found]
+    return keep
+
+
 def extract(page: str | None, tree: DecisionTree | None = None) -> str:
     """The page's main text."""
     found = blocks(page)
-    tree = tree or default_tree()
-    return "\n\n".join([b.text for b, row in zip(found, features(found).tolist(), strict=True) if tree.predict(row)])
+    return "\n\n".join([b.text for b, k in zip(found, chosen(found, tree or default_tree()), strict=True) if k])
 
 
 def _step(columns: list, tree: DecisionTree) -> list:
