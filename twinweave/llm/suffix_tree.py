@@ -232,6 +232,13 @@ def _asked(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(low), np.concatenate(rid)
 
 
+def _whole(low: np.ndarray, top: int) -> np.ndarray:
+    """Keys from their low seven bytes and the highest."""
+    key = np.empty((len(low), 8), np.uint8)
+    key[:, :7], key[:, 7] = low.view(np.uint8).reshape(-1, 7), top
+    return key.reshape(-1).view(np.uint64)
+
+
 def _packed(batches, make, bits: int, head=lambda: b""):
     """Rows (b, blob) of what ``make(batch)`` gives for slices of batches: (key, *columns), dealt by key and packed FLUSH entries at a time; a blob begins with ``head()``."""
     schema = pa.schema([("b", pa.int32()), ("blob", pa.binary())])
@@ -488,14 +495,16 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         """What the table's rows of a bucket add to the documents that ask, and the documents' own rows as they are."""
         names = ["rid", "doc_id", "n_tokens", "known", "base", "score"]
         own = asked.filter(pa.compute.is_null(asked.column("blob"))).drop_columns(["b", "blob"]).rename_columns(names)
-        h = held.column("k").to_numpy().view(np.uint64)
+        if not asked.num_rows:
+            return own
+        top = asked.column("b")[0].as_py() >> bits - 8
+        low, v, c = _unpacked(held.column("blob"), (_LOW, np.float32, np.int64))
+        h = _whole(low, top)
         order = np.argsort(h)
-        h, c, v = h[order], held.column("c").to_numpy()[order], held.column("v").to_numpy()[order]
+        h, c, v = h[order], c[order], v[order].astype(np.float64)
         start = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
         low, rid = _asked(asked.column("blob").drop_null())
-        key = np.empty((len(low), 8), np.uint8)
-        key[:, :7], key[:, 7] = low.view(np.uint8).reshape(-1, 7), asked.column("b")[0].as_py() >> bits - 8
-        at = find(h[start], key.reshape(-1).view(np.uint64))
+        at = find(h[start], _whole(low, top))
         rid, at = rid[at >= 0], at[at >= 0]
         if not len(at):
             return own
@@ -509,8 +518,15 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     ddl = "b int,blob binary,rid long,doc_id long,n_tokens long,n_known long,base double,score double"
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
-    bucket = F.shiftrightunsigned("h", 64 - bits).cast("int").alias("b")
-    table = rest.select(bucket, F.col("h").alias("k"), F.coalesce("c", F.lit(0)).alias("c"), "v")
+
+    def pack(batches):
+        def make(part):
+            key = part.column(0).to_numpy().view(np.uint64)
+            yield key, key.view(np.uint8).reshape(-1, 8)[:, :7], part.column(1).to_numpy(), part.column(2).to_numpy()
+
+        yield from _packed(batches, make, bits)
+
+    table = rest.select("h", "v", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(pack, "b int,blob binary")
     answers = rows.groupBy("b").cogroup(table.groupBy("b")).applyInArrow(answer, "rid long,doc_id long,n_tokens long,known long,base double,score double")
     out = answers.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
