@@ -22,7 +22,8 @@ def test_progress_bands(spark):
     told = []
     finder = DuplicateFinder(spark, Settings(threshold=0.9), progress=lambda step, share: told.append((step, share)))
     head, found, members = finder.analyse(items(spark))
-    assert told == [("similarity", 0.0), ("clustering", 0.7), ("statistics", 0.95), ("done", 1.0)]
+    marks = [("similarity", 0.0), ("clustering", 0.7), ("statistics", 0.95), ("done", 1.0)]
+    assert [x for x in told if x in marks] == marks  # and what was measured between them
     assert head.first()["duplicate_groups"] == 20 and found.count() == 20 and members.count() == 40
 
 

@@ -16,6 +16,8 @@ FORBIDDEN = '\\/:*?"<>|'
 LONGEST_NAME = 255
 _FORBIDDEN_CLASS = r'[\\/:*?"<>|]'
 _CONTROL = r"[\x00-\x1f]"
+#: White space of Unicode, as names are trimmed of it.
+_SPACE = r"[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _col(c: Column | str) -> Column:
@@ -72,11 +74,11 @@ def path_key(path: Column | str) -> Column:
 
 
 def _blank(name: Column) -> Column:
-    return name.isNull() | (F.trim(F.regexp_replace(name, r"\s", " ")) == "")
+    return name.isNull() | name.rlike(rf"^{_SPACE}*\z")
 
 
 def _trimmed(name: Column) -> Column:
-    return F.regexp_replace(name, r"^\s+|\s+$", "")
+    return F.regexp_replace(name, rf"^{_SPACE}+|{_SPACE}+\z", "")
 
 
 def is_valid_name(name: Column | str) -> Column:
@@ -103,7 +105,7 @@ def sanitised_name(name: Column | str) -> Column:
 
     def clean(n: Column) -> Column:
         t = F.regexp_replace(F.regexp_replace(F.regexp_replace(_trimmed(n), _FORBIDDEN_CLASS, "_"), _CONTROL, ""), r"[. ]+$", "")
-        return _let(_let(_let(t, unreserved), cut), lambda t: F.when(F.trim(t) == "", F.lit(None)).otherwise(t))
+        return _let(_let(_let(t, unreserved), cut), lambda t: F.when(_blank(t), F.lit(None)).otherwise(t))
 
     return _let(_col(name), lambda n: F.when(_blank(n), F.raise_error(F.lit("a name is blank")).cast("string")).otherwise(clean(n)))
 

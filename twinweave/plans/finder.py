@@ -12,6 +12,7 @@ from twinweave.config import Settings
 from twinweave.operators import actions, clustering, groups, imaging, media, selection
 from twinweave.operators.checkpoints import discard, materialise
 from twinweave.operators.features import Embedder
+from twinweave.operators.progress import Meter
 from twinweave.operators.similarity import check_lengths, similar_pairs
 
 
@@ -26,10 +27,6 @@ class DuplicateFinder:
     tag: str = "twinweave"
     sort_by: str = "Similarity"
 
-    def _tell(self, step: str, share: float) -> None:
-        if self.progress:
-            self.progress(step, share)
-
     def cancel(self) -> None:
         """End what runs under the tag, from any thread."""
         self.spark.sparkContext.cancelJobsWithTag(self.tag)
@@ -41,18 +38,19 @@ class DuplicateFinder:
     def analyse(self, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(header, groups, members) at the settings' threshold; an empty header carries the threshold."""
         self.spark.sparkContext.addJobTag(self.tag)
+        meter = Meter(self.spark, self.tag, self.progress)
         try:
-            self._tell("similarity", 0.0)
-            held = clustering.held_features(media.featured_items(items))
-            check_lengths(held)
-            drawn = clustering.gathered(held, self.settings.threshold, self.constrained)
-            pairs = materialise(similar_pairs(drawn.rows, self.settings.threshold, self.constrained, rows=drawn.count), "pairs")
-            self._tell("clustering", 0.7)
-            found, members = clustering.analyse(held, self.settings.threshold, self.constrained, pairs, drawn)
+            with meter.band("similarity", 0.0, 0.7):
+                held = clustering.held_features(media.featured_items(items))
+                check_lengths(held)
+                drawn = clustering.gathered(held, self.settings.threshold, self.constrained)
+                pairs = materialise(similar_pairs(drawn.rows, self.settings.threshold, self.constrained, rows=drawn.count), "pairs")
+            with meter.band("clustering", 0.7, 0.95):
+                found, members = clustering.analyse(held, self.settings.threshold, self.constrained, pairs, drawn)
+            meter.show("statistics", 0.95)
             discard(pairs, held, drawn.rows)
-            self._tell("statistics", 0.95)
             head = groups.header(found, self.settings.threshold)
-            self._tell("done", 1.0)
+            meter.show("done", 1.0)
             return head, found, members
         finally:
             self.spark.sparkContext.removeJobTag(self.tag)
