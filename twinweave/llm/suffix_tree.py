@@ -43,7 +43,7 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D2E7A3C5)
 #: Tokens whose counts a task sums before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _WORD_BITS = 20
 
 
