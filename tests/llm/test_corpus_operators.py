@@ -373,3 +373,36 @@ def test_secret_stage_and_tokens(stages):
 def test_run_applies_all_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 100
+
+
+def _template(n, share, size=900, seed=3):
+    """Texts of one template: each keeps a share of its words; neighbours are near, none is linked."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+    out = []
+    for k in range(n):
+        words, at = list(base), 0
+        while at < size:  # single words replaced, a few shingles each
+            words[at] = f"own{k}x{at}"
+            at += rng.randrange(int(share / 2), int(share * 1.5))
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_but_unlinked_texts_leave_no_pairs(spark, monkeypatch):
+    """Of texts of one template that stay below the limit, candidates grow in proportion to the texts, not to their pairs."""
+    from twinweave.llm import shingles
+
+    left = []
+    kept = jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda *a: left.append(kept(*a).count()) or kept(*a))
+    for n in (100, 200):
+        texts = _template(n, 66)
+        sets = [set(zip(*[t.split()[i:] for i in range(4)], strict=False)) for t in texts[:6]]
+        likeness = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+        assert 0.7 < min(likeness) and max(likeness) < shingles.NUM / shingles.DEN
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert all(r["component_id"] == r["doc_id"] for r in jaccard_join.join(frame).collect())
+    assert left[1] <= 2 * left[0] + 200, left

@@ -13,12 +13,12 @@ The steps:
    distance, a lower bound of the sets' difference, and what passes is verified exactly on the sets.
    Components of the verified links settle nearly all buckets of near copies without their pairs.
 4. In buckets that still hold several components, members outside the largest one are compared with the
-   others: pairs of blocks of about BLOCK members, sketches first, survivors verified exactly. No candidate is
-   capped, so no link is lost; links inside a component need not be listed.
+   others: pairs of blocks of about BLOCK members, finer sketches first, survivors verified exactly. No candidate
+   is capped, so no link is lost; links inside a component need not be listed.
 
 Shingles are known by 64-bit hashes of their words, and so are sets: exact means exact on these.
 
-Cost: four scans of the text, one shuffle of the signatures (about half as many as shingles, 16 bytes each),
+Cost: five scans of the text, one shuffle of the signatures (about half as many as shingles, 16 bytes each),
 and small shuffles of candidates. Sets are rebuilt for candidates alone; a bitmap (at most 16 MB)
 keeps most other documents out of that step. Nothing but that bitmap and round sums reaches the driver.
 
@@ -174,8 +174,17 @@ def _verify(pairs: DataFrame, documents: DataFrame, measure: Measure) -> DataFra
     return out
 
 
+def _unsettled(members: DataFrame) -> DataFrame:
+    """(node) of buckets that hold several components."""
+    several = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    return members.join(several, "sig", "left_semi").select("node").distinct()
+
+
 def _across(members: DataFrame, profiles: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose sketches allow a link.
+    """Pairs (a, b) of different components in a bucket whose finer sketches, (node, n, sketch), allow a link.
+
+    Sketches are compared where the members meet, first by sums of neighbouring cells, so that pairs that are near but
+    not linked do not leave the task unless the finest bound lets them.
 
     ``members`` is (sig, node, component). In a bucket all but the largest component's members (the few) meet
     everyone. Both are cut into blocks of about BLOCK by a hash of the node, and each pair of a block of the few
@@ -201,13 +210,15 @@ def _across(members: DataFrame, profiles: DataFrame, measure: Measure) -> DataFr
         node, component, few, asks, size, sketch = (np.concatenate([g[i] for g in group]) for i in range(6))
         out_a, out_b = [], []
         standing = np.flatnonzero(~asks)
-        s = sketch.astype(np.int16)
+        s = sketch.astype(np.int32)
+        coarse = s.reshape(len(s), CELLS, -1).sum(axis=2)
         for i in np.flatnonzero(asks):
             near = standing[component[standing] != component[i]]
             # of two of the few the one with the smaller id asks
             near = near[~few[near] | (node[near] > node[i])]
             if len(near):
-                hit = near[measure.may_link(size[near], size[i], np.abs(s[near] - s[i]).sum(axis=1, dtype=np.int64))]
+                hit = near[measure.may_link(size[near], size[i], np.abs(coarse[near] - coarse[i]).sum(axis=1, dtype=np.int64))]
+                hit = hit[measure.may_link(size[hit], size[i], np.abs(s[hit] - s[i]).sum(axis=1, dtype=np.int64))]
                 out_a.append(np.full(len(hit), node[i]))
                 out_b.append(node[hit])
         if not out_a:
@@ -220,7 +231,7 @@ def _across(members: DataFrame, profiles: DataFrame, measure: Measure) -> DataFr
         last = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:8]]
-            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, CELLS)
+            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, FINE_CELLS)
             n = batch.num_rows
             if not n:
                 continue
@@ -261,8 +272,10 @@ def join(documents: DataFrame, measure: Measure = DEFAULT) -> DataFrame:
     links = _verify(star, documents, measure)
     first = components(links.union(same_id))
     placed = members.select("sig", "node").join(first, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    across = materialise(_across(placed, profiles, measure), "across")
-    discard(members, star, first)
+    nodes = materialise(_unsettled(placed), "nodes")
+    fine = materialise(_sets_for(documents, nodes, measure).drop("set"), "fine")
+    across = materialise(_across(placed, fine, measure), "across")
+    discard(members, star, first, nodes, fine)
     more = _verify(across, documents, measure)
     reached = components(links.union(more).union(same_id))
     discard(across, links, more, node_of)
