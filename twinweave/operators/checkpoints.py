@@ -1,7 +1,7 @@
 """Tables in the shared checkpoint folder: they cut lineage and outlive executors.
 
 A written table needs no shuffle files any more, so those of its write are removed at its end. A table that
-nothing will read again is removed by ``discard``; what a returned frame reads must stay.
+nothing will read again is removed by ``discard``; what a returned frame reads stays until the driver ends (see ``runs``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from twinweave.operators.runs import folder_of
+
 #: How tables are written: shuffle files go at the end, and what Python workers are sent at once is bounded.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 LOCAL_DEFAULT = "/tmp/twinweave-checkpoints"
@@ -26,7 +28,7 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_DEFAULT
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder_of(spark, root)}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
