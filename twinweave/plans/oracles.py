@@ -5,7 +5,7 @@ from __future__ import annotations
 from twinweave.functions.display import CHANNEL_NAMES, FLASH_MODES
 from twinweave.functions.paths import IMAGE_EXTENSIONS, RESERVED_NAMES, VIDEO_EXTENSIONS
 from twinweave.plans import imaging_queries
-from twinweave.plans.queries import EXTENSIONS
+from twinweave.plans.queries import EXTENSIONS, SELECTION_EVENTS
 
 _list = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _array = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -31,6 +31,18 @@ _GROUPS = (
   CASE WHEN group_id % 7 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE + (group_id * 31 % 50) / 128::DOUBLE END AS average_similarity FROM (SELECT group_id, count(*) AS n FROM members GROUP BY group_id)),
 base AS (SELECT *, row_number() OVER (ORDER BY average_similarity DESC, group_id)::INTEGER AS group_rank FROM groups_ WHERE item_count > 1)"""
 )
+_RULES = {"KeepNewest": "row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, modified_at DESC, member_pos) > 1", "KeepLowestResolution": "row_number() OVER (PARTITION BY group_id ORDER BY pixels, file_size, member_pos) > 1", "KeepNone": "TRUE"}
+
+
+def _replayed() -> str:
+    """The events one after another."""
+    steps = ["s0 AS (SELECT * FROM members)"]
+    for i, (n, k, kind, strategy) in enumerate(SELECTION_EVENTS):
+        made = {"apply": _RULES.get(strategy), "clear": "FALSE", "toggle": "NOT bool_and(is_selected) OVER (PARTITION BY group_id)"}[kind]
+        steps.append(f"s{i + 1} AS (SELECT * REPLACE (CASE WHEN group_id % {n} = {k} THEN {made} ELSE is_selected END AS is_selected) FROM s{i})")
+    return f"WITH {_MEMBERS}, {', '.join(steps)} SELECT group_id, item_idx, is_selected FROM s{len(SELECTION_EVENTS)}"
+
+
 _DOT = "list_reduce(list_transform(list_zip({a}, {b}), lambda z: (z[1] * z[2])::DOUBLE), lambda p, q: p + q)"
 _COS = "CASE WHEN x.m * y.m = 0 THEN 0 ELSE " + _DOT.format(a="x.v", b="y.v") + " / (x.m * y.m) END"
 
@@ -134,6 +146,8 @@ UNION ALL SELECT file_path, file_size + CASE WHEN item_idx % 9 = 5 THEN 1 ELSE 0
     "selection_summary": f"WITH {_MEMBERS}, per AS (SELECT group_id, count(*) FILTER (WHERE is_selected) AS n FROM members GROUP BY group_id) SELECT sum(n)::BIGINT AS selected_items, count(*) FILTER (WHERE n > 0) AS selected_groups FROM per",
     "selected_paths": f"WITH {_GROUPS} SELECT group_rank, member_pos, file_path FROM members JOIN base USING (group_id) WHERE is_selected",
     "selected_paths_by_group": f"WITH {_GROUPS}, s AS (SELECT name, group_id, member_pos, file_path, group_rank FROM members JOIN base USING (group_id) WHERE is_selected) SELECT name, group_id, member_pos, file_path FROM s QUALIFY group_rank = max(group_rank) OVER (PARTITION BY name)",
+    "selection_log_fold": _replayed(),
+    "group_state_removals": f"WITH {_MEMBERS}, l AS (SELECT group_id, item_idx, count(*) OVER (PARTITION BY group_id) AS item_count FROM members WHERE item_idx % 9 NOT IN (1, 4, 7)) SELECT * FROM l WHERE item_count > 1",
     "remove_paths_dissolve": f"WITH {_MEMBERS}, l AS (SELECT group_id, item_idx, count(*) OVER (PARTITION BY group_id) AS item_count FROM members WHERE file_path NOT IN {_REMOVED}) SELECT * FROM l WHERE item_count > 1",
     "live_counts": f"WITH {_MEMBERS}, per AS (SELECT group_id, count(*) AS n FROM members WHERE file_path NOT IN {_REMOVED} GROUP BY group_id) SELECT count(*) FILTER (WHERE n > 1) AS duplicate_groups, count(*) FILTER (WHERE n <= 1) AS single_groups, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS duplicate_items, 500::BIGINT AS total_items FROM per",
     "rename_groups": f"WITH {_GROUPS} SELECT group_id, CASE group_id % 5 WHEN 1 THEN 'New ' || group_id WHEN 2 THEN 'a_b_c' ELSE name END AS name FROM groups_",

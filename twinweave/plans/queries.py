@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from twinweave.config import IMAGENET, Settings
 from twinweave.functions import display, paths, vectors
-from twinweave.operators import actions, clustering, graph, groups, imaging, incremental, media, pair_index, selection, similarity
+from twinweave.operators import actions, clustering, graph, groups, imaging, incremental, media, pair_index, selection, selection_log, similarity
 from twinweave.operators.checkpoints import scratch
 from twinweave.operators.feature_store import FeatureStore
+from twinweave.operators.group_state import GroupState
 from twinweave.operators.manifest import Manifest
 from twinweave.plans import imaging_queries
 
@@ -192,6 +193,30 @@ def group_toggle(spark, sf_dir):
     return selection.toggle_groups(member_view(spark, sf_dir)).select("group_id", "item_idx", "is_selected")
 
 
+#: Events on groups, in order: which groups were shown (group_id modulo, remainder), what was done, by which strategy.
+SELECTION_EVENTS = (
+    (3, 0, "apply", "KeepNewest"), (2, 0, "toggle", None), (5, 0, "clear", None), (7, 1, "apply", "KeepLowestResolution"), (4, 0, "toggle", None), (8, 0, "toggle", None), (11, 3, "apply", "KeepNone"), (22, 3, "toggle", None),
+)
+
+
+def selection_log_fold(spark, sf_dir):
+    """Selections after a log of events, folded at once."""
+    rows, log = member_view(spark, sf_dir), None
+    for seq, (n, k, kind, strategy) in enumerate(SELECTION_EVENTS):
+        one = selection_log.event(seq, rows.where(F.col("group_id") % n == k), kind, strategy)
+        log = one if log is None else log.unionByName(one)
+    return selection_log.folded(rows, log).select("group_id", "item_idx", "is_selected")
+
+
+def group_state_removals(spark, sf_dir):
+    """Members after three removals that were merged to a written state, the second one twice."""
+    rows, state = member_view(spark, sf_dir), GroupState(spark, scratch(spark, "groups"))
+    state.begin(rows.select("group_id", "member_pos", "item_idx", "file_path"))
+    for k in (1, 4, 4, 7):
+        state.remove(rows.where(F.col("item_idx") % 9 == k).select("file_path"))
+    return state.members().select("group_id", "item_idx", "item_count")
+
+
 def group_tristate(spark, sf_dir):
     return groups.group_states(member_view(spark, sf_dir))
 
@@ -431,7 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cosine_pairs, cosine_pairs_source_constrained, cosine_pairs_indexed, cosine_to_anchor, similar_components, hac_groups, hac_groups_source_constrained, hac_groups_incremental,
         group_table, result_header, result_summary, feature_table_updates, rescan_changes, rescan_media,
         groups_base_order, thumbnails_first4, select_visible_groups, select_clear, group_toggle, group_tristate, selection_summary, selected_paths, selected_paths_by_group,
-        remove_paths_dissolve, live_counts, rename_groups, classify_extension, path_dedup_first_wins, provenance_remove_root, add_files_unlisted, media_items, featured_items, processed_items,
+        selection_log_fold, group_state_removals, remove_paths_dissolve, live_counts, rename_groups, classify_extension, path_dedup_first_wins, provenance_remove_root, add_files_unlisted, media_items, featured_items, processed_items,
         item_counters, remove_items_by_path, sources_with_items, video_frames, path_parts, sanitize_name, validate_name, format_file_size, resolution_orientation, camera_texts, flash_mode,
         format_bitrate, duration_text, audio_channels, progress_texts, tolerance_label, settings_clamp, model_name, pixel_formats, sampling_choice, pixel_normalise, colour_pack,
         move_plan, move_plan_grouped, unique_targets, op_result_fold,
