@@ -127,3 +127,13 @@ def test_names_are_trimmed_of_unicode_white_space(spark):
     for blank in ("   ", ""):
         with pytest.raises(Exception, match="blank"):
             spark.createDataFrame([(blank,)], "n string").select(paths.sanitised_name("n")).collect()
+
+
+def test_a_fresh_view_is_one_sort_and_equals_its_steps(spark):
+    rng = random.Random(8)
+    found = spark.createDataFrame([(g, f"Group {rng.randrange(9)}", rng.randrange(1, 5), rng.choice([1.0, 0.9, 0.8])) for g in range(60)], "group_id long, name string, item_count long, average_similarity double")
+    for filter_by in ("All", "Exact", "Similar"):
+        for sort_by in ("Similarity", "ImageCount", "Name"):
+            steps = groups.sorted_groups(groups.filtered(groups.base_order(found), filter_by), sort_by)
+            key = lambda f: [r["group_id"] for r in f.orderBy("group_rank").collect()]
+            assert key(groups.shown(found, filter_by, sort_by)) == key(steps)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.functions.display import summary_text
@@ -34,6 +34,16 @@ def base_order(groups: DataFrame) -> DataFrame:
     return numbered(groups.where("item_count > 1"), [F.col("average_similarity").desc(), F.col("group_id")], "group_rank")
 
 
+def shown(groups: DataFrame, filter_by: str = "All", sort_by: str = "Similarity") -> DataFrame:
+    """Duplicate groups of a fresh view: filtered and sorted, equal keys in base order, with ``group_rank`` from one sort."""
+    base = [F.col("average_similarity").desc(), F.col("group_id")]
+    return numbered(filtered(groups.where("item_count > 1"), filter_by), [_sort_key(sort_by), *base], "group_rank")
+
+
+def _sort_key(option: str) -> Column:
+    return {"Similarity": F.col("average_similarity").desc(), "ImageCount": F.col("item_count").desc(), "Name": F.collate(F.col("name"), "UNICODE").asc()}[option]
+
+
 def filtered(ranked: DataFrame, option: str = "All") -> DataFrame:
     """All, Exact (copies) or Similar (the others) of the ranked groups."""
     exact = F.col("average_similarity") >= EXACT
@@ -43,8 +53,7 @@ def filtered(ranked: DataFrame, option: str = "All") -> DataFrame:
 
 def sorted_groups(ranked: DataFrame, option: str = "Similarity") -> DataFrame:
     """New ranks by Similarity, ImageCount or Name; equal keys keep their former order."""
-    keys = {"Similarity": F.col("average_similarity").desc(), "ImageCount": F.col("item_count").desc(), "Name": F.collate(F.col("name"), "UNICODE").asc()}
-    return numbered(ranked.withColumnRenamed("group_rank", "__former"), [keys[option], F.col("__former")], "group_rank").drop("__former")
+    return numbered(ranked.withColumnRenamed("group_rank", "__former"), [_sort_key(option), F.col("__former")], "group_rank").drop("__former")
 
 
 def thumbnails(members: DataFrame, paths: DataFrame, count: int = 4) -> DataFrame:

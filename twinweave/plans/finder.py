@@ -58,7 +58,7 @@ class DuplicateFinder:
     def view(self, found: DataFrame, filter_by: str = "All", sort_by: str | None = None) -> DataFrame:
         """Groups to show, filtered, then sorted. A new result is seen whole again, but the sort option stays until another is given."""
         self.sort_by = sort_by or self.sort_by
-        return groups.sorted_groups(groups.filtered(groups.base_order(found), filter_by), self.sort_by)
+        return groups.shown(found, filter_by, self.sort_by)
 
     def select(self, members: DataFrame, items: DataFrame, strategy: str) -> DataFrame:
         """Members of duplicate groups with ``is_selected`` by a strategy."""

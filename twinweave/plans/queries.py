@@ -168,7 +168,7 @@ def _filtered(option):
 
 
 def _sorted(option):
-    return lambda spark, sf_dir: groups.sorted_groups(groups_base_order(spark, sf_dir), option)
+    return lambda spark, sf_dir: groups.shown(view_of_groups(spark, sf_dir), sort_by=option)
 
 
 def thumbnails_first4(spark, sf_dir):
