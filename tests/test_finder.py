@@ -64,3 +64,22 @@ def test_vectors_of_two_lengths(spark):
     rows = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [1.0, 0.0, 0.0])], "item_idx long, source_id string, features array<float>")
     with pytest.raises(ValueError, match="differ"):
         DuplicateFinder(spark).analyse(rows)
+
+
+def test_settings_that_void_features(spark, tmp_path):
+    from twinweave.operators.feature_store import FeatureStore
+
+    finder, store, derived = DuplicateFinder(spark, Settings(threshold=0.9)), FeatureStore(spark, str(tmp_path / "store")), []
+    files = spark.createDataFrame([(k, str(k), f"/{k}.png", k + 1, None) for k in range(6)], "item_idx long, source_id string, file_path string, file_size long, modified_at timestamp")
+
+    def derive(fresh):
+        derived.append(fresh.count())
+        return fresh.withColumn("features", F.array(F.lit(1.0), (F.col("item_idx") % 2).cast("double")).cast("array<float>"))
+
+    held = finder.refresh(store, files, derive)
+    assert held.count() == 6 and finder.analyse(held)[0].first()["duplicate_groups"] == 2
+    assert not finder.reconfigure(Settings(threshold=0.5)) and finder.refresh(store, files, derive).count() == 6
+    assert derived == [6]
+    assert finder.reconfigure(Settings(layout="NHWC")) and finder.refresh(store, files, derive).count() == 6
+    assert derived == [6, 6]
+    assert finder.use_bundled_model() and finder.settings.layout == "NCHW" and finder.settings.downsampling == "Bilinear"

@@ -195,3 +195,38 @@ def test_a_refused_folder_leaves_the_top(folder, monkeypatch):
         reader.partitions()
     with pytest.raises(FileNotFoundError):
         walked(str(folder / uuid.uuid4().hex), True)
+
+
+class _Cause:
+    """A Java error of a class, with what it comes from."""
+
+    def __init__(self, name, cause=None):
+        self.name, self.cause = name, cause
+
+    def getClass(self):  # noqa: N802
+        return self
+
+    def getName(self):  # noqa: N802
+        return self.name
+
+    def getCause(self):  # noqa: N802
+        return self.cause
+
+
+def test_a_refusal_is_known_by_its_class():
+    def error(*names):
+        cause = None
+        for n in reversed(names):
+            cause = _Cause(n, cause)
+        made = Exception("permission denied")
+        made._origin = cause
+        return made
+
+    assert files.refused(error("org.apache.spark.SparkException", "org.apache.hadoop.security.AccessControlException"))
+    assert files.refused(error("java.nio.file.AccessDeniedException"))
+    assert not files.refused(error("java.io.IOException")) and not files.refused(Exception("denied"))
+
+
+def test_a_missing_root_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        files.scan(spark, [files.ScanRoot(str(tmp_path / "none"), True)]).count()

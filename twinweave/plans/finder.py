@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinweave.config import Settings
 from twinweave.operators import actions, clustering, groups, imaging, media, selection
 from twinweave.operators.checkpoints import discard, materialise
+from twinweave.operators.feature_store import FeatureStore
 from twinweave.operators.features import Embedder
 from twinweave.operators.progress import Meter
 from twinweave.operators.similarity import check_lengths, similar_pairs
@@ -31,6 +32,24 @@ class DuplicateFinder:
         """End what runs under the tag, from any thread."""
         self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
+    def reconfigure(self, settings: Settings) -> bool:
+        """Take other settings from now on; whether they void features at once (another model or input of it)."""
+        before, self.settings = self.settings, settings
+        return before.affects_features(settings)
+
+    def use_bundled_model(self) -> bool:
+        """Take what the bundled model wants; whether that voids features."""
+        return self.reconfigure(self.settings.bundled_defaults())
+
+    def refresh(self, store: FeatureStore, files: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Items with current features: what the table does not hold for these files under the settings is derived first, nothing else is."""
+        self.spark.sparkContext.addJobTag(self.tag)
+        try:
+            store.update(files, derive, self.settings)
+            return store.featured(files, self.settings)
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
     def features(self, images: DataFrame, embedder: Embedder) -> DataFrame:
         """Preprocess and embed images in one narrow chain."""
         return embedder.embed(imaging.preprocess(images, self.settings))

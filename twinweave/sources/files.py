@@ -6,6 +6,8 @@ import os
 from dataclasses import dataclass
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,20 @@ def add_root(roots: list[ScanRoot], root: ScanRoot) -> list[ScanRoot]:
     return [*roots, root]
 
 
+#: What file systems raise when they refuse a folder.
+_REFUSALS = ("java.nio.file.AccessDeniedException", "org.apache.hadoop.fs.PathAccessDeniedException", "org.apache.hadoop.security.AccessControlException")
+
+
+def refused(error: BaseException) -> bool:
+    """Whether an error of Spark comes from a folder that may not be listed, by the classes of its causes."""
+    cause = getattr(error, "_origin", None) or getattr(error, "java_exception", None)
+    while cause is not None:
+        if cause.getClass().getName() in _REFUSALS:
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def _listing(spark: SparkSession, path: str, deep: bool) -> DataFrame:
     """Files of a folder; if some folder inside refuses, of the top alone."""
 
@@ -48,8 +64,8 @@ def _listing(spark: SparkSession, path: str, deep: bool) -> DataFrame:
 
     try:
         return load(deep)  # the folders are listed here
-    except Exception as e:
-        if not deep or "denied" not in str(e).lower():
+    except (PySparkException, Py4JJavaError) as e:
+        if not deep or not refused(e):
             raise
         return load(False)
 
