@@ -21,7 +21,7 @@ BLOCK_ROWS = 2048
 #: Blocks at least, so that small tables are worked on side by side, and rows that a block then has at least.
 LEAST_BLOCKS, LEAST_ROWS = 4, 128
 #: Rows up to which the plain grid of blocks is cheaper than an index.
-GRID_ROWS = 8192
+GRID_ROWS = 1 << 16
 
 
 def check_lengths(items: DataFrame, features: str = "features") -> None:
