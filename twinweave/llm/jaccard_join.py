@@ -41,7 +41,8 @@ from twinweave.llm.components import components
 from twinweave.llm.shingles import DEFAULT, Measure, fingerprints, linked, sets_of, signatures
 from twinweave.operators.checkpoints import discard, materialise
 
-CELLS, FINE_CELLS = 256, 1024
+#: Cells of sketches: of all sets, of those that meet in buckets, and of those that are verified.
+CELLS, MEET_CELLS, FINE_CELLS = 256, 512, 1024
 _UNIT = "array<struct<x:int,y:int,asks:boolean>>"
 BLOCK = 2048
 #: Bitmaps of marked ids: bits for each id, and the least and the largest size.
@@ -126,7 +127,7 @@ def _bits(ids: DataFrame) -> tuple[np.ndarray, int]:
     return table, size
 
 
-def _sets_for(documents: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+def _sets_for(documents: DataFrame, nodes: DataFrame, measure: Measure, cells: int = FINE_CELLS, kind: type = np.uint16) -> DataFrame:
     """(node, n, sketch, set) of the documents among ``nodes``: size, a finer sketch, and hashes as bytes."""
     spark = documents.sparkSession
     table, size = _bits(nodes)
@@ -141,7 +142,7 @@ def _sets_for(documents: DataFrame, nodes: DataFrame, measure: Measure) -> DataF
             hit = (bitmap.value[p >> 6] >> (p & 63)) & 1
             for part in slices(batch.filter(pa.array(hit.astype(bool)))):
                 value, at = sets_of(*text_bytes(part.column(1)), measure.width)
-                fine = [x.tobytes() for x in sketches(value, at, FINE_CELLS, np.uint16)]
+                fine = [x.tobytes() for x in sketches(value, at, cells, kind)]
                 sets = [value[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(fine, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
@@ -231,7 +232,7 @@ def _across(members: DataFrame, profiles: DataFrame, measure: Measure) -> DataFr
         last = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:8]]
-            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, FINE_CELLS)
+            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, MEET_CELLS)
             n = batch.num_rows
             if not n:
                 continue
@@ -270,12 +271,13 @@ def join(documents: DataFrame, measure: Measure = DEFAULT) -> DataFrame:
     star = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     star = materialise(_sketch_filter(star, profiles, measure), "star")
     links = _verify(star, documents, measure)
+    discard(star)
     first = components(links.union(same_id))
     placed = members.select("sig", "node").join(first, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     nodes = materialise(_unsettled(placed), "nodes")
-    fine = materialise(_sets_for(documents, nodes, measure).drop("set"), "fine")
+    fine = materialise(_sets_for(documents, nodes, measure, MEET_CELLS, np.uint8).drop("set"), "fine")
     across = materialise(_across(placed, fine, measure), "across")
-    discard(members, star, first, nodes, fine)
+    discard(members, first, nodes, fine)
     more = _verify(across, documents, measure)
     reached = components(links.union(more).union(same_id))
     discard(across, links, more, node_of)
