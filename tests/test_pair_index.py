@@ -82,3 +82,15 @@ def test_parts():
     assert partners(low, high, float(np.cos(0.2))).tolist() == [[True, True, False], [True, True, False], [False, False, True]]
     away = pair_index.angles(np.array([[0, 0], [1, 1]], np.float32), np.array([[1.0, 0.0]]))
     assert away[:, 0] == pytest.approx([np.pi / 2, np.pi / 4]) and RINGS > 1
+
+
+def test_a_block_is_sent_to_a_bounded_number_of_units(spark, monkeypatch):
+    """However many blocks there are, the exchange holds each at most SPREAD times; rows stay those of the grid."""
+    monkeypatch.setattr(pair_index, "SPREAD", 3)
+    items = table(spark, np.random.default_rng(4).normal(size=(300, 16)))
+    report = Report()
+    found = indexed_pairs(items, 0.3, False, 300, 10, 4, report)
+    assert report.blocks >= 30 and rows(found) == rows(similarity.similar_pairs(items, 0.3, False))
+    stacks = pair_index.stacked([(k, 10) for k in range(3000)], 64, 16)
+    assert max(stacks.values()) + 1 == 16 and sorted(stacks.values()) == list(stacks.values())
+    assert max(pair_index.stacked([(k, 1 << 20) for k in range(8)], 256, 1).values()) == 7

@@ -9,8 +9,10 @@ the threshold's angle are less similar than the threshold. The index uses it for
    packed into one row once, with the least and largest angle of its vectors to every pivot.
 3. Two classes meet unless their intervals are further apart, for some pivot, than the threshold's angle. Only the
    intervals of classes (PIVOTS + 2 CLASSES rows of PIVOTS at most) are seen by the driver, and only its list of partners is sent out.
-4. A packed block goes to one unit of work for each partner block. There a matrix product proposes and the arithmetic of
-   ``exact_cosines`` decides, so rows are those of the full grid, bit by bit.
+4. Neighbouring blocks form a bounded number of *stacks*; a unit of work is a pair of stacks, and a packed block goes to
+   the stacks that hold a partner of its. So a block is sent SPREAD times at most however many blocks there are, until a
+   stack would pass STACK_BYTES. In a unit only blocks that are partners meet: a matrix product proposes and the arithmetic
+   of ``exact_cosines`` decides, so rows are those of the full grid, bit by bit.
 
 Vectors whose float products could lose digits (very large or very small components) are kept out of the reckoning with
 angles: their class meets every other. Vectors without a length have similarity 0 with all, so for a threshold above 0 they
@@ -35,6 +37,8 @@ from twinweave.operators.cosines import MARGIN, exact_cosines, magnitudes
 PIVOTS, SAMPLE_EACH, RINGS, CLASSES = 256, 8, 32, 2048
 #: Rows of a block at most, and of one matrix product.
 BLOCK_ROWS, STEP_ROWS = 8192, 1024
+#: Stacks at least (rows allowing), and bytes of vectors that one holds at most, besides a block: a unit holds one stack and a block of the other.
+SPREAD, STACK_BYTES = 16, 128 << 20
 #: What angles may be off by, many times over.
 SLACK = 1e-5
 #: Vectors whose largest component lies between these are multiplied as floats without losing digits.
@@ -165,31 +169,57 @@ def partners(low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def compare(left: tuple, right: tuple, same: bool, threshold: float, constrained: bool) -> Iterator[pa.RecordBatch]:
-    """(i, j, sim) of two blocks of (ids, vectors, sources), a bounded matrix at a time."""
-    (a, x, s), (b, y, t) = left, right
-    units = [v / np.where((m := magnitudes(v)) == 0, 1, m)[:, None].astype(np.float32) for v in (x, y)]
-    for p in range(0, len(a), STEP_ROWS):
-        for q in range(p if same else 0, len(b), STEP_ROWS):
+def compare(left: Block, right: Block, same: bool, threshold: float, constrained: bool) -> Iterator[pa.RecordBatch]:
+    """(i, j, sim) of two blocks, a bounded matrix at a time."""
+    for p in range(0, len(left.ids), STEP_ROWS):
+        for q in range(p if same else 0, len(right.ids), STEP_ROWS):
             with np.errstate(invalid="ignore"):
-                near = units[0][p : p + STEP_ROWS] @ units[1][q : q + STEP_ROWS].T >= threshold - MARGIN
+                near = left.units[p : p + STEP_ROWS] @ right.units[q : q + STEP_ROWS].T >= threshold - MARGIN
             i, j = np.nonzero(near)
             i, j = i + p, j + q
-            keep = a[i] < b[j] if same else np.ones(len(i), bool)
+            keep = left.ids[i] < right.ids[j] if same else np.ones(len(i), bool)
             if constrained:
-                keep &= s[i] != t[j]
+                keep &= left.sources[i] != right.sources[j]
             i, j = i[keep], j[keep]
             for k in range(0, len(i), 8192):
                 m, n = i[k : k + 8192], j[k : k + 8192]
-                sims = exact_cosines(x[m], y[n])
+                sims = exact_cosines(left.vectors[m], right.vectors[n])
                 good = sims >= threshold
-                one, other = a[m[good]], b[n[good]]
+                one, other = left.ids[m[good]], right.ids[n[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(sims[good])], names=["i", "j", "sim"])
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], np.int64)
-    return ids, np.frombuffer(row["vectors"], np.float32).reshape(len(ids), -1), np.array(row["sources"], object)
+@dataclass
+class Block:
+    """Rows of a packed block, or of neighbouring ones together."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    units: np.ndarray
+    sources: np.ndarray
+
+    @classmethod
+    def opened(cls, ids: bytes, vectors: bytes, sources: list) -> Block:
+        at = np.frombuffer(ids, np.int64)
+        v = np.frombuffer(vectors, np.float32).reshape(len(at), -1)
+        return cls(at, v, v / np.where((m := magnitudes(v)) == 0, 1, m)[:, None].astype(np.float32), np.array(sources, object))
+
+    @classmethod
+    def joined(cls, blocks: list[Block]) -> Block:
+        return blocks[0] if len(blocks) == 1 else cls(*(np.concatenate([getattr(b, f) for b in blocks]) for f in ("ids", "vectors", "units", "sources")))
+
+
+def stacked(rows: list[tuple[int, int]], width: int, spread: int) -> dict[int, int]:
+    """The stack of each block, from (block, rows) in order and the bytes of a row: even shares of the rows, STACK_BYTES and a block at most."""
+    total = sum(n for _, n in rows)
+    share = max(1, min(-(-total // spread), STACK_BYTES // max(1, width)))
+    out, stack, before, last = {}, -1, 0, -1
+    for block, n in rows:
+        if before // share != last:
+            stack, last = stack + 1, before // share
+        out[block] = stack
+        before += n
+    return out
 
 
 def indexed_pairs(held: DataFrame, threshold: float, constrained: bool, rows: int, block_rows: int | None = None, pivots: int | None = None, report: Report | None = None) -> DataFrame:
@@ -208,40 +238,50 @@ def indexed_pairs(held: DataFrame, threshold: float, constrained: bool, rows: in
     discard(spots)
     n, low, high = intervals(blocks)
     meet = partners(low, high, threshold)
-    several = np.zeros(len(n), np.int64)
-    for _, _, k, blocks_of in classes:
-        several[k] = blocks_of
+    sizes = [tuple(r) for r in blocks.select("block", "n").orderBy("block").collect()]  # CLASSES + PIVOTS classes and their shares of block_rows
     if report is not None:
         a, b = np.nonzero(np.triu(meet, 1))
         report.visited = int((n[a] * n[b]).sum() + (n * (n - 1) // 2).sum())
-        report.pairs, report.blocks = rows * (rows - 1) // 2, int(several.sum())
-    shared = spark.sparkContext.broadcast((meet, several))
-
-    @F.pandas_udf("array<long>")
-    def others(block: pd.Series) -> pd.Series:
-        allowed, k = shared.value
-        out = []
-        for own in block:
-            near = np.flatnonzero(allowed[own // _SUB])
-            out.append(np.concatenate([c * _SUB + np.arange(k[c]) for c in near]).astype(np.int64))
-        return pd.Series(out)
-
-    units = int((np.triu(meet) * np.outer(several, several)).sum())
-    tasks = max(1, min(units, max(4 * cores, units // 64)))
-    sent = blocks.drop("low", "high", "n", "class").withColumn("other", F.explode(others("block")))
-    sent = sent.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")}).drop("other")
-    keyed = sent.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "block")
+        report.pairs, report.blocks = rows * (rows - 1) // 2, len(sizes)
+    stack_of = stacked(sizes, 4 * centres.shape[1], SPREAD)
+    stacks = max(stack_of.values(), default=-1) + 1
+    holds = np.zeros((len(n), stacks), bool)  # class by stack
+    for block, stack in stack_of.items():
+        holds[block // _SUB, stack] = True
+    reaches = (meet.astype(np.float32) @ holds.astype(np.float32)) > 0
+    shared = spark.sparkContext.broadcast((meet, reaches, stack_of))
+
+    @F.pandas_udf("array<struct<a:int,b:int,stack:int>>")
+    def units_of(block: pd.Series) -> pd.Series:
+        _, reached, stack = shared.value
+        return pd.Series([[{"a": min(stack[x], int(y)), "b": max(stack[x], int(y)), "stack": stack[x]} for y in np.flatnonzero(reached[x // _SUB])] for x in block])
+
+    units = int((holds.T.astype(np.float32) @ reaches.astype(np.float32) > 0).sum())
+    sent = blocks.select("block", "ids", "vectors", "sources").withColumn("unit", F.explode(units_of("block"))).select("unit.*", "block", "ids", "vectors", "sources")
+    tasks = max(1, min(units, max(cores, rows // 1024)))
+    keyed = sent.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "stack", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
+        allowed = shared.value[0]
+        unit, held, classes_held, whole = None, [], np.zeros(0, np.int64), None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["a"] == row["b"]:
-                    one = _opened(row)
+            for k in range(batch.num_rows):
+                a, b, stack, block, *packed_row = (batch.column(c)[k].as_py() for c in range(7))
+                if (a, b) != unit:
+                    unit, held, whole = (a, b), [], None
+                one, own = Block.opened(*packed_row), block // _SUB
+                if a == b:
                     yield from compare(one, one, True, threshold, constrained)
-                elif waiting and (waiting["a"], waiting["b"]) == (row["a"], row["b"]):
-                    yield from compare(_opened(waiting), _opened(row), False, threshold, constrained)
-                else:  # its partner comes next, unless that block has no rows
-                    waiting = row
+                if a == b or stack == b:
+                    if whole is None or a == b:
+                        classes_held = np.array([c for c, _ in held], np.int64)
+                    near = allowed[own][classes_held]
+                    if a != b and near.all() and held:
+                        whole = whole or Block.joined([x for _, x in held])
+                        yield from compare(whole, one, False, threshold, constrained)
+                    elif near.any():
+                        yield from compare(Block.joined([held[p][1] for p in np.flatnonzero(near)]), one, False, threshold, constrained)
+                if stack == a:
+                    held.append((own, one))
 
     return keyed.mapInArrow(run, "i long, j long, sim double")
