@@ -216,3 +216,33 @@ def test_ranks_within_groups(spark):
     rows = spark.range(50_000).selectExpr("id * 3 as item_idx", "id % 2 as g")
     got = {r["item_idx"]: r["place"] for r in clustering.ranked(rows, "item_idx", "place", within="g").collect()}
     assert all(got[3 * i] == i // 2 + 1 for i in range(50_000))
+
+
+@pytest.mark.parametrize("constrained", [False, True])
+def test_large_components_go_through_rounds(spark, monkeypatch, constrained):
+    """Components beyond the bound of one task are merged over tables first; the clusters are those of the literal rules."""
+    monkeypatch.setattr(clustering, "LARGEST_COMPONENT", 4)
+    rng = np.random.default_rng(21)
+    for t, dims in ((0.4, 6), (0.7, 4)):
+        vectors = rng.normal(size=(48, dims)).astype(np.float32)
+        vectors[40:44] = vectors[:4] * np.float32(2)  # copies
+        sources = rng.integers(0, 14, 48).tolist()
+        want = literal(cosines(vectors), sources if constrained else list(range(48)), t)
+        got = {}
+        for r in sorted(clustering.clusters(_items(spark, vectors.tolist(), sources), t, constrained).collect(), key=lambda r: r["member_pos"]):
+            got.setdefault(r["slot"], []).append(r["item_idx"])
+        assert sorted(got.values()) == sorted(want)
+        assert {m[0]: m for m in want} == got
+
+
+def test_rounds_on_ties(spark, monkeypatch):
+    """Vectors of small whole numbers: many means are equal, or at the threshold."""
+    monkeypatch.setattr(clustering, "LARGEST_COMPONENT", 3)
+    vectors = np.random.default_rng(22).integers(-1, 2, (36, 5)).astype(np.float32)
+    vectors = np.unique(vectors[np.abs(vectors).sum(axis=1) > 0], axis=0)
+    for t in (0.5, 0.8):
+        want = literal(cosines(vectors), list(range(len(vectors))), t)
+        got = {}
+        for r in sorted(clustering.clusters(_items(spark, vectors.tolist()), t, False).collect(), key=lambda r: r["member_pos"]):
+            got.setdefault(r["slot"], []).append(r["item_idx"])
+        assert sorted(got.values()) == sorted(want)

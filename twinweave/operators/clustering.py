@@ -3,8 +3,9 @@
 Nothing is more similar than copies (vectors that are equal up to a power of two), so these are gathered before any
 pair is made: a group of copies is one row with a weight, however many they are, and its members are numbered by ranges
 of their ids when the result is written out. A merge needs a pair at the threshold or above, so clusters lie inside the
-components of the graph of such pairs; each component is clustered on its own, by the sequential rules, in one task.
-That task keeps one matrix of mean similarities and the best partner of each row, so a merge costs a row, not the
+components of the graph of such pairs; each component is clustered on its own, by the sequential rules, in one task. A
+component that is too large for one task goes through rounds of merges over tables until it has fallen apart or is small
+enough (see ``merging``); the task goes on from there. That task keeps one matrix of mean similarities and the best partner of each row, so a merge costs a row, not the
 matrix. The matrix is near (a matrix product, then weighted means); whoever may be the next best pair is computed
 exactly, in member order, before it is compared, so ties fall as they would if everything were recomputed.
 """
@@ -23,15 +24,15 @@ from pyspark.sql import functions as F
 
 from twinweave.functions.vectors import cosine, has_features
 from twinweave.operators.checkpoints import materialise, materialise_with
-from twinweave.operators.cosines import exact_cosines, magnitudes
+from twinweave.operators.cosines import exact_cosines, exact_means, magnitudes
 from twinweave.operators.graph import components
+from twinweave.operators.merging import begun
 from twinweave.operators.similarity import similar_pairs
 
-#: Distinct vectors of a component that one task clusters (9 bytes for each pair of them); beyond it the threshold is too low for this many items.
-LARGEST_COMPONENT = 12_000
+#: Clusters of a component that one task goes on with (9 bytes for each pair of them, three times that while it begins); larger ones go through rounds of merges first.
+LARGEST_COMPONENT = 6_000
 #: What a near mean may be off by, several times over.
 MARGIN = 1e-6
-COUNTED_PAIRS = 1 << 20
 _BUCKET = 14
 
 
@@ -42,38 +43,15 @@ def near_similarities(vectors: np.ndarray) -> np.ndarray:
     return unit @ unit.T
 
 
-def exact_means(vectors: np.ndarray, weights: np.ndarray) -> Callable[[list[int], list[list[int]]], np.ndarray]:
-    """A function of a cluster and others: its mean cosine with each of these, over members in order; a vector counts as often as its weight says.
-
-    Up to COUNTED_PAIRS pairs of items are added one by one; beyond that, copies are multiplied, which may differ in the last digit.
-    """
-
-    def means(one: list[int], others: list[list[int]]) -> np.ndarray:
-        if len(one) == 1 and all(len(x) == 1 for x in others):
-            return exact_cosines(vectors[one], vectors[[x[0] for x in others]])
-        out = []
-        for x in others:
-            a, b = weights[one].astype(np.int64), weights[x].astype(np.int64)
-            sims = exact_cosines(np.repeat(vectors[one], len(x), axis=0), np.tile(vectors[x], (len(one), 1))).reshape(len(one), len(x))
-            pairs = int(a.sum()) * int(b.sum())
-            if pairs <= COUNTED_PAIRS:
-                total = np.cumsum(np.repeat(np.repeat(sims, a, axis=0), b, axis=1).reshape(-1))[-1]
-            else:
-                total = np.cumsum((sims * np.outer(a, b)).reshape(-1))[-1]
-            out.append(total / pairs)
-        return np.array(out)
-
-    return means
-
-
-def cluster_matrix(sims: np.ndarray, sources: list[set] | list | None, threshold: float, exact: Callable | None = None, weights: np.ndarray | None = None) -> list[list[int]]:
+def cluster_matrix(sims: np.ndarray, sources: list[set] | list | None, threshold: float, exact: Callable | None = None, weights: np.ndarray | None = None, start: list[list[int]] | None = None) -> list[list[int]]:
     """Member lists in slot order; members in the order in which they were merged.
 
     ``sims`` is a symmetric matrix of similarities. With ``exact``, a function that makes exact means, it need only
-    be near, and is used up. Rows that share a source are never merged; without sources, any may be.
+    be near, and is used up. Rows that share a source are never merged; without sources, any may be. With ``start``, rows
+    are clusters already, of these members.
     """
     n = len(sims)
-    members: list[list[int]] = [[i] for i in range(n)]
+    members: list[list[int]] = [[i] for i in range(n)] if start is None else [[*m] for m in start]
     if n < 2:
         return members
     near = sims if exact else sims.copy()
@@ -167,9 +145,18 @@ def copies(vectors: np.ndarray, sources: list | None) -> list[list[int]]:
     return sorted(out)
 
 
-def cluster_weighted(vectors: np.ndarray, sources: list[set] | None, weights: np.ndarray, threshold: float) -> list[list[int]]:
-    """Member lists of the clusters of float32 vectors, each of which stands for as many items as its weight says."""
-    return cluster_matrix(near_similarities(vectors), sources, threshold, exact_means(vectors, weights), weights)
+def cluster_weighted(vectors: np.ndarray, sources: list[set] | None, weights: np.ndarray, threshold: float, start: list[list[int]] | None = None) -> list[list[int]]:
+    """Member lists of the clusters of float32 vectors, each of which stands for as many items as its weight says.
+
+    With ``start``, merging goes on from these clusters, and sources are theirs.
+    """
+    if start is None or len(start) == len(vectors):
+        return cluster_matrix(near_similarities(vectors), sources, threshold, exact_means(vectors, weights), weights, start)
+    size = magnitudes(vectors)
+    units = vectors.astype(np.float64) / np.where(size == 0, 1.0, size)[:, None]
+    counts = np.array([weights[m].sum() for m in start])
+    means = np.stack([weights[m] @ units[m] for m in start]) / counts[:, None]
+    return cluster_matrix(means @ means.T, sources, threshold, exact_means(vectors, weights), counts, start)
 
 
 def cluster_vectors(vectors: np.ndarray, sources: list | None, threshold: float) -> list[list[int]]:
@@ -273,20 +260,27 @@ def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs
     """
     drawn = drawn or gathered(held_features(items), threshold, constrained)
     if pairs is None:
-        pairs = similar_pairs(drawn.rows, threshold, constrained, rows=drawn.count)
+        pairs = materialise(similar_pairs(drawn.rows, threshold, constrained, rows=drawn.count), "pairs")
     placed = components(pairs)
-    grouped = drawn.rows.join(placed, "item_idx")
-    grouped = grouped.join(_contested(drawn), "item_idx", "left") if constrained else grouped.withColumn("sources", F.lit(None).cast("array<string>"))
+    sourced = drawn.rows.join(_contested(drawn), "item_idx", "left") if constrained else drawn.rows.withColumn("sources", F.lit(None).cast("array<string>"))
+    spots = placed.withColumns({"slot": F.col("item_idx"), "place": F.lit(0).cast("long")})
+    large = placed.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST_COMPONENT).select("component_id")
+    if not large.isEmpty():
+        inside = placed.join(large, "component_id", "left_semi").select("item_idx")
+        merged = begun(sourced.join(inside, "item_idx", "left_semi"), pairs, threshold, LARGEST_COMPONENT)
+        spots = spots.join(large, "component_id", "left_anti").unionByName(merged)
+    grouped = sourced.join(spots, "item_idx")
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > LARGEST_COMPONENT:
-            raise ValueError(f"a component of {len(group)} distinct vectors is similar at this threshold; choose a higher one")
-        group = group.sort_values("item_idx", kind="stable")
+        group = group.sort_values(["slot", "place"], kind="stable")
         ids, weights = group["item_idx"].to_numpy(), group["weight"].to_numpy().astype(float)
         vectors = np.stack(group["features"].to_numpy()).astype(np.float32)
-        sources = [set() if s is None else set(s) for s in group["sources"]] if constrained else None
+        cuts = np.flatnonzero(np.diff(group["slot"].to_numpy())) + 1
+        start = [x.tolist() for x in np.split(np.arange(len(group)), cuts)]
+        held = [set() if s is None else set(s) for s in group["sources"]] if constrained else None
+        sources = [set().union(*(held[i] for i in m)) for m in start] if constrained else None
         rows = []
-        for members in cluster_weighted(vectors, sources, weights, threshold):
+        for members in cluster_weighted(vectors, sources, weights, threshold, start):
             mean = weighted_mean_similarity(vectors[members], weights[members])
             before = 0
             for m in members:
@@ -295,7 +289,7 @@ def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs
         return pd.DataFrame(rows, columns=["slot", "member_pos", "item_idx", "weight", "average_similarity"])
 
     ddl = "slot long, member_pos int, item_idx long, weight long, average_similarity double"
-    found = grouped.select("component_id", "item_idx", "weight", "features", "sources").groupBy("component_id").applyInPandas(cluster, ddl)
+    found = grouped.select("component_id", "item_idx", "slot", "place", "weight", "features", "sources").groupBy("component_id").applyInPandas(cluster, ddl)
     # copies are as similar as a vector is to itself
     own = F.when(F.col("weight") > 1, cosine("features", "features")).otherwise(F.lit(1.0))
     alone = drawn.rows.join(placed, "item_idx", "left_anti").select(F.col("item_idx").alias("slot"), F.lit(0).alias("member_pos"), "item_idx", "weight", own.alias("average_similarity"))
