@@ -246,3 +246,16 @@ def test_rounds_on_ties(spark, monkeypatch):
         for r in sorted(clustering.clusters(_items(spark, vectors.tolist()), t, False).collect(), key=lambda r: r["member_pos"]):
             got.setdefault(r["slot"], []).append(r["item_idx"])
         assert sorted(got.values()) == sorted(want)
+
+
+def test_pairs_are_thinned_before_they_are_written(spark, monkeypatch):
+    """A task hands on a link for each node at most, not its pairs."""
+    n = 300
+    pairs = spark.range(n).selectExpr("id as i").crossJoin(spark.range(n).selectExpr("id as j")).where("i < j").coalesce(2)
+    assert graph._thinned(pairs).count() < 2 * n and pairs.count() == n * (n - 1) // 2
+    assert dict(graph.components(pairs).collect()) == {i: 0 for i in range(n)}
+    monkeypatch.setattr(graph, "TAKEN", 8)
+    u, v = np.random.default_rng(1).integers(0, 400, (2, 300))
+    label = dict(zip(*(x.tolist() for x in graph._linked(u, v)), strict=True))
+    want = dict(graph._ended(spark.createDataFrame([(int(min(p)), int(max(p))) for p in zip(u, v, strict=True)], "u long, v long")).collect())
+    assert {x: label.get(x, x) for x in want} == want
