@@ -251,3 +251,22 @@ def test_stream_keeps_features(spark, folder, tmp_path):
     query = ingest.keep_features(ingest.stream_files(spark, str(folder)), lambda rows: rows.select("path", "length"), table, str(tmp_path / "state"))
     query.awaitTermination(120)
     assert spark.read.parquet(table).count() == 6
+
+
+def test_images_are_handed_on_in_parts_of_bounded_size(spark, monkeypatch):
+    """A batch of many images is not held as a whole by what is made of it."""
+    from twinweave.operators import imaging
+
+    frames = list(imaging.in_parts(((i, bytes(1 << 20), None) for i in range(40)), ["item_idx", "pixels", "error"]))
+    assert [len(f) for f in frames] == [8] * 5 and [*frames[4]["item_idx"]] == [*range(32, 40)]
+    assert list(imaging.in_parts([], ["item_idx"])) == []
+    seen = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, run, ddl: seen.append(run))
+    rows = spark.createDataFrame([(0, (2, 2, 3, bytes(12)))], "item_idx long, image struct<height:int,width:int,nChannels:int,data:binary>")
+    imaging.preprocess(rows, imaging.Settings(size=320))
+    import pandas as pd
+
+    batch = pd.DataFrame([(i, 2, 2, 3, bytes(12), 1) for i in range(100)], columns=["item_idx", "height", "width", "channels", "data", "orientation"])
+    parts = list(seen[0](iter([batch])))
+    assert len(parts) > 3 and sum(map(len, parts)) == 100
+    assert max(p["pixels"].map(len).sum() for p in parts) <= imaging.PART_BYTES + 320 * 320 * 3

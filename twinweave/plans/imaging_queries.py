@@ -102,14 +102,15 @@ def image_resize(spark, sf_dir):
 def _image_rows(spark, sf_dir):
     """Image structs as the source gives them; every seventh has too few bytes."""
 
-    def rows(batches):
+    def made(batches):
         for part in batches:
-            made = []
             for i in part["item_idx"]:
                 pixels = framed(int(i))
                 data = pixels[:, :, ::-1].tobytes()
-                made.append((i, pixels.shape[0], pixels.shape[1], 3, data[: len(data) // 2] if i % 7 == 0 else data))
-            yield pd.DataFrame(made, columns=["item_idx", "height", "width", "nChannels", "data"])
+                yield i, pixels.shape[0], pixels.shape[1], 3, data[: len(data) // 2] if i % 7 == 0 else data
+
+    def rows(batches):
+        return imaging.in_parts(made(batches), ["item_idx", "height", "width", "nChannels", "data"])
 
     flat = _ids(spark, sf_dir).mapInPandas(rows, "item_idx long, height int, width int, nChannels int, data binary")
     return flat.select("item_idx", F.struct("height", "width", "nChannels", "data").alias("image"))
