@@ -138,7 +138,10 @@ def begun(rows: DataFrame, pairs: DataFrame, threshold: float, largest: int) ->
     """
     count = F.count(F.lit(1))
     rows = materialise(rows.select("item_idx", "weight", "features", "sources"), "rows")
-    edges = materialise(pairs.join(rows.select(F.col("item_idx").alias("i")), "i", "left_semi").select("i", "j", F.col("sim").alias("s"), F.lit(True).alias("known")), "edges")
+    of = lambda k: rows.select(F.col("item_idx").alias(k), F.col("sources").alias(f"sources_{k}"))
+    # rows that stand for copies have several sources, which the pairs do not know
+    apart = pairs.join(of("i"), "i").join(of("j"), "j").where(~F.coalesce(F.arrays_overlap("sources_i", "sources_j"), F.lit(False)))
+    edges = materialise(apart.select("i", "j", F.col("sim").alias("s"), F.lit(True).alias("known")), "edges")
     nodes, live = materialise_with(_nodes(rows), "nodes", count)
     members = materialise(rows.select("item_idx", F.col("item_idx").alias("slot"), F.lit(0).cast("long").alias("place")), "members")
     done = 0
