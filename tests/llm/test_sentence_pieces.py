@@ -145,3 +145,16 @@ def test_operator_on_odd_rows(spark, library):
     assert back == {i: (t or "") for i, t in enumerate(ODD_TEXTS)}
     assert sentence_pieces.digests(frame.limit(0), PIECE_MODEL).count() == 0
     assert sentence_pieces.decode(coded.selectExpr("doc_id", "cast(null as array<int>) ids").limit(1), PIECE_MODEL).first()["decoded"] == ""
+
+
+def test_frequent_words_are_coded_once_and_spell_themselves(library, monkeypatch):
+    """200,000 words come twice: the second time none is coded again; the text of pieces of known characters is not put together again."""
+    with open(PIECE_MODEL, "rb") as f:
+        own = PieceCodec.from_bytes(f.read())
+    text = " ".join(f"{a}{b}{c}" for a in ("the", "in", "of", "er") for b in map(str, range(500)) for c in map(str, range(1000, 1100)))
+    monkeypatch.setattr(own, "surface", None)
+    first = own.digest(text)
+    monkeypatch.setattr(own.shown, "make", None)
+    assert own.digest(text) == first
+    ids = library.encode(text)
+    assert first == (len(ids), ",".join(map(str, ids)), text)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from twinweave.llm.common import map_rows
 
 #: What a worker keeps: stretches of a text, segments of stretches, pairs of tokens; the older half goes when one is full.
-KEPT_STRETCHES, KEPT_SEGMENTS, KEPT_PAIRS = 150_000, 150_000, 400_000
+KEPT_STRETCHES, KEPT_SEGMENTS, KEPT_PAIRS = 500_000, 200_000, 400_000
 #: Longer strings are not kept.
 KEPT_LENGTH = 64
 #: How the format writes a space, and its kinds of pieces.
@@ -107,6 +107,7 @@ class PieceCodec:
         if " " not in self.id_of or any(c not in self.id_of for p in self.id_of for c in p):
             raise ValueError("models with pieces of characters that are no pieces, or without the space, are not supported")
         self.length = [len(p) for p in self.strings]
+        self.decimal = [str(i) for i in range(len(self.strings))]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id_of.items():
             self.automaton.add_word(p, (i, len(p)))
@@ -216,12 +217,15 @@ class PieceCodec:
     def _segment(self, segment: str) -> tuple[str, str]:
         if len(segment) == 1 and segment not in self.id_of:
             ids = [self.bytes_of[b] for b in segment.encode("utf-8", "replace")]
-        else:
-            ids = self.piece_ids(segment)
-        return ",".join(map(str, ids)), self.surface(ids)
+            return ",".join(map(str, ids)), self.surface(ids)
+        # normal pieces spell the segment itself
+        return ",".join([self.decimal[i] for i in self.piece_ids(segment)]), segment
 
     def _stretch(self, stretch: str) -> tuple[str, str]:
-        made = [*map(self.coded.__getitem__, self.segments.findall(stretch))]
+        found = self.segments.findall(stretch)
+        if len(found) == 1:
+            return self.coded[found[0]]
+        made = [*map(self.coded.__getitem__, found)]
         shown = "".join([x[1] for x in made])
         return ",".join([x[0] for x in made]), stretch if shown == stretch else shown
 
