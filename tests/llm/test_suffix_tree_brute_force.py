@@ -80,3 +80,49 @@ def test_pieces_of_distinct_keys_sum_up():
         for k, c in zip(key[at].tolist(), count.tolist(), strict=True):
             sums[k] += c
         assert sums == Counter(key.tolist())
+
+
+def test_places_are_those_of_find():
+    """Spread keys, keys in a narrow range, keys of one slot, and none."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    spread = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    lumped = np.concatenate([np.arange(3000, dtype=np.uint64), np.array([0, 1 << 63, (1 << 64) - 1], np.uint64)])
+    for keys in (spread, spread >> np.uint64(40), lumped, spread[:1], spread[:0]):
+        keys = np.unique(keys)
+        wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert (suffix_tree.Places(keys).of(wanted) == suffix_tree.find(keys, wanted)).all()
+
+
+def test_bitmaps_hold_their_keys(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), 1 << 63, 20000)
+    frame = spark.createDataFrame([(int(k),) for k in keys], "h long")
+    table = suffix_tree.bitmap_of(frame, len(keys))
+    assert suffix_tree.in_bitmap(table, keys.view(np.uint64)).all()
+    assert suffix_tree.in_bitmap(table, rng.integers(0, 1 << 64, 20000, dtype=np.uint64)).mean() < 0.15
+    assert not suffix_tree.bitmap_of(frame.limit(0), 0).any()
+
+
+def test_documents_are_scored_by_shares(spark, monkeypatch):
+    """Each round asks for its own documents alone, and what it wrote for that is gone when the next begins."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d e f", "g"]) for _ in range(rng.randrange(0, 30))) for _ in range(120)]
+    want, _ = plain_scores([*texts, ""])
+    frame, sizes = documents(spark, [*texts, None]), []
+
+    def seen(df, name, made=suffix_tree.materialise):
+        out = made(df, name)
+        if name == "scores":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "materialise", seen)
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 0.01)
+    rows = suffix_tree.score(frame.withColumn("doc_id", frame["doc_id"].cast("int"))).collect()
+    assert len(sizes) == suffix_tree.ROUNDS and sum(sizes) == len(texts) + 1 and max(sizes) < 0.6 * len(texts)
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert [got[i] for i in range(len(texts) + 1)] == pytest.approx(want, abs=1e-5)

@@ -24,6 +24,7 @@ alike (and learned from as often as they stand there).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ LEAST = 2
 FREQUENT = 4e-7
 #: Bits of a bitmap for each key, and the least and the largest size (64 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
+#: Shares of the documents that are scored one after another, so that what is asked lies on disk by shares.
+ROUNDS = 3
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D2E7A3C5)
 #: Tokens whose counts a task sums before it sends them on.
@@ -67,6 +70,39 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class Places:
+    """Finds values in sorted distinct keys as ``find`` does; as keys are hashes, a table of their high bits leads next to them."""
+
+    STEPS = 12
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        if len(keys):
+            self.low, self.high = keys[0], keys[-1]
+            self.shift = np.uint64(max(0, int(self.high - self.low).bit_length() - len(keys).bit_length()))
+            slots = (int(self.high - self.low) >> int(self.shift)) + 1
+            self.first = np.zeros(slots + 1, np.int32)
+            np.cumsum(np.bincount(((keys - self.low) >> self.shift).astype(np.int64), minlength=slots), out=self.first[1:])
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.full(len(wanted), -1, np.int64)
+        if not len(self.keys):
+            return out
+        left = np.flatnonzero((wanted >= self.low) & (wanted <= self.high))
+        looked = wanted[left]
+        at = self.first[((looked - self.low) >> self.shift).astype(np.int64)]  # the first key of the slot, or one beyond it
+        for _ in range(self.STEPS):
+            there = self.keys[at]
+            hit = there == looked
+            out[left[hit]] = at[hit]
+            more = np.flatnonzero(there < looked)
+            if not len(more):
+                return out
+            left, looked, at = left[more], looked[more], at[more] + 1
+        out[left] = find(self.keys, looked)
+        return out
+
+
 @dataclass
 class Tree:
     """The frequent part as sorted arrays; level d - 1 of the lists is depth d. A transition's key is context << 20 | word."""
@@ -134,18 +170,33 @@ def grams(value: np.ndarray, row: np.ndarray, length: int):
 
 
 def bitmap_of(keys: DataFrame, count: int) -> np.ndarray:
-    """A bitmap of the long column h, sized by the count of keys up to a bound."""
+    """A bitmap of the long column h by the highest bits, sized by the count of keys up to a bound; each of its 256 parts is made by one group."""
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * count).bit_length()))
-    bits = keys.select(F.shiftright(F.col("h").bitwiseAND(F.lit(size - 1)), 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
+    high, part = np.uint64(65 - size.bit_length()), size >> 8
+
+    def pack(batches):
+        def make(some):
+            key = some.column(0).to_numpy().view(np.uint64)
+            yield key, (key >> high).astype(np.uint32)
+
+        yield from _packed(batches, make, 8)
+
+    def merge(table: pa.Table) -> pa.Table:
+        bits = np.zeros(part, np.uint8)
+        bits[_unpacked(table.column("blob"), (np.uint32,))[0] & np.uint32(part - 1)] = 1
+        return pa.table({"b": table.column("b")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
     with writing(keys.sparkSession):
-        got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(size // 64, np.uint64)
-    table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-    return table
+        got = keys.select("h").mapInArrow(pack, "b int,blob binary").groupBy("b").applyInArrow(merge, "b int,bits binary").toArrow()
+    table = np.zeros((256, part // 64), np.uint64)
+    for b, bits in zip(got.column("b").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        table[b] = np.frombuffer(bits, np.uint64)
+    return table.reshape(-1)
 
 
 def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return (table[(keys & np.uint64(64 * len(table) - 1)) >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+    place = keys >> np.uint64(65 - (64 * len(table)).bit_length())
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,7 +485,8 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     # what is asked for: only what adds something to a score, and is not broadcast
     rest, count = materialise_with(additions(model, False).select("h", "c", "v"), "additions", F.count(F.lit(1)))
     seen = bitmap_of(rest, count)
-    shared = documents.sparkSession.sparkContext.broadcast((*_hot(model), seen))
+    words, logs, left, keys, gains = _hot(model)
+    shared = documents.sparkSession.sparkContext.broadcast((Places(words), logs, left, Places(keys), gains, seen))
     discard(model.table, *model.levels)
     length, unit, bits = len(model.levels) + 1, float(np.log10(model.total + model.kinds + 1)) if model.total else 0.0, model.bits
     held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
@@ -444,7 +496,7 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         words, logs, left, keys, gains, seen = shared.value
         rows = part.num_rows
         value, row = tokens(part.column(2))
-        word = find(words, value)
+        word = words.of(value)
         known = word >= 0
         base = np.full(len(value), -unit)
         base[known] += logs[word[known]]
@@ -455,7 +507,7 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         asked = [(row[at], value[at])]
         for key, there in grams(value, row, length)[1:]:
             at = np.flatnonzero(there)
-            hit = find(keys, key[at])
+            hit = keys.of(key[at])
             more[at[hit >= 0]] += gains[hit[hit >= 0]]
             at = at[hit < 0]
             at = at[in_bitmap(seen, key[at])]
@@ -504,7 +556,7 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         h, c, v = h[order], c[order], v[order].astype(np.float64)
         start = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
         low, rid = _asked(asked.column("blob").drop_null())
-        at = find(h[start], _whole(low, top))
+        at = Places(h[start]).of(_whole(low, top))
         rid, at = rid[at >= 0], at[at >= 0]
         if not len(at):
             return own
@@ -517,7 +569,8 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         return pa.concat_tables([own, pa.table([pa.array(x) for x in made], names=names)])
 
     ddl = "b int,blob binary,rid long,doc_id long,n_tokens long,n_known long,base double,score double"
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
+    rows_of = lambda k: documents.where(share == k).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
 
     def pack(batches):
         def make(part):
@@ -526,13 +579,20 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         yield from _packed(batches, make, bits)
 
-    table = rest.select("h", "v", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(pack, "b int,blob binary")
-    answers = rows.groupBy("b").cogroup(table.groupBy("b")).applyInArrow(answer, "rid long,doc_id long,n_tokens long,known long,base double,score double")
-    out = answers.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    )
+    table = materialise(rest.select("h", "v", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(pack, "b int,blob binary"), "packed")
+    discard(rest)
+    # a round's questions and answers are gone from disk before the next one asks
+    rounds = []
+    for k in range(ROUNDS):
+        answers = rows_of(k).groupBy("b").cogroup(table.groupBy("b")).applyInArrow(answer, "rid long,doc_id long,n_tokens long,known long,base double,score double")
+        made = answers.groupBy("rid").agg(
+            F.max("doc_id").alias("doc_id"),
+            F.sum("n_tokens").alias("n_tokens"),
+            F.sum("known").alias("n_known"),
+            F.sum("base").alias("base_score"),
+            F.sum("score").alias("score"),
+        )
+        rounds.append(materialise(made, "scores"))
+    discard(table)
+    out = reduce(DataFrame.unionByName, rounds)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
