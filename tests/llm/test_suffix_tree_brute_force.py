@@ -126,3 +126,57 @@ def test_documents_are_scored_by_shares(spark, monkeypatch):
     assert len(sizes) == suffix_tree.ROUNDS and sum(sizes) == len(texts) + 1 and max(sizes) < 0.6 * len(texts)
     got = {r["doc_id"]: r["score"] for r in rows}
     assert [got[i] for i in range(len(texts) + 1)] == pytest.approx(want, abs=1e-5)
+
+
+def test_additions_and_counts_come_packed(spark, monkeypatch):
+    """One pass packs all additions, frequent ones in buckets of their own; counts bring the bits of their keys for the next depth's bitmap."""
+    import numpy as np
+
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d e f", "g", f"w{rng.randrange(400)}"]) for _ in range(rng.randrange(0, 30))) for _ in range(150)]
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 0.01)
+    frame = documents(spark, texts)
+    model = suffix_tree.learn(frame)
+    words = {r["h"] & (1 << 64) - 1: r["c"] for r in model.table.collect()}
+    grams = sum(level.where("v is not null").count() + level.where("lead").count() for level in model.levels)
+    got, entries = {}, 0
+    for b, blob in suffix_tree.additions(model).collect():
+        n = len(blob) // 19
+        low, count = np.frombuffer(blob, suffix_tree._LOW, n), np.frombuffer(blob, np.int64, n, 11 * n)
+        keys = suffix_tree._whole(low, (b & (1 << model.bits) - 1) >> model.bits - 8)
+        got |= {k: (c, b >> model.bits) for k, c in zip(keys.tolist(), count.tolist(), strict=True) if c}
+        entries += n
+    assert entries == len(words) + grams
+    assert got == {h: (c, int(c >= 0.01 * model.total)) for h, c in words.items()}
+    assert {often for _, often in got.values()} == {0, 1}
+
+    def pairs(text):
+        value, row = suffix_tree.tokens(text)
+        at = np.flatnonzero(row[1:] == row[:-1])
+        return value[at], value[at + 1]
+
+    rows = suffix_tree._counts(frame, pairs, ("first", "last"), 9, 2, ends=True).localCheckpoint()
+    own = rows.where("n is not null").toArrow()
+    keys = suffix_tree.combine(*(own.column(c).to_numpy().view(np.uint64) for c in ("first", "last")))
+    table = suffix_tree.bitmap_of_blobs(rows.where("n is null").select("b", "high"), len(keys), 9, lambda blob, _: np.frombuffer(blob, np.uint32))
+    assert len(keys) > 50 and (table == suffix_tree.bitmap_of(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "h long"), len(keys))).all()
+    assert suffix_tree.in_bitmap(table, keys).all()
+
+
+def test_short_hashes_depend_on_the_bytes_alone():
+    """Spans of every length around eight bytes and the bound, at any place, with zero bytes, at the end of the data too."""
+    import numpy as np
+
+    from twinweave.llm.common import SHORT, short_hashes
+
+    rng = random.Random(15)
+    spans = [bytes(rng.choice(b"\x00ab") for _ in range(n)) for n in [*range(20), SHORT - 1, SHORT, SHORT + 1, 300] for _ in range(40)]
+    spans += [b"\x00" * n for n in range(SHORT + 2)]
+    seen = {}
+    for _ in range(3):
+        rng.shuffle(spans)
+        data = np.frombuffer(b"x".join(spans), np.uint8)
+        start = np.cumsum([0, *(len(s) + 1 for s in spans[:-1])])
+        for span, h in zip(spans, short_hashes(data, start, start + [len(s) for s in spans]).tolist(), strict=True):
+            assert seen.setdefault(span, h) == h
+    assert len(set(seen.values())) == len(seen) == len(set(spans))

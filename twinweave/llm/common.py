@@ -148,3 +148,26 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
     return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+#: Bytes of a span that ``short_hashes`` reads eight at a time; longer spans go by ``span_hashes``.
+SHORT = 64
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def short_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As ``span_hashes``, with other values: eight bytes of each span at a time, quicker where most spans are words of few bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix64((eight[start] & _KEPT[np.minimum(size, 8)]) + size.astype(np.uint64) * _BASE)
+    at, done = np.flatnonzero((size > 8) & (size <= SHORT)), 8
+    while len(at):
+        out[at] = mix64((out[at] ^ eight[start[at] + done] & _KEPT[np.minimum(size[at] - done, 8)]) * _BASE)
+        done += 8
+        at = at[size[at] > done]
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        out[long] = span_hashes(data, start[long], end[long])
+    return out

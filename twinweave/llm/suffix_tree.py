@@ -14,7 +14,8 @@ A gram that occurs LEAST times has parts that do, so a bitmap of bounded size ke
 depth's shuffle. A document's score is a sum over its grams: a gram adds what its last word gains over the
 parent's share, and what the gram as a context leaves to its parent. What is joined at scoring time is the
 grams of the document below FREQUENT, packed by buckets of their keys (about a million tokens a bucket); at most 1 / FREQUENT grams a depth are broadcast, to save their
-shuffle and its skew, which changes no result. Words are told apart by 64-bit hashes.
+shuffle and its skew, which changes no result. Counts and additions pass between Spark and Python as packed rows too,
+because a row of its own costs more on that way than what is done with it. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are the end token alone; an empty training part gives N = V = 0 and
 every token probability 1; null ids are neither learned from nor held out; repeated rows are scored
@@ -32,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, mix64, slices, span_hashes, text_bytes, word_bounds
+from twinweave.llm.common import arrow_schema, crc_mod, lower_ascii, mix64, short_hashes, slices, text_bytes, word_bounds
 from twinweave.operators.checkpoints import discard, materialise, materialise_with, writing
 
 DEPTH = 3
@@ -42,12 +43,16 @@ FREQUENT = 4e-7
 #: Bits of a bitmap for each key, and the least and the largest size (64 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
 #: Shares of the documents that are scored one after another, so that what is asked lies on disk by shares.
-ROUNDS = 3
+ROUNDS = 2
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x1D8AF066D2E7A3C5)
 #: Tokens whose counts a task sums before it sends them on.
 FLUSH = 1 << 20
 _WORD_BITS = 20
+#: Bytes of text of one step: its arrays, of eight bytes for each, should stay near the processor.
+STEP_BYTES = 256 << 10
+#: Buckets of the words' counts, as a power of two: they are made before the tokens are counted.
+WORD_BUCKETS = 10
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +63,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows = len(offsets) - 1
     row = np.repeat(np.arange(rows), np.diff(first))
     out = np.full(len(start) + rows, END, np.uint64)
-    out[np.arange(len(start)) + row] = span_hashes(data, start, end)
+    out[np.arange(len(start)) + row] = short_hashes(data, start, end)
     return out, np.repeat(np.arange(rows), np.diff(first) + 1)
 
 
@@ -169,25 +174,50 @@ def grams(value: np.ndarray, row: np.ndarray, length: int):
     return out
 
 
+def bitmap_size(count: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * count).bit_length()))
+
+
 def bitmap_of(keys: DataFrame, count: int) -> np.ndarray:
-    """A bitmap of the long column h by the highest bits, sized by the count of keys up to a bound; each of its 256 parts is made by one group."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * count).bit_length()))
-    high, part = np.uint64(65 - size.bit_length()), size >> 8
+    """A bitmap of the long column h by the highest bits, sized by the count of keys up to a bound."""
+    size = bitmap_size(count)
+    high = np.uint64(65 - size.bit_length())
 
-    def pack(batches):
+    def places(batches):
         def make(some):
             key = some.column(0).to_numpy().view(np.uint64)
             yield key, (key >> high).astype(np.uint32)
 
         yield from _packed(batches, make, 8)
 
+    return _bitmap(keys.select("h").mapInArrow(places, "b int,blob binary"), size)
+
+
+def bitmap_of_blobs(rows: DataFrame, count: int, bits: int, high_of) -> np.ndarray:
+    """The same of keys in rows (b, blob) by buckets; ``high_of(blob, highest byte)`` are the highest 32 bits of a blob's keys."""
+    size = bitmap_size(count)
+    low = np.uint32(33 - size.bit_length())
+
+    def places(batches):
+        for batch in batches:
+            top = [b >> bits - 8 for b in batch.column(0).to_pylist()]
+            made = [(high_of(blob.as_buffer(), t) >> low).tobytes() for blob, t in zip(batch.column(1), top, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(top, pa.int32()), pa.array(made, pa.binary())], names=["b", "blob"])
+
+    return _bitmap(rows.mapInArrow(places, "b int,blob binary"), size)
+
+
+def _bitmap(places: DataFrame, size: int) -> np.ndarray:
+    """From packed places (b: their highest byte); each of the 256 parts is made by one group."""
+    part = size >> 8
+
     def merge(table: pa.Table) -> pa.Table:
         bits = np.zeros(part, np.uint8)
         bits[_unpacked(table.column("blob"), (np.uint32,))[0] & np.uint32(part - 1)] = 1
         return pa.table({"b": table.column("b")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    with writing(keys.sparkSession):
-        got = keys.select("h").mapInArrow(pack, "b int,blob binary").groupBy("b").applyInArrow(merge, "b int,bits binary").toArrow()
+    with writing(places.sparkSession):
+        got = places.groupBy("b").applyInArrow(merge, "b int,bits binary").toArrow()
     table = np.zeros((256, part // 64), np.uint64)
     for b, bits in zip(got.column("b").to_pylist(), got.column("bits").to_pylist(), strict=True):
         table[b] = np.frombuffer(bits, np.uint64)
@@ -212,34 +242,6 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first].astype(np.int64), np.diff(np.append(first, n))
 
 
-def _sums(documents: DataFrame, keys_of, names: tuple[str, ...] = ("h",)) -> DataFrame:
-    """(*names, n): occurrences of the keys, given as columns, that ``keys_of(text column)`` makes, summed by task, then by Spark."""
-    ddl = ",".join(f"{x} long" for x in (*names, "n"))
-
-    def run(batches):
-        schema = arrow_schema(ddl)
-        waiting, size = [], 0
-
-        def flush():
-            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-            at, n = distinct(columns[0] if len(columns) == 1 else combine(*columns))
-            for i in range(0, len(n), 100_000):
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[at[i : i + 100_000]].view(np.int64)) for c in columns), pa.array(n[i : i + 100_000])], schema=schema)
-
-        for batch in batches:
-            for part in slices(batch):
-                made = keys_of(part.column(0))
-                waiting.append(made)
-                size += len(made[0])
-                if size >= FLUSH:
-                    yield from flush()
-                    waiting, size = [], 0
-        if size:
-            yield from flush()
-
-    return documents.select("text").mapInArrow(run, ddl).groupBy(*names).agg(F.sum("n").alias("n"))
-
-
 def _deal(key: np.ndarray, bits: int):
     """(bucket, indexes) of the keys by their highest bits, one bucket after another."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
@@ -251,6 +253,8 @@ def _deal(key: np.ndarray, bits: int):
 
 
 _LOW = np.dtype((np.void, 7))
+#: Bytes of an addition in packed rows: low bytes of its key, what it adds, the count of a word.
+_ENTRY = 7 + 4 + 8
 
 
 def _unpacked(blobs: pa.ChunkedArray, kinds: tuple[type, ...]) -> list[np.ndarray]:
@@ -303,7 +307,7 @@ def _packed(batches, make, bits: int, head=lambda: b""):
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([head() + b"".join(c[at].tobytes() for c in columns[1:]) for _, at in some], pa.binary())], schema=schema)
 
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, STEP_BYTES):
             for columns in make(part):
                 waiting.append(columns)
                 size += len(columns[0])
@@ -314,24 +318,26 @@ def _packed(batches, make, bits: int, head=lambda: b""):
         yield from flush()
 
 
-def _pair_counts(documents: DataFrame, pairs_of, bits: int) -> DataFrame:
-    """(first, last, n) of the pairs that ``pairs_of(text column)`` makes, where n is LEAST or more.
+def _counts(documents: DataFrame, keys_of, names: tuple[str, ...], bits: int, least: int, ends: bool = False) -> DataFrame:
+    """(*names, n, b, high): the keys, given as columns, that ``keys_of(text column)`` makes, with their occurrences n if these are least or more.
 
-    Pairs are summed a few million tokens at a time, packed by buckets of their keys and summed again by bucket.
+    Keys are summed a million tokens at a time, packed by buckets and summed again by bucket. With ends, each
+    bucket b ends with a row that has the highest 32 bits of its keys, for a bitmap, and no n.
     """
+    whole = lambda columns: columns[0] if len(columns) == 1 else combine(*columns)
 
     def run(batches):
         waiting, size = [], 0
 
         def summed():
-            first, last = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            key = combine(first, last)
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            key = whole(columns)
             at, n = distinct(key)
-            return key[at], first[at], last[at], n.astype(np.uint32)
+            return key[at], *(c[at] for c in columns), n.astype(np.uint32)
 
         def make(part):
             nonlocal waiting, size
-            made = pairs_of(part.column(0))
+            made = keys_of(part.column(0))
             waiting.append(made)
             size += len(made[0])
             if size >= FLUSH:
@@ -343,17 +349,23 @@ def _pair_counts(documents: DataFrame, pairs_of, bits: int) -> DataFrame:
             yield from _packed([pa.RecordBatch.from_arrays([pa.array([""])], names=["text"])], lambda _: [summed()], bits)
 
     def merge(table: pa.Table) -> pa.Table:
-        first, last, n = _unpacked(table.column("blob"), (np.uint64, np.uint64, np.uint32))
-        order = np.argsort(combine(first, last))
-        first, last = first[order], last[order]
-        start = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])]))
+        *columns, n = _unpacked(table.column("blob"), (np.uint64,) * len(names) + (np.uint32,))
+        key = whole(columns)
+        order = np.argsort(key)
+        columns = [c[order] for c in columns]
+        start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
         total = np.add.reduceat(n[order].astype(np.int64), start)
-        keep = total >= LEAST
+        keep = total >= least
         start, total = start[keep], total[keep]
-        return pa.table({"first": first[start].view(np.int64), "last": last[start].view(np.int64), "n": total})
+        own = [*(pa.array(c[start].view(np.int64)) for c in columns), pa.array(total), pa.nulls(len(start), pa.int32()), pa.nulls(len(start), pa.binary())]
+        if not ends:
+            return pa.table(own, names=[*names, "n", "b", "high"])
+        high = (key[order[start]] >> np.uint64(32)).astype(np.uint32).tobytes()
+        end = [*(pa.nulls(1, pa.int64()) for _ in range(len(columns) + 1)), table.column("b")[:1].combine_chunks(), pa.array([high], pa.binary())]
+        return pa.concat_tables([pa.table(x, names=[*names, "n", "b", "high"]) for x in (own, end)])
 
     packed = documents.select("text").mapInArrow(run, "b int,blob binary")
-    return packed.groupBy("b").applyInArrow(merge, "first long,last long,n long")
+    return packed.groupBy("b").applyInArrow(merge, ",".join(f"{x} long" for x in (*names, "n")) + ",b int,high binary")
 
 
 @dataclass
@@ -378,15 +390,15 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
     """Counts all repeated grams of the training part and decides which contexts are retained."""
     spark = documents.sparkSession
     learned = documents.where(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    table = materialise(_sums(learned, lambda text: (tokens(text)[0],)).withColumnRenamed("n", "c"), "words")
+    table = materialise(_counts(learned, lambda text: (tokens(text)[0],), ("h",), WORD_BUCKETS, 1).select("h", F.col("n").alias("c")), "words")
     total, kinds = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     model = Model(int(total), int(kinds), table, [])
     below = table.where(F.col("c") >= LEAST).select("h", F.col("c").alias("n"), ((F.col("c") + 1) / F.lit(float(total + kinds + 1))).alias("p"))
     count = below.count()
+    seen = bitmap_of(below, count)
     for d in range(depth):
         if not count:
             break
-        seen = bitmap_of(below, count)
         shared = spark.sparkContext.broadcast(seen)
 
         def transitions(text, d=d, shared=shared):
@@ -396,8 +408,8 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
             at = np.flatnonzero(there[1:] & there[:-1] & (row[1:] == row[:-1]))
             return key[at], key[at + 1]
 
-        counted = materialise(_pair_counts(learned, transitions, model.bits), "counted")
-        rows = counted.join(below.select(F.col("h").alias("last"), F.col("p").alias("parent")).hint("shuffle_hash"), "last")
+        counted = materialise(_counts(learned, transitions, ("first", "last"), model.bits, LEAST, d + 1 < depth), "counted")
+        rows = counted.where("n is not null").drop("b", "high").join(below.select(F.col("h").alias("last"), F.col("p").alias("parent")).hint("shuffle_hash"), "last")
         rows = rows.join(below.select(F.col("h").alias("first"), F.col("n").alias("size")).hint("shuffle_hash"), "first")
         # all by one key: the join's shuffle serves both windows
         context = Window.partitionBy("first")
@@ -417,6 +429,9 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
             *some(F.col("lead") | often, "first", "size"), *some(retained & (F.col("lead") | often), "weight"), *some(often, "last"), *some(retained & often, "parent"),
         )
         level, count = materialise_with(rows, "level", F.count(F.lit(1)))
+        if d + 1 < depth:
+            # the level's grams are all that were counted: parts of a gram that occurs LEAST times do so too
+            seen = bitmap_of_blobs(counted.where("n is null").select("b", "high"), count, model.bits, lambda blob, _: np.frombuffer(blob, np.uint32))
         discard(counted)
         model.levels.append(level)
         model.kept += count
@@ -424,16 +439,34 @@ def learn(documents: DataFrame, depth: int = DEPTH) -> Model:
     return model
 
 
-def additions(model: Model, frequent: bool) -> DataFrame:
-    """(h, n, c, v): what grams that are frequent (or those that are not) add to a score, in one row or more for each; c is the count of a word and null in other rows."""
-    least = max(1.0, FREQUENT * model.total)
-    fits = lambda n: F.col(n) >= least if frequent else F.col(n) < least
-    none = F.lit(None).cast("long")
-    out = model.table.select("h", F.col("c").alias("n"), "c", F.lit(0.0).cast("float").alias("v"))
-    for level in model.levels:
-        out = out.unionByName(level.where("v is not null").where(fits("n")).select("h", "n", none.alias("c"), "v"))
-        out = out.unionByName(level.where("lead").where(fits("size")).select(F.col("first").alias("h"), F.col("size").alias("n"), none.alias("c"), F.log10(1 - F.col("weight")).cast("float").alias("v")))
-    return out.where(fits("n"))
+def additions(model: Model) -> DataFrame:
+    """(b, blob): what grams add to a score, in one entry or more for each, packed by buckets of their keys; frequent ones have buckets of their own, beyond those of the others."""
+    least, bits = max(1.0, FREQUENT * model.total), model.bits
+
+    def packed(rows: DataFrame, entries) -> DataFrame:
+        def make(part):
+            key = part.column(0).to_numpy().view(np.uint64)
+            often, v, c = entries(part.column(1).to_numpy(zero_copy_only=False), part.columns[2:])
+            yield key >> np.uint64(1) | often.astype(np.uint64) << np.uint64(63), key.view(np.uint8).reshape(-1, 8)[:, :7], v, c
+
+        return rows.mapInArrow(lambda batches: _packed(batches, make, bits + 1), "b int,blob binary")
+
+    out = packed(model.table.select("h", "c"), lambda c, _: (c >= least, np.zeros(len(c), np.float32), c))
+    grams = [level.where("v is not null").select("h", (F.col("n") >= least).alias("often"), "v") for level in model.levels]
+    grams += [level.where("lead").select("first", F.col("size") >= least, F.log10(1 - F.col("weight")).cast("float")) for level in model.levels]
+    if grams:
+        out = out.union(packed(reduce(DataFrame.union, grams), lambda often, v: (often, v[0].to_numpy(), np.zeros(len(often), np.int64))))
+    return out
+
+
+def _added(blobs: pa.ChunkedArray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts of words, sums of what is added) of packed additions, by key."""
+    low, v, c = _unpacked(blobs, (_LOW, np.float32, np.int64))
+    h = _whole(low, top)
+    order = np.argsort(h)
+    h, c, v = h[order], c[order], v[order].astype(np.float64)
+    start = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+    return h[start], np.maximum.reduceat(c, start) if len(h) else c, np.add.reduceat(v, start) if len(h) else v
 
 
 def _sorted(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -470,11 +503,15 @@ def train(documents: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     return tree, model.table
 
 
-def _hot(model: Model) -> tuple[np.ndarray, ...]:
+def _hot(packed: DataFrame, bits: int) -> tuple[np.ndarray, ...]:
     """(words, logarithms of counts plus one, additions; grams, additions) of what is broadcast: at most 1 / FREQUENT a length."""
-    rows = additions(model, True).groupBy("h").agg(F.max("c").alias("c"), F.sum("v").alias("v"))
-    with writing(model.table.sparkSession):
-        h, c, v = _sorted(rows.select("h", F.coalesce("c", F.lit(0)).alias("c"), "v").toArrow(), "h", "c", "v")
+
+    def merge(table: pa.Table) -> pa.Table:
+        h, c, v = _added(table.column("blob"), table.column("b")[0].as_py() >> bits - 8)
+        return pa.table({"h": h.view(np.int64), "c": c, "v": v})
+
+    with writing(packed.sparkSession):
+        h, c, v = _sorted(packed.groupBy("b").applyInArrow(merge, "h long,c long,v double").toArrow(), "h", "c", "v")
     word = c > 0
     return h[word], np.log10(c[word] + 1.0), v[word], h[~word], v[~word]
 
@@ -482,13 +519,17 @@ def _hot(model: Model) -> tuple[np.ndarray, ...]:
 def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     model = learn(documents, depth)
+    bits = model.bits
+
+    rare, bucket = F.col("b") < 1 << bits, F.col("b").bitwiseAND((1 << bits) - 1).alias("b")
+    packed, size = materialise_with(additions(model), "packed", F.sum(F.octet_length("blob")))
+    discard(model.table, *model.levels)
     # what is asked for: only what adds something to a score, and is not broadcast
-    rest, count = materialise_with(additions(model, False).select("h", "c", "v"), "additions", F.count(F.lit(1)))
-    seen = bitmap_of(rest, count)
-    words, logs, left, keys, gains = _hot(model)
+    table = packed.where(rare)
+    seen = bitmap_of_blobs(packed.select(bucket, "blob"), (size or 0) // _ENTRY, bits, lambda blob, top: (_whole(np.frombuffer(blob, _LOW, blob.size // _ENTRY), top) >> np.uint64(32)).astype(np.uint32))
+    words, logs, left, keys, gains = _hot(packed.where(~rare).select(bucket, "blob"), bits)
     shared = documents.sparkSession.sparkContext.broadcast((Places(words), logs, left, Places(keys), gains, seen))
-    discard(model.table, *model.levels)
-    length, unit, bits = len(model.levels) + 1, float(np.log10(model.total + model.kinds + 1)) if model.total else 0.0, model.bits
+    length, unit = len(model.levels) + 1, float(np.log10(model.total + model.kinds + 1)) if model.total else 0.0
     held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
 
     def parts_of(part):
@@ -506,11 +547,10 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         at = at[in_bitmap(seen, value[at])]  # others stand in no training text
         asked = [(row[at], value[at])]
         for key, there in grams(value, row, length)[1:]:
-            at = np.flatnonzero(there)
+            at = np.flatnonzero(there & in_bitmap(seen, key))
             hit = keys.of(key[at])
             more[at[hit >= 0]] += gains[hit[hit >= 0]]
             at = at[hit < 0]
-            at = at[in_bitmap(seen, key[at])]
             asked.append((row[at], key[at]))
         sums = [np.bincount(row, x, rows) for x in (base, more)]
         ints = [np.bincount(row, x, rows).astype(np.int64) for x in (np.ones(len(row)), known.astype(float))]
@@ -550,17 +590,12 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         if not asked.num_rows:
             return own
         top = asked.column("b")[0].as_py() >> bits - 8
-        low, v, c = _unpacked(held.column("blob"), (_LOW, np.float32, np.int64))
-        h = _whole(low, top)
-        order = np.argsort(h)
-        h, c, v = h[order], c[order], v[order].astype(np.float64)
-        start = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+        h, count, gain = _added(held.column("blob"), top)
         low, rid = _asked(asked.column("blob").drop_null())
-        at = Places(h[start]).of(_whole(low, top))
+        at = Places(h).of(_whole(low, top))
         rid, at = rid[at >= 0], at[at >= 0]
         if not len(at):
             return own
-        count, gain = np.maximum.reduceat(c, start), np.add.reduceat(v, start)
         more = np.log10(count + 1.0)  # 0 for grams
         rids, place = np.unique(rid, return_inverse=True)
         known = np.bincount(place, count[at] > 0, len(rids)).astype(np.int64)
@@ -572,15 +607,6 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     share = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
     rows_of = lambda k: documents.where(share == k).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
 
-    def pack(batches):
-        def make(part):
-            key = part.column(0).to_numpy().view(np.uint64)
-            yield key, key.view(np.uint8).reshape(-1, 8)[:, :7], part.column(1).to_numpy(), part.column(2).to_numpy()
-
-        yield from _packed(batches, make, bits)
-
-    table = materialise(rest.select("h", "v", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(pack, "b int,blob binary"), "packed")
-    discard(rest)
     # a round's questions and answers are gone from disk before the next one asks
     rounds = []
     for k in range(ROUNDS):
@@ -593,6 +619,6 @@ def score(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
             F.sum("score").alias("score"),
         )
         rounds.append(materialise(made, "scores"))
-    discard(table)
+    discard(packed)
     out = reduce(DataFrame.unionByName, rounds)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
