@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that one numpy step works on; bounds the memory of a Python worker, whose arrays take some 50 bytes for each.
+CHUNK_BYTES = 512 << 10
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,14 +87,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
+    """A to Z in small letters: bytes of these have bit 5 clear; comparing is quicker than a table of all bytes."""
+    return data | (data - np.uint8(65) < np.uint8(26)).view(np.uint8) << np.uint8(5)
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +98,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = (data != np.uint8(32)) & (data - np.uint8(9) > np.uint8(4))
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]

@@ -14,9 +14,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from twinweave.operators.runs import folder_of
+from twinweave.workers import BATCH_BYTES
 
 #: How tables are written: shuffle files go at the end, and what Python workers are sent at once is bounded.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 LOCAL_DEFAULT = "/tmp/twinweave-checkpoints"
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Bytes that a Python worker is sent at once, unless the session says otherwise; rows may be long texts.
-BATCH_BYTES = 16 << 20
+#: Bytes that a Python worker is sent at once, unless the session says otherwise; rows may be long texts. Both sides hold a batch or two for each task.
+BATCH_BYTES = 4 << 20
 
 
 def reachable(spark: SparkSession) -> SparkSession:
