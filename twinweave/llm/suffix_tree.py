@@ -443,20 +443,27 @@ def additions(model: Model) -> DataFrame:
     """(b, blob): what grams add to a score, in one entry or more for each, packed by buckets of their keys; frequent ones have buckets of their own, beyond those of the others."""
     least, bits = max(1.0, FREQUENT * model.total), model.bits
 
-    def packed(rows: DataFrame, entries) -> DataFrame:
-        def make(part):
-            key = part.column(0).to_numpy().view(np.uint64)
-            often, v, c = entries(part.column(1).to_numpy(zero_copy_only=False), part.columns[2:])
-            yield key >> np.uint64(1) | often.astype(np.uint64) << np.uint64(63), key.view(np.uint8).reshape(-1, 8)[:, :7], v, c
-
-        return rows.mapInArrow(lambda batches: _packed(batches, make, bits + 1), "b int,blob binary")
-
-    out = packed(model.table.select("h", "c"), lambda c, _: (c >= least, np.zeros(len(c), np.float32), c))
-    grams = [level.where("v is not null").select("h", (F.col("n") >= least).alias("often"), "v") for level in model.levels]
-    grams += [level.where("lead").select("first", F.col("size") >= least, F.log10(1 - F.col("weight")).cast("float")) for level in model.levels]
-    if grams:
-        out = out.union(packed(reduce(DataFrame.union, grams), lambda often, v: (often, v[0].to_numpy(), np.zeros(len(often), np.int64))))
-    return out
+    def entries(h, often, v, c):
+        key = h.to_numpy().view(np.uint64)
+        return key >> np.uint64(1) | often.astype(np.uint64) << np.uint64(63), key.view(np.uint8).reshape(-1, 8)[:, :7], v, c
+
+    def of_words(part):
+        c = part.column(1).to_numpy()
+        yield entries(part.column(0), c >= least, np.zeros(len(c), np.float32), c)
+
+    def of_grams(part):
+        """Each row adds what its gram gains; the first of a context also what the context leaves to its parent."""
+        leads = part.filter(part.column(3).is_valid())
+        for rows, at in ((part, 0), (leads, 3)):
+            h, often, v = rows.columns[at : at + 3]
+            yield entries(h, often.to_numpy(zero_copy_only=False).astype(bool), v.to_numpy(zero_copy_only=False), np.zeros(len(h), np.int64))
+
+    packed = lambda rows, make: rows.mapInArrow(lambda batches: _packed(batches, make, bits + 1), "b int,blob binary")
+    lead = lambda x: F.when(F.col("lead"), x)
+    left = F.log10(1 - F.col("weight")).cast("float")
+    grams = [level.where("v is not null").select("h", (F.col("n") >= least).alias("often"), "v", lead(F.col("first")).alias("first"), lead(F.col("size") >= least).alias("wide"), lead(left).alias("left")) for level in model.levels]
+    out = packed(model.table.select("h", "c"), of_words)
+    return out.union(packed(reduce(DataFrame.union, grams), of_grams)) if grams else out
 
 
 def _added(blobs: pa.ChunkedArray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,6 +18,8 @@ from twinweave.workers import BATCH_BYTES
 
 #: How tables are written: shuffle files go at the end, and what Python workers are sent at once is bounded.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+#: Columns of hashes or packed rows: a dictionary of their values would be made in vain.
+_WRITING |= {f"parquet.enable.dictionary#{name}": "false" for name in ("h", "first", "last", "blob")}
 LOCAL_DEFAULT = "/tmp/twinweave-checkpoints"
 
 
