@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from twinweave.operators import clustering, graph, similarity
+from twinweave.operators import clustering, graph, merging, similarity
 from twinweave.operators.clustering import cluster_matrix, mean_similarity
 
 
@@ -248,6 +248,37 @@ def test_rounds_on_ties(spark, monkeypatch):
         assert sorted(got.values()) == sorted(want)
 
 
+@pytest.mark.parametrize("constrained", [False, True])
+def test_rounds_go_down_levels_and_take_the_strongest_edges(spark, monkeypatch, constrained):
+    """Only the first level takes pairs; later ones compare clusters, and where rounds merge few, tasks merge the strongest edges."""
+    monkeypatch.setattr(clustering, "LARGEST_COMPONENT", 8)
+    monkeypatch.setattr(merging, "PAIRS_EACH", 0.5)
+    monkeypatch.setattr(merging, "SLOW", 0)
+    levels, taken = [], []
+    compared, strongest = merging._compared, merging._strongest
+    monkeypatch.setattr(merging, "_compared", lambda nodes, n, level: levels.append(level) or compared(nodes, n, level))
+    monkeypatch.setattr(merging, "_strongest", lambda *a: taken.append(strongest(*a)) or taken[-1])
+    rng = np.random.default_rng(23)
+    vectors = rng.normal(size=(64, 5)).astype(np.float32)
+    vectors[56:60] = vectors[:4] * np.float32(2)  # copies
+    sources = rng.integers(0, 16, 64).tolist()
+    want = literal(cosines(vectors), sources if constrained else list(range(64)), 0.4)
+    got = {}
+    for r in sorted(clustering.clusters(_items(spark, vectors.tolist(), sources), 0.4, constrained).collect(), key=lambda r: r["member_pos"]):
+        got.setdefault(r["slot"], []).append(r["item_idx"])
+    assert {m[0]: m for m in want} == got
+    assert levels and levels[-1] == 0.4 and any(taken)
+
+
+def test_first_edges_follow_the_rows_not_the_pairs(spark):
+    """However many pairs there are, the first level has PAIRS_EACH for each row at most (and one part of the similarities)."""
+    pairs = spark.range(100_000).selectExpr("id as i", "id + 1 as j", "0.4 + 0.5 * id / 100000 as sim")
+    levels = merging._levels(pairs, 200, 0.4)
+    assert levels == sorted(levels, reverse=True) and levels[-1] == 0.4
+    assert pairs.where(f"sim >= {levels[0]}").count() <= merging.PAIRS_EACH * 200
+    assert merging._levels(pairs, 100_000, 0.4) == [0.4] and merging._levels(pairs.limit(0), 5, 0.4) == [0.4]
+
+
 def test_pairs_are_thinned_before_they_are_written(spark, monkeypatch):
     """A task hands on a link for each node at most, not its pairs."""
     n = 300

@@ -26,7 +26,7 @@ from twinweave.functions.vectors import cosine, has_features
 from twinweave.operators.checkpoints import materialise, materialise_with
 from twinweave.operators.cosines import exact_cosines, exact_means, magnitudes
 from twinweave.operators.graph import components
-from twinweave.operators.merging import begun
+from twinweave.operators.merging import begun, bucket, each_component, opened
 from twinweave.operators.similarity import similar_pairs
 
 #: Clusters of a component that one task goes on with (9 bytes for each pair of them, three times that while it begins); larger ones go through rounds of merges first.
@@ -267,29 +267,27 @@ def clusters(items: DataFrame, threshold: float, constrained: bool = True, pairs
     large = placed.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST_COMPONENT).select("component_id")
     if not large.isEmpty():
         inside = placed.join(large, "component_id", "left_semi").select("item_idx")
-        merged = begun(sourced.join(inside, "item_idx", "left_semi"), pairs, threshold, LARGEST_COMPONENT)
+        merged = begun(sourced.join(inside, "item_idx", "left_semi"), pairs, threshold, LARGEST_COMPONENT, cluster_weighted)
         spots = spots.join(large, "component_id", "left_anti").unionByName(merged)
     grouped = sourced.join(spots, "item_idx")
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["slot", "place"], kind="stable")
-        ids, weights = group["item_idx"].to_numpy(), group["weight"].to_numpy().astype(float)
-        vectors = np.stack(group["features"].to_numpy()).astype(np.float32)
-        cuts = np.flatnonzero(np.diff(group["slot"].to_numpy())) + 1
-        start = [x.tolist() for x in np.split(np.arange(len(group)), cuts)]
-        held = [set() if s is None else set(s) for s in group["sources"]] if constrained else None
-        sources = [set().union(*(held[i] for i in m)) for m in start] if constrained else None
         rows = []
-        for members in cluster_weighted(vectors, sources, weights, threshold, start):
-            mean = weighted_mean_similarity(vectors[members], weights[members])
-            before = 0
-            for m in members:
-                rows.append((int(ids[members[0]]), before, int(ids[m]), int(weights[m]), mean))
-                before += int(weights[m])
+        for part in each_component(group):
+            ids = part["item_idx"].to_numpy()
+            vectors, weights, start, sources = opened(part)
+            for members in cluster_weighted(vectors, sources if constrained else None, weights, threshold, start):
+                mean = weighted_mean_similarity(vectors[members], weights[members])
+                before = 0
+                for m in members:
+                    rows.append((int(ids[members[0]]), before, int(ids[m]), int(weights[m]), mean))
+                    before += int(weights[m])
         return pd.DataFrame(rows, columns=["slot", "member_pos", "item_idx", "weight", "average_similarity"])
 
     ddl = "slot long, member_pos int, item_idx long, weight long, average_similarity double"
-    found = grouped.select("component_id", "item_idx", "slot", "place", "weight", "features", "sources").groupBy("component_id").applyInPandas(cluster, ddl)
+    # small components share a call: each call costs milliseconds
+    several = bucket(drawn.rows.count() if drawn.count is None else drawn.count)
+    found = grouped.select(several, "component_id", "item_idx", "slot", "place", "weight", "features", "sources").groupBy("bucket").applyInPandas(cluster, ddl)
     # copies are as similar as a vector is to itself
     own = F.when(F.col("weight") > 1, cosine("features", "features")).otherwise(F.lit(1.0))
     alone = drawn.rows.join(placed, "item_idx", "left_anti").select(F.col("item_idx").alias("slot"), F.lit(0).alias("member_pos"), "item_idx", "weight", own.alias("average_similarity"))

@@ -17,10 +17,15 @@ the threshold's angle are less similar than the threshold. The index uses it for
 Vectors whose float products could lose digits (very large or very small components) are kept out of the reckoning with
 angles: their class meets every other. Vectors without a length have similarity 0 with all, so for a threshold above 0 they
 are left out.
+
+With ``products``, rows are means of unit vectors and similarities their products. None is longer than 1, so a product at a
+threshold above 0 is a cosine at it or above, and the same blocks meet. With ``earlier``, pairs of two rows that are marked so
+are not made: earlier rows are in classes of their own, which meet only others.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +49,10 @@ SLACK = 1e-5
 #: Vectors whose largest component lies between these are multiplied as floats without losing digits.
 _SMALL, _LARGE = 1e-12, 1e12
 _SUB = 1 << 24
+#: Earlier rows of cell c are in cell _EARLIER - c.
+_EARLIER = -3
+#: What a product of near means may be off by, several times over, and products up to which angles say nothing sure.
+NEAR, _SHORT = 1e-6, 1e-3
 _BLOCK = "block long,class int,n long,low binary,high binary,ids binary,vectors binary,sources array<string>"
 
 
@@ -101,11 +110,14 @@ def placed(held: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
             cell = away.argmin(axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32)
             near = away[np.arange(len(v)), cell]
             sure = (most > _SMALL) & (most < _LARGE)
+            cell = np.where(sure, cell, -1).astype(np.int32)
+            cell = np.where(batch.column(3).to_numpy(zero_copy_only=False), _EARLIER - cell, cell).astype(np.int32)
             ring = np.where(sure, np.minimum((near * (RINGS / np.pi)).astype(np.int32), RINGS - 1), 0)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.where(sure, cell, -1).astype(np.int32)), pa.array(ring.astype(np.int32))], names=["item_idx", "source_id", "vector", "cell", "ring"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(cell), pa.array(ring.astype(np.int32))], names=["item_idx", "source_id", "vector", "cell", "ring"])
             yield out.filter(pa.array((size > 0) & np.isfinite(size))) if threshold > 0 else out
 
-    return held.select("item_idx", "source_id", "features").mapInArrow(run, "item_idx long, source_id string, vector binary, cell int, ring int")
+    earlier = F.col("earlier") if "earlier" in held.columns else F.lit(False)
+    return held.select("item_idx", "source_id", "features", earlier.alias("earlier")).mapInArrow(run, "item_idx long, source_id string, vector binary, cell int, ring int")
 
 
 def dealt(counts: list[tuple[int, int, int]], block_rows: int, most: int = CLASSES) -> list[tuple[int, int, int, int]]:
@@ -136,7 +148,7 @@ def packed(rows: DataFrame, classes: list[tuple[int, int, int, int]], pivots: np
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("item_idx")
         vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float32).reshape(table.num_rows, -1)
-        away = angles(vectors, shared.value) if table["cell"][0].as_py() >= 0 else np.tile([[0.0], [np.pi]], (1, len(shared.value)))
+        away = angles(vectors, shared.value) if table["cell"][0].as_py() not in (-1, _EARLIER + 1) else np.tile([[0.0], [np.pi]], (1, len(shared.value)))
         low, high = away.min(axis=0), away.max(axis=0)
         one = [table["block"][0].as_py(), table["class"][0].as_py(), table.num_rows, low.tobytes(), high.tobytes(), table["item_idx"].to_numpy().tobytes(), vectors.tobytes(), table["source_id"].to_pylist()]
         return pa.table({name: pa.array([x], type=kind) for (name, kind), x in zip(_FIELDS, one, strict=True)})
@@ -169,8 +181,8 @@ def partners(low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def compare(left: Block, right: Block, same: bool, threshold: float, constrained: bool) -> Iterator[pa.RecordBatch]:
-    """(i, j, sim) of two blocks, a bounded matrix at a time."""
+def compare(left: Block, right: Block, same: bool, threshold: float, constrained: bool, products: bool = False) -> Iterator[pa.RecordBatch]:
+    """(i, j, sim) of two blocks, a bounded matrix at a time. With products, sources are sets of which no two rows of a pair share one."""
     for p in range(0, len(left.ids), STEP_ROWS):
         for q in range(p if same else 0, len(right.ids), STEP_ROWS):
             with np.errstate(invalid="ignore"):
@@ -178,13 +190,19 @@ def compare(left: Block, right: Block, same: bool, threshold: float, constrained
             i, j = np.nonzero(near)
             i, j = i + p, j + q
             keep = left.ids[i] < right.ids[j] if same else np.ones(len(i), bool)
-            if constrained:
+            if constrained and not products:
                 keep &= left.sources[i] != right.sources[j]
             i, j = i[keep], j[keep]
             for k in range(0, len(i), 8192):
                 m, n = i[k : k + 8192], j[k : k + 8192]
-                sims = exact_cosines(left.vectors[m], right.vectors[n])
-                good = sims >= threshold
+                if products:
+                    sims = np.einsum("ij,ij->i", left.vectors[m].astype(np.float64), right.vectors[n].astype(np.float64))
+                    good = sims >= threshold - NEAR
+                    if constrained:
+                        good[good] = [not (a and b and a & b) for a, b in zip(left.sources[m[good]], right.sources[n[good]], strict=True)]
+                else:
+                    sims = exact_cosines(left.vectors[m], right.vectors[n])
+                    good = sims >= threshold
                 one, other = left.ids[m[good]], right.ids[n[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(sims[good])], names=["i", "j", "sim"])
 
@@ -199,9 +217,13 @@ class Block:
     sources: np.ndarray
 
     @classmethod
-    def opened(cls, ids: bytes, vectors: bytes, sources: list) -> Block:
+    def opened(cls, ids: bytes, vectors: bytes, sources: list, products: bool = False) -> Block:
         at = np.frombuffer(ids, np.int64)
         v = np.frombuffer(vectors, np.float32).reshape(len(at), -1)
+        if products:
+            sets = np.empty(len(at), object)
+            sets[:] = [frozenset(json.loads(s)) if s else None for s in sources]
+            return cls(at, v, v, sets)
         return cls(at, v, v / np.where((m := magnitudes(v)) == 0, 1, m)[:, None].astype(np.float32), np.array(sources, object))
 
     @classmethod
@@ -222,8 +244,12 @@ def stacked(rows: list[tuple[int, int]], width: int, spread: int) -> dict[int, i
     return out
 
 
-def indexed_pairs(held: DataFrame, threshold: float, constrained: bool, rows: int, block_rows: int | None = None, pivots: int | None = None, report: Report | None = None) -> DataFrame:
-    """(i, j, sim) with i < j and sim >= threshold of (item_idx, source_id, features); features are read twice."""
+def indexed_pairs(held: DataFrame, threshold: float, constrained: bool, rows: int, block_rows: int | None = None, pivots: int | None = None, report: Report | None = None, products: bool = False) -> DataFrame:
+    """(i, j, sim) with i < j and sim >= threshold of (item_idx, source_id, features); features are read twice.
+
+    A column ``earlier`` marks rows of which no two are compared. With products, features are means of unit vectors, source_id
+    is a JSON list of sources or null, and pairs are those whose product may be at the threshold.
+    """
     spark: SparkSession = held.sparkSession
     cores = spark.sparkContext.defaultParallelism
     block_rows = block_rows or max(128, min(BLOCK_ROWS, rows // 16))
@@ -237,7 +263,10 @@ def indexed_pairs(held: DataFrame, threshold: float, constrained: bool, rows: in
     blocks = materialise(packed(spots, classes, centres), "blocks")
     discard(spots)
     n, low, high = intervals(blocks)
-    meet = partners(low, high, threshold)
+    meet = np.ones((len(n), len(n)), bool) if products and threshold < _SHORT else partners(low, high, threshold)
+    earlier = np.zeros(len(n), bool)
+    earlier[[k for cell, _, k, _ in classes if cell < -1]] = True
+    meet &= ~(earlier[:, None] & earlier[None, :])
     sizes = [tuple(r) for r in blocks.select("block", "n").orderBy("block").collect()]  # CLASSES + PIVOTS classes and their shares of block_rows
     if report is not None:
         a, b = np.nonzero(np.triu(meet, 1))
@@ -269,18 +298,18 @@ def indexed_pairs(held: DataFrame, threshold: float, constrained: bool, rows: in
                 a, b, stack, block, *packed_row = (batch.column(c)[k].as_py() for c in range(7))
                 if (a, b) != unit:
                     unit, held, whole = (a, b), [], None
-                one, own = Block.opened(*packed_row), block // _SUB
-                if a == b:
-                    yield from compare(one, one, True, threshold, constrained)
+                one, own = Block.opened(*packed_row, products), block // _SUB
+                if a == b and allowed[own, own]:
+                    yield from compare(one, one, True, threshold, constrained, products)
                 if a == b or stack == b:
                     if whole is None or a == b:
                         classes_held = np.array([c for c, _ in held], np.int64)
                     near = allowed[own][classes_held]
                     if a != b and near.all() and held:
                         whole = whole or Block.joined([x for _, x in held])
-                        yield from compare(whole, one, False, threshold, constrained)
+                        yield from compare(whole, one, False, threshold, constrained, products)
                     elif near.any():
-                        yield from compare(Block.joined([held[p][1] for p in np.flatnonzero(near)]), one, False, threshold, constrained)
+                        yield from compare(Block.joined([held[p][1] for p in np.flatnonzero(near)]), one, False, threshold, constrained, products)
                 if stack == a:
                     held.append((own, one))
 
