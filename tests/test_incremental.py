@@ -64,6 +64,20 @@ def test_pairs_of_two_tables(spark):
     assert similarity.cross_pairs(items.limit(0), items, 0.5).count() == 0
 
 
+@pytest.mark.parametrize("constrained", [False, True])
+def test_new_rows_of_a_large_table_go_through_the_index(spark, monkeypatch, constrained):
+    """Beyond the grid, both tables go through one index, which makes no pair of two earlier rows; no table is sent once for each block of the other."""
+    vectors, sources = sample(90, 7)
+    vectors[5] = vectors[6] * np.float32(1e-20)  # angles say nothing sure about it
+    vectors[8] = vectors[9] * np.float32(1e-20)
+    items = _items(spark, vectors.tolist(), sources)
+    monkeypatch.setattr(similarity, "GRID_ROWS", 10)
+    monkeypatch.setattr(similarity, "cross_pairs", None)
+    want = similarity.pairs_native(items, 0.6, constrained).where("i % 3 = 1 or j % 3 = 1")
+    got = similarity.new_pairs(items.where("item_idx % 3 = 1"), items.where("item_idx % 3 <> 1"), 0.6, constrained)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_beginning_with_nothing(spark):
     items = _items(spark, [[1, 0], [1, 0.01], [0, 1]])
     state = incremental.extend(incremental.begin(items.limit(0), 0.9), items)

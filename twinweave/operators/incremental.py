@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from twinweave.operators import clustering, graph
 from twinweave.operators.checkpoints import discard, materialise, materialise_with
 from twinweave.operators.clustering import Gathered, clusters, gathered, held_features
-from twinweave.operators.similarity import check_lengths, cross_pairs, similar_pairs
+from twinweave.operators.similarity import check_lengths, new_pairs, similar_pairs
 
 
 @dataclass
@@ -67,9 +67,7 @@ def extend(state: ClusterState, new_items: DataFrame) -> ClusterState:
     both = materialise(state.items.unionByName(fresh), "features")
     check_lengths(both)
     drawn = gathered(fresh, state.threshold, state.constrained)
-    own = similar_pairs(drawn.rows, state.threshold, state.constrained, rows=drawn.count)
-    across = cross_pairs(drawn.rows, state.rows, state.threshold, state.constrained)
-    edges = materialise(own.select("i", "j").unionByName(across.select("i", "j")), "pairs")
+    edges = materialise(new_pairs(drawn.rows, state.rows, state.threshold, state.constrained, drawn.count).select("i", "j"), "pairs")
 
     # edges between labels: old items stand for their component, new ones for themselves
     fresh_labels = drawn.rows.select("item_idx", F.col("item_idx").alias("component_id"))

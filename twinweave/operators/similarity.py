@@ -108,5 +108,19 @@ def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, constrained
     return dealt.groupBy("low", "high").applyInPandas(compare, "i long, j long, sim double")
 
 
+def new_pairs(fresh: DataFrame, earlier: DataFrame, threshold: float, constrained: bool = True, rows: int | None = None) -> DataFrame:
+    """(i, j, sim) with i < j and sim >= threshold of a fresh row and any other; never of two earlier ones.
+
+    Up to GRID_ROWS rows in all these are the pairs of the fresh rows and ``cross_pairs``. Beyond that, blocks of both tables
+    would send each of them once for every block of the other, so both go through one index.
+    """
+    side = lambda t, was: t.where(has_features("features")).select("item_idx", F.col("source_id").cast("string").alias("source_id"), "features", F.lit(was).alias("earlier"))
+    both = side(fresh, False).unionByName(side(earlier, True))
+    n = both.count()
+    if n > GRID_ROWS:
+        return indexed_pairs(both, threshold, constrained, n)
+    return similar_pairs(fresh, threshold, constrained, rows=rows).unionByName(cross_pairs(fresh, earlier, threshold, constrained))
+
+
 def exact_copies(sim: Column | str, limit: float = 0.9999) -> Column:
     return (F.col(sim) if isinstance(sim, str) else sim) >= limit
